@@ -5,13 +5,18 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-#: Words a worker remembers; when more are met, it forgets all and starts again.
-REMEMBERED = 300_000
-#: str.split() parts at these, which the tokenizer doesn't hold for white space.
-_NOT_SPACE = re.compile(r"[\x1c-\x1f]")
+#: Words, and pieces of words, that a worker remembers; when more are met, it forgets them and starts again.
+REMEMBERED = 400_000
+#: str.split() parts at the first four, which the tokenizer doesn't hold for white space.
+_NOT_SPACE = re.compile("[\x1c-\x1f]")
+#: Texts without these may be put in lower case and parted into pieces here: no composition, context or added token is in sight.
+_NOT_PLAIN = re.compile("[^\x00-ɏ]|<\\|")
+#: How the tokenizer file parts words: runs of letters, single digits, six endings, runs of anything else; for plain texts.
+_PIECES = re.compile(r"[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 
 
 class _Numbers(dict):
@@ -26,11 +31,42 @@ class _Numbers(dict):
         return at
 
 
+class _Runs:
+    """Runs of ids by number."""
+
+    def __init__(self):
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.length = np.zeros(1 << 14, np.int64)
+        self.used = self.count = 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.start) < self.count + len(lengths):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        here = slice(self.count, self.count + len(lengths))
+        self.length[here] = lengths
+        self.start[here] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        self.count += len(lengths)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the runs ``at``, end to end, and the bounds of each."""
+        lengths = self.length[at]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        return self.flat[np.repeat(self.start[at] - upto[:-1], lengths) + np.arange(upto[-1])], upto
+
+
 class WordEncoder:
-    """Encodes texts as the library does, but each distinct run between white space once.
+    """Encodes texts as the library does, but each distinct word, and piece of a word, once.
 
-    It is exact for tokenizers that drop white space before anything else is looked at: none of their
-    tokens, added tokens included, holds white space, and no normaliser looks beyond it.
+    It is exact for tokenizers that drop white space before anything else is looked at, as
+    word_bpe_49k does: none of its tokens, added tokens included, holds white space, and no normaliser looks
+    beyond it. Plain words are put in lower case and parted as the tokenizer file parts them; others, with combining marks,
+    added tokens or letters whose case has a context, go to the library as they are.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -42,50 +78,58 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.remembered = remembered
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = _Numbers()
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.length = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, words: list[str], first: int) -> None:
-        for at in range(0, len(words), 4096):
-            found = [e.ids for e in self.library.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
+        vocabulary = self.library.get_vocab(True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a piece
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words, self.word_runs = _Numbers(), _Runs()
+        self.pieces, self.piece_runs = _Numbers(), _Runs()
+
+    def _learn_pieces(self, new: list[str], plain: bool, step: int = 256) -> None:
+        """Plain pieces are encoded many at once; which ids are whose shows in the tokens that end a piece."""
+        for k in range(0, len(new), step):
+            some = new[k : k + step]
+            if plain or not any(map(_NOT_PLAIN.search, some)):
+                ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) == len(some) and ends[-1] == len(ids):
+                    self.piece_runs.add(ids, np.diff(ends, prepend=0))
+                    continue
+            found = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-            while len(self.flat) < self.used + len(ids):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while len(self.start) < first + at + len(found):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            here = slice(first + at, first + at + len(found))
-            self.length[here] = lengths
-            self.start[here] = self.used + np.cumsum(lengths) - lengths
-            self.used += len(ids)
+            self.piece_runs.add(np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths)
+
+    def _learn(self, words: list[str], plain: bool) -> None:
+        parts = list(map(_PIECES.findall, words)) if plain else [[w] if _NOT_PLAIN.search(w) or _NOT_SPACE.search(w) else _PIECES.findall(w.lower()) for w in words]
+        at = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(parts)), np.int64)
+        new, self.pieces.new = self.pieces.new, []
+        self._learn_pieces(new, plain)
+        ids, upto = self.piece_runs.take(at)
+        bounds = upto[np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])]
+        self.word_runs.add(ids, np.diff(bounds))
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order as uint32, and how many each text has (null: as an empty text); ``end`` is appended to each."""
-        if len(self.known) > self.remembered:
-            self._forget()
-        known = self.known
-        first = len(known)
+        if len(self.words) > self.remembered:
+            self.words, self.word_runs = _Numbers(), _Runs()
+        if len(self.pieces) > self.remembered:
+            self.pieces, self.piece_runs = _Numbers(), _Runs()
         counts = np.zeros(len(texts), np.int64)
-        places: list[np.ndarray] = []
+        places: list[np.ndarray] = [np.zeros(0, np.int64)]
+        plain = True
         for i, text in enumerate(texts):
-            words = (text or "").split() if text and not _NOT_SPACE.search(text) else [text] if text else []
+            text = text or ""
+            if _NOT_SPACE.search(text):
+                words, plain = [text], False
+            elif "<|" not in text if text.isascii() else not _NOT_PLAIN.search(text):
+                words = text.lower().split()
+            else:
+                words, plain = text.split(), False
             counts[i] = len(words)
-            places.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        if known.new:
-            self._learn(known.new, first)
-            known.new = []
-        at = np.concatenate(places) if places else np.zeros(0, np.int64)
-        lengths = self.length[at]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(self.start[at] - upto[:-1], lengths) + np.arange(upto[-1])]
+            places.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+        if self.words.new:
+            new, self.words.new = self.words.new, []
+            self._learn(new, plain)
+        ids, upto = self.word_runs.take(np.concatenate(places))
         bounds = upto[np.concatenate([[0], np.cumsum(counts)])]
         sizes = np.diff(bounds)
         if end is not None:

@@ -9,8 +9,9 @@ from itertools import chain
 
 import numpy as np
 
-#: Words, and pieces of words, that a worker remembers; when more are met, it forgets them and starts again.
-REMEMBERED = 400_000
+#: Words that a worker remembers, and as a share of that, pieces of words; when more are met, it forgets them and starts again.
+REMEMBERED = 250_000
+PIECES_SHARE = 0.4
 #: str.split() parts at the first four, which the tokenizer doesn't hold for white space.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Texts without these may be put in lower case and parted into pieces here: no composition, context or added token is in sight.
@@ -111,7 +112,7 @@ class WordEncoder:
         """All ids in order as uint32, and how many each text has (null: as an empty text); ``end`` is appended to each."""
         if len(self.words) > self.remembered:
             self.words, self.word_runs = _Numbers(), _Runs()
-        if len(self.pieces) > self.remembered:
+        if len(self.pieces) > PIECES_SHARE * self.remembered:
             self.pieces, self.piece_runs = _Numbers(), _Runs()
         counts = np.zeros(len(texts), np.int64)
         places: list[np.ndarray] = [np.zeros(0, np.int64)]

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +140,7 @@ def sequences(files, path: str, counts=None) -> Iterator[np.ndarray]:
     with pa.ipc.open_stream(files.open_input_file(path)) as stream:
         for batch in stream:
             ids = batch.column("ids").flatten().to_numpy()
-            real = int(pa.compute.sum(batch.column("mask").flatten()).as_py() or 0)
+            real = int(pc.sum(batch.column("mask").flatten()).as_py() or 0)
             yield ids[:real]
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,12 +138,12 @@ def local_forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def _contract(batches):
     """Replace a partition's edges by a star for each of their components: no more rows than distinct nodes."""
     for batch in batches:
-        t = batch.filter(pa.compute.invert(pa.compute.equal(batch.column("src"), batch.column("dst"))))
+        t = batch.filter(pc.invert(pc.equal(batch.column("src"), batch.column("dst"))))
         if t.num_rows == 0:
             continue
         both = pa.concat_arrays([t.column("src"), t.column("dst")]).dictionary_encode()
         code, names = both.indices.to_numpy(), both.dictionary
-        order = pa.compute.array_sort_indices(names).to_numpy()
+        order = pc.array_sort_indices(names).to_numpy()
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         k = rank[code]

@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -305,7 +306,7 @@ def _count(path: str):
         for batch in batches:
             if batch.num_rows:
                 text = batch.column("text")
-                n_bytes = pa.compute.fill_null(pa.compute.binary_length(text), 0).cast(pa.int64())
+                n_bytes = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
                 yield pa.record_batch([batch.column("doc_id"), n_bytes, pa.array(counter(path).count(text.to_pylist()))], names=["doc_id", "n_bytes", "n_tokens"])
 
     return count

@@ -12,7 +12,7 @@ if the Jaccard similarity of their sets is ``SIMILARITY`` or more.
 3. Components of these forests are families; only their texts are read again. Within a family all pairs are
    verified on their full n-gram sets, and counted.
 
-No group meets in one task: buckets and families of more than ``BLOCK`` classes are cut into blocks, and each pair of
+No group meets in one task: buckets and families of more than ``shared.BLOCK`` classes are cut into blocks, and each pair of
 blocks is a unit of its own. Pairs are counted within units and never emitted, so results are linear in
 the documents; no link is dropped. N-grams are compared by 64-bit hashes.
 
@@ -28,17 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, local_forest, materialise, mix64, small_batches, text_bytes, word_hashes
+from .shared import by_unit, components, grouped, in_units, local_forest, materialise, mix64, small_batches, text_bytes, word_hashes
 
 N = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
 LOOSE = 0.5
-BLOCK = 512
 SEED = 20_240_501
 
 
@@ -119,39 +118,6 @@ def _signer(bands: int, rows: int, n: int):
     return signer
 
 
-def in_units(rows: DataFrame, group: str, count: Column) -> DataFrame:
-    """Each row once for each unit it belongs to: columns unit, mine (its block), one (the unit is one block).
-
-    A group of m rows has ceil(m / BLOCK) blocks; units are the pairs of a group's blocks.
-    """
-    blocks = F.ceil(count / BLOCK).cast("int")
-    dealt = rows.withColumn("_blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key", F.lit(1)), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    unit = F.xxhash64(F.col(group), F.least("mine", "_other"), F.greatest("mine", "_other"))
-    return dealt.withColumn("unit", unit).withColumn("_low", F.least("mine", "_other")).withColumn("_high", F.greatest("mine", "_other")).drop("_blocks", "_other")
-
-
-def by_unit(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.RecordBatch]:
-    """The rows of each unit, from batches sorted by unit; a unit has at most some two blocks of rows."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        keys = [batch.column(c).to_numpy() for c in ("unit", group, "_low", "_high")]
-        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        bounds = [0, *change.tolist(), batch.num_rows]
-        if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("unit", group, "_low", "_high")):
-            yield pa.concat_batches(held)
-            held = []
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            held.append(batch.slice(a, b - a))
-            if b < batch.num_rows:
-                yield pa.concat_batches(held)
-                held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _edges(key: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A star for each component of the pairs ``near``: keys and the keys of their centres."""
     a, b = np.nonzero(near)
@@ -243,14 +209,14 @@ def _linked(docs: DataFrame, n: int, similarity: float, recall: float, most_hash
     memberships = classes.select("key", F.explode("bands").alias("band"))
     buckets = memberships.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     crowded = memberships.join(buckets, "band").join(classes.select("key", "seen"), "key")
-    dealt = in_units(crowded, "band", F.col("m")).repartition("unit").sortWithinPartitions("unit", "band", "_low", "_high")
+    dealt = in_units(crowded, "band", F.col("m"))
     loose = dealt.select("unit", "band", "_low", "_high", "key", "seen").mapInArrow(_loosely(LOOSE), "src long, dst long")
     families = components(loose)
     # 3: verify within families
     sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     wanted = families.join(sizes, "component").join(classes.select(F.col("key").alias("node"), "copies", "row_hash"), "node").withColumnRenamed("node", "key")
     fetched = base.select("row_hash", "text").join(wanted, "row_hash").select("key", "copies", "component", "size", "text").mapInArrow(_grams(n), "key long, copies long, component long, size long, grams binary")
-    dealt = in_units(fetched, "component", F.col("size")).repartition("unit").sortWithinPartitions("unit", "component", "_low", "_high")
+    dealt = in_units(fetched, "component", F.col("size"))
     verified = dealt.select("unit", "component", "_low", "_high", "mine", "key", "copies", "grams").mapInArrow(_verify(similarity), "key long, links long, root long")
     verified = materialise(verified, "verified")
     joined = components(verified.select(F.col("key").alias("src"), F.col("root").alias("dst")))
@@ -260,18 +226,8 @@ def _linked(docs: DataFrame, n: int, similarity: float, recall: float, most_hash
 
 def _labelled(docs: DataFrame, n: int, similarity: float, recall: float, most_hashes: int) -> DataFrame:
     signed, linked = _linked(docs, n, similarity, recall, most_hashes)
-    # copies may have no other link, and classes none at all: a row without words is a group of its own
-    ids = signed.where("grams > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("class_id"))
-    ids = materialise(ids.join(linked, "key", "left").select("key", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("component")), "ids")
-    least = ids.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    ids = ids.join(least, "component")
-    rows = signed.select("doc_id", "row_hash", "key", "grams").withColumn("key", F.when(F.col("grams") > 0, F.col("key")))
-    found = rows.join(ids, "key", "left")
-    component_id = F.when(F.col("grams") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select(
-        "doc_id", "row_hash", F.when(F.col("grams") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"),
-    )
+    rows = signed.select("doc_id", "row_hash", F.when(F.col("grams") > 0, F.col("key")).alias("key"))
+    return grouped(rows, linked, "doc_id").drop("key")
 
 
 def link(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +115,82 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix64(value ^ mix64((e - s).astype(np.uint64))), np.searchsorted(s, offsets)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of ``rows`` rows for what is run inside, for rows that hold much each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name, "10000")
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The rows of each value of ``columns``, from batches sorted by them; only one such run is held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        codes = [batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in columns]
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in codes], axis=0)) + 1
+        bounds = [0, *change.tolist(), batch.num_rows]
+        if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in columns):
+            yield pa.concat_batches(held)
+            held = []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.concat_batches(held)
+                held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+#: Classes in a block of ``in_units``.
+BLOCK = 512
+
+
+def in_units(rows: DataFrame, group: str, count: Column) -> DataFrame:
+    """Each row (with a ``key``) once for each unit it belongs to, partitioned and sorted by unit: columns unit, _low, _high, mine (its block).
+
+    A group of m rows has ceil(m / BLOCK) blocks; its units are the pairs of its blocks, low and high, so a unit has
+    some two blocks of rows at most, whatever m is, and any two rows of a group meet in one unit.
+    """
+    dealt = rows.withColumn("_blocks", F.ceil(count / BLOCK).cast("int"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("key", F.lit(1)), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.withColumns({"_low": F.least("mine", "_other"), "_high": F.greatest("mine", "_other")}).withColumn("unit", F.xxhash64(F.col(group), "_low", "_high"))
+    return dealt.drop("_blocks", "_other").repartition("unit").sortWithinPartitions("unit", group, "_low", "_high")
+
+
+def by_unit(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.RecordBatch]:
+    return runs(batches, ("unit", group, "_low", "_high"))
+
+
+def grouped(rows: DataFrame, linked: DataFrame, id_column: str) -> DataFrame:
+    """Rows (id, key) with their groups: class_id, n_links, component_id, kept are added and ``key`` is left.
+
+    ``linked`` has for keys with links: key, links (rows of other keys linked), component (a key). Rows of one key are
+    linked with each other. Rows without a key are alone. Ids of classes and components are the smallest of their rows.
+    """
+    ids = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(id_column).alias("class_id"))
+    ids = ids.join(linked, "key", "left").select("key", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("component"))
+    ids = materialise(ids, "ids")
+    ids = ids.join(ids.groupBy("component").agg(F.min("class_id").alias("component_id")), "component")
+    found = rows.join(ids.drop("component"), "key", "left")
+    alone = F.col("key").isNull()
+    component = F.when(alone, F.col(id_column)).otherwise(F.col("component_id"))
+    return found.select(
+        *rows.columns,
+        F.when(alone, F.col(id_column)).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.col(id_column).eqNullSafe(component).alias("kept"),
+    )
+
+
 def crc(values: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(values)) & 0xFFFFFFFF
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from tallymill.llm import near_text
+from tallymill.llm import near_text, shared
 
 from .conftest import SF
 
@@ -77,7 +77,7 @@ def test_fixture(spark):
 
 
 def test_large_groups_are_cut_into_blocks(spark, make_docs, monkeypatch):
-    monkeypatch.setattr(near_text, "BLOCK", 7)
+    monkeypatch.setattr(shared, "BLOCK", 7)
     rng = random.Random(4)
     base = [f"w{rng.randrange(300)}" for _ in range(120)]
     rows = []

@@ -110,21 +110,26 @@ def terms(data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray | None = Non
     shape[sizes == 0] = 0
     if rarity is not None:
         bag *= rarity
-    return np.concatenate([_scaled(runs), _scaled(bag), _scaled(shape)], axis=1)
+    return np.concatenate([_scaled(runs), _scaled(bag), _scaled(shape)], axis=1, dtype=np.float32)
 
 
 class Voters:
     """The latent space and the labelled vectors in it."""
 
     def __init__(self, texts: list[str], label: list[int], rank: int = RANK):
-        x, self.rarity = None, None
         raw = [t.encode() for t in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        x = terms(data, offsets)
-        held = (x[:, RUNS : RUNS + WORDS] > 0).sum(axis=0)
+        blocks = [raw[a : a + 128] for a in range(0, len(raw), 128)]
+
+        def rows(rarity: np.ndarray | None) -> Iterator[np.ndarray]:
+            for block in blocks:
+                offsets = np.concatenate([[0], np.cumsum([len(t) for t in block])]).astype(np.int64)
+                yield terms(np.frombuffer(b"".join(block), np.uint8), offsets, rarity)
+
+        held = sum((x[:, RUNS : RUNS + WORDS] > 0).sum(axis=0) for x in rows(None))
         self.rarity = np.log((len(texts) + 1) / (held + 1)).astype(np.float32) ** 2
-        x = terms(data, offsets, self.rarity)
+        x = np.empty((len(texts), TERMS), np.float32)
+        for k, part in enumerate(rows(self.rarity)):
+            x[128 * k : 128 * k + len(part)] = part
         # the leading right singular vectors, by subspace iteration
         basis = np.linalg.qr(x.T @ np.random.default_rng(5).standard_normal((len(x), min(rank + 8, len(x)))).astype(np.float32))[0]
         for _ in range(6):

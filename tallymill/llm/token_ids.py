@@ -10,16 +10,29 @@ from itertools import chain
 import numpy as np
 
 #: Words that a worker remembers, and as a share of that, pieces of words; when more are met, it forgets them and starts again.
-REMEMBERED = 250_000
-PIECES_SHARE = 0.4
-#: str.split() parts at the first four, which the tokenizer doesn't hold for white space.
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
+REMEMBERED = 320_000
+PIECES_SHARE = 0.5
 #: Texts without these may be put in lower case and parted into pieces here: no composition, context or added token is in sight.
 _NOT_PLAIN = re.compile("[^\x00-ɏ]|<\\|")
 #: How the tokenizer file parts words: runs of letters, single digits, six endings, runs of anything else; for plain texts.
 _PIECES = re.compile(r"[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 
 
+def _is_plain(text: str) -> bool:
+    if text.isascii():
+        return "<|" not in text
+    try:
+        text.encode("latin-1")  # much faster than looking for the rare character
+    except UnicodeEncodeError:
+        return not _NOT_PLAIN.search(text)
+    return "<|" not in text
+
+
+def _has_odd_space(text: str) -> bool:
+    """str.split() parts at these, which the tokenizer doesn't hold for white space."""
+    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+
+
 class _Numbers(dict):
     """Numbers words in the order they are first asked for; ``new`` gets those that are asked for anew."""
 
@@ -90,7 +103,7 @@ class WordEncoder:
         for k in range(0, len(new), step):
             some = new[k : k + step]
             if plain or not any(map(_NOT_PLAIN.search, some)):
-                ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+                ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
                 ends = np.flatnonzero(self.closes[ids]) + 1
                 if len(ends) == len(some) and ends[-1] == len(ids):
                     self.piece_runs.add(ids, np.diff(ends, prepend=0))
@@ -100,7 +113,7 @@ class WordEncoder:
             self.piece_runs.add(np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths)
 
     def _learn(self, words: list[str], plain: bool) -> None:
-        parts = list(map(_PIECES.findall, words)) if plain else [[w] if _NOT_PLAIN.search(w) or _NOT_SPACE.search(w) else _PIECES.findall(w.lower()) for w in words]
+        parts = list(map(_PIECES.findall, words)) if plain else [[w] if _NOT_PLAIN.search(w) or _has_odd_space(w) else _PIECES.findall(w.lower()) for w in words]
         at = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(parts)), np.int64)
         new, self.pieces.new = self.pieces.new, []
         self._learn_pieces(new, plain)
@@ -119,9 +132,9 @@ class WordEncoder:
         plain = True
         for i, text in enumerate(texts):
             text = text or ""
-            if _NOT_SPACE.search(text):
+            if _has_odd_space(text):
                 words, plain = [text], False
-            elif "<|" not in text if text.isascii() else not _NOT_PLAIN.search(text):
+            elif _is_plain(text):
                 words = text.lower().split()
             else:
                 words, plain = text.split(), False

@@ -4,7 +4,514 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import clean
+from ..functions.normal_form import nfkc
+from ..functions.similarity import token_set_ratio
+from ..operators import audit, evaluation, parsing, screening, stats, validation
+from ..sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TODAY = "2002-01-01"
+
+
+def query(sql: str | None = None, records: bool = False):
+    """Register a query under its function's name, with SQL that may use the views."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            head = views.WITH_RECORDS if records else views.WITH
+            body = sql.strip()
+            ORACLES[f.__name__] = head + (",\n" + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
+        return f
+
+    return register
+
+
+# ---- aggregates, lists, queues
+
+
+@query("SELECT status, count(*) AS n FROM invoices GROUP BY status")
+def status_counts(spark, d):
+    return stats.counts(views.invoices(spark, d), "status")
+
+
+@query(
+    """SELECT round(coalesce(avg(latency_ms), 0), 6) AS avg_latency_ms, round(coalesce(quantile_cont(latency_ms, 0.95), 0), 6) AS p95_latency_ms, round(CAST(coalesce(sum(cost_usd), 0) AS DOUBLE), 6) AS total_cost_usd,
+      count(*) AS n, round(CAST(sum(cost_usd) AS DOUBLE) / count(*) FILTER (status IN ('DONE', 'NEEDS_REVIEW')), 6) AS avg_cost_usd
+    FROM invoices WHERE status IN ('DONE', 'NEEDS_REVIEW', 'FAILED')"""
+)
+def latency_cost_summary(spark, d):
+    return stats.latency_cost(views.invoices(spark, d))
+
+
+@query("SELECT severity, count(*) AS n FROM anomalies WHERE status = 'OPEN' GROUP BY severity")
+def open_by_severity(spark, d):
+    return stats.counts(views.anomalies(spark, d).where("status = 'OPEN'"), "severity")
+
+
+@query("SELECT anomaly_type, count(*) AS n FROM anomalies WHERE status = 'OPEN' GROUP BY anomaly_type")
+def open_by_type(spark, d):
+    return stats.counts(views.anomalies(spark, d).where("status = 'OPEN'"), "anomaly_type")
+
+
+@query("SELECT status, count(*) AS n FROM anomalies GROUP BY status")
+def anomaly_status_counts(spark, d):
+    return stats.counts(views.anomalies(spark, d), "status")
+
+
+@query("SELECT vendor, CAST(sum(total) AS DOUBLE) AS spend, count(*) AS invoices, max(currency) AS shown_currency FROM invoices GROUP BY vendor ORDER BY spend DESC, vendor LIMIT 8")
+def vendor_spend(spark, d):
+    return stats.vendor_spend(views.invoices(spark, d))
+
+
+@query("SELECT vendor, currency, CAST(sum(total) AS DOUBLE) AS spend, count(*) AS invoices, max(currency) AS shown_currency FROM invoices GROUP BY vendor, currency ORDER BY spend DESC, vendor, currency LIMIT 8")
+def vendor_currency_spend(spark, d):
+    return stats.vendor_spend(views.invoices(spark, d), by_currency=True)
+
+
+_FLAGS = "flags AS (SELECT document_id, count(*) AS flags, CASE max(CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM anomalies WHERE status = 'OPEN' GROUP BY document_id)"
+
+
+@query("WITH " + _FLAGS + " SELECT * FROM flags")
+def open_flags(spark, d):
+    return stats.open_flags(views.anomalies(spark, d))
+
+
+@query(
+    "WITH " + _FLAGS + """ SELECT i.document_id, vendor, invoice_number, CAST(total AS DOUBLE) AS total, i.status, i.created_at, coalesce(flags, 0) AS flags, severity
+    FROM (SELECT * FROM invoices WHERE status = 'DONE' ORDER BY created_at DESC, document_id LIMIT 50 OFFSET 100) i LEFT JOIN flags f ON i.document_id = f.document_id"""
+)
+def document_page(spark, d):
+    return stats.document_page(views.invoices(spark, d), views.anomalies(spark, d), "DONE", 50, 100)
+
+
+@query(
+    """SELECT a.id, a.document_id, i.vendor, anomaly_type, severity, CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END AS rank, a.created_at
+    FROM anomalies a JOIN invoices i ON a.document_id = i.document_id WHERE a.status = 'OPEN' ORDER BY rank DESC, a.created_at DESC, a.id LIMIT 50 OFFSET 20"""
+)
+def review_queue(spark, d):
+    return stats.review_queue(views.anomalies(spark, d), views.invoices(spark, d), 50, 20)
+
+
+@query("SELECT status, count(*) AS n, (SELECT count(*) FROM invoices) AS listed, true AS agrees FROM invoices GROUP BY status")
+def ledger_reconcile(spark, d):
+    return stats.reconcile(views.invoices(spark, d))
+
+
+@query(
+    """SELECT status, p95, n FROM (SELECT status, latency_ms AS p95, row_number() OVER (PARTITION BY status ORDER BY latency_ms) - 1 AS pos, count(*) OVER (PARTITION BY status) AS n FROM invoices)
+    WHERE pos = least(CAST(floor(n * 0.95) AS BIGINT), n - 1)"""
+)
+def nearest_rank_p95(spark, d):
+    return stats.nearest_rank_p95(views.invoices(spark, d), "status", "latency_ms")
+
+
+# ---- screening
+
+_VENDOR = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(vendor, ''))), '\b(l\.?l\.?c|ltd|limited|inc|incorporated|co|company|corp|corporation|fz[- ]?llc|fzco|fze|dmcc|plc|gmbh|sarl|pvt|private)\b\.?', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_TERMS = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(payment_terms, ''))), '[^a-z0-9]+', ' ', 'g'), '\bnet\s*(\d+)\b', 'net \1', 'g'), '\s+', ' ', 'g'))"
+_KEYED = f"keyed AS (SELECT *, {_VENDOR} AS vendor_key, {_TERMS} AS terms_key FROM invoices)"
+
+
+@query(f"SELECT document_id, {_VENDOR} AS vendor_key FROM invoices")
+def vendor_key(spark, d):
+    return views.invoices(spark, d).select("document_id", clean.vendor_key(F.col("vendor")).alias("vendor_key"))
+
+
+@query(f"SELECT document_id, {_TERMS} AS terms_key FROM invoices")
+def terms_key(spark, d):
+    return views.invoices(spark, d).select("document_id", clean.terms_key(F.col("payment_terms")).alias("terms_key"))
+
+
+@query(
+    f"""WITH {_KEYED} SELECT c.document_id, h.document_id AS prior_id FROM keyed c JOIN keyed h ON h.ingest_seq < c.ingest_seq
+      AND (c.vendor_key <> '' AND c.vendor_key = h.vendor_key OR abs(date_diff('day', h.issue_date, c.issue_date)) <= 7)"""
+)
+def history_prefilter(spark, d):
+    invoices = views.invoices(spark, d)
+    return screening.history_candidates(invoices, invoices)
+
+
+_NEAR = f"""WITH {_KEYED}, near AS (
+  SELECT c.document_id, h.document_id AS prior_id, c.vendor_key, h.vendor_key AS prior_key FROM keyed c JOIN keyed h ON h.ingest_seq < c.ingest_seq AND abs(date_diff('day', h.issue_date, c.issue_date)) <= 7
+    AND abs(c.total - h.total) <= CAST(0.01 AS DECIMAL(4,2)) * greatest(abs(c.total), abs(h.total)) AND c.currency = h.currency AND c.vendor_key <> '' AND h.vendor_key <> '')"""
+
+
+@query(f"{_NEAR} SELECT document_id, prior_id FROM near WHERE vendor_key = prior_key")
+def duplicates_exact_key(spark, d):
+    found = screening.duplicates(views.invoices(spark, d), screening.Limits(similarity=100.0))
+    return found.select("document_id", "prior_id")
+
+
+@query()
+def duplicates_fuzzy(spark, d):
+    return screening.duplicates(views.invoices(spark, d)).select("document_id", "prior_id", "score")
+
+
+_Z = f"""zs AS (
+  SELECT document_id, vendor_key, n, (t - mean) / greatest(sd, 0.01 * abs(mean)) AS z FROM (
+    SELECT document_id, vendor_key, CAST(total AS DOUBLE) AS t, count(total) OVER w AS n, avg(CAST(total AS DOUBLE)) OVER w AS mean, stddev_samp(CAST(total AS DOUBLE)) OVER w AS sd
+    FROM keyed WHERE vendor_key <> '' WINDOW w AS (PARTITION BY vendor_key ORDER BY ingest_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  WHERE n >= 4 AND mean <> 0),
+d2 AS (SELECT document_id, 'amount_zscore' AS anomaly_type, CASE WHEN abs(z) >= 3 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, round(z, 4) AS score, 'amount_zscore:' || vendor_key AS fingerprint, n FROM zs WHERE abs(z) > 2)"""
+
+
+@query(f"WITH {_KEYED}, {_Z} SELECT document_id, severity, round(score, 3) AS score, n FROM d2")
+def amount_zscore(spark, d):
+    return screening.amount_zscores(views.invoices(spark, d)).select("document_id", "severity", F.round("score", 3).alias("score"), "n")
+
+
+_T = """drifts AS (
+  SELECT c.document_id, c.vendor_key, c.terms_key, h.terms_key AS usual, count(*) AS hits, sum(count(*)) OVER (PARTITION BY c.document_id) AS n
+  FROM keyed c JOIN keyed h ON c.vendor_key = h.vendor_key AND h.ingest_seq < c.ingest_seq WHERE c.vendor_key <> '' AND c.terms_key <> '' AND h.terms_key <> '' GROUP BY c.document_id, c.vendor_key, c.terms_key, h.terms_key),
+d3 AS (SELECT document_id, 'term_drift' AS anomaly_type, 'MEDIUM' AS severity, round(hits / CAST(n AS DOUBLE), 4) AS score, 'term_drift:' || vendor_key AS fingerprint, usual FROM drifts WHERE n >= 3 AND hits >= 0.7 * n AND usual <> terms_key)"""
+
+
+@query(f"WITH {_KEYED}, {_T} SELECT document_id, score, usual FROM d3")
+def term_drift(spark, d):
+    return screening.term_drifts(views.invoices(spark, d)).select("document_id", "score", "usual")
+
+
+_R = """d4 AS (SELECT document_id, 'round_number' AS anomaly_type, CASE WHEN total % 1000 = 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CASE WHEN total % 1000 = 0 THEN 1000.0::DOUBLE ELSE 500.0::DOUBLE END AS score,
+    'round_number:' || CASE WHEN total % 1000 = 0 THEN '1000' ELSE '500' END AS fingerprint FROM invoices WHERE total >= 500 AND total % 500 = 0)"""
+
+
+@query(f"WITH {_R} SELECT * FROM d4")
+def round_number(spark, d):
+    return screening.round_numbers(views.invoices(spark, d))
+
+
+@query(
+    f"""{_NEAR}, {_Z}, {_T}, {_R}, found AS (
+  SELECT document_id, 'duplicate' AS anomaly_type, 'HIGH' AS severity, 100.0::DOUBLE AS score, 'duplicate:' || prior_id AS fingerprint FROM near WHERE vendor_key = prior_key
+  UNION ALL SELECT document_id, anomaly_type, severity, round(score, 3), fingerprint FROM d2 UNION ALL SELECT document_id, anomaly_type, severity, score, fingerprint FROM d3 UNION ALL SELECT * FROM d4)
+SELECT *, CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END AS rank,
+  row_number() OVER (PARTITION BY document_id ORDER BY CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END DESC, anomaly_type, fingerprint) AS place FROM found"""
+)
+def screening_all(spark, d):
+    """With exact vendor keys for duplicates, so that SQL can say the same; ``duplicates_fuzzy`` has the ratio."""
+    found = screening.screen(views.invoices(spark, d), screening.Limits(similarity=100.0))
+    return found.withColumn("score", F.when(F.col("anomaly_type") == "amount_zscore", F.round("score", 3)).otherwise(F.col("score"))).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query()
+def vendor_similarity(spark, d):
+    """Pairs of a nation's vendors, scored."""
+    names = views.table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("a"), F.lower("c_name").alias("name_a"), "c_nationkey")
+    every = views.table(spark, d, "customer").select(F.col("c_custkey").alias("b"), F.translate(F.lower("c_name"), "#", " ").alias("name_b"), "c_nationkey")
+    pairs = names.join(every, "c_nationkey").where("a <> b")
+    return pairs.select("a", "b", F.round(token_set_ratio(F.translate("name_a", "#", " "), F.col("name_b")), 4).alias("ratio"))
+
+
+# ---- validation
+
+_OK = """rules AS (
+  SELECT r.*, coalesce(bad, 0) AS bad, coalesce(complete, 0) AS complete, coalesce(k, 0) AS k, summed FROM records r LEFT JOIN (
+    SELECT document_id, count(*) AS complete, count(*) AS k, sum(amount) AS summed, count(*) FILTER (abs(amount - round_even(qty * unit_price, 2)) > 0.01) AS bad FROM line_items GROUP BY document_id) USING (document_id)),
+checked AS (
+  SELECT document_id, unnest([{'rule': 'vendor_present', 'passed': coalesce(vendor, '') <> ''}, {'rule': 'invoice_number_present', 'passed': coalesce(invoice_number, '') <> ''}, {'rule': 'issue_date_present', 'passed': issue_date IS NOT NULL},
+    {'rule': 'total_present', 'passed': total IS NOT NULL}, {'rule': 'currency_present', 'passed': coalesce(currency, '') <> ''}, {'rule': 'total_positive', 'passed': total > 0},
+    {'rule': 'line_item_math', 'passed': CASE WHEN complete > 0 THEN bad = 0 END}, {'rule': 'line_items_sum_to_subtotal', 'passed': CASE WHEN k > 0 THEN abs(summed - subtotal) <= 0.01 * k END},
+    {'rule': 'subtotal_plus_tax_equals_total', 'passed': abs(subtotal + coalesce(tax, 0) - total) <= 0.02},
+    {'rule': 'uae_vat_rate', 'passed': CASE WHEN currency = 'AED' AND tax <> 0 THEN abs(tax - round_even(subtotal * CAST(0.05 AS DECIMAL(8,4)), 2)) <= greatest(0.02, abs(0.0002 * subtotal)) END},
+    {'rule': 'date_sanity', 'passed': issue_date BETWEEN DATE '1990-01-01' AND DATE '2002-01-02'}, {'rule': 'due_date_after_issue_date', 'passed': due_date BETWEEN issue_date AND issue_date + 1095}]) AS c FROM rules),
+checks AS (SELECT document_id, c.rule AS rule, c.passed AS passed FROM checked WHERE c.passed IS NOT NULL)"""
+
+
+def _validated(spark, d):
+    return validation.validate(views.records(spark, d), TODAY)
+
+
+@query(f"WITH {_OK} SELECT document_id, rule, passed FROM checks", records=True)
+def validation_rules(spark, d):
+    return _validated(spark, d).select("document_id", F.explode("checks").alias("c")).select("document_id", "c.rule", "c.passed")
+
+
+@query(f"WITH {_OK} SELECT rule, count(*) FILTER (NOT passed) AS failures, count(*) AS n FROM checks GROUP BY rule", records=True)
+def validation_failures(spark, d):
+    rows = _validated(spark, d).select(F.explode("checks").alias("c"))
+    return rows.groupBy(F.col("c.rule").alias("rule")).agg(F.count(F.when(~F.col("c.passed"), 1)).alias("failures"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT document_id, count(*) FILTER (abs(amount - round_even(qty * unit_price, 2)) > 0.01) AS bad, count(*) AS n FROM line_items GROUP BY document_id", records=True)
+def line_item_math(spark, d):
+    lines = views.line_items(spark, d)
+    bad = F.abs(F.col("amount") - F.bround(F.col("qty") * F.col("unit_price"), 2)) > F.lit("0.01").cast("decimal(4,2)")
+    return lines.groupBy("document_id").agg(F.count(F.when(bad, 1)).alias("bad"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT document_id, CAST(sum(amount) AS DOUBLE) AS lines_sum FROM line_items GROUP BY document_id", records=True)
+def line_sum(spark, d):
+    return views.line_items(spark, d).groupBy("document_id").agg(F.sum("amount").cast("double").alias("lines_sum"))
+
+
+@query(
+    f"""WITH {_OK}, judged AS (SELECT document_id, bool_and(passed) AS valid FROM checks GROUP BY document_id),
+grave AS (SELECT document_id, max(CASE severity WHEN 'HIGH' THEN 1 ELSE 0 END) AS high FROM anomalies WHERE status = 'OPEN' GROUP BY document_id)
+SELECT j.document_id, CASE WHEN j.document_id % 97 = 0 OR NOT valid OR coalesce(high, 0) = 1 THEN 'NEEDS_REVIEW' ELSE 'DONE' END AS status,
+  CASE WHEN j.document_id % 97 = 0 THEN '2 page(s) not read' WHEN NOT valid THEN 'failed rules' WHEN coalesce(high, 0) = 1 THEN 'high anomaly' END AS reason
+FROM judged j LEFT JOIN grave g ON j.document_id = g.document_id""",
+    records=True,
+)
+def commit_gate(spark, d):
+    judged = _validated(spark, d).select("document_id", "passed").join(stats.open_flags(views.anomalies(spark, d)), "document_id", "left")
+    unread = validation.unread_pages(F.lit(1), F.when(F.col("document_id") % 97 == 0, 3).otherwise(1))
+    return judged.select("document_id", validation.commit_gate(F.col("passed"), F.col("severity"), unread).alias("g")).select("document_id", "g.status", "g.reason")
+
+
+@query(
+    f"""WITH {_OK}, judged AS (SELECT document_id, bool_and(passed) AS valid FROM checks GROUP BY document_id),
+grave AS (SELECT document_id, max(CASE severity WHEN 'HIGH' THEN 1 ELSE 0 END) AS high FROM anomalies WHERE status = 'OPEN' GROUP BY document_id)
+SELECT i.document_id, i.status, CASE WHEN i.status = 'DONE' THEN 'done with a reason against it' ELSE 'review without a reason' END AS violation
+FROM invoices i JOIN judged j ON i.document_id = j.document_id LEFT JOIN grave g ON i.document_id = g.document_id
+WHERE i.status = 'DONE' AND (NOT valid OR coalesce(high, 0) = 1) OR i.status = 'NEEDS_REVIEW' AND valid AND coalesce(high, 0) = 0""",
+    records=True,
+)
+def routing_consistency(spark, d):
+    judged = _validated(spark, d).select("document_id", "passed").join(stats.open_flags(views.anomalies(spark, d)), "document_id", "left")
+    rows = views.invoices(spark, d).select("document_id", "status").join(judged, "document_id")
+    against = ~F.col("passed") | (F.coalesce("severity", F.lit("")) == "HIGH")
+    violation = F.when((F.col("status") == "DONE") & against, "done with a reason against it").when((F.col("status") == "NEEDS_REVIEW") & ~against, "review without a reason")
+    return rows.select("document_id", "status", violation.alias("violation")).where("violation is not null")
+
+
+# ---- the log
+
+
+def _stage_sql() -> str:
+    k = {s: i for i, s in enumerate(audit.STAGES, 1)}
+    completes = " ".join(f"WHEN '{e}' THEN '{s}'" for e, (s, _) in audit.COMPLETES.items())
+    to = " ".join(f"WHEN '{e}' THEN '{t}'" for e, (_, t) in audit.COMPLETES.items())
+    last = ", ".join(f"arg_max(turned, id) FILTER (of = '{s}') AS last_{s}, arg_max(created_at, id) FILTER (of = '{s}' OR event = 'job.failed' AND stage = '{s}') AS {s}_at" for s in k)
+    state = {s: f"coalesce(last_{s}, 'pending')" for s in k}
+    state["screen"] = f"CASE WHEN raised = 1 AND {state['screen']} = 'passed' THEN 'flagged' ELSE {state['screen']} END"
+    rows = ", ".join(f"CASE WHEN f IS NULL OR {i} < f THEN {state[s]} WHEN {i} = f THEN 'failed' ELSE 'pending' END AS {s}" for s, i in k.items())
+    done = " + ".join(f"CASE WHEN {s} IN ('passed', 'flagged') THEN 1 ELSE 0 END" for s in k)
+    first = "coalesce(" + ", ".join(f"CASE WHEN {s} = 'pending' THEN '{s}' END" for s in k) + ")"
+    shown = ", ".join(f"CASE WHEN f IS NULL AND ledger = 'pending' AND {first} = '{s}' THEN 'active' ELSE {s} END AS {s}" for s in k)
+    order = "list_position(['" + "', '".join(k) + "'], arg_max(stage, id) FILTER (event = 'job.failed'))"
+    return f"""WITH steps AS (SELECT *, CASE event {completes} END AS of, CASE event {to} END AS turned FROM audit_log),
+folded AS (SELECT document_id, {last}, max(CASE WHEN event = 'pipeline.anomaly_raised' THEN 1 ELSE 0 END) AS raised, {order} AS f FROM steps GROUP BY document_id),
+stated AS (SELECT document_id, f, {rows}, {", ".join(f"{s}_at" for s in k)} FROM folded)
+SELECT document_id, {shown}, {", ".join(f"{s}_at" for s in k)}, round(({done}) / 6.0::DOUBLE, 4) AS progress FROM stated"""
+
+
+@query(_stage_sql())
+def stage_projection(spark, d):
+    return audit.stage_projection(views.audit_log(spark, d))
+
+
+@query("SELECT document_id, status AS was, 'FAILED' AS status, 'worker_lost' AS error_code FROM invoices WHERE status = 'PROCESSING' AND epoch(created_at) < epoch(TIMESTAMP '1999-01-01') - 900")
+def stale_recovery(spark, d):
+    rows = views.invoices(spark, d).withColumnRenamed("created_at", "updated_at")
+    return audit.stale(rows, F.lit("1999-01-01").cast("timestamp"))
+
+
+@query("SELECT id AS decision_id, document_id AS anomaly_id, row_number() OVER (PARTITION BY document_id ORDER BY created_at, id) = 1 AS accepted FROM audit_log WHERE event = 'ledger.committed'")
+def first_resolution(spark, d):
+    decisions = views.audit_log(spark, d).where("event = 'ledger.committed'").select(F.col("id").alias("decision_id"), F.col("document_id").alias("anomaly_id"), F.col("created_at").alias("decided_at"))
+    return audit.first_resolution(decisions).select("decision_id", "anomaly_id", "accepted")
+
+
+_WANTED = "CASE id % 5 WHEN 0 THEN 'PROCESSING' WHEN 1 THEN 'DONE' WHEN 2 THEN 'PROCESSING' WHEN 3 THEN 'NEEDS_REVIEW' ELSE 'FAILED' END"
+
+
+@query(
+    f"""WITH asked AS (SELECT document_id, id AS seq, {_WANTED} AS wanted FROM audit_log),
+started AS (SELECT document_id, min(seq) FILTER (wanted = 'PROCESSING') AS p, min(seq) FILTER (wanted = 'FAILED') AS f, count(*) AS requests FROM asked GROUP BY document_id)
+SELECT s.document_id, CASE WHEN s.f IS NOT NULL AND (s.p IS NULL OR s.f < s.p) THEN 'FAILED' WHEN s.p IS NULL THEN 'PENDING'
+    ELSE coalesce((SELECT arg_min(wanted, seq) FROM asked a WHERE a.document_id = s.document_id AND a.seq > s.p AND wanted IN ('DONE', 'NEEDS_REVIEW', 'FAILED')), 'PROCESSING') END AS status, CAST(requests AS INTEGER) AS requests
+FROM started s"""
+)
+def state_machine(spark, d):
+    wanted = F.element_at(F.array(*map(F.lit, ("PROCESSING", "DONE", "PROCESSING", "NEEDS_REVIEW", "FAILED"))), (F.col("id") % 5 + 1).cast("int"))
+    return audit.turns(views.audit_log(spark, d).select("document_id", F.col("id").alias("seq"), wanted.alias("wanted")))
+
+
+@query(
+    """WITH tries AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY id) AS attempt, id % 4 <> 0 AS schema_valid, CAST(id % 3 AS INTEGER) AS failures FROM audit_log),
+stops AS (SELECT document_id, min(attempt) AS stop FROM tries WHERE schema_valid AND failures = 0 GROUP BY document_id)
+SELECT t.document_id, CAST((min({'f': failures, 'a': -attempt}) FILTER (schema_valid)).a * -1 AS INTEGER) AS attempt, count(*) AS tried FROM tries t LEFT JOIN stops s ON t.document_id = s.document_id
+WHERE stop IS NULL OR attempt <= stop GROUP BY t.document_id"""
+)
+def best_attempt(spark, d):
+    from pyspark.sql import Window
+
+    log = views.audit_log(spark, d)
+    tries = log.select("document_id", F.row_number().over(Window.partitionBy("document_id").orderBy("id")).alias("attempt"), (F.col("id") % 4 != 0).alias("schema_valid"), (F.col("id") % 3).cast("int").alias("failures"))
+    return audit.best_attempt(tries)
+
+
+@query("SELECT time_bucket(INTERVAL 1 minute, ts) AS window_start, CAST(user_id % 10 AS BIGINT) AS client, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+def rate_limit_window(spark, d):
+    requests = views.table(spark, d, "events").select("ts", (F.col("user_id") % 10).alias("client"))
+    return audit.over_limit(requests, 1)
+
+
+_PRICES = [("large", 5.0, 25.0, None), ("medium", 3.0, 15.0, None), ("medium", 2.0, 10.0, "2026-08-31"), ("small", 1.0, 5.0, None)]
+
+
+def _prices(spark):
+    rows = ", ".join(f"('{m}', {i}D, {o}D, {'NULL' if v is None else f'DATE {v!r}'})" for m, i, o, v in _PRICES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(model, price_in, price_out, valid_to)")
+
+
+@query(
+    """SELECT *, round((input_tokens * CASE WHEN model = 'large' THEN 5.0 WHEN model = 'medium' AND called_on <= DATE '2026-08-31' THEN 2.0 ELSE 3.0 END::DOUBLE
+      + output_tokens * CASE WHEN model = 'large' THEN 25.0 WHEN model = 'medium' AND called_on <= DATE '2026-08-31' THEN 10.0 ELSE 15.0 END::DOUBLE) / 1e6, 6) AS cost_usd FROM traces"""
+)
+def price_asof(spark, d):
+    return audit.priced(views.traces(spark, d), _prices(spark))
+
+
+@query("SELECT document_id, sum(input_tokens + output_tokens) AS tokens, count(*) AS calls FROM traces GROUP BY document_id")
+def token_usage(spark, d):
+    return views.traces(spark, d).groupBy("document_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.count(F.lit(1)).alias("calls"))
+
+
+# ---- ingestion
+
+
+@query("SELECT doc_id, file_hash FROM (SELECT doc_id, sha256(text) AS file_hash, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
+def hash_dedup(spark, d):
+    rows = views.table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"))
+    return audit.insert_if_absent(rows, None, order="doc_id")
+
+
+@query("WITH hashed AS (SELECT doc_id, sha256(text) AS file_hash FROM documents) SELECT min(doc_id) AS doc_id, file_hash FROM hashed WHERE doc_id % 3 = 0 AND file_hash NOT IN (SELECT file_hash FROM hashed WHERE doc_id % 3 <> 0) GROUP BY file_hash")
+def insert_if_absent(spark, d):
+    rows = views.table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"))
+    return audit.insert_if_absent(rows.where("doc_id % 3 = 0"), rows.where("doc_id % 3 <> 0"), order="doc_id").select("doc_id", "file_hash")
+
+
+def _bytes(spark, d):
+    """Files that start like four kinds."""
+    start = F.element_at(F.array(*map(F.lit, ("255044462D312E37", "89504E470D0A1A0A", "FFD8FFE000104A46", "47494638396101000100", "FFD8"))), (F.col("page_id") % 5 + 1).cast("int"))
+    content = F.when(F.col("page_id") % 11 == 0, F.lit(b"")).otherwise(F.unhex(start))
+    declared = F.when(F.col("page_id") % 7 == 0, "image/png; charset=x").when(F.col("page_id") % 2 == 0, "application/octet-stream")
+    return views.table(spark, d, "pages").select("page_id", content.alias("content"), declared.alias("declared"))
+
+
+@query(
+    """WITH made AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN '' ELSE ['255044462D312E37', '89504E470D0A1A0A', 'FFD8FFE000104A46', '47494638396101000100', 'FFD8'][page_id % 5 + 1] END AS h,
+  CASE WHEN page_id % 7 = 0 THEN 'image/png' WHEN page_id % 2 = 0 THEN 'application/octet-stream' END AS said FROM pages),
+kinds AS (SELECT *, CASE WHEN length(h) >= 16 THEN CASE WHEN starts_with(h, '255044462D') THEN 'application/pdf' WHEN starts_with(h, '89504E47') THEN 'image/png' WHEN starts_with(h, 'FFD8FF') THEN 'image/jpeg' END END AS media_type FROM made)
+SELECT page_id, media_type, CASE WHEN h = '' THEN 'empty' WHEN media_type IS NULL THEN 'unsupported' WHEN said = 'image/png' AND media_type <> 'image/png' THEN 'mismatch' END AS verdict FROM kinds"""
+)
+def media_sniff(spark, d):
+    rows = _bytes(spark, d)
+    return rows.select("page_id", clean.media_type(F.col("content")).alias("media_type"), clean.upload_verdict(F.col("content"), F.col("declared")).alias("verdict"))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(substr(trim(regexp_extract(rtrim(url, '/'), '[^/]*$'), ' .'), 1, 200), ''), 'document') AS filename FROM pages""")
+def filename_sanitise(spark, d):
+    return views.table(spark, d, "pages").select("page_id", clean.filename(nfkc(F.col("url"))).alias("filename"))
+
+
+def _secrets(spark, d) -> Column:
+    kinds = F.array(F.concat(F.lit('{"api_key":"'), F.md5(F.col("event_id").cast("string").cast("binary")), F.lit('","n":1}')), F.concat(F.lit("Bearer "), F.md5(F.col("event_id").cast("string").cast("binary"))), F.lit("an ordinary line"), F.concat(F.lit("password = "), F.col("event_type")), F.concat(F.lit("postgres://u:p"), F.col("event_id").cast("string"), F.lit("@host/db")))
+    return F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int"))
+
+
+@query("""SELECT event_id, ['{"api_key":"[REDACTED]","n":1}', 'Bearer [REDACTED]', 'an ordinary line', 'password = [REDACTED]', '[REDACTED]host/db'][event_id % 5 + 1] AS line FROM events""")
+def redact(spark, d):
+    return views.table(spark, d, "events").select("event_id", clean.redact(_secrets(spark, d)).alias("line"))
+
+
+@query("SELECT o_orderkey AS document_id, CAST(CASE WHEN o_orderkey % 6 = 3 THEN -1 ELSE 1 END * CASE WHEN o_orderkey % 6 = 4 THEN CAST(floor(o_totalprice) AS DECIMAL(18,6)) WHEN o_orderkey % 6 = 5 THEN NULL ELSE CAST(round(o_totalprice, 2) AS DECIMAL(18,6)) END AS DOUBLE) AS amount FROM orders")
+def money_parse(spark, d):
+    two = F.format_number(F.round("o_totalprice", 2), 2)
+    swapped = F.translate(two, ",.", ".,")
+    raw = F.element_at(F.array(F.concat(F.lit("AED "), two), swapped, F.concat(F.lit(" $"), two, F.lit(" ")), F.concat(F.lit("("), two, F.lit(")")), F.format_number(F.floor("o_totalprice"), 0), F.lit("abc")), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return views.table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), clean.money(raw).cast("double").alias("amount"))
+
+
+@query("SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 6 <> 5 THEN CAST(o_orderdate AS DATE) END AS day FROM orders")
+def date_parse(spark, d):
+    day = F.to_date("o_orderdate")
+    shapes = [F.date_format(day, p) for p in ("yyyy-MM-dd", "dd/MM/yyyy", "d MMM yyyy", "MMMM d, yyyy", "dd.MM.yyyy")]
+    raw = F.element_at(F.array(*shapes, F.lit("not a date")), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return views.table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), clean.date(raw).alias("day"))
+
+
+# ---- text to records
+
+
+@query("SELECT o_orderkey AS document_id, ['contract', 'receipt', 'invoice', 'unknown'][o_orderkey % 4 + 1] AS kind FROM orders")
+def classify_text(spark, d):
+    texts = ("This Contract is an agreement; terms and conditions apply", "RECEIPT. Paid in full, change due 0", "Tax invoice, bill to someone, subtotal and amount due", "nothing to see")
+    return views.table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), parsing.kind(F.concat(F.element_at(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % 4 + 1).cast("int")), F.lit(" "), F.col("o_orderpriority"))).alias("kind"))
+
+
+@query(
+    "SELECT document_id, coalesce(vendor, 'Currency: ' || currency) AS vendor, invoice_number, issue_date, due_date, CAST(round_even(subtotal, 2) AS DOUBLE) AS subtotal, CAST(round_even(tax, 2) AS DOUBLE) AS tax, CAST(round_even(total, 2) AS DOUBLE) AS total, currency, payment_terms FROM records",
+    records=True,
+)
+def invoice_roundtrip(spark, d):
+    """A page without a vendor has its first line that is no banner or label taken for one."""
+    p = parsing.render(views.records(spark, d)).select("document_id", parsing.parse(F.col("text")).alias("p"))
+    return p.select("document_id", "p.vendor", "p.invoice_number", "p.issue_date", "p.due_date", *(F.col(f"p.{c}").cast("double").alias(c) for c in ("subtotal", "tax", "total")), "p.currency", "p.payment_terms")
+
+
+@query("SELECT document_id, count(*) AS n, CAST(sum(qty) AS DOUBLE) AS qty, CAST(sum(amount) AS DOUBLE) AS amount FROM line_items JOIN invoices USING (document_id) GROUP BY document_id", records=True)
+def line_table_parse(spark, d):
+    p = parsing.render(views.records(spark, d)).select("document_id", F.explode(parsing.table_lines(F.col("text"))).alias("x"))
+    return p.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.sum("x.qty").cast("double").alias("qty"), F.sum("x.amount").cast("double").alias("amount"))
+
+
+@query("SELECT o_orderkey AS page_id, CAST(k AS INTEGER) AS row, 'left' || k || '   right' AS line FROM orders, (SELECT unnest([0, 1, 2]) AS k) WHERE o_orderkey % 10 = 0")
+def layout_rows(spark, d):
+    base = views.table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("page_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    words = base.select("page_id", F.explode(F.array(F.struct((F.col("k") * 20.0).alias("y0"), F.lit(10.0).alias("x0"), F.lit(30.0).alias("x1"), F.concat(F.lit("left"), F.col("k").cast("string")).alias("word")), F.struct((F.col("k") * 20.0 + 2.5).alias("y0"), F.lit(42.5).alias("x0"), F.lit(60.0).alias("x1"), F.lit("right").alias("word")))).alias("w"))
+    return parsing.layout(words.select("page_id", "w.*"))
+
+
+# ---- scores
+
+
+def _pairs(spark, d):
+    """Records, and what is read from their printed pages with some fields spoilt."""
+    records = views.records(spark, d)
+    fields = [f for f in evaluation.FIELDS]
+    expected = F.struct(*(F.col(f).alias(f) for f in fields)).alias("expected")
+    off = F.col("document_id") % 8 == 0
+    observed = F.struct(*(F.when(off, F.lit(None)).otherwise(F.col(f)).alias(f) if f == "vendor" else (F.col(f) + F.when(off, 1).otherwise(0)).cast("decimal(18,6)").alias(f) if f == "total" else F.col(f).alias(f) for f in fields)).alias("observed")
+    return records.select("document_id", expected, observed)
+
+
+@query(
+    """WITH f AS (SELECT unnest(['vendor', 'invoice_number', 'issue_date', 'due_date', 'subtotal', 'tax', 'total', 'currency', 'payment_terms']) AS field), c AS (SELECT count(*) AS n, count(*) FILTER (document_id % 8 <> 0 OR vendor IS NULL) AS v, count(*) FILTER (document_id % 8 <> 0) AS t FROM records)
+SELECT field, CASE field WHEN 'vendor' THEN v WHEN 'total' THEN t ELSE n END AS correct, n, round(CASE field WHEN 'vendor' THEN v WHEN 'total' THEN t ELSE n END / CAST(n AS DOUBLE), 6) AS accuracy FROM f, c""",
+    records=True,
+)
+def field_accuracy(spark, d):
+    return evaluation.field_accuracy(_pairs(spark, d))
+
+
+@query("SELECT r.document_id, CAST(count(l.amount) - CASE WHEN count(l.amount) > 1 THEN 1 ELSE 0 END AS INTEGER) AS hits FROM records r LEFT JOIN line_items l ON r.document_id = l.document_id GROUP BY r.document_id", records=True)
+def line_item_score(spark, d):
+    amounts = F.transform("line_items", lambda x: x["amount"])
+    seen = F.transform("line_items", lambda x: x["amount"])
+    short = F.when(F.size(seen) > 1, F.slice(seen, F.lit(1), F.size(seen) - 1)).otherwise(seen)
+    return views.records(spark, d).select("document_id", evaluation.line_item_score(amounts, short).alias("hits"))
+
+
+@query(
+    """WITH sums AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic = 0) AS fn FROM labels)
+SELECT tp, fp, fn, round(tp / CAST(tp + fp AS DOUBLE), 6) AS precision, round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2 * (tp / CAST(tp + fp AS DOUBLE)) * (tp / CAST(tp + fn AS DOUBLE)) / (tp / CAST(tp + fp AS DOUBLE) + tp / CAST(tp + fn AS DOUBLE)), 6) AS f1 FROM sums"""
+)
+def prf(spark, d):
+    flag = lambda c: F.when(F.col(c) == 1, F.array(F.lit("flag"))).otherwise(F.array().cast("array<string>"))
+    return evaluation.precision_recall(views.table(spark, d, "labels").select(flag("quality").alias("expected"), flag("toxic").alias("observed")))
+
+
+@query(
+    """SELECT document_id, n AS readable_before, n < 4 AS zscore_blocked, n = 0 AS duplicate_blocked FROM (SELECT document_id, count(*) FILTER (document_id % 4 <> 0) OVER (PARTITION BY vendor ORDER BY ingest_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM invoices)"""
+)
+def blocked_expectations(spark, d):
+    return evaluation.blocked_expectations(views.invoices(spark, d).withColumn("readable", F.col("document_id") % 4 != 0))

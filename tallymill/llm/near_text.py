@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_unit, components, grouped, in_units, local_forest, materialise, mix64, small_batches, text_bytes, word_hashes
+from .shared import by_unit, components, grouped, in_units, local_forest, materialise, mix64, slices, small_batches, text_bytes, word_hashes
 
 N = 5
 SIMILARITY = 0.8
@@ -109,11 +109,10 @@ def sign(text: pa.Array, bands: int, rows: int, n: int = N) -> tuple[np.ndarray,
 
 def _signer(bands: int, rows: int, n: int):
     def signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                key, size, band, seen = sign(batch.column("text"), bands, rows, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * bands), pa.array(band.ravel().view(np.int64)))
-                yield pa.record_batch([batch.column("doc_id"), batch.column("row_hash"), pa.array(key.view(np.int64)), pa.array(size), lists, pa.array([r.tobytes() for r in seen], pa.binary())], names=["doc_id", "row_hash", "key", "grams", "bands", "seen"])
+        for batch in slices(batches, 128):
+            key, size, band, seen = sign(batch.column("text"), bands, rows, n)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * bands), pa.array(band.ravel().view(np.int64)))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row_hash"), pa.array(key.view(np.int64)), pa.array(size), lists, pa.array([r.tobytes() for r in seen], pa.binary())], names=["doc_id", "row_hash", "key", "grams", "bands", "seen"])
 
     return signer
 
@@ -185,9 +184,7 @@ def _verify(similarity: float):
 
 def _grams(n: int):
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in slices(batches, 128):
             found, ends = shingles(batch.column("text"), n)
             sets = [np.unique(found[a:b]).tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
             yield pa.record_batch([batch.column(c) for c in ("key", "copies", "component", "size")] + [pa.array(sets, pa.binary())], names=["key", "copies", "component", "size", "grams"])

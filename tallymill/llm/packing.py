@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_batches
+from .shared import materialise, slices, small_batches
 
 LENGTH = 2048
 MAX_QUEUES = 64
@@ -53,9 +53,7 @@ def _encode(tokenizer: str, end: int):
         from .token_ids import encoder
 
         part, given, seq = TaskContext.get().partitionId(), {}, 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in slices(batches, 128):
             codes = encoder(tokenizer)
             width = 2 if max(codes.library.get_vocab_size(True) - 1, end) < 2**16 else 4
             ids, sizes = codes.encode(batch.column("text").to_pylist(), end)
@@ -136,9 +134,10 @@ def _round_of(j: np.ndarray, total: int, everything: int, length: int) -> np.nda
 
 def _pieces(totals: list[int], length: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        from .token_ids import encoder
+
+        encoder.cache_clear()  # a worker that has encoded needs its words no more
+        for batch in slices(batches, 128):
             queue, first, n, width = (batch.column(c).to_numpy() for c in ("queue", "first", "doc_tokens", "width"))
             doc, start, size, place = cut(queue, first, n, totals, length)
             raw = batch.column("ids")

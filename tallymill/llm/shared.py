@@ -115,6 +115,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix64(value ^ mix64((e - s).astype(np.uint64))), np.searchsorted(s, offsets)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, none of them empty, to bound what numpy makes of one."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Arrow batches of ``rows`` rows for what is run inside, for rows that hold much each."""

@@ -5,9 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
+def _fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    return F.pandas_udf(_fold, "string")(text)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clean
+from ..functions import clean, display
 from ..functions.normal_form import nfkc
 from ..functions.similarity import token_set_ratio
 from ..operators import audit, evaluation, parsing, screening, stats, validation
@@ -369,7 +369,7 @@ def price_asof(spark, d):
     return audit.priced(views.traces(spark, d), _prices(spark))
 
 
-@query("SELECT document_id, sum(input_tokens + output_tokens) AS tokens, count(*) AS calls FROM traces GROUP BY document_id")
+@query("SELECT document_id, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens, count(*) AS calls FROM traces GROUP BY document_id")
 def token_usage(spark, d):
     return views.traces(spark, d).groupBy("document_id").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.count(F.lit(1)).alias("calls"))
 
@@ -515,3 +515,111 @@ def prf(spark, d):
 )
 def blocked_expectations(spark, d):
     return evaluation.blocked_expectations(views.invoices(spark, d).withColumn("readable", F.col("document_id") % 4 != 0))
+
+
+# ---- smaller operators
+
+
+@query("SELECT document_id, CAST(issue_date + CASE terms WHEN 'net 30' THEN 30 WHEN 'net 45' THEN 45 ELSE 0 END AS DATE) AS due FROM (SELECT *, " + _TERMS + " AS terms FROM invoices)")
+def due_from_terms(spark, d):
+    rows = screening.keyed(views.invoices(spark, d))
+    return rows.select("document_id", display.due_date(F.col("issue_date"), F.col("terms_key")).alias("due"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '... [' || (length(text) - 2000) || ' more]' ELSE text END AS preview FROM documents")
+def text_preview(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", clean.preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents")
+def token_estimate(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", clean.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT p_partkey, round(CASE WHEN w * h * z * z > 4e7 THEN z * sqrt(4e7 / (w * h * z * z)) ELSE z END, 6) AS zoom FROM (SELECT p_partkey, w, h, least(1500.0 / greatest(w, h), 4.0) AS z FROM (SELECT p_partkey, p_size * 40.0::DOUBLE AS w, p_retailprice::DOUBLE AS h FROM part))")
+def render_zoom(spark, d):
+    return views.table(spark, d, "part").select("p_partkey", F.round(display.page_zoom(F.col("p_size") * 40.0, F.col("p_retailprice")), 6).alias("zoom"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name ELSE '' END AS inside FROM part")
+def fence_extract(spark, d):
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("before <doc>"), F.col("p_name"), F.lit("</doc> after"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("</doc>"), F.col("p_name"), F.lit("<doc>"))).otherwise(F.col("p_name"))
+    return views.table(spark, d, "part").select("p_partkey", display.fenced(text, "<doc>", "</doc>").alias("inside"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 < 2 AND length(html) / CAST(1 + page_id % 20 AS DOUBLE) >= 60 THEN CASE WHEN page_id % 3 = 0 THEN 'text' ELSE 'vision' END ELSE 'vision' END AS lane FROM pages")
+def lane_choice(spark, d):
+    kind = F.when(F.col("page_id") % 3 == 0, "application/pdf").otherwise("image/png")
+    return views.table(spark, d, "pages").select("page_id", display.lane(kind, F.length("html"), 1 + F.col("page_id") % 20).alias("lane"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'peer' ELSE '10.0.0.' || (event_id % 7) END AS client FROM events")
+def client_identity(spark, d):
+    chain = F.when(F.col("event_id") % 4 != 3, F.concat(F.lit("1.2.3.4, 10.0.0."), (F.col("event_id") % 7).cast("string"), F.lit(" , 9.9.9.9")))
+    return views.table(spark, d, "events").select("event_id", display.client(chain, F.lit("peer"), 2).alias("client"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'signup' THEN (json_extract_string(props, '$.k')) || ' line item(s)' WHEN 'view' THEN 'all checks passed' WHEN 'click' THEN 'clean against ' || json_extract_string(props, '$.k') || ' prior invoice(s)' ELSE 'document ·  lane' END AS caption FROM events")
+def stage_captions(spark, d):
+    event = F.when(F.col("event_type") == "signup", "pipeline.extraction_succeeded").when(F.col("event_type") == "view", "pipeline.validation_passed").when(F.col("event_type") == "click", "pipeline.screening_completed").otherwise("pipeline.routed")
+    payload = F.replace(F.col("props"), F.lit('"k"'), F.when(F.col("event_type") == "signup", '"line_items"').when(F.col("event_type") == "click", '"history_size"').otherwise('"k"'))
+    return views.table(spark, d, "events").select("event_id", display.caption(event, payload).alias("caption"))
+
+
+@query(
+    """SELECT document_id, round(sum(round((input_tokens * CASE WHEN model = 'large' THEN 5.0 WHEN model = 'medium' AND called_on <= DATE '2026-08-31' THEN 2.0 ELSE 3.0 END::DOUBLE
+      + output_tokens * CASE WHEN model = 'large' THEN 25.0 WHEN model = 'medium' AND called_on <= DATE '2026-08-31' THEN 10.0 ELSE 15.0 END::DOUBLE) / 1e6, 6)), 6) AS cost_usd, count(*) AS calls FROM traces GROUP BY document_id"""
+)
+def trace_costs(spark, d):
+    return audit.priced(views.traces(spark, d), _prices(spark)).groupBy("document_id").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.count(F.lit(1)).alias("calls"))
+
+
+_REQUIRED = ["document.received", "pipeline.routed", "pipeline.extraction_succeeded", "pipeline.screening_completed", "ledger.committed"]
+
+
+@query("WITH needed AS (SELECT unnest(['" + "', '".join(_REQUIRED) + "']) AS event) SELECT d.document_id, n.event AS missing FROM (SELECT DISTINCT document_id FROM audit_log) d, needed n WHERE NOT EXISTS (SELECT 1 FROM audit_log a WHERE a.document_id = d.document_id AND a.event = n.event)")
+def missing_events(spark, d):
+    log = views.audit_log(spark, d)
+    seen = log.groupBy("document_id").agg(F.collect_set(F.when(F.col("event").isin(_REQUIRED), F.col("event"))).alias("seen"))
+    return seen.select("document_id", F.explode(F.array_except(F.array(*map(F.lit, _REQUIRED)), "seen")).alias("missing"))
+
+
+@query("SELECT round(count(*) FILTER (status = 'DONE') / CAST(count(*) AS DOUBLE), 6) AS processed, round(quantile_cont(latency_ms, 0.95) / 30000, 6) AS p95_share, (SELECT round(count(*) FILTER (status = 'OPEN') / CAST(count(*) AS DOUBLE), 6) FROM anomalies) AS open_share FROM invoices")
+def kpi_ratios(spark, d):
+    i = views.invoices(spark, d).agg(F.round(F.count(F.when(F.col("status") == "DONE", 1)) / F.count(F.lit(1)), 6).alias("processed"), F.round(F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY latency_ms)") / 30000, 6).alias("p95_share"))
+    a = views.anomalies(spark, d).agg(F.round(F.count(F.when(F.col("status") == "OPEN", 1)) / F.count(F.lit(1)), 6).alias("open_share"))
+    return i.crossJoin(F.broadcast(a))  # one row each
+
+
+@query("SELECT id, CASE WHEN document_id NOT IN (SELECT document_id FROM invoices) THEN 'unknown document' END AS violation FROM anomalies WHERE document_id NOT IN (SELECT document_id FROM invoices)")
+def queue_explainability(spark, d):
+    rows = views.anomalies(spark, d).join(views.invoices(spark, d).select("document_id", F.lit(True).alias("known")), "document_id", "left")
+    violation = F.when(F.col("known").isNull(), "unknown document").when(~F.col("severity").isin(*stats.SEVERITY_RANK), "illegal severity").when(F.col("anomaly_type").isNull(), "no reason")
+    return rows.select("id", violation.alias("violation")).where("violation is not null")
+
+
+@query(
+    """SELECT i.document_id, i.status, coalesce(e.n, 0) AS events, coalesce(a.n, 0) AS findings, e.last_event FROM invoices i
+    LEFT JOIN (SELECT document_id, count(*) AS n, arg_max(event, id) AS last_event FROM audit_log GROUP BY document_id) e ON i.document_id = e.document_id
+    LEFT JOIN (SELECT document_id, count(*) AS n FROM anomalies GROUP BY document_id) a ON i.document_id = a.document_id"""
+)
+def document_detail(spark, d):
+    events = views.audit_log(spark, d).groupBy("document_id").agg(F.count(F.lit(1)).alias("events"), F.max_by("event", "id").alias("last_event"))
+    found = views.anomalies(spark, d).groupBy("document_id").agg(F.count(F.lit(1)).alias("findings"))
+    rows = views.invoices(spark, d).select("document_id", "status").join(events, "document_id", "left").join(found, "document_id", "left")
+    return rows.select("document_id", "status", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("findings", F.lit(0)).alias("findings"), "last_event")
+
+
+@query(
+    f"""{_NEAR}, {_R}, expected AS (SELECT document_id, 'round_number' AS t FROM invoices WHERE ingest_seq % 40 = 0),
+observed AS (SELECT document_id, 'round_number' AS t FROM d4 UNION SELECT document_id, 'duplicate' FROM near WHERE vendor_key = prior_key),
+sums AS (SELECT (SELECT count(*) FROM observed JOIN expected USING (document_id, t)) AS tp, (SELECT count(*) FROM observed) AS o, (SELECT count(*) FROM expected) AS e)
+SELECT tp, o - tp AS fp, e - tp AS fn, round(tp / CAST(o AS DOUBLE), 6) AS precision, round(tp / CAST(e AS DOUBLE), 6) AS recall, round(2 * (tp / CAST(o AS DOUBLE)) * (tp / CAST(e AS DOUBLE)) / (tp / CAST(o AS DOUBLE) + tp / CAST(e AS DOUBLE)), 6) AS f1 FROM sums"""
+)
+def anomaly_evaluation(spark, d):
+    """Planted round totals, held against what the detectors find."""
+    invoices = views.invoices(spark, d)
+    found = screening.round_numbers(invoices).select("document_id", "anomaly_type").union(screening.duplicates(invoices, screening.Limits(similarity=100.0)).select("document_id", "anomaly_type"))
+    observed = found.groupBy("document_id").agg(F.collect_set("anomaly_type").alias("observed"))
+    rows = invoices.join(observed, "document_id", "left").select(F.when(F.col("ingest_seq") % 40 == 0, F.array(F.lit("round_number"))).otherwise(F.array().cast("array<string>")).alias("expected"), F.coalesce("observed", F.array().cast("array<string>")).alias("observed"))
+    return evaluation.precision_recall(rows)

@@ -192,7 +192,7 @@ def sample(docs: DataFrame, per_language: int = SAMPLE, span: int = SPAN) -> lis
     hashed = F.xxhash64("text")
     place = 1 + F.pmod(F.shiftright(hashed, 20), F.greatest(F.length("text") - span, F.lit(1)))
     rows = learn.where(F.pmod(hashed, F.lit(SHARES)) < share).select("lang", F.substring("text", place.cast("int"), F.lit(span)).alias("text"))
-    return sorted(map(tuple, rows.collect()))
+    return sorted(map(tuple, rows.distinct().collect()))  # copies of one text, however many, are one row
 
 
 def train(docs: DataFrame, window: int = WINDOW, hidden: int = HIDDEN, steps: int = 260) -> tuple[list[str], ByteGru | None]:

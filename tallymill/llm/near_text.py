@@ -16,7 +16,7 @@ No group meets in one task: buckets and families of more than ``shared.BLOCK`` c
 blocks is a unit of its own. Pairs are counted within units and never emitted, so results are linear in
 the documents; no link is dropped. N-grams are compared by 64-bit hashes.
 
-Cases: documents without a word (null, empty or blank) link with nothing. Rows with one doc_id are documents of their own; a class's id
+Cases: documents without a word (null, empty or blank) link with nothing. Rows with one doc_id are documents of their own; a group's id
 is its smallest doc_id. An empty table gives no rows. Extra columns are left out by ``link`` and kept by ``one_of_each``.
 """
 
@@ -228,8 +228,9 @@ def _labelled(docs: DataFrame, n: int, similarity: float, recall: float, most_ha
 
 
 def link(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
-    """Per document: doc_id, class_id (smallest doc_id with the same n-grams), n_links (other documents linked with it), component_id (smallest doc_id reachable by links), kept (doc_id = component_id)."""
-    return _labelled(docs, n, similarity, recall, most_hashes).drop("row_hash")
+    """Per document: doc_id, class_id (of its group of near copies: the smallest doc_id reachable by links), n_links (other documents linked with it), component_id (as class_id), kept (doc_id = component_id), copies_id (smallest doc_id with the same n-grams)."""
+    found = _labelled(docs, n, similarity, recall, most_hashes)
+    return found.select("doc_id", F.col("component_id").alias("class_id"), "n_links", "component_id", "kept", "copies_id")
 
 
 def one_of_each(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:

@@ -120,7 +120,7 @@ def _verify(cosine: float):
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
-    """Per vector: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable by links), kept (vec_id = component_id), class_id."""
+    """Per vector: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable by links), kept (vec_id = component_id), copies_id (smallest vec_id of the equal vectors)."""
     spark = vectors.sparkSession
     small_batches(spark)
     sound = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
@@ -146,4 +146,4 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD)
     verified = materialise(units.mapInArrow(_verify(cosine), "key long, links long, root long"), "verified")
     joined = components(verified.select(F.col("key").alias("src"), F.col("root").alias("dst")))
     linked = verified.groupBy("key").agg(F.sum("links").alias("links")).join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", "links", F.coalesce("component", "key").alias("component"))
-    return grouped(rows.select("vec_id", "key"), linked, "vec_id").select("vec_id", "n_links", "component_id", "kept", "class_id")
+    return grouped(rows.select("vec_id", "key"), linked, "vec_id").select("vec_id", "n_links", "component_id", "kept", "copies_id")

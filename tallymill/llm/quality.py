@@ -167,8 +167,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list:
         return []
     share = min(SHARES, SHARES * most // n + 1)
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) < share).orderBy(F.xxhash64("doc_id"), "quality").limit(int(1.5 * most))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").select("text", "quality").collect()
-    return sorted(map(tuple, rows))[: int(1.5 * most)]
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").select("text", "quality")
+    return sorted(map(tuple, rows.orderBy(F.xxhash64("text"), "quality").limit(int(1.5 * most)).collect()))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Voters | None:

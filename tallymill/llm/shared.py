@@ -177,21 +177,21 @@ def by_unit(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.Record
 
 
 def grouped(rows: DataFrame, linked: DataFrame, id_column: str) -> DataFrame:
-    """Rows (id, key) with their groups: class_id, n_links, component_id, kept are added and ``key`` is left.
+    """Rows (id, key) with their groups: copies_id, n_links, component_id, kept are added and ``key`` is left.
 
     ``linked`` has for keys with links: key, links (rows of other keys linked), component (a key). Rows of one key are
-    linked with each other. Rows without a key are alone. Ids of classes and components are the smallest of their rows.
+    linked with each other. Rows without a key are alone. Ids of copies and components are the smallest of their rows.
     """
-    ids = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(id_column).alias("class_id"))
-    ids = ids.join(linked, "key", "left").select("key", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("component"))
+    ids = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(id_column).alias("copies_id"))
+    ids = ids.join(linked, "key", "left").select("key", "copies", "copies_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("component"))
     ids = materialise(ids, "ids")
-    ids = ids.join(ids.groupBy("component").agg(F.min("class_id").alias("component_id")), "component")
+    ids = ids.join(ids.groupBy("component").agg(F.min("copies_id").alias("component_id")), "component")
     found = rows.join(ids.drop("component"), "key", "left")
     alone = F.col("key").isNull()
     component = F.when(alone, F.col(id_column)).otherwise(F.col("component_id"))
     return found.select(
         *rows.columns,
-        F.when(alone, F.col(id_column)).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col(id_column)).otherwise(F.col("copies_id")).alias("copies_id"),
         F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.col(id_column).eqNullSafe(component).alias("kept"),

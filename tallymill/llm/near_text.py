@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_unit, components, grouped, in_units, local_forest, materialise, mix64, slices, small_batches, text_bytes, word_hashes
+from .shared import broadcast_if_small, by_unit, components, grouped, in_units, local_forest, materialise, mix64, slices, small_batches, text_bytes, word_hashes
 
 N = 5
 SIMILARITY = 0.8
@@ -212,7 +212,7 @@ def _linked(docs: DataFrame, n: int, similarity: float, recall: float, most_hash
     # 3: verify within families
     sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     wanted = families.join(sizes, "component").join(classes.select(F.col("key").alias("node"), "copies", "row_hash"), "node").withColumnRenamed("node", "key")
-    fetched = base.select("row_hash", "text").join(wanted, "row_hash").select("key", "copies", "component", "size", "text").mapInArrow(_grams(n), "key long, copies long, component long, size long, grams binary")
+    fetched = base.select("row_hash", "text").join(broadcast_if_small(materialise(wanted, "wanted")), "row_hash").select("key", "copies", "component", "size", "text").mapInArrow(_grams(n), "key long, copies long, component long, size long, grams binary")
     dealt = in_units(fetched, "component", F.col("size"))
     verified = dealt.select("unit", "component", "_low", "_high", "mine", "key", "copies", "grams").mapInArrow(_verify(similarity), "key long, links long, root long")
     verified = materialise(verified, "verified")
@@ -237,9 +237,12 @@ def one_of_each(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, rec
     """The documents, with all their columns, one of each component: that with the smallest doc_id."""
     found = materialise(_labelled(docs, n, similarity, recall, most_hashes), "labelled")
     counts = found.groupBy("row_hash").agg(F.count(F.lit(1)).alias("_rows"), F.min("kept").alias("_kept"))
-    special = counts.where("_rows > 1 or not _kept")  # the rows that go, and those that are there more than once
-    marked = docs.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(special.withColumnRenamed("row_hash", "_hash"), "_hash", "left")
-    once = marked.where("_rows is null")
-    repeated = marked.where("_rows > 1 and _kept and text is not null and text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").dropDuplicates(["_hash"])
-    blank = marked.where("_rows > 1 and _kept and not coalesce(text rlike '[^\\\\x20\\\\x09-\\\\x0D]', false)")
-    return once.unionByName(repeated).unionByName(blank).select(*docs.columns)
+    special = materialise(counts.where("_rows > 1 or not _kept").withColumnRenamed("row_hash", "_hash"), "special")
+    hashed = docs.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    once = hashed.join(broadcast_if_small(special.select("_hash")), "_hash", "left_anti")
+    repeated = special.where("_rows > 1 and _kept").select("_hash")  # equal rows, ids included
+    if repeated.isEmpty():
+        return once.select(*docs.columns)
+    again = hashed.join(broadcast_if_small(repeated), "_hash", "left_semi")
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return once.unionByName(again.where(wordy).dropDuplicates(["_hash"])).unionByName(again.where(~wordy)).select(*docs.columns)

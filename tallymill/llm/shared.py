@@ -38,6 +38,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids and a few numbers, some 8 MB, that may be broadcast; beyond that a join shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(written: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of ids that was written before, marked for broadcast if a count shows that it has no more than ``rows`` rows."""
+    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Arrow batches hold at most ``rows`` rows, so that long texts don't fill a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

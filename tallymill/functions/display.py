@@ -36,7 +36,8 @@ def coerced_lane(raw: Column) -> Column:
 
 def confidence(raw: Column) -> Column:
     """0 to 1; what can't be read is 0."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw.try_cast("double"))), F.lit(0.0))
+    value = raw.try_cast("double")
+    return F.when(value.isNull() | F.isnan(value), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def client(forwarded: Column, peer: Column, hops: int = 1) -> Column:

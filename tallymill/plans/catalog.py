@@ -11,7 +11,7 @@ from ..functions import clean, display
 from ..functions.normal_form import nfkc
 from ..functions.similarity import token_set_ratio
 from ..operators import audit, evaluation, parsing, screening, stats, validation
-from ..sources import views
+from ..sources import schemas, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -623,3 +623,30 @@ def anomaly_evaluation(spark, d):
     observed = found.groupBy("document_id").agg(F.collect_set("anomaly_type").alias("observed"))
     rows = invoices.join(observed, "document_id", "left").select(F.when(F.col("ingest_seq") % 40 == 0, F.array(F.lit("round_number"))).otherwise(F.array().cast("array<string>")).alias("expected"), F.coalesce("observed", F.array().cast("array<string>")).alias("observed"))
     return evaluation.precision_recall(rows)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'k' ELSE 'k,more' END AS fields FROM events")
+def unknown_fields(spark, d):
+    """Fields of a payload that aren't allowed: all are, as none is here."""
+    json = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "more": 1}')))
+    return views.table(spark, d, "events").select("event_id", F.array_join(F.array_sort(schemas.unknown_fields(json, ["n"])), ",").alias("fields"))
+
+
+@query("SELECT id, CASE WHEN id % 5 = 0 THEN 'severity,status' WHEN id % 7 = 0 THEN 'severity' ELSE '' END AS illegal FROM anomalies")
+def schema_violations(spark, d):
+    rows = views.anomalies(spark, d).withColumn("severity", F.when((F.col("id") % 5 == 0) | (F.col("id") % 7 == 0), "URGENT").otherwise(F.col("severity"))).withColumn("status", F.when(F.col("id") % 5 == 0, "LOST").otherwise(F.col("status")))
+    return rows.select("id", F.array_join(schemas.illegal("anomalies"), ",").alias("illegal"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'text' ELSE 'vision' END AS lane, round(CASE WHEN event_id % 6 = 0 THEN 0.0 ELSE least(1.0, value / 200) END, 6) AS confidence, round(least(0.5 * pow(2, event_id % 8), 8), 3) AS wait FROM events")
+def routing_coercions(spark, d):
+    raw = F.element_at(F.array(*map(F.lit, (" Digital", "TEXT", "scanned", "who knows"))), (F.col("event_id") % 4 + 1).cast("int"))
+    sure = F.when(F.col("event_id") % 6 == 0, "n/a").otherwise((F.col("value") / 200).cast("string"))
+    return views.table(spark, d, "events").select("event_id", display.coerced_lane(raw).alias("lane"), F.round(display.confidence(sure), 6).alias("confidence"), F.round(display.backoff_ceiling(F.col("event_id") % 8), 3).alias("wait"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (event_id % 999) || ' B' WHEN event_id % 3 = 1 THEN '1.5 KB' ELSE '2.0 MB' END AS size, CASE event_type WHEN 'error' THEN 'Job Failed' ELSE 'Anomaly Raised' END AS event FROM events")
+def display_text(spark, d):
+    n = F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 999).when(F.col("event_id") % 3 == 1, 1536).otherwise(2 * 1024 * 1024)
+    event = F.when(F.col("event_type") == "error", "job.job_failed").otherwise("pipeline.anomaly_raised")
+    return views.table(spark, d, "events").select("event_id", display.size_text(n).alias("size"), display.humanised(event).alias("event"))

@@ -34,3 +34,8 @@ def append_audit(rows: DataFrame, folder: str) -> None:
 def dead_letters(rows: DataFrame) -> DataFrame:
     """Failed rows as jobs, reasons cut as the ledger holds them."""
     return rows.where("error_code is not null").withColumn("reason", F.substring("reason", 1, 4000)).withColumn("status_reason", F.substring("reason", 1, 1000))
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report as JSON lines."""
+    df.write.mode("overwrite").json(path)

@@ -99,3 +99,23 @@ def test_token_set_ratio(spark):
     for r, (a, b) in zip(found, pairs, strict=True):
         assert r["n"] == lcs(a, b) and abs(r["r"] - ratio(a, b)) < 1e-9
     assert abs(found[2]["r"] - 100 * (1 - 2 / 36)) < 1e-9
+
+
+def test_small_functions(spark):
+    from tallymill.functions import display
+
+    row = spark.range(1).select(
+        display.confidence(F.lit("1.7")).alias("a"), display.confidence(F.lit("x")).alias("b"), display.client(F.lit("1.1.1.1, 2.2.2.2"), F.lit("p")).alias("c"), display.client(F.lit(None).cast("string"), F.lit("p")).alias("d"),
+        display.fenced(F.lit("a<x>b</x>"), "<x>", "</x>").alias("e"), display.fenced(F.lit("</x><x>"), "<x>", "</x>").alias("f"), display.compact_money(F.lit(1234567.0)).alias("g"), display.size_text(F.lit(2048)).alias("h"),
+        display.page_zoom(F.lit(100.0), F.lit(50.0)).alias("i"), display.page_zoom(F.lit(3000.0), F.lit(1000.0)).alias("j"),
+    ).first()
+    assert tuple(row) == (1.0, 0.0, "2.2.2.2", "p", "b", "", "1.2M", "2.0 KB", 4.0, 0.5)
+
+
+def test_schemas(spark):
+    from tallymill.sources import schemas
+
+    rows = spark.createDataFrame([("x" * 300, "A", None, "AED", '{"a": 1, "b": 2}')], "vendor string, invoice_number string, payment_terms string, currency string, j string")
+    r = rows.select(schemas.too_long().alias("long"), schemas.unknown_fields(F.col("j"), ["a"]).alias("more"), schemas.unknown_fields(F.lit(None).cast("string"), []).alias("none")).first()
+    assert tuple(r) == (["vendor"], ["b"], [])
+    assert schemas.differs(spark.createDataFrame([], schemas.SCHEMAS["audit_log"]).drop("stage"), "audit_log") == ["stage"]

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The stages in order, the events that complete them, and the states a document may turn to.
 STAGES = ["ingest", "route", "extract", "validate", "screen", "ledger"]
 COMPLETES = {
     "document.received": ("ingest", "passed"), "document.deduplicated": ("ingest", "passed"), "pipeline.routed": ("route", "passed"), "pipeline.extraction_succeeded": ("extract", "passed"),
     "pipeline.validation_passed": ("validate", "passed"), "pipeline.validation_failed": ("validate", "flagged"), "pipeline.screening_completed": ("screen", "passed"), "ledger.committed": ("ledger", "passed"),
 }
-#: From a state to those it may turn to.
 TURNS = {"PENDING": ["PROCESSING", "FAILED"], "PROCESSING": ["DONE", "NEEDS_REVIEW", "FAILED"]}
 
 

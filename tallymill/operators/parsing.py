@@ -13,6 +13,7 @@ KIND_HINTS = {
     "receipt": ["receipt", "paid in full", "payment received", "change due"],
     "invoice": ["invoice", "bill to", "due date", "vat", "subtotal", "amount due"],
 }
+# How labelled fields, amounts, tables and numbers look.
 LABEL = {
     "invoice_number": r"(?i)(?:invoice|inv|bill|ref(?:erence)?)[ \t]*(?:no\.?|number|#)?[ \t]*[:#][ \t]*(?=[A-Z0-9\-/_]*\d)([A-Z0-9][A-Z0-9\-/_]{2,30})",
     "issue_date": r"(?i)(?:invoice\s*date|issue\s*date|issued(?:\s*on)?)\s*[:#]?\s*([0-9]{1,4}[-/. ][A-Za-z0-9]{1,9}[-/. ][0-9]{2,4}|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4})",

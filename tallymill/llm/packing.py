@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise, slices, small_batches
+from .token_ids import REMEMBERED
 
 LENGTH = 2048
 MAX_QUEUES = 64
@@ -46,7 +47,7 @@ def muldiv(a: np.ndarray, b: int, c: int) -> np.ndarray:
     return q + rest // np.int64(c)
 
 
-def _encode(tokenizer: str, end: int):
+def _encode(tokenizer: str, end: int, remembered: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -54,7 +55,7 @@ def _encode(tokenizer: str, end: int):
 
         part, given, seq = TaskContext.get().partitionId(), {}, 0
         for batch in slices(batches, 128):
-            codes = encoder(tokenizer)
+            codes = encoder(tokenizer, remembered)
             width = 2 if max(codes.library.get_vocab_size(True) - 1, end) < 2**16 else 4
             ids, sizes = codes.encode(batch.column("text").to_pylist(), end)
             before = []
@@ -113,14 +114,10 @@ def cut(queue: np.ndarray, first: np.ndarray, n: np.ndarray, totals: list[int],
     doc = np.concatenate([doc, doc[over]])
     lo = np.concatenate([lo, lo[over] + head])
     place = np.concatenate([place, place[over] + head])
-    size = np.concatenate([np.where(over, 0, size) if not over.any() else _headed(size, over, head), size[over] - head])
-    return doc, lo - first[doc], size, place
-
-
-def _headed(size: np.ndarray, over: np.ndarray, head: np.ndarray) -> np.ndarray:
-    size = size.copy()
+    tail = size[over] - head
     size[over] = head
-    return size
+    size = np.concatenate([size, tail])
+    return doc, lo - first[doc], size, place
 
 
 def _round_of(j: np.ndarray, total: int, everything: int, length: int) -> np.ndarray:
@@ -149,11 +146,14 @@ def _pieces(totals: list[int], length: int):
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 1, length: int = LENGTH, max_queues: int = MAX_QUEUES) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
+def pack(docs: DataFrame, tokenizer: str, end: int = 1, length: int = LENGTH, max_queues: int = MAX_QUEUES, remembered: int = REMEMBERED) -> DataFrame:
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
+
+    ``remembered`` bounds the words that a worker remembers: more are faster and take more of its memory.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    coded = materialise(rows.mapInArrow(_encode(tokenizer, end), ENCODED), "encoded")
+    coded = materialise(rows.mapInArrow(_encode(tokenizer, end, remembered), ENCODED), "encoded")
     sums = materialise(coded.groupBy("source", "part").agg(F.sum("doc_tokens").alias("tokens")), "sums")
     per_source = sums.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     largest = per_source.orderBy(F.col("tokens").desc(), F.col("source").asc_nulls_last()).limit(max_queues).collect()

@@ -152,7 +152,7 @@ class WordEncoder:
         return ids, sizes
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, remembered: int = REMEMBERED) -> WordEncoder:
     """One encoder for each Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, remembered)

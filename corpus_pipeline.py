@@ -15,6 +15,8 @@ from tallymill.llm import language_id, mixing, near_text, packing, quality
 from tallymill.llm.shared import shared_dir, table
 
 TOKENIZER = "word_bpe_49k.json"
+#: Executors hold what the stages before left in them, so packing remembers fewer words here.
+REMEMBERED = 120_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), remembered=REMEMBERED)
 
 
 STAGES = [

@@ -14,6 +14,7 @@ Repeated rows get equal labels. An empty table gives no rows. Extra columns are
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,27 +181,25 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> t
     return out, of
 
 
-def sample(docs: DataFrame, per_language: int = SAMPLE, span: int = SPAN) -> list:
-    """Rows (lang, part of a text) to learn from, about ``per_language`` of each language at most."""
+def sample(docs: DataFrame, per_language: int = SAMPLE, span: int = SPAN) -> DataFrame | None:
+    """Rows (lang, text: part of a text) to learn from, about ``per_language`` of each language at most."""
     learn = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = learn.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
-        return []
+        return None
     share = F.lit(0)
     for row in counts:
         share = F.when(F.col("lang") == row["lang"], F.lit(min(SHARES, int(SHARES * per_language / row["count"]) + 1))).otherwise(share)
     hashed = F.xxhash64("text")
     place = 1 + F.pmod(F.shiftright(hashed, 20), F.greatest(F.length("text") - span, F.lit(1)))
     rows = learn.where(F.pmod(hashed, F.lit(SHARES)) < share).select("lang", F.substring("text", place.cast("int"), F.lit(span)).alias("text"))
-    return sorted(map(tuple, rows.distinct().collect()))  # copies of one text, however many, are one row
+    return rows.distinct()  # copies of one text, however many, are one row
 
 
-def train(docs: DataFrame, window: int = WINDOW, hidden: int = HIDDEN, steps: int = 260) -> tuple[list[str], ByteGru | None]:
-    """The languages, by code point, and a network that tells them."""
-    rows = sample(docs)
+def fit(rows: list[tuple[str, str]], window: int = WINDOW, hidden: int = HIDDEN, steps: int = 260) -> tuple[list[str], ByteGru]:
+    """The languages of rows (lang, text), by code point, and a network that tells them; the same whatever the rows' order."""
+    rows = sorted(rows)
     languages = sorted({r[0] for r in rows})
-    if not languages:
-        return [], None
     raw = [t.encode() for _, t in rows]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
     windows, of = windows_of(np.frombuffer(b"".join(raw), np.uint8), offsets, window)
@@ -211,6 +210,21 @@ def train(docs: DataFrame, window: int = WINDOW, hidden: int = HIDDEN, steps: in
     return languages, model
 
 
+def train(docs: DataFrame, window: int = WINDOW, hidden: int = HIDDEN, steps: int = 260) -> tuple[list[str], ByteGru | None]:
+    """Learn from the sample of ``docs``, which is bounded, in one task: workers, unlike drivers, give numpy one thread, which such small products want."""
+    rows = sample(docs)
+    if rows is None:
+        return [], None
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True)]
+        if held:
+            yield pa.record_batch([pa.array([pickle.dumps(fit(held, window, hidden, steps))], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else ([], None)
+
+
 #: Windows that run in step; enough to make numpy's own work small, little enough for a core's cache.
 LANES = 1536
 

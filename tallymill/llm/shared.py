@@ -229,45 +229,65 @@ def local_forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             root = up
 
 
+def _forest(t: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of edges (src, dst): names of the nodes, and by rank a node's place among the names and the rank of its root."""
+    both = pa.concat_arrays([t.column("src"), t.column("dst")]).dictionary_encode()
+    code, names = both.indices.to_numpy(), both.dictionary
+    order = pc.array_sort_indices(names).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    k = rank[code]
+    return names, order, local_forest(k[: t.num_rows], k[t.num_rows :], len(order))
+
+
 def _contract(batches):
-    """Replace a partition's edges by a star for each of their components: no more rows than distinct nodes."""
+    """Replace a batch's edges by a star for each of their components: no more rows than distinct nodes."""
     for batch in batches:
         t = batch.filter(pc.invert(pc.equal(batch.column("src"), batch.column("dst"))))
         if t.num_rows == 0:
             continue
-        both = pa.concat_arrays([t.column("src"), t.column("dst")]).dictionary_encode()
-        code, names = both.indices.to_numpy(), both.dictionary
-        order = pc.array_sort_indices(names).to_numpy()
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        k = rank[code]
-        root = local_forest(k[: t.num_rows], k[t.num_rows :], len(order))
+        names, order, root = _forest(t)
         node = np.flatnonzero(root != np.arange(len(root)))
         yield pa.record_batch([names.take(pa.array(order[node])), names.take(pa.array(order[root[node]]))], names=["src", "dst"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _settle(batches):
+    """The nodes of all of a partition's edges with the roots of their components."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        names, order, root = _forest(pa.concat_batches(held))
+        yield pa.record_batch([names.take(pa.array(order)), names.take(pa.array(order[root]))], names=["node", "component"])
+
+
+def components(edges: DataFrame, one_task: int = BROADCAST_ROWS) -> DataFrame:
     """Connected components of ``edges`` (src, dst, of one orderable type): (node, component), component being the least node reachable.
 
-    Nodes without edges don't appear. Each partition first contracts its edges to stars. Then labels
-    spread over edges, and jump along themselves, until no label changes; each round's labels are a
-    table in the shared folder. Rounds grow with the logarithm of a component's width, as labels jump.
+    Nodes without edges don't appear. Each batch first contracts its edges to stars. While more than ``one_task`` edges
+    are left, a round hooks each node to the least of itself and its neighbours, jumps along the hooks until all point to
+    roots, and goes on with the edges between roots; fewer edges are settled in one task. A root that takes no other
+    node in a round has neighbours that went to lesser roots, so the next round hooks it: two rounds at least halve the
+    nodes with edges, and a round jumps as often as the logarithm of its deepest tree. Rounds have no limit.
     """
-    spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     edges = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst")
-    edges = edges.mapInArrow(_contract, f"src {kind}, dst {kind}")
-    edges = materialise(edges.distinct(), "edges")
-    both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("component"))
-    labels = materialise(labels, "labels")
-    for _ in range(most_rounds):
-        heard = both.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("heard"))
-        spread = labels.join(heard, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("heard", "component")).alias("component"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        jumped = spread.join(up, "component", "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component"))
-        found = materialise(jumped, "labels")
-        labels = found.select("node", "component")
-        if found.where("component <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"components: no rest after {most_rounds} rounds")
+    levels = []
+    while True:
+        edges = materialise(edges.mapInArrow(_contract, f"src {kind}, dst {kind}").distinct(), "edges")
+        if edges.limit(one_task + 1).count() <= one_task:
+            labels = materialise(edges.coalesce(1).mapInArrow(_settle, f"node {kind}, component {kind}"), "labels")
+            break
+        both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        labels = materialise(both.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("component")), "labels")
+        while True:
+            up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
+            found = materialise(labels.join(up, "component").select("node", F.col("component").alias("old"), F.col("up").alias("component")), "labels")
+            labels = found.select("node", "component")
+            if found.where("component <> old").isEmpty():
+                break
+        levels.append(labels)
+        src, dst = (labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root")) for c in ("src", "dst"))
+        edges = edges.join(src, "src").join(dst, "dst").select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst")).where("src <> dst")
+    for level in reversed(levels):
+        further = labels.select(F.col("node").alias("component"), F.col("component").alias("last"))
+        labels = materialise(level.join(further, "component", "left").select("node", F.coalesce("last", "component").alias("component")), "labels")
+    return labels

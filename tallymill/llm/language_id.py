@@ -4,8 +4,8 @@ A text is cut into windows of ``WINDOW`` bytes, its last one shorter. One networ
 backwards; at every byte both states give the probabilities of the languages. A document's probabilities
 are the mean over all its bytes. Nothing of a text is left out.
 
-Learning: from documents that aren't held out and whose lang isn't null: of each language some ``SAMPLE`` texts
-by their hash (a bound on the sample, not on what is labelled), of each a span of at most ``SPAN`` characters at a place the hash
+Learning: from documents that aren't held out and whose lang isn't null: of each language some ``SAMPLE`` distinct texts
+(fewer if there are more than ``MANY`` languages) by their hash (a bound on the sample, not on what is labelled), of each a span of at most ``SPAN`` characters at a place the hash
 gives, windows of all languages alike often. The weights are the same at every run over the same rows.
 
 Cases: lang_pred is "und", score 0, if a text is null or has no letter, or if there is nothing to learn from.
@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, small_batches, text_bytes
+from .shared import broadcast_if_small, held_out, materialise, small_batches, text_bytes
 
 WINDOW = 96
 HIDDEN = 12
 SAMPLE = 1200
 SPAN = 480
-MOST_LANGUAGES = 64
+#: With more languages than these each has a smaller sample, of LEAST texts at least; no language is left out.
+MANY, LEAST = 64, 120
 SHARES = 1 << 20
 
 
@@ -182,17 +183,19 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> t
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE, span: int = SPAN) -> DataFrame | None:
-    """Rows (lang, text: part of a text) to learn from, about ``per_language`` of each language at most."""
-    learn = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = learn.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return None
-    share = F.lit(0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], F.lit(min(SHARES, int(SHARES * per_language / row["count"]) + 1))).otherwise(share)
+    """Rows (lang, text: part of a text) to learn from, about ``per_language`` distinct texts of each language at most, and at least that with the least hash."""
     hashed = F.xxhash64("text")
-    place = 1 + F.pmod(F.shiftright(hashed, 20), F.greatest(F.length("text") - span, F.lit(1)))
-    rows = learn.where(F.pmod(hashed, F.lit(SHARES)) < share).select("lang", F.substring("text", place.cast("int"), F.lit(span)).alias("text"))
+    learn = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", hashed.alias("hash"), F.pmod(hashed, F.lit(SHARES)).alias("nth"))
+    texts = learn.select("lang", "hash", "nth").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.min("nth").alias("least"))
+    texts = materialise(texts, "languages")
+    n = texts.count()
+    if not n:
+        return None
+    each = min(per_language, max(LEAST, per_language * MANY // n))
+    share = F.greatest(F.least(F.lit(SHARES), F.floor(F.lit(SHARES * each) / F.col("texts")) + 1), F.col("least") + 1)
+    shares = broadcast_if_small(texts.select("lang", share.alias("share")))
+    place = 1 + F.pmod(F.shiftright("hash", 20), F.greatest(F.length("text") - span, F.lit(1)))
+    rows = learn.join(shares, "lang").where("nth < share").select("lang", F.substring("text", place.cast("int"), F.lit(span)).alias("text"))
     return rows.distinct()  # copies of one text, however many, are one row
 
 
@@ -203,7 +206,8 @@ def fit(rows: list[tuple[str, str]], window: int = WINDOW, hidden: int = HIDDEN,
     raw = [t.encode() for _, t in rows]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
     windows, of = windows_of(np.frombuffer(b"".join(raw), np.uint8), offsets, window)
-    label = np.array([languages.index(rows[i][0]) for i in of.tolist()])
+    number = {lang: k for k, lang in enumerate(languages)}
+    label = np.array([number[rows[i][0]] for i in of.tolist()])
     model = ByteGru(len(languages), hidden)
     if len(languages) > 1 and len(windows):
         model.fit(windows, label, steps)

@@ -90,3 +90,16 @@ def test_odd_rows(spark, odd_docs):
     assert {r["lang_pred"] for r in language_id.language_id(odd_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = language_id.known(odd_docs)
     assert kept.columns == odd_docs.columns
+
+
+def test_every_language_is_learned(make_docs):
+    docs = make_docs([(9 * k + i, f"text {i} of number {k}", f"l{k}", "s") for k in range(70) for i in range(9)])
+    assert {r["lang"] for r in language_id.sample(docs).collect()} == {f"l{k}" for k in range(70)}
+    assert len(language_id.train(docs, steps=1)[0]) == 70
+
+
+def test_copies_take_no_place_in_the_sample(make_docs):
+    rows = [(i, "one text, copied", "en", "s") for i in range(2000)] + [(2000 + i, f"text {i} of its own", "en", "s") for i in range(300)]
+    rows += [(3000 + i, f"this is text {i % 2} of two", "de", "s") for i in range(2000)]
+    found = [r["lang"] for r in language_id.sample(make_docs(rows), per_language=20).collect()]
+    assert 10 <= found.count("en") <= 40 and found.count("de") == 2

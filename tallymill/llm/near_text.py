@@ -6,15 +6,14 @@ if the Jaccard similarity of their sets is ``SIMILARITY`` or more.
 
 1. One pass over whole texts gives each document's 64-bit hash of its n-gram set, ``bands`` hashes of
    ``rows`` minima each, and one byte of every minimum. ``choose_bands`` picks the numbers for the target recall.
-2. Classes are shuffled on their band hashes. Within a bucket, classes whose bytes agree at fewer than
-   ``LOOSE`` of the places are told apart (pairs at the threshold lie some eight standard deviations above that); what is
-   left of a bucket's pairs is emitted as a spanning forest, at most one row a class.
-3. Components of these forests are families; only their texts are read again. Within a family all pairs are
-   verified on their full n-gram sets, and counted.
+2. Classes are shuffled on their band hashes. Within a bucket, classes whose bytes agree at fewer places than
+   ``loose_agreement`` allows (eight standard deviations below the threshold) are told apart: ``families_of`` connects all others.
+3. Only the families' texts are read again. Within a family all pairs are verified on their full n-gram sets, and counted.
 
-No group meets in one task: buckets and families of more than ``shared.BLOCK`` classes are cut into blocks, and each pair of
-blocks is a unit of its own. Pairs are counted within units and never emitted, so results are linear in
-the documents; no link is dropped. N-grams are compared by 64-bit hashes.
+No group meets in one task: large buckets and families are cut into blocks of some ``shared.BLOCK`` classes and ``shared.BLOCK_BYTES``.
+Pairs are counted where two blocks meet and never emitted: edges are linear in the classes, and what is dealt is
+a row for each two blocks. The comparing itself is quadratic in a family's distinct classes, since every link counts. No
+link is dropped. N-grams are compared by 64-bit hashes.
 
 Cases: documents without a word (null, empty or blank) link with nothing. Rows with one doc_id are documents of their own; a group's id
 is its smallest doc_id. An empty table gives no rows. Extra columns are left out by ``link`` and kept by ``one_of_each``.
@@ -31,13 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, by_unit, components, grouped, in_units, local_forest, materialise, mix64, slices, small_batches, text_bytes, word_hashes
+from . import shared
+from .shared import Forest, batches_of, broadcast_if_small, components, count_links, grouped, materialise, mix64, runs, slices, small_batches, text_bytes, touching, word_hashes
 
 N = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
-LOOSE = 0.5
 SEED = 20_240_501
 
 
@@ -54,19 +53,23 @@ def choose_bands(similarity: float, recall: float, most_hashes: int) -> tuple[in
     return best
 
 
-def shingles(text: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of each text's n-grams (with repeats), and the offsets of each text's."""
+def shingles(text: pa.Array, n: int = N, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each text's n-grams (with repeats), and the offsets of each text's; ``step`` n-grams at a time."""
     data, offsets = text_bytes(pc.utf8_lower(text))
     words, bounds = word_hashes(data, offsets)
     count = np.diff(bounds)
     grams = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     ends = np.concatenate([[0], np.cumsum(grams)])
-    first = np.repeat(bounds[:-1] - ends[:-1], grams) + np.arange(ends[-1])
+    out = np.zeros(ends[-1], np.uint64)
     padded = np.concatenate([words, np.zeros(n, np.uint64)])
-    out = np.zeros(len(first), np.uint64)
-    length = np.minimum(np.repeat(count, grams), n)
-    for k in range(n):
-        out = mix64(out + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1) + np.where(k < length, padded[first + k], np.uint64(0)))
+    salts = np.array([0x9E3779B97F4A7C15 * (k + 1) % 2**64 for k in range(n)], np.uint64)
+    for at in range(0, len(out), step):
+        place = np.arange(at, min(at + step, len(out)))
+        of = np.searchsorted(ends, place, side="right") - 1
+        first, length = bounds[of] + place - ends[of], np.minimum(count[of], n)
+        own = out[at : at + step]
+        for k in range(n):
+            own[:] = mix64(own + salts[k] + np.where(k < length, padded[first + k], np.uint64(0)))
     return out, ends
 
 
@@ -84,7 +87,7 @@ def sign(text: pa.Array, bands: int, rows: int, n: int = N) -> tuple[np.ndarray,
         if b > a:
             own = np.unique(grams[a:b])
             size[i] = len(own)
-            key[i] = own.sum() + mix64(own).sum() * np.uint64(3)
+            key[i] = (int(own.sum()) + 3 * int(mix64(own).sum())) % 2**64
     key = mix64(key ^ mix64(size.astype(np.uint64)))
     some = np.flatnonzero(size > 0)
     minima = np.zeros((bands * rows, texts), np.uint32)
@@ -109,7 +112,7 @@ def sign(text: pa.Array, bands: int, rows: int, n: int = N) -> tuple[np.ndarray,
 
 def _signer(bands: int, rows: int, n: int):
     def signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 128, "text"):
             key, size, band, seen = sign(batch.column("text"), bands, rows, n)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * bands), pa.array(band.ravel().view(np.int64)))
             yield pa.record_batch([batch.column("doc_id"), batch.column("row_hash"), pa.array(key.view(np.int64)), pa.array(size), lists, pa.array([r.tobytes() for r in seen], pa.binary())], names=["doc_id", "row_hash", "key", "grams", "bands", "seen"])
@@ -117,77 +120,157 @@ def _signer(bands: int, rows: int, n: int):
     return signer
 
 
-def _edges(key: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the pairs ``near``: keys and the keys of their centres."""
-    a, b = np.nonzero(near)
-    root = local_forest(a, b, len(key))
-    own = np.flatnonzero(root != np.arange(len(key)))
-    return key[own], key[root[own]]
-
-
-def _loosely(loose: float):
-    def loosely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_unit(batches, "band"):
-            key = t.column("key").to_numpy()
-            seen = np.frombuffer(b"".join(t.column("seen").to_pylist()), np.uint8).reshape(len(key), -1)
-            near = np.zeros((len(key), len(key)), bool)
-            for i in range(len(key) - 1):
-                near[i, i + 1 :] = (seen[i + 1 :] == seen[i]).mean(axis=1) >= loose
-            src, dst = _edges(key, near)
-            if len(src):
-                yield pa.record_batch([pa.array(src), pa.array(dst)], names=["src", "dst"])
-
-    return loosely
-
-
-def intersections(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
-    """Sizes of all sets' intersections, by products of blocks of their membership table; n-grams of one set only are left out."""
-    m = len(sets)
-    every = np.concatenate(sets)
-    of = np.repeat(np.arange(m), [len(s) for s in sets])
-    _, code, count = np.unique(every, return_inverse=True, return_counts=True)
-    shared = count[code] > 1
-    code, of = code[shared], of[shared]
-    _, code = np.unique(code, return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    code, of = code[order], of[order]
-    out = np.zeros((m, m), np.float32)
-    n = int(code[-1]) + 1 if len(code) else 0
+def loose_agreement(similarity: float, hashes: int) -> float:
+    """The share of agreeing minima that a pair at ``similarity`` reaches but for eight standard deviations."""
+    return max(0.0, similarity - 8 * math.sqrt(similarity * (1 - similarity) / hashes))
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _near_centre(loose: float):
+    def near_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = (_bytes(batch.column("seen")) == _bytes(batch.column("centre_seen"))).mean(axis=1) >= loose
+                yield batch.select(["key", "centre"]).rename_columns(["src", "dst"]).filter(pa.array(near))
+
+    return near_centre
+
+
+def _bucket_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block of a bucket: its classes' families and bytes."""
+    for t in runs(batches, ("band", "out", "block")):
+        yield pa.record_batch([t.column(c)[:1] for c in ("band", "out", "block", "tops", "outs")] + [pa.array([t.column("family").to_numpy()], pa.list_(pa.int64())), pa.array([_bytes(t.column("seen")).tobytes()], pa.binary())], names=["band", "out", "block", "tops", "outs", "families", "seen"])
+
+
+def _across(loose: float):
+    """Edges between families that hold loosely agreeing classes; rows are blocks dealt to targets, the target's own block first."""
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                target = tuple(batch.column(c)[i].as_py() for c in ("band", "target_out", "target"))
+                own = batch.column("own")[i].as_py()
+                family = batch.column("families")[i].values.to_numpy()
+                seen = np.frombuffer(batch.column("seen")[i].as_buffer(), np.uint8).reshape(len(family), -1)
+                if own:
+                    held = (target, family, seen, Forest())
+                    if not target[1]:
+                        continue  # the commonest family's classes need no comparison among themselves
+                if held is None or held[0] != target:
+                    continue  # no class was dealt to that block
+                _, mine, mine_seen, forest = held
+                near = np.zeros((len(mine), len(family)), bool)
+                for k in range(len(mine)):
+                    other = np.flatnonzero(family != mine[k])
+                    near[k, other] = (seen[other] == mine_seen[k]).mean(axis=1) >= loose
+                edges = [e for e in touching(near, mine, family) if forest.join(*e)]
+                if edges:
+                    yield pa.record_batch([pa.array(c) for c in zip(*edges, strict=True)], names=["src", "dst"])
+
+    return across
+
+
+def families_of(classes: DataFrame, loose: float) -> DataFrame:
+    """(node, component): classes (key, bands, seen) connected by pairs of one bucket that agree at a share ``loose`` of their minima at least.
+
+    First each class is held against its bucket's centre, the least key: one row a class and band. Then only buckets where some
+    classes belong to other families than most do are looked at again: these others, in blocks, are held against all of the bucket.
+    """
+    memberships = classes.select("key", F.explode("bands").alias("band"))
+    buckets = memberships.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("centre")).where("m > 1")
+    crowded = memberships.join(buckets, "band").join(classes.select("key", "seen"), "key")
+    centres = classes.select(F.col("key").alias("centre"), F.col("seen").alias("centre_seen"))
+    crowded = materialise(crowded.select("band", "m", "centre", "key", "seen"), "crowded")
+    stars = crowded.where("key <> centre").join(centres, "centre").select("key", "centre", "seen", "centre_seen")
+    families = components(stars.mapInArrow(_near_centre(loose), "src long, dst long"))
+    # classes that their bucket's commonest family doesn't hold
+    told = crowded.where("m > 2").join(families.withColumnRenamed("node", "key"), "key", "left").withColumn("family", F.coalesce("component", "key"))
+    common = told.groupBy("band", "family").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("family", F.struct("n", "family")).alias("top"), F.max("n").alias("tops"), (F.sum("n") - F.max("n")).alias("outs"))
+    mixed = told.join(common.where("outs > 0"), "band").withColumn("out", F.col("family") != F.col("top"))
+    blocks = F.ceil(F.when(F.col("out"), F.col("outs")).otherwise(F.col("tops")) / shared.BLOCK).cast("int")
+    mixed = mixed.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), blocks).cast("int")).select("band", "out", "block", "tops", "outs", "family", "seen")
+    dealt = mixed.repartition("band", "out", "block").sortWithinPartitions("band", "out", "block")
+    rows = materialise(dealt.mapInArrow(_bucket_blocks, "band long, out boolean, block int, tops long, outs long, families array<long>, seen binary"), "blocks")
+    numbers = lambda n: F.transform(F.sequence(F.lit(0), F.ceil(F.col(n) / shared.BLOCK).cast("int") - 1), lambda k: F.struct(F.lit(n == "outs").alias("out"), k.alias("block")))
+    targets = F.when(F.col("out"), F.concat(numbers("tops"), numbers("outs"))).otherwise(F.array(F.struct("out", "block")))
+    spread = rows.withColumn("at", F.explode(targets)).select("band", F.col("at.out").alias("target_out"), F.col("at.block").alias("target"), ((F.col("at.out") == F.col("out")) & (F.col("at.block") == F.col("block"))).alias("own"), "block", "families", "seen")
+    spread = spread.repartition("band", "target_out", "target").sortWithinPartitions("band", "target_out", "target", F.desc("own"), "block")
+    with batches_of(classes.sparkSession, 64):
+        more = materialise(spread.mapInArrow(_across(loose), "src long, dst long"), "more")
+    if more.isEmpty():
+        return families
+    return components(families.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more))
+
+
+def intersections(sets: list[np.ndarray], others: list[np.ndarray] | None = None, step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of sets with others (None: with each other), by products of blocks of their membership tables; n-grams that no two share are left out."""
+
+    def listed(of: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.zeros(0, np.uint64), *of]), np.repeat(np.arange(len(of)), [len(x) for x in of])
+
+    gram, owner = listed(sets)
+    kinds, code, count = np.unique(gram, return_inverse=True, return_counts=True)
+    if others is None:
+        useful = count > 1
+    else:
+        gram_b, owner_b = listed(others)
+        place = np.searchsorted(kinds, gram_b)
+        met = (place < len(kinds)) & (kinds[np.minimum(place, len(kinds) - 1)] == gram_b) if len(kinds) else np.zeros(len(gram_b), bool)
+        code_b, owner_b = place[met], owner_b[met]
+        useful = np.zeros(len(kinds), bool)
+        useful[code_b] = True
+    number = np.cumsum(useful) - 1
+
+    def columns(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = useful[code]
+        code, owner = number[code[keep]], owner[keep]
+        order = np.argsort(code, kind="stable")
+        return code[order], owner[order]
+
+    def table(code: np.ndarray, owner: np.ndarray, rows: int, at: int, width: int) -> np.ndarray:
+        a, b = np.searchsorted(code, (at, at + width))
+        out = np.zeros((rows, width), np.float32)
+        out[owner[a:b], code[a:b] - at] = 1
+        return out
+
+    left = columns(code, owner)
+    right = left if others is None else columns(code_b, owner_b)
+    out = np.zeros((len(sets), len(sets if others is None else others)), np.float32)
+    n = int(useful.sum())
     for at in range(0, n, step):
-        a, b = np.searchsorted(code, (at, at + step))
-        table = np.zeros((m, min(step, n - at)), np.float32)
-        table[of[a:b], code[a:b] - at] = 1
-        out += table @ table.T
+        width = min(step, n - at)
+        one = table(*left, len(sets), at, width)
+        out += one @ (one if others is None else table(*right, len(others), at, width)).T
     return out
 
 
-def _verify(similarity: float):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_unit(batches, "component"):
-            key, mine = t.column("key").to_numpy(), t.column("mine").to_numpy()
-            key, first = np.unique(key, return_index=True)  # one text of each class
-            mine, copies = mine[first], t.column("copies").to_numpy()[first]
-            column = t.column("grams")
-            sets = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in first]
-            size = np.array([len(s) for s in sets])
-            both = intersections(sets)
-            near = both >= similarity * (size[:, None] + size - both) - 1e-6
-            np.fill_diagonal(near, False)
-            if t.column("_low")[0].as_py() != t.column("_high")[0].as_py():
-                near &= mine[:, None] != mine
-            links = (near * copies).sum(axis=1)
-            root = local_forest(*np.nonzero(near), len(key))
-            yield pa.record_batch([pa.array(key), pa.array(links, pa.int64()), pa.array(key[root])], names=["key", "links", "root"])
+def _near(similarity: float):
+    def near(one: pa.Array, other: pa.Array | None) -> np.ndarray:
+        a, b = ([np.frombuffer(x.as_buffer(), np.uint64) for x in c] if c is not None else None for c in (one, other))
+        both = intersections(a, b)
+        n, m = (np.array([len(x) for x in c], np.float64) for c in (a, a if b is None else b))
+        return both >= similarity * (n[:, None] + m - both) - 1e-6
 
-    return verify
+    return near
 
 
 def _grams(n: int):
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128):
+        met: set[int] = set()  # rows alike in doc_id and text are read once a task
+        for batch in slices(batches, 128, "text"):
+            new = []
+            for i, key in enumerate(batch.column("key").to_pylist()):
+                if key not in met:
+                    met.add(key)
+                    new.append(i)
+            batch = batch.take(pa.array(new, pa.int64()))
             found, ends = shingles(batch.column("text"), n)
             sets = [np.unique(found[a:b]).tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
-            yield pa.record_batch([batch.column(c) for c in ("key", "copies", "component", "size")] + [pa.array(sets, pa.binary())], names=["key", "copies", "component", "size", "grams"])
+            yield pa.record_batch([batch.column(c) for c in ("component", "blocks", "key", "copies")] + [pa.array(sets, pa.binary())], names=["component", "blocks", "key", "copies", "payload"])
 
     return grams
 
@@ -200,25 +283,17 @@ def _linked(docs: DataFrame, n: int, similarity: float, recall: float, most_hash
     doc_id = F.col("doc_id").cast("long")
     base = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, "text").alias("row_hash"), "text")
     signed = materialise(base.mapInArrow(_signer(bands, rows, n), "doc_id long, row_hash long, key long, grams long, bands array<long>, seen binary"), "signed")
-    classes = signed.where("grams > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("row_hash").alias("row_hash"), F.first("bands").alias("bands"), F.first("seen").alias("seen"))
+    classes = signed.where("grams > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("row_hash").alias("row_hash"), F.first("grams").alias("grams"), F.first("bands").alias("bands"), F.first("seen").alias("seen"))
     classes = materialise(classes, "classes")
-    # 2: families by loosely agreeing classes of one bucket
-    memberships = classes.select("key", F.explode("bands").alias("band"))
-    buckets = memberships.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    crowded = memberships.join(buckets, "band").join(classes.select("key", "seen"), "key")
-    dealt = in_units(crowded, "band", F.col("m"))
-    loose = dealt.select("unit", "band", "_low", "_high", "key", "seen").mapInArrow(_loosely(LOOSE), "src long, dst long")
-    families = components(loose)
+    repeats = not signed.where("grams > 0").groupBy("row_hash").count().where("count > 1").isEmpty()
+    families = families_of(classes, loose_agreement(similarity, bands * rows))
     # 3: verify within families
-    sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    wanted = families.join(sizes, "component").join(classes.select(F.col("key").alias("node"), "copies", "row_hash"), "node").withColumnRenamed("node", "key")
-    fetched = base.select("row_hash", "text").join(broadcast_if_small(materialise(wanted, "wanted")), "row_hash").select("key", "copies", "component", "size", "text").mapInArrow(_grams(n), "key long, copies long, component long, size long, grams binary")
-    dealt = in_units(fetched, "component", F.col("size"))
-    verified = dealt.select("unit", "component", "_low", "_high", "mine", "key", "copies", "grams").mapInArrow(_verify(similarity), "key long, links long, root long")
-    verified = materialise(verified, "verified")
-    joined = components(verified.select(F.col("key").alias("src"), F.col("root").alias("dst")))
-    counts = verified.groupBy("key").agg(F.sum("links").alias("links"))
-    return signed, counts.join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", "links", F.coalesce("component", "key").alias("component"))
+    known = families.join(classes.select(F.col("key").alias("node"), "copies", "row_hash", "grams"), "node")
+    sizes = known.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / shared.BLOCK, F.sum("grams") * 8 / shared.BLOCK_BYTES)).alias("blocks"))
+    wanted = broadcast_if_small(materialise(known.join(sizes, "component").select("component", "blocks", F.col("node").alias("key"), "copies", "row_hash"), "wanted"))
+    read = base.select("row_hash", "text").join(wanted, "row_hash").select("component", "blocks", "key", "copies", "text").mapInArrow(_grams(n), "component long, blocks long, key long, copies long, payload binary")
+    counts, edges = count_links(read.dropDuplicates(["key"]) if repeats else read, _near(similarity), pa.binary(), "binary")
+    return signed, counts.join(components(edges).withColumnRenamed("node", "key"), "key", "left").select("key", "links", F.coalesce("component", "key").alias("component"))
 
 
 def _labelled(docs: DataFrame, n: int, similarity: float, recall: float, most_hashes: int) -> DataFrame:
@@ -236,13 +311,13 @@ def link(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: fl
 def one_of_each(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
     """The documents, with all their columns, one of each component: that with the smallest doc_id."""
     found = materialise(_labelled(docs, n, similarity, recall, most_hashes), "labelled")
-    counts = found.groupBy("row_hash").agg(F.count(F.lit(1)).alias("_rows"), F.min("kept").alias("_kept"))
-    special = materialise(counts.where("_rows > 1 or not _kept").withColumnRenamed("row_hash", "_hash"), "special")
-    hashed = docs.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    once = hashed.join(broadcast_if_small(special.select("_hash")), "_hash", "left_anti")
-    repeated = special.where("_rows > 1 and _kept").select("_hash")  # equal rows, ids included
+    counts = found.groupBy("row_hash").agg(F.count(F.lit(1)).alias("rows"), F.min("kept").alias("kept"))
+    special = materialise(counts.where("rows > 1 or not kept"), "special")
+    hashed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_hash"))
+    once = hashed.join(broadcast_if_small(special.select("row_hash")), "row_hash", "left_anti")
+    repeated = special.where("rows > 1 and kept").select("row_hash")  # equal rows, ids included
     if repeated.isEmpty():
-        return once.select(*docs.columns)
-    again = hashed.join(broadcast_if_small(repeated), "_hash", "left_semi")
-    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return once.unionByName(again.where(wordy).dropDuplicates(["_hash"])).unionByName(again.where(~wordy)).select(*docs.columns)
+        return once.select("doc.*")
+    again = hashed.join(broadcast_if_small(repeated), "row_hash", "left_semi")
+    wordy = F.coalesce(F.col("doc.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return once.unionByName(again.where(wordy).dropDuplicates(["row_hash"])).unionByName(again.where(~wordy)).select("doc.*")

@@ -3,13 +3,13 @@
 Vectors are compared within one label and length. Those that are null, zero or hold null or non-finite components, and those without
 label, link with nothing. Equal vectors are one class.
 
-1. A label's classes are dealt by hash to shards of some ``SHARD`` vectors, and each shard gets a graph (``hnsw``).
+1. A label's classes are dealt by hash to shards of some ``SHARD`` vectors of 64 numbers (fewer if longer), and each shard gets a graph (``hnsw``).
 2. Every shard is asked for the neighbours of every vector of its label: pairs of shards are searched both ways.
    Each search is audited: for ``AUDIT`` of its vectors all links are worked out by exact products, and the beam is doubled until
    the search finds them all (as many as half a beam holds; the rest of a larger family is reached through those); where even a beam as wide as
    the shard doesn't, the shard is scanned. What is near is emitted as a spanning forest.
-3. Components of these forests are families. Within a family all pairs are verified in double precision, in
-   units of two blocks at most, counted, and again emitted as forests; their components are the result.
+3. Components of these forests are families. Within a family all pairs are verified in double precision,
+   block by block, and counted; edges that connect what is linked give the components of the result.
 
 So counts are exact within families, and a link is missed only if its two vectors find no way to each other through any
 near vector. No group meets in one task and no pair is emitted.
@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from .hnsw import Graph
-from .shared import batches_of, by_unit, components, grouped, in_units, local_forest, materialise, runs, small_batches
+from .shared import batches_of, components, count_links, grouped, local_forest, materialise, runs, small_batches
 
 COSINE = 0.98
 SHARD = 65_536
@@ -103,20 +104,15 @@ def _find(cosine: float):
     return find
 
 
-def _verify(cosine: float):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_unit(batches, "component"):
-            key, mine, copies = (t.column(c).to_numpy() for c in ("key", "mine", "copies"))
-            v = _unit(t.column("embedding").flatten().to_numpy(zero_copy_only=False), len(key))
-            near = v @ v.T >= cosine
-            near |= near.T
-            np.fill_diagonal(near, False)
-            if t.column("_low")[0].as_py() != t.column("_high")[0].as_py():
-                near &= mine[:, None] != mine
-            root = local_forest(*np.nonzero(near), len(key))
-            yield pa.record_batch([pa.array(key), pa.array((near * copies).sum(axis=1), pa.int64()), pa.array(key[root])], names=["key", "links", "root"])
+def _near(cosine: float):
+    def near(one: pa.Array, other: pa.Array | None) -> np.ndarray:
+        a = _unit(one.flatten().to_numpy(zero_copy_only=False), len(one))
+        if other is not None:
+            return a @ _unit(other.flatten().to_numpy(zero_copy_only=False), len(other)).T >= cosine
+        found = a @ a.T >= cosine
+        return found | found.T
 
-    return verify
+    return near
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
@@ -129,7 +125,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD)
     rows = rows.withColumn("space", F.when(F.col("sound"), space)).withColumn("key", F.when(F.col("sound"), F.xxhash64("space", "embedding")))
     classes = rows.where("key is not null").groupBy("key", "space").agg(F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
     classes = materialise(classes, "vectors")
-    shards = classes.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / shard).alias("shards"))
+    shards = classes.groupBy("space").agg(F.ceil(F.count(F.lit(1)) * F.greatest(F.lit(1.0), F.max(F.size("embedding")) / 64) / shard).alias("shards"))
     dealt = classes.join(shards, "space").select("space", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int").alias("shard"), "key", "embedding")
     built = dealt.repartition("space", "shard").sortWithinPartitions("space", "shard", "key")
     graphs = materialise(built.mapInArrow(_build, "space string, shard int, graph binary"), "graphs")
@@ -141,9 +137,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD)
         found = materialise(searched.mapInArrow(_find(cosine), "src long, dst long"), "found")
     families = components(found)
     sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = families.join(sizes, "component").withColumnRenamed("node", "key").join(classes.select("key", "copies", "embedding"), "key")
-    units = in_units(members, "component", F.col("size")).select("unit", "component", "_low", "_high", "mine", "key", "copies", "embedding")
-    verified = materialise(units.mapInArrow(_verify(cosine), "key long, links long, root long"), "verified")
-    joined = components(verified.select(F.col("key").alias("src"), F.col("root").alias("dst")))
-    linked = verified.groupBy("key").agg(F.sum("links").alias("links")).join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", "links", F.coalesce("component", "key").alias("component"))
+    members = families.join(sizes, "component").withColumnRenamed("node", "key").join(classes.select("key", "copies", F.col("embedding").cast("array<double>").alias("payload")), "key")
+    blocks = F.ceil(F.greatest(F.col("size") / shared.BLOCK, F.col("size") * F.size("payload") * 8 / shared.BLOCK_BYTES))
+    counts, edges = count_links(members.withColumn("blocks", blocks), _near(cosine), pa.list_(pa.float64()), "array<double>")
+    linked = counts.join(components(edges).withColumnRenamed("node", "key"), "key", "left").select("key", "links", F.coalesce("component", "key").alias("component"))
     return grouped(rows.select("vec_id", "key"), linked, "vec_id").select("vec_id", "n_links", "component_id", "kept", "copies_id")

@@ -54,7 +54,7 @@ def _encode(tokenizer: str, end: int, remembered: int):
         from .token_ids import encoder
 
         part, given, seq = TaskContext.get().partitionId(), {}, 0
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 128, "text"):
             codes = encoder(tokenizer, remembered)
             width = 2 if max(codes.library.get_vocab_size(True) - 1, end) < 2**16 else 4
             ids, sizes = codes.encode(batch.column("text").to_pylist(), end)
@@ -134,7 +134,7 @@ def _pieces(totals: list[int], length: int):
         from .token_ids import encoder
 
         encoder.cache_clear()  # a worker that has encoded needs its words no more
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 128, "ids"):
             queue, first, n, width = (batch.column(c).to_numpy() for c in ("queue", "first", "doc_tokens", "width"))
             doc, start, size, place = cut(queue, first, n, totals, length)
             raw = batch.column("ids")

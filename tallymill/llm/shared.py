@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Without one nothing may be written, so an error is raised."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tallymill-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tallymill-")  # one machine is all there is
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -98,37 +100,71 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+#: Bytes whose words are hashed at once.
+STRETCH = 1 << 20
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each row, and the n + 1 offsets of the rows' words.
 
-    A word is a run of bytes other than space and \\x09-\\x0D. No word joins two rows.
+    A word is a run of bytes other than space and \\x09-\\x0D. No word joins two rows. A word's value is the sum of
+    (byte + 1) * base^place over it, worked out by stretches of ``STRETCH`` bytes; a word that goes on into the next stretch has its shares added.
     """
     n = len(data)
     rows = len(offsets) - 1
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    inside = (data != 32) & ((data < 9) | (data > 13))
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    first = offsets[:-1][offsets[:-1] < offsets[1:]]
-    starts[first] = inside[first]
-    s = np.flatnonzero(starts)
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    last = offsets[1:][offsets[:-1] < offsets[1:]] - 1
-    ends[last] = inside[last]
-    e = np.flatnonzero(ends) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n), out=total[1:])
-    value = (total[e] - total[s]) * _power_table(_INVERSE, n)[s]
-    return mix64(value ^ mix64((e - s).astype(np.uint64))), np.searchsorted(s, offsets)
-
-
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``rows`` rows, none of them empty, to bound what numpy makes of one."""
+    is_first = np.zeros(n + 1, bool)
+    is_first[offsets[:-1]] = True
+    values, lengths, places = [], [], []
+    going: tuple[int, int] | None = None  # where the word that reached the stretch's end began, and its value so far
+    for at in range(0, n, STRETCH):
+        part = data[at : at + STRETCH]
+        inside = (part != 32) & ((part < 9) | (part > 13))
+        new = is_first[at : at + len(part)]
+        before = np.concatenate([[going is not None], inside[:-1]])
+        starts = inside & (~before | new)
+        s = np.flatnonzero(starts)
+        stops = before & (~inside | new)  # a word ended before this byte
+        e = np.flatnonzero(stops)
+        if inside[-1]:
+            e = np.append(e, len(part))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(part)), out=total[1:])
+        if going is not None:
+            s = np.concatenate([[0], s])
+        value = (total[e] - total[s]) * _power_table(_INVERSE, len(part))[s]
+        length, place = e - s, s + at
+        if going is not None:
+            place[0] = going[0]
+            length[0] += at - going[0]
+            value[0] = (going[1] + int(value[0]) * pow(_BASE, at - going[0], 2**64)) % 2**64
+        going = None
+        if inside[-1] and at + len(part) < n:
+            going = (int(place[-1]), int(value[-1]))
+            value, length, place = value[:-1], length[:-1], place[:-1]
+        values.append(value)
+        lengths.append(length)
+        places.append(place)
+    value, length, place = np.concatenate(values), np.concatenate(lengths), np.concatenate(places)
+    return mix64(value ^ mix64(length.astype(np.uint64))), np.searchsorted(place, offsets)
+
+
+#: Bytes of text that numpy works on at once; a single text may be longer.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int, column: str, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows and ``most_bytes`` bytes in ``column`` (or one row), none of them empty, to bound what numpy makes of one."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if batch.num_rows == 0:
+            continue
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, before = 0, 0
+        while at < batch.num_rows:
+            stop = min(batch.num_rows, at + rows, max(at + 1, int(np.searchsorted(upto, before + most_bytes, side="right"))))
+            yield batch.slice(at, stop - at)
+            at, before = stop, int(upto[stop - 1])
 
 
 @contextmanager
@@ -164,25 +200,130 @@ def runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterato
         yield pa.concat_batches(held)
 
 
-#: Classes in a block of ``in_units``.
-BLOCK = 512
-
-
-def in_units(rows: DataFrame, group: str, count: Column) -> DataFrame:
-    """Each row (with a ``key``) once for each unit it belongs to, partitioned and sorted by unit: columns unit, _low, _high, mine (its block).
-
-    A group of m rows has ceil(m / BLOCK) blocks; its units are the pairs of its blocks, low and high, so a unit has
-    some two blocks of rows at most, whatever m is, and any two rows of a group meet in one unit.
+#: Classes in a block of a group, and bytes of what they are compared by.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+
+
+class Forest:
+    """Connected sets of any keys; ``join`` tells whether two were apart."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, key):
+        up = self.up
+        top = key
+        while (above := up.get(top, top)) != top:
+            top = above
+        while key != top:
+            up[key], key = top, up.get(key, key)
+        return top
+
+    def join(self, a, b) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def touching(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple]:
+    """The distinct pairs (left[i], right[j]) with near[i, j]."""
+    lefts, i = np.unique(left, return_inverse=True)
+    rights, j = np.unique(right, return_inverse=True)
+    met = np.zeros((len(lefts), len(rights)), bool)
+    r, c = np.nonzero(near)
+    met[i[r], j[c]] = True
+    r, c = np.nonzero(met)
+    return list(zip(lefts[r].tolist(), rights[c].tolist(), strict=True))
+
+
+def _inside(near: Callable, kind: pa.DataType):
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), *(pa.list_(pa.int64()),) * 4, pa.list_(kind))
+            batch = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["component", "block", "blocks", "keys", "copies", "links", "roots", "payload"])
+            rows.clear()
+            return batch
+
+        for t in runs(batches, ("component", "block")):
+            key, copies, payload = t.column("key").to_numpy(), t.column("copies").to_numpy(), t.column("payload")
+            found = near(payload, None)
+            np.fill_diagonal(found, False)
+            root = local_forest(*np.nonzero(found), len(key))
+            blocks = t.column("blocks")[0].as_py()
+            rows.append((t.column("component")[0].as_py(), t.column("block")[0].as_py(), blocks, key, copies, (found * copies).sum(axis=1), key[root], payload.to_pylist() if blocks > 1 else []))
+            if blocks > 1 or len(rows) == 256:
+                yield out()
+        if rows:
+            yield out()
+
+    return inside
+
+
+def _between(near: Callable):
+    """From rows (component, own, block, ...) in the order of (component, own), block ``own`` first: its links to the other blocks, and edges between roots."""
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def out() -> pa.RecordBatch:
+            edges = held["edges"] or [(None, None)]
+            src, dst = ([x for x in c if x is not None] for c in zip(*edges, strict=True))
+            kind = pa.list_(pa.int64())
+            return pa.record_batch([pa.array([x], kind) for x in (held["keys"], held["links"], src, dst)], names=["keys", "links", "src", "dst"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                component, own, block = (batch.column(c)[i].as_py() for c in ("component", "own", "block"))
+                keys, copies, roots = (batch.column(c)[i].values.to_numpy() for c in ("keys", "copies", "roots"))
+                payload = batch.column("payload")[i].values
+                if block == own:
+                    if held:
+                        yield out()
+                    held = {"of": (component, own), "keys": keys, "roots": roots, "payload": payload, "links": np.zeros(len(keys), np.int64), "forest": Forest(), "edges": []}
+                    continue
+                if held is None or held["of"] != (component, own):
+                    continue  # no class was dealt to that block
+                # one order of operands for both ways, so that both round alike
+                found = near(held["payload"], payload) if own < block else near(payload, held["payload"]).T
+                held["links"] += (found * copies).sum(axis=1)
+                if own < block:
+                    held["edges"] += [e for e in touching(found, held["roots"], roots) if held["forest"].join(*e)]
+        if held:
+            yield out()
+
+    return between
+
+
+def count_links(members: DataFrame, near: Callable, kind: pa.DataType, sql_kind: str) -> tuple[DataFrame, DataFrame]:
+    """All pairs of a component's classes are compared: (key, links: rows of other classes linked), and edges (src, dst) that connect what is linked.
+
+    members: component, blocks, key, copies, payload (``sql_kind``). ``near(one, other)`` gives a matrix of truth for two
+    arrays of payloads, or within one if other is None.
+
+    A component has ``blocks`` blocks, dealt by hash. First each block is compared in itself: one row a block is written, with a
+    star for each connected set in it. Where there are more blocks, a block's row is then dealt to each block, where pairs are
+    only counted, and edges lead between the blocks' roots. So rows dealt are blocks x blocks, edges
+    about as many as classes, and no pair leaves its task.
     """
-    dealt = rows.withColumn("_blocks", F.ceil(count / BLOCK).cast("int"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("key", F.lit(1)), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumns({"_low": F.least("mine", "_other"), "_high": F.greatest("mine", "_other")}).withColumn("unit", F.xxhash64(F.col(group), "_low", "_high"))
-    return dealt.drop("_blocks", "_other").repartition("unit").sortWithinPartitions("unit", group, "_low", "_high")
-
-
-def by_unit(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.RecordBatch]:
-    return runs(batches, ("unit", group, "_low", "_high"))
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.select("component", "block", F.col("blocks").cast("int").alias("blocks"), "key", "copies", "payload").repartition("component", "block").sortWithinPartitions("component", "block", "key")
+    lists = ", ".join(f"{c} array<long>" for c in ("keys", "copies", "links", "roots"))
+    inside = materialise(dealt.mapInArrow(_inside(near, kind), f"component long, block int, blocks int, {lists}, payload array<{sql_kind}>"), "inside")
+    counts = inside.select(F.explode(F.arrays_zip("keys", "links", "roots")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.links").alias("links"), F.col("x.roots").alias("root"))
+    edges = counts.select(F.col("key").alias("src"), F.col("root").alias("dst")).where("src <> dst")
+    counts = counts.select("key", "links")
+    wide = inside.where("blocks > 1")
+    if not wide.isEmpty():
+        spread = wide.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", "own", "block", "keys", "copies", "roots", "payload")
+        spread = spread.repartition("component", "own").sortWithinPartitions("component", "own", F.col("block") != F.col("own"), "block")
+        with batches_of(members.sparkSession, 4):  # a row holds a block
+            between = materialise(spread.mapInArrow(_between(near), "keys array<long>, links array<long>, src array<long>, dst array<long>"), "between")
+        more = between.select(F.explode(F.arrays_zip("keys", "links")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.links").alias("links"))
+        counts = counts.union(more).groupBy("key").agg(F.sum("links").alias("links"))
+        edges = edges.union(between.select(F.explode(F.arrays_zip("src", "dst")).alias("x")).select("x.src", "x.dst"))
+    return counts, edges
 
 
 def grouped(rows: DataFrame, linked: DataFrame, id_column: str) -> DataFrame:
@@ -240,15 +381,30 @@ def _forest(t: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return names, order, local_forest(k[: t.num_rows], k[t.num_rows :], len(order))
 
 
+#: Edges that a task contracts together.
+CONTRACTED = 1 << 18
+
+
 def _contract(batches):
-    """Replace a batch's edges by a star for each of their components: no more rows than distinct nodes."""
+    """Replace each ``CONTRACTED`` edges of a partition by a star for each of their components: no more rows than distinct nodes."""
+
+    def star(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.concat_batches(held)
+        t = t.filter(pc.invert(pc.equal(t.column("src"), t.column("dst"))))
+        if t.num_rows:
+            names, order, root = _forest(t)
+            node = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.record_batch([names.take(pa.array(order[node])), names.take(pa.array(order[root[node]]))], names=["src", "dst"])
+
+    held, rows = [], 0
     for batch in batches:
-        t = batch.filter(pc.invert(pc.equal(batch.column("src"), batch.column("dst"))))
-        if t.num_rows == 0:
-            continue
-        names, order, root = _forest(t)
-        node = np.flatnonzero(root != np.arange(len(root)))
-        yield pa.record_batch([names.take(pa.array(order[node])), names.take(pa.array(order[root[node]]))], names=["src", "dst"])
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CONTRACTED:
+            yield from star(held)
+            held, rows = [], 0
+    if rows:
+        yield from star(held)
 
 
 def _settle(batches):
@@ -262,7 +418,7 @@ def _settle(batches):
 def components(edges: DataFrame, one_task: int = BROADCAST_ROWS) -> DataFrame:
     """Connected components of ``edges`` (src, dst, of one orderable type): (node, component), component being the least node reachable.
 
-    Nodes without edges don't appear. Each batch first contracts its edges to stars. While more than ``one_task`` edges
+    Nodes without edges don't appear. Each task first contracts its edges to stars, ``CONTRACTED`` at a time. While more than ``one_task`` edges
     are left, a round hooks each node to the least of itself and its neighbours, jumps along the hooks until all point to
     roots, and goes on with the edges between roots; fewer edges are settled in one task. A root that takes no other
     node in a round has neighbours that went to lesser roots, so the next round hooks it: two rounds at least halve the

@@ -11,12 +11,14 @@ bytes when read back:
   each with its time span;
 * clips of ``CLIP`` frames, the last filled with silence, as fixed-shape tensors with time spans.
 
-``media`` gives the tensors and bytes; ``write_clips`` stores the clips as Arrow files with the
-fixed-shape tensor type; ``digests`` gives one row a document with checksums and a summary of the features.
+``write_media`` stores the WAV files, ``write_clips`` reads them back and stores what is worked out from them, ``clips`` and
+``digests`` read that. All are Arrow files in the shared folder with buffers compressed by zstd, one of each kind a task, written under a name of the attempt's
+own and renamed when complete; clips are a fixed-shape tensor column of 16-bit floats. ``digests`` gives one row a document
+with checksums of the stored bytes and a summary of the stored features.
 Everything of a document is computed from that document alone, so equal texts have equal values.
 
-Cases: null and empty texts are 64 bytes 0, silence. Repeated rows each have their row. Very long texts are longer audio, nothing is cut. An
-empty table gives no rows. Extra columns are left out.
+Cases: null and empty texts are 64 bytes 0, silence. Repeated rows each have their row. Very long texts are longer audio, worked on by
+blocks of ``FRAMES_AT_ONCE`` frames; nothing is cut. An empty table gives no files and no rows. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, shared_dir, small_batches
+from .arrow_output import file_system
+from .shared import materialise, shared_dir, slices, small_batches
 
 RATE, UP, DOWN = 16_000, 5, 8
 TAPS_A_PHASE = 8
@@ -81,11 +84,11 @@ def phases(up: int, down: int, taps: int) -> np.ndarray:
     return np.ascontiguousarray(h.reshape(taps, up).T)
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS_A_PHASE) -> np.ndarray:
-    """x at up / down of its rate, delayed by half the filter; every output needs one phase's taps only."""
+def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS_A_PHASE, before: np.ndarray | None = None) -> np.ndarray:
+    """x at up / down of its rate, delayed by half the filter; every output needs one phase's taps only. before: the taps - 1 samples ahead of x (None: silence)."""
     h = phases(up, down, taps)
     n = -(-len(x) * up // down)
-    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(taps - 1), x]), taps)[:, ::-1]
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(taps - 1) if before is None else before, x]), taps)[:, ::-1]
     out = np.empty(n)
     for first in range(min(up, n)):  # outputs up apart are of one phase and lie down inputs apart
         place = first * down
@@ -131,106 +134,175 @@ def segments(energy: np.ndarray, high: float = 0.25, low: float = -0.25) -> list
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
+#: Frames that are worked on at once; their hops are a multiple of UP, so every block begins at the filter's first phase.
+FRAMES_AT_ONCE = 5000
+
+
 def analyse(media: bytes) -> tuple[bytes, np.ndarray, list[tuple[float, float]], float]:
-    """From a stored file: its samples, log-mel frames, spans of its segments in seconds, seconds a frame."""
+    """From a stored file: its samples, log-mel frames as 16-bit floats, spans of its segments in seconds, seconds a frame."""
     samples, rate = from_wav(media)
-    x = (np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128
+    raw = np.frombuffer(samples, np.uint8)
     new_rate = rate * UP / DOWN
-    mel, energy = log_mel(resample(x), new_rate)
+    n = -(-len(raw) * UP // DOWN)
+    frames = max(1, -(-max(0, n - FRAME) // HOP) + 1)
+    mels, energies = [], []
+    for at in range(0, frames, FRAMES_AT_ONCE):
+        stop = min(frames, at + FRAMES_AT_ONCE)
+        first, last = at * HOP, min(n, (stop - 1) * HOP + FRAME)
+        lo, hi = first * DOWN // UP, min(len(raw), -(-last * DOWN // UP) + 1)
+        x = (raw[max(0, lo - TAPS_A_PHASE + 1) : hi].astype(np.float64) - 128) / 128
+        x = np.concatenate([np.zeros(max(0, TAPS_A_PHASE - 1 - lo)), x])
+        mel, energy = log_mel(resample(x[TAPS_A_PHASE - 1 :], before=x[: TAPS_A_PHASE - 1])[: last - first], new_rate)
+        mels.append(mel.astype(np.float16))
+        energies.append(energy)
     step = HOP / new_rate
-    return samples, mel, [(a * step, b * step) for a, b in segments(energy)], step
+    return samples, np.concatenate(mels), [(a * step, b * step) for a, b in segments(np.concatenate(energies))], step
 
 
-def clips(mel: np.ndarray) -> np.ndarray:
-    """(clips, CLIP, BANDS) float32; silence behind the end."""
+def in_clips(mel: np.ndarray) -> np.ndarray:
+    """(clips, CLIP, BANDS); silence behind the end."""
     n = -(-len(mel) // CLIP)
-    out = np.full((n * CLIP, mel.shape[1]), np.log(FLOOR), np.float32)
+    out = np.full((n * CLIP, mel.shape[1]), np.log(FLOOR), np.float16)
     out[: len(mel)] = mel
     return out.reshape(n, CLIP, mel.shape[1])
 
 
 def summary(mel: np.ndarray, spans: list[tuple[float, float]]) -> str:
     """Frames, segments' spans, and for each band the mean over the frames."""
-    return f"frames={len(mel)};spans={','.join(f'{a:.4f}-{b:.4f}' for a, b in spans)};mel={','.join(f'{v:.3f}' for v in mel.mean(axis=0))}"
+    return f"frames={len(mel)};spans={','.join(f'{a:.4f}-{b:.4f}' for a, b in spans)};mel={','.join(f'{v:.3f}' for v in mel.mean(axis=0, dtype=np.float64))}"
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            raw, n = payload(text)
-            media = to_wav(raw)
-            stored, mel, spans, _ = analyse(media)
-            rows.append((doc_id, n, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), summary(mel, spans)))
-        if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+SPANS = pa.list_(pa.struct([("from_s", pa.float64()), ("to_s", pa.float64())]))
+MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.large_binary())])
+#: row: the document's place in its batch of the media file, to which the batch of clips answers.
+CLIPS = pa.schema([("row", pa.int32()), ("doc_id", pa.int64()), ("clip", pa.int32()), ("frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("segments", SPANS), ("mel", pa.fixed_shape_tensor(pa.float16(), (CLIP, BANDS)))])
+ROWS, MOST_BYTES = 256, 4 << 20
+STORED = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-
-
-def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            media = to_wav(payload(text)[0])
-            _, mel, spans, step = analyse(media)
-            parts = clips(mel)
-            n = len(parts)
-            starts = [i * CLIP * step for i in range(n)]
-            yield pa.record_batch(
-                [
-                    pa.array([doc_id] * n, pa.int64()),
-                    pa.array(range(n), pa.int32()),
-                    pa.array(starts),
-                    pa.array([min(s + CLIP * step, len(mel) * step) for s in starts]),
-                    pa.array(list(parts.reshape(n, -1)), pa.list_(pa.float32())),
-                    pa.array([[{"from_s": a, "to_s": b} for a, b in spans if a < s + CLIP * step and b > s] for s in starts], pa.list_(pa.struct([("from_s", pa.float64()), ("to_s", pa.float64())]))),
-                    pa.array([media if i == 0 else None for i in range(n)], pa.binary()),
-                ],
-                names=["doc_id", "clip", "start_s", "end_s", "mel", "segments", "media"],
-            )
-
-
-def media(docs: DataFrame) -> DataFrame:
-    """Per clip: doc_id, clip, start_s, end_s, mel (CLIP * BANDS values), segments that touch it; the WAV file goes with clip 0."""
-    small_batches(docs.sparkSession, 64)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_media, "doc_id long, clip int, start_s double, end_s double, mel array<float>, segments array<struct<from_s: double, to_s: double>>, media binary")
+class _File:
+    """An Arrow file that gets its name when it is complete."""
+
+    def __init__(self, folder: str, name: str, schema: pa.Schema):
+        files, base = file_system(folder)
+        files.create_dir(base, recursive=True)
+        self.name, self.own = f"{base}/{name}", f"{base}/{name}.attempt-{uuid.uuid4().hex}"
+        self.files, self.sink = files, files.open_output_stream(self.own)
+        self.stream = pa.ipc.new_file(self.sink, schema, options=STORED)
 
+    def close(self) -> str:
+        self.stream.close()
+        self.sink.close()
+        self.files.move(self.own, self.name)
+        return self.name
 
-def write_clips(found: DataFrame, folder: str | None = None) -> DataFrame:
-    """Store clips as Arrow files with a fixed-shape tensor column; one row a file: path, clips. A task renames its file when complete."""
-    spark = found.sparkSession
-    folder = folder or f"{shared_dir(spark)}/clips-{uuid.uuid4().hex}"
+
+def write_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Store each document's payload as a WAV file; one row for each Arrow file: folder, media_path, docs."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = folder or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from .arrow_output import file_system
+        out, docs = None, 0
+        for batch in slices(batches, ROWS, "text", MOST_BYTES):
+            out = out or _File(folder, f"part-{TaskContext.get().partitionId():05d}.media.arrow", MEDIA)
+            raw = [payload(t) for t in batch.column("text").to_pylist()]
+            out.stream.write_batch(pa.record_batch([batch.column("doc_id"), pa.array([n for _, n in raw], pa.int64()), pa.array([to_wav(x) for x, _ in raw], pa.large_binary())], schema=MEDIA))
+            docs += batch.num_rows
+        if out:
+            yield pa.record_batch([pa.array([folder]), pa.array([out.close()]), pa.array([docs], pa.int64())], names=["folder", "media_path", "docs"])
 
-        files, base = file_system(folder)
-        kind = pa.fixed_shape_tensor(pa.float32(), (CLIP, BANDS))
-        schema = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("mel", kind)])
-        name, own, n, stream = f"{base}/part-{TaskContext.get().partitionId():05d}.arrow", f".attempt-{uuid.uuid4().hex}", 0, None
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return materialise(rows.mapInArrow(write, "folder string, media_path string, docs long"), "media")
+
+
+def _features(stored: pa.RecordBatch) -> pa.RecordBatch:
+    columns: list[list] = [[] for _ in CLIPS.names]
+    for row, (doc_id, media) in enumerate(zip(stored.column("doc_id").to_pylist(), stored.column("media"), strict=True)):
+        _, mel, spans, step = analyse(media.as_buffer().to_pybytes())
+        parts = in_clips(mel)
+        begins, ends = (np.array([x[k] for x in spans]) for k in (0, 1))
+        for k, part in enumerate(parts):
+            start, frames = k * CLIP * step, min(CLIP, len(mel) - k * CLIP)
+            touching = range(np.searchsorted(ends, start, side="right"), np.searchsorted(begins, start + CLIP * step)) if spans else ()
+            for c, v in zip(columns, (row, doc_id, k, frames, start, start + frames * step, [{"from_s": spans[i][0], "to_s": spans[i][1]} for i in touching], part), strict=True):
+                c.append(v)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(columns[-1]).ravel()), CLIP * BANDS)
+    return pa.record_batch([*(pa.array(c, f.type) for c, f in zip(columns[:-1], CLIPS, strict=False)), pa.ExtensionArray.from_storage(CLIPS.field("mel").type, flat)], schema=CLIPS)
+
+
+def write_clips(media: DataFrame) -> DataFrame:
+    """Read stored WAV files and store the clips of log-mel frames with their time spans and segments; media's rows with clips_path."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            if stream is None:
-                files.create_dir(base, recursive=True)
-                sink = files.open_output_stream(name + own)
-                stream = pa.ipc.new_file(sink, schema)
-            flat = pa.FixedSizeListArray.from_arrays(batch.column("mel").flatten(), CLIP * BANDS)
-            stream.write_batch(pa.record_batch([*(batch.column(c) for c in schema.names[:4]), pa.ExtensionArray.from_storage(kind, flat)], schema=schema))
-            n += batch.num_rows
-        if stream is not None:
-            stream.close()
-            sink.close()
-            files.move(name + own, name)
-            yield pa.record_batch([pa.array([name]), pa.array([n], pa.int64())], names=["path", "clips"])
-
-    return materialise(found.drop("segments", "media").mapInArrow(write, "path string, clips long"), "clips")
+            for row in batch.to_pylist():
+                files, _ = file_system(row["folder"])
+                out = _File(row["folder"], row["media_path"].rsplit("/", 1)[1].replace(".media.", ".clips."), CLIPS)
+                with files.open_input_file(row["media_path"]) as source:
+                    stored = pa.ipc.open_file(source)
+                    for i in range(stored.num_record_batches):
+                        out.stream.write_batch(_features(stored.get_batch(i)))
+                yield pa.record_batch([pa.array([row["folder"]]), pa.array([row["media_path"]]), pa.array([out.close()]), pa.array([row["docs"]], pa.int64())], names=["folder", "media_path", "clips_path", "docs"])
+
+    return materialise(media.repartition("media_path").mapInArrow(write, "folder string, media_path string, clips_path string, docs long"), "clips")
+
+
+def clips(stored: DataFrame) -> DataFrame:
+    """Per clip, from the files of ``write_clips``: doc_id, clip, frames, start_s, end_s, segments that touch it, mel (CLIP * BANDS values)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                files, _ = file_system(row["folder"])
+                with files.open_input_file(row["clips_path"]) as source:
+                    file = pa.ipc.open_file(source)
+                    for i in range(file.num_record_batches):
+                        b = file.get_batch(i)
+                        mel = b.column("mel").storage.flatten().to_numpy().astype(np.float32)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (CLIP * BANDS)), pa.array(mel))
+                        yield pa.record_batch([*(b.column(c) for c in CLIPS.names[1:-1]), lists], names=CLIPS.names[1:])
+
+    return stored.repartition("clips_path").mapInArrow(read, "doc_id long, clip int, frames int, start_s double, end_s double, segments array<struct<from_s: double, to_s: double>>, mel array<float>")
+
+
+DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+
+
+def _digest(stored: pa.RecordBatch, found: pa.RecordBatch) -> pa.RecordBatch:
+    """One row a document of a batch of stored media, with the batch of its clips."""
+    of, frames = found.column("row").to_numpy(), found.column("frames").to_numpy()
+    mel = found.column("mel").storage.flatten().to_numpy().reshape(len(of), CLIP, BANDS)
+    bounds = np.searchsorted(of, np.arange(stored.num_rows + 1))
+    rows = []
+    for i, (doc_id, n, media) in enumerate(zip(stored.column("doc_id").to_pylist(), stored.column("n_bytes").to_pylist(), stored.column("media"), strict=True)):
+        media = media.as_buffer().to_pybytes()
+        samples, _ = from_wav(media)
+        own = range(bounds[i], bounds[i + 1])
+        spans = sorted({(x["from_s"], x["to_s"]) for k in own for x in found.column("segments")[k].as_py()})
+        real = np.concatenate([mel[k, : frames[k]] for k in own])
+        rows.append((doc_id, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), summary(real, spans)))
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), DIGEST, strict=True)], schema=DIGEST)
+
+
+def read_digests(stored: DataFrame) -> DataFrame:
+    """Per document, from the files of ``write_clips``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                files, _ = file_system(row["folder"])
+                with files.open_input_file(row["media_path"]) as one, files.open_input_file(row["clips_path"]) as other:
+                    media, found = pa.ipc.open_file(one), pa.ipc.open_file(other)
+                    for i in range(media.num_record_batches):
+                        yield _digest(media.get_batch(i), found.get_batch(i))
+
+    return stored.repartition("media_path").mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """Store media and clips of ``docs``, and per document, read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    return read_digests(write_clips(write_media(docs)))

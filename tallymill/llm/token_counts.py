@@ -15,9 +15,10 @@ input symbol each. Characters outside the vocabulary count their UTF-8 bytes and
 
 Chunks. The texts of a batch are laid end to end and cut into chunks of equal length. A chunk's map takes
 the state before it to the state behind it and a count. Where some character starts afresh, all after the first such one
-is constant; the scan composes the maps, giving each chunk the state before it (chunks that
-start nothing afresh pass on what they got, in as many steps as there are such chunks in one run), and the heads of all chunks,
-up to where they start afresh, run in step too.
+is constant. A chunk without one has a map over the states that can come before it: ``passing`` starts with
+what the chunk before gives from the empty state, and adds what comes out of any chunk with the same last characters until nothing new does; tokens are short, so these
+are a few states a chunk, and all chunks' are worked out in step. A prefix scan by doubling composes the maps, and
+the heads of the other chunks, up to where they start afresh, run in step from the states that the scan gives.
 
 Cases: null and empty text have no tokens and no bytes; special strings in a text are plain text, as the
 library takes them by default. Repeated rows are counted each. Extra columns are left out.
@@ -63,6 +64,7 @@ class Pieces:
         if any(MARK in p.lstrip(MARK) or p[0] == MARK and p[1:2] == MARK and p.strip(MARK) for p in self.score):
             raise ValueError(f"{path}: a piece holds a space mark behind another character")
         self.characters = {c for p in self.score for c in p}
+        self.longest = max(map(len, self.score))
         self.longest_run = max(len(p) for p in self.score if not p.strip(MARK))
         self._kept: dict[tuple[str, str], bool] = {}
 
@@ -204,6 +206,77 @@ class Transducer:
         return self.to[at].astype(np.int64), self.gain[at]
 
 
+def compose(to: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of maps in a row (number of a state before -> number of the state behind, and a gain), each composed with all before it: Hillis and Steele's scan, by doubling."""
+    to, gain = to.copy(), gain.copy()
+    step = 1
+    while step < len(to):
+        first, then = to[:-step], np.arange(step, len(to))[:, None]
+        new_gain = gain[:-step] + gain[then, first]
+        to[step:], gain[step:] = to[then, first], new_gain
+        step *= 2
+    return to, gain
+
+
+def passing(machine: Transducer, grid: np.ndarray, passes: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Gains of the chunks that start nothing afresh (``passes``); ``state``, of the states behind chunks, gets theirs.
+
+    grid: symbols, a row a chunk. A run of such chunks begins behind one whose state is known.
+    """
+    rows, chunk = grid.shape
+    gained = np.zeros(rows, np.int64)
+
+    def walk(which: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = np.zeros(len(which), np.int64)
+        for j in range(chunk):
+            own, g = machine.step(own, grid[which, j])
+            total += g
+        return own, total
+
+    places = np.flatnonzero(passes)
+    leads = ~np.concatenate([[False], passes])[places] if places[0] == 0 else ~passes[places - 1]
+    known = np.where(places > 0, state[places - 1], 0)
+    guess, _ = walk(places, np.zeros(len(places), np.int64))
+    # lanes: a chunk and a state before it
+    entry = np.where(leads, known, np.concatenate([[0], guess[:-1]]))
+    follows = np.append(~leads[1:], False)  # the next of ``places`` goes on from this one
+    maps: list[dict[int, tuple[int, int]]] = [{} for _ in places]
+    # what has come before a chunk may come before all chunks behind the same characters
+    behind_same: dict[bytes, list[int]] = {}
+    ends = [None if lead else grid[p - 1, -machine.pieces.longest :].tobytes() for lead, p in zip(leads.tolist(), places.tolist(), strict=True)]
+    for k, end in enumerate(ends):
+        behind_same.setdefault(end, []).append(k)
+    met = set(zip(ends, entry.tolist(), strict=True))
+    todo = [(k, e) for k, e in enumerate(entry.tolist()) if leads[k]] + [(k, e) for end, e in met if end is not None for k in behind_same[end]]
+    while todo:
+        at, own = (np.array(x) for x in zip(*todo, strict=True))
+        out, total = walk(places[at], own)
+        todo = []
+        for k, before, behind, gain in zip(at.tolist(), own.tolist(), out.tolist(), total.tolist(), strict=True):
+            maps[k][before] = (behind, gain)
+            if follows[k] and (ends[k + 1], behind) not in met:
+                met.add((ends[k + 1], behind))
+                todo += [(other, behind) for other in behind_same[ends[k + 1]]]
+    # states before a chunk by number; what a map gives as numbers of the states before the next chunk
+    names = [list(m) for m in maps]
+    number = [{s: i for i, s in enumerate(own)} for own in names]
+    bounds = np.flatnonzero(leads).tolist() + [len(places)]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        width = max(map(len, names[a:b]))
+        to, gain = np.zeros((b - a, width), np.int64), np.zeros((b - a, width), np.int64)
+        for k in range(a, b):
+            for i, s in enumerate(names[k]):
+                behind, g = maps[k][s]
+                to[k - a, i], gain[k - a, i] = number[k + 1][behind] if k + 1 < b else behind, g
+        upto, total = compose(to, gain)
+        first = number[a][int(entry[a])]
+        total = total[:, first]
+        gained[places[a:b]] = np.diff(total, prepend=0)
+        last = upto[:, first].tolist()
+        state[places[a:b]] = [names[k + 1][last[k - a]] if k + 1 < b else last[k - a] for k in range(a, b)]
+    return gained
+
+
 def _counts(machine: Transducer, texts: list[str], chunk: int) -> np.ndarray:
     """Tokens of each text (none of them empty)."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -247,22 +320,12 @@ def _counts(machine: Transducer, texts: list[str], chunk: int) -> np.ndarray:
         state[(head <= j) & (grid[:, j] < 0)] = 0
         if len(live):
             state[live], gains[live, j] = machine.step(state[live], grid[live, j])
-    # the scan: a chunk without a fresh start turns what it gets into what it passes on
     passes = head == chunk
+    if passes.any():
+        own_gain = passing(machine, grid, passes, state)
+        apart_from = np.flatnonzero(passes)
+        totals += np.bincount(text_of[kept][apart_from * chunk], weights=own_gain[apart_from], minlength=len(texts)).astype(np.int64)
     entry = np.concatenate([[0], state[:-1]])
-    waiting = passes.copy()
-    while True:
-        ready = np.flatnonzero(waiting & ~np.concatenate([[False], waiting[:-1]]))
-        if not len(ready):
-            break
-        own = entry[ready]
-        for j in range(chunk):
-            own, gains[ready, j] = machine.step(own, grid[ready, j])
-        waiting[ready] = False
-        state[ready] = own
-        follow = ready + 1
-        inside = follow < rows
-        entry[follow[inside]] = own[inside]
     # heads: all chunks' beginnings in step, now that their entries are known
     own = entry.copy()
     for j in range(int(head[~passes].max(initial=0))):

@@ -64,20 +64,39 @@ def test_hysteresis_by_a_plain_loop():
 
 
 def test_clips_and_files(odd_docs):
-    found = audio.media(odd_docs.dropDuplicates(["doc_id", "text"]))
-    rows = found.collect()
+    stored = audio.write_clips(audio.write_media(odd_docs.dropDuplicates(["doc_id", "text"])))
+    rows = audio.clips(stored).collect()
+    files = stored.collect()
+    kept = [pa.ipc.open_file(pa.memory_map(f["clips_path"])).read_all() for f in files]
+    assert all(t.schema.field("mel").type.shape == [audio.CLIP, audio.BANDS] for t in kept)
+    assert sum(t.num_rows for t in kept) == len(rows)
     for r in rows:
-        assert len(r["mel"]) == audio.CLIP * audio.BANDS and r["start_s"] < r["end_s"]
+        assert len(r["mel"]) == audio.CLIP * audio.BANDS and r["start_s"] < r["end_s"] and 0 < r["frames"] <= audio.CLIP
         assert all(s["from_s"] < r["start_s"] + audio.CLIP * 0.0128 + 1e-9 and s["to_s"] > r["start_s"] for s in r["segments"])
-    files = audio.write_clips(found).collect()
-    assert sum(f["clips"] for f in files) == len(rows)
-    kept = [pa.ipc.open_file(pa.memory_map(f["path"])).read_all() for f in files]
-    assert all(t.schema.field("mel").type.shape == [audio.CLIP, audio.BANDS] for t in kept)
-    long = [r for r in rows if r["doc_id"] == 5]
-    assert len(long) > 5 and [r["clip"] for r in sorted(long, key=lambda r: r["start_s"])] == list(range(len(long)))
+    long = sorted((r for r in rows if r["doc_id"] == 5), key=lambda r: r["start_s"])
+    assert len(long) > 5 and [r["clip"] for r in long] == list(range(len(long)))
+    text = next(d["text"] for d in odd_docs.collect() if d["doc_id"] == 5)
+    _, mel, spans, _ = audio.analyse(audio.to_wav(audio.payload(text)[0]))
+    assert {(s["from_s"], s["to_s"]) for r in long for s in r["segments"]} == set(spans)
+    assert np.array_equal(np.concatenate([np.array(r["mel"]).reshape(audio.CLIP, -1)[: r["frames"]] for r in long]), mel.astype(np.float32))
+
+
+def test_blocks_of_frames_make_no_difference(monkeypatch):
+    media = audio.to_wav(audio.payload("some words that go on, and on; " * 3000)[0])
+    whole = audio.analyse(media)
+    monkeypatch.setattr(audio, "FRAMES_AT_ONCE", 35)
+    parts = audio.analyse(media)
+    assert np.allclose(whole[1], parts[1], atol=0.02) and len(whole[1]) == len(parts[1])
+    assert np.allclose(whole[2], parts[2])
+
+
+def test_features_are_those_of_the_stored_bytes(odd_docs):
+    for r, d in ((r, d) for r in audio.digests(odd_docs.where("doc_id = 7")).collect() for d in odd_docs.where("doc_id = 7").collect()):
+        _, mel, spans, _ = audio.analyse(audio.to_wav(audio.payload(d["text"])[0]))
+        assert r["feature"] == audio.summary(mel, spans)
 
 
 def test_empty_and_clashing(odd_docs):
     assert audio.digests(odd_docs.limit(0)).collect() == []
-    clash = odd_docs.withColumns({c: F.lit(1) for c in ("media", "mel", "n_bytes", "clip")})
+    clash = odd_docs.withColumns({c: F.lit(1) for c in ("media", "mel", "n_bytes", "clip", "folder")})
     assert audio.digests(clash).count() == odd_docs.count()

@@ -26,6 +26,27 @@ def test_odd_strings():
         assert found.tolist() == want
 
 
+def test_long_texts_without_spaces():
+    rng = random.Random(2)
+    words = "the quick brown fox jumps over lazy dogs and every other thing".split()
+    texts = ["a" * 30_000, "abcde" * 5000, "".join(rng.choice(words) for _ in range(4000)), "".join(chr(rng.randrange(33, 127)) for _ in range(8000)), "x 1" + "ab" * 7000 + " y"]
+    want = [len(x) for x in LIBRARY.encode(texts)]
+    for chunk in (192, 5):
+        assert token_counts.Counter(PATH, chunk=chunk).count(texts).tolist() == want
+
+
+def test_scan_is_composition():
+    rng = np.random.default_rng(4)
+    to, gain = rng.integers(0, 3, (13, 3)), rng.integers(0, 9, (13, 3))
+    upto, total = token_counts.compose(to, gain)
+    for first in range(3):
+        at, sum_ = first, 0
+        for k in range(13):
+            sum_ += gain[k, at]
+            at = to[k, at]
+            assert (upto[k, first], total[k, first]) == (at, sum_)
+
+
 def test_documents(spark, odd_docs):
     for docs in (odd_docs, spark.read.parquet(f"{SF}/documents.parquet")):
         rows = sorted(map(tuple, token_counts.token_counts(docs, PATH).collect()), key=str)

@@ -75,8 +75,26 @@ def test_every_window_has_the_target_proportions(spark):
 
 
 def test_more_sources_than_queues(spark, make_docs):
-    docs = make_docs([(i, "word " * (i % 50), "en", f"s{i % 23}") for i in range(300)])
-    check_pieces(packing.pack(docs, PATH, length=64, max_queues=5).collect(), docs.collect(), 64)
+    docs = make_docs([(i, "word " * (i % 50), "en", None if i % 23 == 7 else f"s{i % 23}") for i in range(300)])
+    for fan in (2, 5, 22, 23, 64):
+        check_pieces(packing.pack(docs, PATH, length=64, fan=fan).collect(), docs.collect(), 64)
+
+
+def test_two_hundred_sources_keep_their_shares(spark, make_docs):
+    docs = make_docs([(i, "word " * 900, "en", f"s{i % 200}") for i in range(400)] + [(1000 + i, "word " * 3000, "en", "s0") for i in range(30)])
+    rows = packing.pack(docs, PATH).toPandas()
+    check_pieces([r for r in rows.to_dict("records")], docs.collect())
+    share = rows.groupby("source").length.sum() / rows.length.sum()
+    full = rows[rows.sequence_id < rows.sequence_id.max() - 8]
+    got = full.pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0)
+    assert (got["s0"] - share["s0"] * 2048).abs().max() <= 2 * 64 + 1  # at the root, where windows begin within a round
+    own = sorted(share.drop("s0").index, key=lambda s: (-share[s], s))[:62]
+    assert (got[own] - share[own] * 2048).abs().max().max() <= 10
+    deep = [s for s in share.index if s != "s0" and s not in own]
+    assert (got[deep].sum(axis=1) - share[deep].sum() * 2048).abs().max() <= 2 * 64 + 1
+    whole = len(got) // 8 * 8
+    eight = got[deep].iloc[:whole].groupby(np.arange(whole) // 8).sum()  # inner rounds are longer than a window
+    assert (eight - share[deep] * 2048 * 8).abs().max().max() <= 4096 * share[deep].max() / share[deep].sum() + 64
 
 
 def test_products_beyond_64_bits():

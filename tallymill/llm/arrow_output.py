@@ -28,11 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import crc, materialise, shared_dir, small_batches
+from .shared import crc, materialise, shared_dir, slices, small_batches
 
 LENGTH = 2048
 BATCH_SEQUENCES = 256
-MANIFEST = "part int, docs_path string, tokens_path string, docs long, tokens long, sequences long"
+MANIFEST = "part int, folder string, docs_path string, tokens_path string, docs long, tokens long, sequences long"
 FOUND = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -96,9 +96,7 @@ def _writer(folder: str, tokenizer: str, end: int, length: int):
         names = [f"{base}/part-{part:05d}.{kind}.arrows" for kind in ("docs", "tokens")]
         codes = tokens = docs = index = None
         total = n_docs = 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in slices(batches, 512, "text"):
             if codes is None:
                 codes = encoder(tokenizer)
                 width = np.dtype(np.uint16 if max(codes.library.get_vocab_size(True) - 1, end) < 2**16 else np.uint32)
@@ -119,14 +117,14 @@ def _writer(folder: str, tokenizer: str, end: int, length: int):
             for sink, name in zip(sinks, names, strict=True):
                 sink.close()
                 files.move(name + own, name)
-            row = [[part], [names[0]], [names[1]], [n_docs], [total], [tokens.sequences]]
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "docs_path", "tokens_path", "docs", "tokens", "sequences"])
+            row = [[part], [folder], [names[0]], [names[1]], [n_docs], [total], [tokens.sequences]]
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "folder", "docs_path", "tokens_path", "docs", "tokens", "sequences"])
 
     return write
 
 
 def write(docs: DataFrame, tokenizer: str, end: int = 1, length: int = LENGTH, folder: str | None = None) -> DataFrame:
-    """Write the files; the manifest, one row a file: part, docs_path, tokens_path, docs, tokens, sequences."""
+    """Write the files; the manifest, one row a file: part, folder, docs_path, tokens_path, docs, tokens, sequences."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
@@ -144,33 +142,29 @@ def sequences(files, path: str, counts=None) -> Iterator[np.ndarray]:
             yield ids[:real]
 
 
-def _reader(folder: str):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for manifest in batches:
-            for row in manifest.to_pylist():
-                files, _ = file_system(folder)
-                runs = sequences(files, row["tokens_path"])
-                held, at = np.zeros(0, np.uint16), 0
-                with pa.ipc.open_stream(files.open_input_file(row["docs_path"])) as index:
-                    for docs in index:
-                        starts, sizes = (docs.column(c).to_numpy() for c in ("start", "n_tokens"))
-                        stop = int(starts[-1] + sizes[-1])
-                        parts = [held]
-                        while at + sum(map(len, parts)) < stop:
-                            parts.append(next(runs))
-                        held = np.concatenate(parts)
-                        wide = held[: stop - at].astype("<u4")
-                        sums = [crc(wide[s - at : s - at + n]) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-                        held, at = held[stop - at :], stop
-                        yield pa.record_batch([pa.array(np.full(len(sums), row["part"], np.int32)), docs.column("doc_id"), docs.column("start"), docs.column("n_tokens"), pa.array(sums, pa.int64())], names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for manifest in batches:
+        for row in manifest.to_pylist():
+            files, _ = file_system(row["folder"])
+            runs = sequences(files, row["tokens_path"])
+            held, at = np.zeros(0, np.uint16), 0
+            with pa.ipc.open_stream(files.open_input_file(row["docs_path"])) as index:
+                for docs in index:
+                    starts, sizes = (docs.column(c).to_numpy() for c in ("start", "n_tokens"))
+                    stop = int(starts[-1] + sizes[-1])
+                    parts = [held]
+                    while at + sum(map(len, parts)) < stop:
+                        parts.append(next(runs))
+                    held = np.concatenate(parts)
+                    wide = held[: stop - at].astype("<u4")
+                    sums = [crc(wide[s - at : s - at + n]) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                    held, at = held[stop - at :], stop
+                    yield pa.record_batch([pa.array(np.full(len(sums), row["part"], np.int32)), docs.column("doc_id"), docs.column("start"), docs.column("n_tokens"), pa.array(sums, pa.int64())], names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as little-endian uint32)."""
-    spark = manifest.sparkSession
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = manifest.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
-    found = manifest.repartition("part").mapInArrow(_reader(shared_dir(spark)), FOUND)
+    found = manifest.repartition("part").mapInArrow(_read, FOUND)
     return found.join(firsts, "part").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_pages import pages
-from .shared import small_batches
+from .shared import slices, small_batches
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|data-gold|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -40,8 +40,12 @@ NAME = re.compile(r"[A-Z]?[a-z]+")
 SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text of the page.
-SKIPPED = frozenset("script style title textarea template iframe noframes noembed xmp object svg math audio video canvas".split())
+#: Their content is no text of the page. That of the first kind isn't markup and ends at the first closing tag, or never; the others
+#: may hold others of their kind, and those that are never closed are taken for empty, as is whatever closes itself.
+RAW = frozenset("script style title textarea iframe noframes noembed xmp".split())
+SKIPPED = RAW | frozenset("template object svg math audio video canvas".split())
+#: Open elements behind which an open <p> isn't looked for.
+KEEPS_P = frozenset("table button object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Start tags that end an open <p>.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt".split())
@@ -96,6 +100,34 @@ class Forest:
         root = open_("#page", "", -1)
         self.roots.append(root)
         stack = [root]
+        places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
+        closings: dict[str, int] = {}
+
+        def close_from(k: int) -> None:
+            for node in stack[k:]:
+                end[node] = len(parent)
+                places[tags[node]].pop()
+            del stack[k:]
+
+        def innermost(some: frozenset[str]) -> int:
+            return max((places[t][-1] for t in some if places.get(t)), default=0)
+
+        def behind(tag: str, at: int) -> int:
+            """The place behind a skipped element's content, ``at`` if it is never closed."""
+            if tag in RAW:
+                close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                return close.end() if close else len(source)
+            if tag not in closings:
+                closings[tag] = source.lower().rfind(f"</{tag}")
+            if closings[tag] < at:
+                return at
+            deep = 1
+            for m in re.compile(rf"<(/?){tag}\b([^>]*)>", re.I).finditer(source, at):
+                deep += -1 if m[1] else 0 if m[2].endswith("/") else 1
+                if deep == 0:
+                    return m.end()
+            return at
+
         self.blocks += 1
         block = self.blocks
         at, n = 0, len(source)
@@ -117,12 +149,8 @@ class Forest:
                 continue
             tag = tag.lower()
             if m[1] or m[4]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == tag:
-                        for node in stack[k:]:
-                            end[node] = len(parent)
-                        del stack[k:]
-                        break
+                if places.get(tag):
+                    close_from(places[tag][-1])
                 if tag not in INLINE:
                     block += 1
                 continue
@@ -132,39 +160,30 @@ class Forest:
                 if tag == "br" or tag == "img":
                     segments.append((stack[-1], block, " "))
                     continue
-            if tag in ENDS_P and any(tags[k] == "p" for k in stack[-8:]):
-                k = next(i for i in range(len(stack) - 1, -1, -1) if tags[stack[i]] == "p")
-                if not any(tags[x] in ("table", "button", "object") for x in stack[k:]):
-                    for node in stack[k:]:
-                        end[node] = len(parent)
-                    del stack[k:]
+            if tag in ENDS_P and places.get("p") and innermost(KEEPS_P) < places["p"][-1]:
+                close_from(places["p"][-1])
             if tag in ENDS:
                 ended, stops = ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] in ended:
-                        for node in stack[k:]:
-                            end[node] = len(parent)
-                        del stack[k:]
-                        if tag != "tr":
-                            break
-                    elif tags[stack[k]] in stops:
-                        break
-            if len(stack) > 400:  # deeper markup goes on at this depth
-                stack.pop()
-            node = open_(tag, m[3] or m[6] or "", stack[-1])
+                stop = innermost(stops)
+                if tag == "tr":  # ends the row and its cells
+                    inside = [p for t in ended for p in places.get(t, ()) if p > stop]
+                    if inside:
+                        close_from(min(inside))
+                elif innermost(ended) > stop:
+                    close_from(innermost(ended))
+            attributes = m[3] or m[6] or ""
+            node = open_(tag, attributes, stack[-1])
+            closed = attributes.endswith("/")
             if tag in SKIPPED:
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = close.end() if close else n
+                at = at if closed else behind(tag, at)
                 end[node] = len(parent)
-            elif tag in VOID or (m[3] or "").endswith("/") and tag not in ENDS_P and tag not in ("a", "span", "b", "i"):
+            elif tag in VOID or closed and tag not in ENDS_P and tag not in ("a", "span", "b", "i"):
                 end[node] = len(parent)
             else:
+                places.setdefault(tag, []).append(len(stack))
                 stack.append(node)
         for node in stack:
             end[node] = len(parent)
-        for node in range(root, len(parent)):
-            if end[node] < 0:
-                end[node] = len(parent)
         self.blocks = block + 1
 
     def page_of(self) -> np.ndarray:
@@ -398,7 +417,7 @@ def extract(pages_table: DataFrame, extractor: Extractor | None = None) -> DataF
     held = spark.sparkContext.broadcast(extractor or Extractor())
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 256, "html"):
             if batch.num_rows:
                 found = held.value.texts(batch.column("html").to_pylist())
                 yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, held_out, materialise, small_batches, text_bytes
+from .shared import broadcast_if_small, held_out, materialise, slices, small_batches, text_bytes
 
 WINDOW = 96
 HIDDEN = 12
@@ -165,21 +165,22 @@ class ByteGru:
         return float(np.mean(losses[-20:]))
 
 
-def windows_of(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Texts' bytes as rows of ``window`` values, 256 behind a text's end, and the text of each row."""
+def window_places(offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of ``window`` bytes that texts are cut into: the text of each, where it begins, and its length."""
     sizes = np.diff(offsets)
     rows = -(-sizes // window)
     of = np.repeat(np.arange(len(sizes)), rows)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)
     start = offsets[of] + nth * window
-    length = np.minimum(window, offsets[of + 1] - start)
-    out = np.full((len(of), window), 256, np.int16)
-    full = length == window
-    if full.any():
-        out[full] = data[start[full][:, None] + np.arange(window)]
-    for i in np.flatnonzero(~full).tolist():
-        out[i, : length[i]] = data[start[i] : start[i] + length[i]]
-    return out, of
+    return of, start, np.minimum(window, offsets[of + 1] - start)
+
+
+def windows_at(data: np.ndarray, start: np.ndarray, length: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Rows of ``window`` bytes, 256 behind ``length``."""
+    place = np.arange(window)
+    out = data[np.minimum(start[:, None] + place, max(len(data) - 1, 0))].astype(np.int16)
+    out[place >= length[:, None]] = 256
+    return out
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE, span: int = SPAN) -> DataFrame | None:
@@ -205,7 +206,8 @@ def fit(rows: list[tuple[str, str]], window: int = WINDOW, hidden: int = HIDDEN,
     languages = sorted({r[0] for r in rows})
     raw = [t.encode() for _, t in rows]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
-    windows, of = windows_of(np.frombuffer(b"".join(raw), np.uint8), offsets, window)
+    of, start, length = window_places(offsets, window)
+    windows = windows_at(np.frombuffer(b"".join(raw), np.uint8), start, length, window)
     number = {lang: k for k, lang in enumerate(languages)}
     label = np.array([number[rows[i][0]] for i in of.tolist()])
     model = ByteGru(len(languages), hidden)
@@ -236,13 +238,12 @@ LANES = 1536
 def predict(languages: list[str], model: ByteGru, text: pa.Array, window: int = WINDOW, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
     """For each text the number of its language and its probability."""
     data, offsets = text_bytes(text)
-    windows, of = windows_of(data, offsets, window)
+    of, start, length = window_places(offsets, window)
     total = np.zeros((len(offsets) - 1, len(languages)))
-    ragged = (windows[:, -1] == 256) if len(windows) else np.zeros(0, bool)
-    for rows in (np.flatnonzero(~ragged), np.flatnonzero(ragged)):
+    for rows in (np.flatnonzero(length == window), np.flatnonzero(length < window)):
         for at in range(0, len(rows), lanes):
             pick = rows[at : at + lanes]
-            np.add.at(total, of[pick], model.probabilities(windows[pick]))
+            np.add.at(total, of[pick], model.probabilities(windows_at(data, start[pick], length[pick], window)))
     total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
     return total.argmax(axis=1), np.minimum(total.max(axis=1, initial=0), 1)
 
@@ -252,7 +253,7 @@ def identify(docs: DataFrame, languages: list[str], model: ByteGru | None) -> Da
     small_batches(docs.sparkSession)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 512, "text"):
             if batch.num_rows:
                 best, score = predict(languages, model, batch.column("text"))
                 yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), batch.column("lettered"), pa.array(languages).take(pa.array(best)), pa.array(score)], names=["doc_id", "held_out", "lettered", "lang_pred", "score"])
@@ -278,7 +279,7 @@ def known(docs: DataFrame, least: float = 0.35) -> DataFrame:
     kept = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 512, "text"):
             if batch.num_rows:
                 _, score = predict(languages, model, batch.column("text"))
                 yield batch.filter(pa.array(score >= least))

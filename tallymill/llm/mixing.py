@@ -9,7 +9,7 @@ target is drawn without replacement: each document has the key -ln(u) / quality,
 doc_id, and the documents of a source are taken in the order of their keys until their summed sizes
 reach the rest; the last one gives its first words only, so that a source takes its target to the word.
 
-Quality is the share of letters among the characters that aren't white space.
+Quality is a column that the caller names, or the share of letters among the characters that aren't white space.
 
 Cases: null or empty text has size 0, a key like any other, and takes 0. A null source is a source of
 its own, the last. A null doc_id is drawn by the text "null". Equal keys (repeated doc_ids) are ordered by doc_id,
@@ -18,44 +18,66 @@ rows. Other columns of the input are left out by ``mix`` and kept by ``apply_mix
 
 Scale: the text is read once, to a table of some 40 bytes a document. Prefix sums need no partition of a
 whole source: rows are range-partitioned by (source, key), each partition's sums are themselves summed,
-and a row's sum starts at its partition's. One row a source meets in one task, to rank the sources.
+and a row's sum starts at its partition's. Sources are ranked and their limits summed the same way, so no task gets all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import broadcast_if_small, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_REPEATS = 3
 
 
-def measured(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, source, size, quality, and the columns ``keep``."""
+def letter_share() -> Column:
+    """The share of letters among the characters that aren't white space, of column text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     solid = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
-    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), ((letters + 1) / (solid + 1)).alias("quality"), *keep)
+    return (letters + 1) / (solid + 1)
+
+
+def measured(docs: DataFrame, quality: Column | None = None, *keep: Column) -> DataFrame:
+    """doc_id, source, size, quality (a positive column; by default ``letter_share``), and ``keep``."""
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), (letter_share() if quality is None else quality).alias("quality"), *keep)
+
+
+def in_ranges(rows: DataFrame, order: list[Column], name: str, *sums: Column) -> DataFrame:
+    """Rows with running sums in an order of all of them: range-partitioned by it, summed within parts, and from the sums of the parts before.
+
+    Only one row a part meets in one task. sums: named columns; they are replaced by their sums over the rows up to their own.
+    """
+    names = [rows.select(c).columns[0] for c in sums]
+    keys = [f"o{i}" for i in range(len(order))]
+    ranged = rows.select("*", *(c.alias(f"_{n}") for c, n in zip(sums, names, strict=True))).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranged = materialise(ranged, name)
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    firsts = ranged.groupBy("part").agg(*(F.sum(f"_{n}").alias(f"_{n}") for n in names)).select("part", *(F.coalesce(F.sum(f"_{n}").over(every), F.lit(0)).alias(f"first_{n}") for n in names))
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.select("*", *(F.sum(f"_{n}").over(inside).alias(f"in_{n}") for n in names)).join(firsts, "part")
+    return summed.select(*rows.columns, *((F.col(f"first_{n}") + F.col(f"in_{n}")).alias(n) for n in names)).drop(*keys)
 
 
 def source_targets(sizes: DataFrame, most_repeats: int = MOST_REPEATS) -> DataFrame:
     """source, source_size, target from one row a source (source, source_size).
 
-    A source is at its limit if the level at which it gets there shares out no more than there is.
+    A source is at its limit if the level at which it gets there shares out no more than there is; so are all that get there at lower levels.
     """
-    every = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(F.lit(1))
-    upto = Window.orderBy("limit_level").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = sizes.select("source", "source_size", ((F.count(F.lit(1)).over(every) - 1) % 3 + 1).alias("weight"))
-    ranked = ranked.withColumn("most", F.col("source_size") * most_repeats).withColumn("limit_level", F.col("most") / F.col("weight"))
-    ranked = ranked.select("*", F.sum("source_size").over(whole).alias("all_size"), F.sum("weight").over(whole).alias("all_weight"), F.sum("most").over(upto).alias("most_upto"), F.sum("weight").over(upto).alias("weight_upto"))
-    limited = F.col("most_upto") + F.col("limit_level") * (F.col("all_weight") - F.col("weight_upto")) <= F.col("all_size")
-    ranked = ranked.withColumn("limited", limited)
-    spare = F.col("all_size") - F.coalesce(F.sum(F.when(F.col("limited"), F.col("most"))).over(whole), F.lit(0))
-    open_weight = F.sum(F.when(~F.col("limited"), F.col("weight"))).over(whole)
-    share = F.when(F.col("limited"), F.col("most").cast("double")).otherwise(F.least(F.col("most").cast("double"), spare * F.col("weight") / open_weight))
+    ranked = in_ranges(sizes, [F.col("source").asc_nulls_last()], "ranked", F.lit(1).cast("long").alias("nth"))
+    ranked = ranked.select("source", "source_size", ((F.col("nth") - 1) % 3 + 1).alias("weight")).withColumn("most", F.col("source_size") * most_repeats)
+    ranked = materialise(ranked.withColumn("limit_level", F.col("most") / F.col("weight")), "levels")
+    whole = ranked.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    size, weight = (F.lit(x or 0).cast("long") for x in whole)
+    levels = in_ranges(ranked.groupBy("limit_level").agg(F.sum("most").alias("most"), F.sum("weight").alias("weight")), [F.col("limit_level")], "upto", F.col("most").alias("most_upto"), F.col("weight").alias("weight_upto"))
+    last = levels.where(F.col("most_upto") + F.col("limit_level") * (weight - F.col("weight_upto")) <= size).agg(F.max("limit_level")).first()[0]
+    limited = F.lit(False) if last is None else F.col("limit_level") <= F.lit(last)
+    rest = ranked.agg(F.sum(F.when(limited, F.col("most"))).alias("most"), F.sum(F.when(~limited, F.col("weight"))).alias("weight")).first()
+    spare = F.lit((whole["size"] or 0) - (rest["most"] or 0)).cast("long")
+    share = F.when(limited, F.col("most").cast("double")).otherwise(F.least(F.col("most").cast("double"), spare * F.col("weight") / F.lit(rest["weight"]).cast("long")))
     return ranked.select("source", "source_size", share.alias("target"))
 
 
@@ -64,9 +86,9 @@ def draw_key(doc_id="doc_id", quality="quality"):
     return -F.ln(u) / F.col(quality)
 
 
-def mix(docs: DataFrame, most_repeats: int = MOST_REPEATS) -> DataFrame:
+def mix(docs: DataFrame, most_repeats: int = MOST_REPEATS, quality: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes, repeats counted), source, quality."""
-    rows = materialise(measured(docs), "sizes")
+    rows = materialise(measured(docs, quality), "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most_repeats)
     ranged = rows.withColumn("key", draw_key()).repartitionByRange(F.col("source"), F.col("key"), F.col("doc_id"), F.col("size"))
     ranged = materialise(ranged.withColumn("part", F.spark_partition_id()), "ranged")
@@ -83,23 +105,24 @@ def mix(docs: DataFrame, most_repeats: int = MOST_REPEATS) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken.cast("long").alias("taken"), F.col("r.source").alias("source"), F.round("quality", 9).alias("quality"))
 
 
-def apply_mix(docs: DataFrame, most_repeats: int = MOST_REPEATS) -> DataFrame:
+def apply_mix(docs: DataFrame, most_repeats: int = MOST_REPEATS, quality: Column | None = None) -> DataFrame:
     """The mix itself: each document as often as it is taken, the last time perhaps its first words alone; the columns of ``docs``.
 
     Rows alike in doc_id, source and size take what the fullest of them takes.
     """
-    taken = mix(docs, most_repeats).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("_taken"), F.max("quality").alias("quality"))
-    sized = measured(docs, *(F.col(c).alias(f"_{c}") for c in docs.columns)).withColumn("quality", F.round("quality", 9)).alias("d")
+    taken = mix(docs, most_repeats, quality).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
+    # most documents are taken once or as often as all of their source: only ids and counts are joined, by broadcast while they are few
+    taken = broadcast_if_small(materialise(taken, "taken"))
+    sized = measured(docs, quality, F.struct(*docs.columns).alias("doc")).alias("d")
     on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.size") == F.col("t.size"))
-    both = sized.join(taken.alias("t"), on).select("d.*", "_taken")
-    times = F.ceil(F.col("_taken") / F.col("size"))
-    copies = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
-    words = F.col("_taken") - (F.col("_copy") - 1) * F.col("size")
-    cut = F.when(words >= F.col("size"), F.col("_text")).otherwise(F.array_join(F.slice(F.split(F.regexp_replace(F.col("_text"), r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1), F.greatest(words, F.lit(1)).cast("int")), ""))
-    copies = copies.withColumn("_text", cut)
-    if "n_chars" in docs.columns:
-        copies = copies.withColumn("_n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
-    return copies.select(*(F.col(f"_{c}").alias(c) for c in docs.columns))
+    both = sized.join(taken.alias("t"), on).select("d.size", "taken", "doc")
+    times = F.ceil(F.col("taken") / F.col("size"))
+    copies = both.withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
+    words = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    text = F.col("doc.text")
+    cut = F.when(words >= F.col("size"), text).otherwise(F.array_join(F.slice(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1), F.greatest(words, F.lit(1)).cast("int")), ""))
+    out = copies.select(F.struct(*(cut.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns)).alias("doc"))
+    return out.select(*(F.length("doc.text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = r"""

@@ -5,7 +5,7 @@ byte classes (lower vowel, other lower letter, upper letter, digit, space, line
 what tells the shape of a text: bins of the shares of repeated words, of words that repeat the one before, of
 upper-case letters and of marks, of mean word length and of length. The whole text is counted.
 
-Space. Of the labelled rows that aren't held out some ``SAMPLE`` are learned from, chosen by a hash; the singular value
+Space. Of the labelled rows that aren't held out some ``SAMPLE`` are learned from, chosen by a hash (none longer than ``LONGEST`` bytes, ``SAMPLE_BYTES`` in all); the singular value
 decomposition of their terms gives the space, ``RANK`` wide. Their vectors and labels, at most
 ``1.5 * SAMPLE * RANK`` numbers, go to every task; that bound doesn't grow with the tables.
 
@@ -23,12 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import held_out, small_batches, text_bytes, word_hashes
+from .shared import held_out, slices, small_batches, text_bytes, word_hashes
 
 SAMPLE = 4000
+#: Bounds of what is learned from, in bytes: of one text, and of the whole sample. Neither bounds what is scored.
+LONGEST, SAMPLE_BYTES = 1 << 18, 64 << 20
 RANK = 48
 NEAREST = 24
 SHARPNESS = 8
@@ -80,17 +82,25 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def terms(data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray | None = None) -> np.ndarray:
-    """A row of ``TERMS`` weights for each text; texts without a byte have none."""
+def terms(data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray | None = None, step: int = 1 << 20) -> np.ndarray:
+    """A row of ``TERMS`` weights for each text; texts without a byte have none. Bytes are counted ``step`` at a time."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
-    row = np.repeat(np.arange(n), sizes)
-    kind = KIND[data]
-    runs = np.zeros((n, RUNS), np.float32)
-    if len(data) > 2:
-        three = (kind[:-2] * KINDS + kind[1:-1]) * KINDS + kind[2:]
-        inside = row[:-2] == row[2:]
-        runs = np.bincount((row[:-2] * RUNS + three)[inside], minlength=n * RUNS).astype(np.float32).reshape(n, RUNS)
+    runs = np.zeros(n * RUNS)
+    upper, lower, marks = np.zeros(n), np.zeros(n), np.zeros(n)
+    for at in range(0, len(data), step):
+        kind = KIND[data[at : at + step + 2]]
+        row = np.searchsorted(offsets, np.arange(at, at + len(kind)), side="right") - 1
+        if len(kind) > 2:
+            three = (kind[:-2] * KINDS + kind[1:-1]) * KINDS + kind[2:]
+            first = row[0]
+            inside = row[:-2] == row[2:]
+            found = np.bincount((row[:-2] - first)[inside] * RUNS + three[inside])
+            runs[first * RUNS : first * RUNS + len(found)] += found
+        kind, row = kind[:step], row[:step]
+        for counts, m in ((upper, kind == 2), (lower, (kind < 2) | (kind == 12)), (marks, (kind >= 8) & (kind != 12))):
+            counts += np.bincount(row[m], minlength=n)
+    runs = runs.astype(np.float32).reshape(n, RUNS)
     words, bounds = word_hashes(data, offsets)
     count = np.diff(bounds)
     of = np.repeat(np.arange(n), count)
@@ -98,7 +108,6 @@ def terms(data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray | None = Non
     key = np.sort((words & np.uint64(0xFFFFFFFF)) | (of.astype(np.uint64) << np.uint64(32)))
     again = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(32)).astype(np.int64), minlength=n) if len(key) else np.zeros(n)
     twice = np.bincount(of[1:][(words[1:] == words[:-1]) & (of[1:] == of[:-1])], minlength=n) if len(words) else np.zeros(n)
-    upper, lower, marks = (np.bincount(row[m], minlength=n) for m in (kind == 2, (kind < 2) | (kind == 12), (kind >= 8) & (kind != 12)))
     some = np.maximum(count, 1)
     shares = [again / some, twice / some, upper / np.maximum(upper + lower, 1), marks / np.maximum(sizes, 1), np.minimum(sizes / some / 24, 1), np.minimum(np.log2(sizes + 1) / 20, 1)]
     shape = np.zeros((n, SHAPES), np.float32)
@@ -144,7 +153,7 @@ class Voters:
     def _unit(v: np.ndarray) -> np.ndarray:
         return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-9)
 
-    def score(self, data: np.ndarray, offsets: np.ndarray, block: int = 256) -> np.ndarray:
+    def score(self, data: np.ndarray, offsets: np.ndarray, block: int = 128) -> np.ndarray:
         """The share of the votes for label 1, block by block."""
         out = np.empty(len(offsets) - 1)
         k = min(NEAREST, len(self.label))
@@ -168,7 +177,9 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list:
     share = min(SHARES, SHARES * most // n + 1)
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) < share).orderBy(F.xxhash64("doc_id"), "quality").limit(int(1.5 * most))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").select("text", "quality")
-    return sorted(map(tuple, rows.orderBy(F.xxhash64("text"), "quality").limit(int(1.5 * most)).collect()))
+    rows = rows.where(F.octet_length("text") <= LONGEST).orderBy(F.xxhash64("text"), "quality").limit(int(1.5 * most))
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("text"), "quality", "text").rowsBetween(Window.unboundedPreceding, 0))  # over the few rows of the sample
+    return sorted(map(tuple, rows.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("text", "quality").collect()))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Voters | None:
@@ -187,7 +198,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     voters = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 512, "text"):
             if batch.num_rows:
                 yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(_score_column(voters.value, batch.column("text")))], names=["doc_id", "held_out", "score"])
 
@@ -202,7 +213,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
     voters = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 512, "text"):
             if batch.num_rows:
                 yield batch.filter(pa.array(_score_column(voters.value, batch.column("text")) >= least))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -12,6 +13,8 @@ import numpy as np
 #: Words that a worker remembers, and as a share of that, pieces of words; when more are met, it forgets them and starts again.
 REMEMBERED = 320_000
 PIECES_SHARE = 0.5
+#: Characters that are worked on at once; longer texts are cut at spaces.
+AT_ONCE = 4 << 20
 #: Texts without these may be put in lower case and parted into pieces here: no composition, context or added token is in sight.
 _NOT_PLAIN = re.compile("[^\x00-ɏ]|<\\|")
 #: How the tokenizer file parts words: runs of letters, single digits, six endings, runs of anything else; for plain texts.
@@ -33,6 +36,19 @@ def _has_odd_space(text: str) -> bool:
     return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
 
 
+def _parts(text: str, most: int = AT_ONCE // 4) -> list[str]:
+    """A text cut at spaces into parts of some ``most`` characters (a longer word stays whole)."""
+    if len(text) <= most:
+        return [text]
+    out, at = [], 0
+    while at < len(text):
+        stop = text.find(" ", at + most)
+        stop = len(text) if stop < 0 else stop
+        out.append(text[at:stop])
+        at = stop
+    return out
+
+
 class _Numbers(dict):
     """Numbers words in the order they are first asked for; ``new`` gets those that are asked for anew."""
 
@@ -74,13 +90,36 @@ class _Runs:
         return self.flat[np.repeat(self.start[at] - upto[:-1], lengths) + np.arange(upto[-1])], upto
 
 
+# What a tokenizer file says of normalising and splitting if its texts may be taken word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def _splits_at_space(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    splits = told.get("pre_tokenizer") or {}
+    first = (splits.get("pretokenizers") or [{}])[0]
+    model = told["model"]
+    return (
+        told.get("normalizer") == NORMALIZER
+        and first == SPLIT
+        and [x.get("add_prefix_space") for x in splits["pretokenizers"][1:]] == [False]
+        and model["type"] == "BPE"
+        and model.get("end_of_word_suffix") == "</w>"
+        and not model.get("dropout")
+        and not any(re.search(r"\s", t["content"]) or t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].startswith("<|") for t in told.get("added_tokens", ()))
+    )
+
+
 class WordEncoder:
     """Encodes texts as the library does, but each distinct word, and piece of a word, once.
 
     It is exact for tokenizers that drop white space before anything else is looked at, as
     word_bpe_49k does: none of its tokens, added tokens included, holds white space, and no normaliser looks
     beyond it. Plain words are put in lower case and parted as the tokenizer file parts them; others, with combining marks,
-    added tokens or letters whose case has a context, go to the library as they are.
+    added tokens or letters whose case has a context, go to the library as they are. For a file of any other kind, which ``_splits_at_space``
+    tells, whole texts go to the library.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -89,6 +128,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.by_words = _splits_at_space(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.remembered = remembered
@@ -123,15 +163,44 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order as uint32, and how many each text has (null: as an empty text); ``end`` is appended to each."""
+        parts: list[str] = []
+        last: list[int] = []  # the last part of each text
+        for text in texts:
+            parts += _parts(text or "") if self.by_words else [text or ""]
+            last.append(len(parts) - 1)
+        ids, sizes, at = [np.zeros(0, np.uint32)], [], 0
+        while at < len(parts):
+            stop, held = at, 0
+            while stop < len(parts) and (stop == at or held + len(parts[stop]) <= AT_ONCE):
+                held += len(parts[stop])
+                stop += 1
+            own, n = (self._words if self.by_words else self._whole)(parts[at:stop])
+            ids.append(own)
+            sizes.append(n)
+            at = stop
+        ids = np.concatenate(ids)
+        upto = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+        bounds = np.concatenate([[0], upto[np.array(last, np.int64) + 1]])
+        sizes = np.diff(bounds)
+        if end is not None:
+            ids = np.insert(ids, bounds[1:], np.uint32(end))
+            sizes = sizes + 1
+        return ids, sizes
+
+    def _whole(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), n
+
+    def _words(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) > self.remembered:
             self.words, self.word_runs = _Numbers(), _Runs()
         if len(self.pieces) > PIECES_SHARE * self.remembered:
             self.pieces, self.piece_runs = _Numbers(), _Runs()
-        counts = np.zeros(len(texts), np.int64)
+        counts = np.zeros(len(parts), np.int64)
         places: list[np.ndarray] = [np.zeros(0, np.int64)]
         plain = True
-        for i, text in enumerate(texts):
-            text = text or ""
+        for i, text in enumerate(parts):
             if _has_odd_space(text):
                 words, plain = [text], False
             elif _is_plain(text):
@@ -144,12 +213,7 @@ class WordEncoder:
             new, self.words.new = self.words.new, []
             self._learn(new, plain)
         ids, upto = self.word_runs.take(np.concatenate(places))
-        bounds = upto[np.concatenate([[0], np.cumsum(counts)])]
-        sizes = np.diff(bounds)
-        if end is not None:
-            ids = np.insert(ids, bounds[1:], np.uint32(end))
-            sizes = sizes + 1
-        return ids, sizes
+        return ids, np.diff(upto[np.concatenate([[0], np.cumsum(counts)])])
 
 
 @lru_cache(maxsize=1)

@@ -69,6 +69,23 @@ def test_a_page_by_hand(extractor):
     assert extractor.texts([source])[0].split("\n\n") == ["A title & more", one, f"Second paraégraph with a link, and a line. {one}", f"Third one. {one}"]
 
 
+def test_skipped_elements_that_close_themselves_or_never(extractor):
+    body = "A long sentence of the story, with some words and a few more, and then an end. " * 4
+    one = re.sub(r"\s+", " ", body).strip()
+    for odd in ("<svg class='i'/>", "<iframe src='x' />", "<object data=x />", "<video src=x/>", "<audio/>", "<canvas/>", "<textarea/>", "<video src=x>", "<canvas>", "<object data=x>", "<svg><svg><path/></svg><text>no</text></svg>", "<object><object>no</object>no</object>", "<script>no</script>"):
+        source = f"<html><body><header class=site-header><a href=/>Site</a></header>{odd}<article><h1>Title of it</h1><p>{body}</p><p>{body}</p></article><footer>&copy; Site</footer></body></html>"
+        assert extractor.texts([source])[0].split("\n\n") == ["Title of it", one, one], odd
+
+
+def test_a_thousand_levels(extractor):
+    forest = html_text.Forest()
+    forest.add("<div>" * 1000 + "<p>deep<span>" + "<i>" * 20 + "x<div>y" + "</div>" * 500 + "<p>z")
+    assert max(forest.depth) >= 1022
+    paragraph = forest.tag.index("p")
+    assert forest.end[paragraph] == paragraph + 22  # the <div> ended it, however far up it was opened
+    assert forest.depth[-1] == 501 + 1
+
+
 def test_decoding_is_the_best_labelling():
     rng = np.random.default_rng(1)
     for _ in range(30):

@@ -65,7 +65,8 @@ def test_states_by_the_plain_recurrence():
 def test_windows_hold_every_byte(odd_docs):
     texts = [r["text"] or "" for r in odd_docs.collect()]
     data, offsets = language_id.text_bytes(pa.array(texts))
-    windows, of = language_id.windows_of(data, offsets, 31)
+    of, start, length = language_id.window_places(offsets, 31)
+    windows = language_id.windows_at(data, start, length, 31)
     for i, t in enumerate(texts):
         assert bytes(windows[of == i][windows[of == i] < 256].astype(np.uint8)) == t.encode()
 

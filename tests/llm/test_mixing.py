@@ -1,6 +1,7 @@
 import math
 
 import duckdb
+from pyspark.sql import functions as F
 from tallymill.llm import mixing
 
 from .conftest import SF
@@ -64,7 +65,36 @@ def test_the_mix_holds_what_was_taken(spark, odd_docs):
 
 def test_empty_and_clashing(spark, odd_docs):
     assert mixing.mix(odd_docs.limit(0)).collect() == []
-    from pyspark.sql import functions as F
-
     clash = odd_docs.withColumns({c: F.lit("x") for c in ("size", "taken", "part", "key", "target", "weight", "quality", "_text")})
     assert mixing.mix(clash).count() == odd_docs.count()
+    names = ("size", "taken", "copy", "_copy", "_taken", "doc", "quality", "part", "key", "_text")
+    clash = odd_docs.withColumns({c: F.lit("x") for c in names})
+    out = mixing.apply_mix(clash)
+    assert out.columns == clash.columns and {tuple(r[c] for c in names) for r in out.collect()} == {("x",) * len(names)}
+    assert out.count() == mixing.apply_mix(odd_docs).count()
+
+
+def test_many_sources_by_hand(spark):
+    rows = [(f"s{i:03d}" if i else None, (i * 37) % 101 + 1) for i in range(300)]
+    found = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "source string, source_size long").repartition(3)).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
+    weight = {s: k % 3 + 1 for k, (s, _) in enumerate(ordered)}
+    open_, want, spare = dict(rows), {}, sum(n for _, n in rows)
+    while True:  # plain water filling
+        total = sum(weight[s] for s in open_)
+        over = [s for s, n in open_.items() if spare * weight[s] / total > 3 * n]
+        if not over:
+            break
+        for s in over:
+            want[s] = 3.0 * open_[s]
+        spare -= sum(want[s] for s in over)
+        for s in over:
+            del open_[s]
+    want |= {s: spare * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    assert all(abs(found[s] - want[s]) < 1e-6 for s in want) and len(found) == len(want)
+
+
+def test_a_quality_column(spark, make_docs):
+    docs = make_docs([(i, "a b c d e", "en", "s") for i in range(400)] + [(1000 + i, "a b", "en", "t") for i in range(900)]).withColumn("score", F.when(F.col("doc_id") % 2 == 0, 9.0).otherwise(0.1))
+    rows = [r for r in mixing.mix(docs, quality=F.col("score")).collect() if r["source"] == "s"]
+    assert sum(r["taken"] > 0 for r in rows if r["doc_id"] % 2 == 0) > 3 * max(1, sum(r["taken"] > 0 for r in rows if r["doc_id"] % 2))

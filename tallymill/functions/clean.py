@@ -19,7 +19,6 @@ CURRENCY_CODES = ["AED", "USD", "EUR", "GBP", "INR", "SAR", "QAR", "KWD", "OMR",
 
 # Date layouts, in the order in which they are tried.
 DATE_LAYOUTS = ["yyyy-MM-dd", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/M/d", "d.M.yyyy"]
-DATE_BLANKS = ["null", "none", "n/a", "-", ""]
 
 # Leading bytes of the accepted file kinds, and the declared types each may come under.
 MAGIC = [("255044462D", "application/pdf"), ("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg")]
@@ -36,34 +35,53 @@ def squeeze(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def money(raw: Column) -> Column:
     """decimal(18,6) of an amount as people write it.
 
     Brackets negate. If comma and dot both occur the later one is the decimal sign. Commas alone part
     thousands if exactly three digits follow the last one, else they are decimal signs; a dot alone is one.
     """
-    text = F.trim(raw)
-    negative = text.rlike(r"^\(.*\)$")
-    kept = F.regexp_replace(text, r"[^\d.,-]", "")
-    comma, dot = F.instr(kept, ","), F.instr(kept, ".")
-    last_comma = F.length(kept) - F.instr(F.reverse(kept), ",")
-    last_dot = F.length(kept) - F.instr(F.reverse(kept), ".")
-    digits = (
-        F.when((comma > 0) & (dot > 0), F.when(last_comma > last_dot, F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(kept, F.lit(","), F.lit(""))))
-        .when((comma > 0) & kept.rlike(r",\d{3}$"), F.replace(kept, F.lit(","), F.lit("")))
-        .when(comma > 0, F.replace(kept, F.lit(","), F.lit(".")))
-        .otherwise(kept)
-    )
-    value = F.when(digits.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), digits.try_cast("decimal(18,6)"))
-    return F.when(negative & (value > 0), -value).otherwise(value).cast("decimal(18,6)")
+
+    def read(text: Column) -> Column:
+        def digits(kept: Column) -> Column:
+            comma, dot = F.instr(kept, ","), F.instr(kept, ".")
+            later_comma = F.instr(F.reverse(kept), ",") < F.instr(F.reverse(kept), ".")
+            bare, dotted = F.replace(kept, F.lit(","), F.lit("")), F.replace(kept, F.lit(","), F.lit("."))
+            thousands = kept.rlike(r",\d{3}$")
+            return F.when(comma == 0, kept).when(dot > 0, F.when(later_comma, F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(bare)).when(thousands, bare).otherwise(dotted)
+
+        value = bound(F.regexp_replace(text, r"[^\d.,-]", ""), digits).try_cast("decimal(18,6)")
+        negative = text.startswith("(") & text.endswith(")")
+        return F.when(negative, bound(value, lambda v: F.when(v > 0, -v).otherwise(v))).otherwise(value)
+
+    return bound(F.trim(raw), read).cast("decimal(18,6)")
 
 
 def date(raw: Column) -> Column:
-    """A date in any of ``DATE_LAYOUTS``, day before month where both fit."""
-    text = F.trim(F.regexp_replace(raw, r"\s+", " "))
-    iso = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})", 1)
-    tried = [F.try_to_date(F.nullif(iso, F.lit("")), "yyyy-MM-dd"), *(F.try_to_date(text, layout) for layout in DATE_LAYOUTS)]
-    return F.when(F.lower(text).isin(DATE_BLANKS), None).otherwise(F.coalesce(*tried))
+    """A date in any of ``DATE_LAYOUTS``, day before month where both fit. A text's shape tells which layouts are tried."""
+
+    def read(text: Column) -> Column:
+        out, named = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")), r"[^\W\d_]"
+        shapes = [
+            (r"^\d{1,2}/\d{1,2}/\d{4}$", ["d/M/yyyy", "M/d/yyyy"]),
+            (r"^\d{1,2}-\d{1,2}-\d{4}$", ["d-M-yyyy"]),
+            (rf"^\d{{1,2}} {named}{{3}} \d{{4}}$", ["d MMM yyyy"]),
+            (rf"^\d{{1,2}} {named}+ \d{{4}}$", ["d MMMM yyyy"]),
+            (rf"^{named}{{3}} \d{{1,2}}, \d{{4}}$", ["MMM d, yyyy"]),
+            (rf"^{named}+ \d{{1,2}}, \d{{4}}$", ["MMMM d, yyyy"]),
+            (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
+            (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["d.M.yyyy"]),
+        ]
+        for shape, layouts in shapes:
+            out = out.when(text.rlike(shape), F.coalesce(*(F.try_to_date(text, layout) for layout in layouts)))
+        return out
+
+    return bound(F.trim(F.regexp_replace(raw, r"\s+", " ")), read)
 
 
 def currency(raw: Column) -> Column:

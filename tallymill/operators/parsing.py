@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import CURRENCY_CODES, date, money
+from ..functions.clean import CURRENCY_CODES, bound, date, money, squeeze
 
 # Words that hint at a kind of document, in the order in which ties fall.
 KIND_HINTS = {
     "contract": ["agreement", "this contract", "statement of work", "terms and conditions", "hereinafter", "party of the"],
-    "receipt": ["receipt", "paid in full", "payment received", "change due"],
-    "invoice": ["invoice", "bill to", "due date", "vat", "subtotal", "amount due"],
+    "receipt": ["receipt", "paid in full", "payment received", "change due", "cash tendered", "thank you for your payment"],
+    "invoice": ["invoice", "amount due", "bill to", "payment terms", "total due", "vat", "purchase order"],
 }
-# How labelled fields, amounts, tables and numbers look.
+# How labelled fields, amounts, tables, numbers, currency signs and lines that are no vendor look.
+DAY = r"([0-9]{1,4}[-/. ][A-Za-z0-9]{1,9}[-/. ][0-9]{2,4}|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4})"
 LABEL = {
-    "invoice_number": r"(?i)(?:invoice|inv|bill|ref(?:erence)?)[ \t]*(?:no\.?|number|#)?[ \t]*[:#][ \t]*(?=[A-Z0-9\-/_]*\d)([A-Z0-9][A-Z0-9\-/_]{2,30})",
-    "issue_date": r"(?i)(?:invoice\s*date|issue\s*date|issued(?:\s*on)?)\s*[:#]?\s*([0-9]{1,4}[-/. ][A-Za-z0-9]{1,9}[-/. ][0-9]{2,4}|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4})",
-    "due_date": r"(?i)(?:due\s*date|payment\s*due|due\s*by|pay\s*by)\s*[:#]?\s*([0-9]{1,4}[-/. ][A-Za-z0-9]{1,9}[-/. ][0-9]{2,4}|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4})",
-    "payment_terms": r"(?i)(?:payment\s*terms|terms)\s*[:#]?\s*([^\n]{2,60})",
+    "invoice_number": r"(?i)(?:invoice|inv|bill|document|reference|ref)[ \t]*(?:no\.?|number|num|#|id)?[ \t]*[:#][ \t]*(?=[A-Z0-9\-/_]*\d)([A-Z0-9][A-Z0-9\-/_]{2,30})",
+    "issue_date": r"(?im)(?:invoice\s*date|issue\s*date|issued(?:\s*on)?|date\s*of\s*issue|^\s*date)\s*[:#]?\s*" + DAY,
+    "due_date": r"(?i)(?:due\s*date|payment\s*due|due\s*by|pay\s*by)\s*[:#]?\s*" + DAY,
+    "payment_terms": r"(?i)(?:payment\s*terms|terms\s*of\s*payment|terms)\s*[:#]?\s*([^\n]{2,60})",
 }
+AMOUNT_TAIL = r"\s*[:#]?\s*[^\d\-(]{0,12}(\(?-?[\d,.\x20]+\)?)"
 AMOUNT = {
-    "subtotal": r"(?i)(?:sub[\s-]*total|net\s*amount)\s*[:#]?\s*[^\d\-(]{0,12}(\(?-?[\d,.]+\)?)",
-    "tax": r"(?i)(?:vat|tax|gst)(?:\s*@?\s*\d{1,2}(?:\.\d+)?\s*%)?\s*[:#]?\s*[^\d\-(]{0,12}(\(?-?[\d,.]+\)?)",
-    "total": r"(?i)(?:grand\s*total|total\s*due|amount\s*due|(?<!sub)(?<!sub[ -])total)\s*[:#]?\s*[^\d\-(]{0,12}(\(?-?[\d,.]+\)?)",
+    "subtotal": r"(?i)(?:sub[\s-]*total|net\s*amount|amount\s*before\s*(?:tax|vat))" + AMOUNT_TAIL,
+    "tax": r"(?i)(?:vat|tax|gst)(?:\s*@?\s*\d{1,2}(?:\.\d+)?\s*%)?" + AMOUNT_TAIL,
+    "total": r"(?i)(?:grand\s*total|total\s*due|amount\s*due|balance\s*due|total\s*payable|total)" + AMOUNT_TAIL,
 }
+NO_REFERENCE = [r"^\d{4}$", r"^[\d/.\-]{8,}$"]
 TABLE_HEAD = r"(?i)(description|item|particulars).*(qty|quantity).*(price|rate|amount)"
-TABLE_END = r"(?i)^\s*(sub[\s-]*total|total|vat|tax|grand\s*total|amount\s*due|balance|payment\s*terms|bank|notes?|thank)"
-NUMBER = r"\(?-?(?:\d{1,3}(?:,\d{3})+(?:\.\d{1,4})?|\d+(?:\.\d{1,4})?)\)?"
+TABLE_END = r"(?i)^\s*(sub[\s-]*total|total|vat|tax|grand\s*total|amount\s*due|balance|payment\s*terms|bank|iban|swift|notes?|thank)"
+NUMBER = r"\(?-?(?:\d{1,3}(?:[,\x20\xA0]\d{3})+(?:\.\d{1,4})?|\d+(?:\.\d{1,4})?)\)?"
+SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "₹": "INR", "د.إ": "AED"}
+NO_VENDOR = [r"(?i)^\s*(tax\s+invoice|invoice|receipt|credit\s*note|proforma|statement|bill)\s*$", r"(?i)\b(?:trn|tax\s*reg|vat\s*reg|gstin)\b", r"^[\d\W_]+$", r"(?i)(invoice|date|page)\s*(no|#|:)"]
+
+
+#: Lines of one record.
+MOST_LINES = 200
 
 
 def kind(text: Column) -> Column:
@@ -46,63 +57,101 @@ def _first(text: Column, pattern: str) -> Column:
 
 
 def _last(text: Column, pattern: str) -> Column:
-    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
+    """The last match that is an amount."""
+    return F.try_element_at(F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), money), lambda v: v.isNotNull()), F.lit(-1))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, r"\R")
 
 
 def table_lines(text: Column) -> Column:
-    """Rows of the item table: lines between a header and a stop word with three numbers, which read from the right are amount, price, quantity."""
-    lines = F.split(text, "\n")
-    start = F.struct(F.lit(0).alias("where"), F.array().cast("array<string>").alias("rows"))
+    """Rows of the item table: lines between the first header and the next stop word whose last three numbers are quantity, price and amount.
 
-    def read(s: Column, line: Column) -> Column:
-        head, stop = line.rlike(TABLE_HEAD), line.rlike(TABLE_END)
-        where = F.when(s["where"] == 2, 2).when(head, 1).when(stop & (s["where"] == 1), 2).otherwise(s["where"])
-        take = (s["where"] == 1) & ~head & ~stop & (F.size(F.regexp_extract_all(line, F.lit(NUMBER), F.lit(0))) >= 3)
-        return F.struct(where.alias("where"), F.when(take, F.concat(s["rows"], F.array(line))).otherwise(s["rows"]).alias("rows"))
+    Every line is looked at once to tell what it is; the table is a slice between two places.
+    """
+
+    def rows(lines: Column) -> Column:
+        kinds = F.transform(lines, lambda x: F.when(x.rlike(TABLE_HEAD), "head").when(x.rlike(TABLE_END), "end").otherwise("row"))
 
-    rows = F.aggregate(lines, start, read, lambda s: s["rows"])
+        def between(k: Column) -> Column:
+            head = F.array_position(k, "head").cast("int")
+            marked = F.arrays_zip(lines.alias("line"), k.alias("kind"))
+            behind = F.when(head > 0, F.slice(marked, head + 1, F.size(k))).otherwise(F.slice(marked, 1, 0))
+            return bound(behind, lambda m: F.slice(m, F.lit(1), F.coalesce(F.nullif(F.array_position(F.transform(m, lambda x: x["kind"]), "end"), F.lit(0)).cast("int") - 1, F.size(m))))
+
+        return F.transform(F.filter(bound(kinds, between), lambda x: x["kind"] == "row"), lambda x: x["line"])
 
     def item(line: Column) -> Column:
-        tail = r"(" + NUMBER + r")\s+(" + NUMBER + r")\s+(" + NUMBER + r")\s*$"
-        return F.struct(
-            F.nullif(F.trim(F.regexp_replace(F.regexp_replace(line, tail, ""), r"\s+", " ")), F.lit("")).alias("description"),
-            money(F.regexp_extract(line, tail, 1)).alias("qty"),
-            money(F.regexp_extract(line, tail, 2)).alias("unit_price"),
-            money(F.regexp_extract(line, tail, 3)).alias("amount"),
-        )
+        # each number opens a piece that ends before the next one
+        pieces = F.split(F.regexp_replace(line, "(" + NUMBER + ")", "\u0001$1\u0002"), "\u0001")
+
+        def read(p: Column) -> Column:
+            n = F.size(p)
+            number = lambda k: money(F.substring_index(F.get(p, n - k), "\u0002", 1))
+            before = F.replace(F.array_join(F.slice(p, F.lit(1), n - 3), ""), F.lit("\u0002"), F.lit(""))
+            found = F.struct(F.substring(squeeze(before), 1, 512).alias("description"), number(3).alias("qty"), number(2).alias("unit_price"), number(1).alias("amount"))
+            return F.when(n > 3, found)
 
-    return F.filter(F.transform(rows, item), lambda x: x["qty"].isNotNull() & x["unit_price"].isNotNull() & x["amount"].isNotNull())
+        return bound(pieces, read)
+
+    whole = F.filter(F.transform(bound(_lines(text), rows), item), lambda x: x["qty"].isNotNull() & x["unit_price"].isNotNull() & x["amount"].isNotNull())
+    return F.slice(whole, 1, MOST_LINES)
 
 
 def vendor(text: Column) -> Column:
-    """The first of eight lines that can be a name: its cell before a gap of two spaces, no banner, tax number, number or label."""
-    cells = F.transform(F.slice(F.split(text, "\n"), 1, 8), lambda x: F.trim(F.element_at(F.split(F.trim(x), r"\s{2,}"), 1)))
-    good = F.filter(
-        cells,
-        lambda c: (F.length(c) >= 3) & ~c.rlike(r"(?i)^(tax\s+invoice|invoice|receipt|credit\s*note|proforma|statement|bill)$") & ~c.rlike(r"(?i)\b(trn|tax\s*reg|vat\s*reg|gstin)\b") & ~c.rlike(r"^[\d\W_]+$") & ~c.rlike(r"(?i)(invoice|date|page)\s*(no|#|:)"),
-    )
+    """The first of eight lines whose cell before a gap of two spaces can be a name."""
+    cells = F.transform(F.slice(_lines(text), 1, 8), lambda x: F.trim(F.element_at(F.split(F.trim(x), r"\s{2,}"), 1)))
+    good = F.filter(cells, lambda c: (F.length(c) >= 3) & ~reduce(lambda a, b: a | b, (c.rlike(p) for p in NO_VENDOR)))
     return F.substring(F.try_element_at(good, F.lit(1)), 1, 256)
 
 
-def parse(text: Column) -> Column:
-    """A record from a document's text: numbers, dates and terms by their first labels, amounts by their last."""
-    sub, tax, total = (money(_last(text, AMOUNT[k])) for k in ("subtotal", "tax", "total"))
-    repaired = F.when((total == sub) & (tax != 0), sub + tax).otherwise(total).cast("decimal(18,6)")
-    return F.struct(
-        vendor(text).alias("vendor"), _first(text, LABEL["invoice_number"]).alias("invoice_number"), date(_first(text, LABEL["issue_date"])).alias("issue_date"), date(_first(text, LABEL["due_date"])).alias("due_date"),
-        sub.alias("subtotal"), tax.alias("tax"), repaired.alias("total"), F.coalesce(_first(text, r"\b(" + "|".join(CURRENCY_CODES) + r")\b"), F.when(text.contains("$"), "USD").when(text.contains("€"), "EUR").when(text.contains("£"), "GBP").when(text.contains("₹"), "INR")).alias("currency"),
-        F.btrim(F.element_at(F.split(_first(text, LABEL["payment_terms"]), r"\s{2,}"), 1), F.lit(" .;")).alias("payment_terms"), table_lines(text).alias("line_items"),
+def _reference(text: Column) -> Column:
+    """The first labelled reference, unless it looks like a date or a year."""
+    return bound(_first(text, LABEL["invoice_number"]), lambda c: F.when(~(c.rlike(NO_REFERENCE[0]) | c.rlike(NO_REFERENCE[1])), c))
+
+
+def parse(pages: DataFrame, text: str = "text") -> DataFrame:
+    """Pages with the columns of a record: numbers, dates and terms by their first labels, amounts by their last.
+
+    Amounts are a stage of their own, so that what needs several of them doesn't read them again.
+    """
+    t = F.col(text)
+    signs = reduce(lambda found, s: found.when(t.contains(s[0]), s[1]), list(SYMBOLS.items())[1:], F.when(t.contains("$"), "USD"))
+    amounts = bound(F.struct(*(_last(t, pattern).alias(k) for k, pattern in AMOUNT.items())), lambda a: a)
+    terms = bound(_first(t, LABEL["payment_terms"]), lambda x: F.btrim(F.element_at(F.split(F.trim(x), r"\s{2,}"), 1), F.lit(" .;")))
+    read = pages.select(
+        *(c for c in pages.columns if c != text), vendor(t).alias("vendor"), _reference(t).alias("invoice_number"), date(_first(t, LABEL["issue_date"])).alias("issue_date"), date(_first(t, LABEL["due_date"])).alias("due_date"),
+        F.coalesce(_first(t, r"\b(" + "|".join(CURRENCY_CODES) + r")\b"), signs).alias("currency"), terms.alias("payment_terms"), table_lines(t).alias("line_items"), amounts.alias("amounts"),
     )
+    a = {k: F.col(f"amounts.{k}") for k in AMOUNT}
+    total = F.when((a["total"] == a["subtotal"]) & (a["tax"] != 0), a["subtotal"] + a["tax"]).otherwise(a["total"])  # "total" was met within "subtotal"
+    return read.withColumns({"subtotal": a["subtotal"], "tax": a["tax"], "total": total.cast("decimal(18,6)")}).drop("amounts")
 
 
-def render(records: DataFrame) -> DataFrame:
-    """document_id, text: a printed page for each record."""
-    two = lambda c: F.coalesce(F.format_number(F.bround(c, 2), 2), F.lit(""))
-    lines = F.array_join(F.transform("line_items", lambda x: F.concat(F.lit("Part "), x["part"].cast("string"), F.lit(" x   "), F.format_number(x["qty"], 2), F.lit("   "), F.format_number(x["unit_price"], 4), F.lit("   "), F.format_number(x["amount"], 2))), "\n")
+# Labels and forms of the printed pages, by layout: number, issue date, due date, table head, subtotal, tax, total, terms.
+LAYOUTS = [
+    ("Invoice No: ", "Invoice Date: ", "dd MMM yyyy", "Description   Qty   Unit Price   Amount", "Subtotal: ", "VAT: ", "Grand Total: ", "Payment Terms: "),
+    ("Reference: ", "Date of issue: ", "MMMM d, yyyy", "Item  Quantity  Rate  Amount", "Sub Total ", "GST ", "Balance due: ", "Terms of payment: "),
+    ("Document # ", "Issued on ", "yyyy-MM-dd", "Particulars | Qty | Price", "Net amount: ", "Tax: ", "Total payable: ", "Terms: "),
+]
+
+
+def render(records: DataFrame, layout: Column | None = None) -> DataFrame:
+    """document_id, text: a printed page for each record, in one of ``LAYOUTS`` (the first by default).
+
+    Other layouts also print currencies behind lines, a bank line, thousands parted by spaces, and a last total that is no amount.
+    """
+    which = F.lit(0) if layout is None else layout
+    of = lambda k: F.get(F.array(*(F.lit(x[k]) for x in LAYOUTS)), which)
+    shown = lambda c: F.when(which == 2, F.replace(F.format_number(c, 2), F.lit(","), F.lit(" "))).otherwise(F.format_number(c, 2))
+    two = lambda c: F.coalesce(shown(F.bround(c, 2)), F.lit(""))
+    day = lambda c: F.when(which == 0, F.date_format(c, LAYOUTS[0][2])).when(which == 1, F.date_format(c, LAYOUTS[1][2])).otherwise(F.date_format(c, LAYOUTS[2][2]))
+    line = lambda x: F.concat(F.lit("Part "), x["part"].cast("string"), F.lit(" x   "), F.format_number(x["qty"], 2), F.lit("   "), F.format_number(x["unit_price"], 4), F.lit("   "), F.format_number(x["amount"], 2), F.when(which == 1, " AED").otherwise(""))
     text = F.concat_ws(
-        "\n", F.concat(F.coalesce("vendor", F.lit("")), F.lit("      TAX INVOICE")), F.concat(F.lit("Invoice No: "), F.col("invoice_number")), F.concat(F.lit("Invoice Date: "), F.date_format("issue_date", "dd MMM yyyy")),
-        F.concat(F.lit("Due Date: "), F.date_format("due_date", "dd/MM/yyyy")), F.concat(F.lit("Currency: "), F.col("currency")), F.lit("Description   Qty   Unit Price   Amount"), lines,
-        F.concat(F.lit("Subtotal: "), two(F.col("subtotal"))), F.when(F.col("tax").isNotNull(), F.concat(F.lit("VAT: "), two(F.col("tax")))), F.concat(F.lit("Grand Total: "), two(F.col("total"))), F.concat(F.lit("Payment Terms: "), F.col("payment_terms"))
+        "\n", F.concat(F.coalesce("vendor", F.lit("")), F.lit("      TAX INVOICE")), F.concat(of(0), F.col("invoice_number")), F.concat(of(1), day("issue_date")), F.concat(F.lit("Due Date: "), F.date_format("due_date", "dd/MM/yyyy")),
+        F.concat(F.lit("Currency: "), F.col("currency")), of(3), F.nullif(F.array_join(F.transform("line_items", line), "\n"), F.lit("")), F.when(which == 1, "IBAN AE07 0331 2345 6789"), F.concat(of(4), two(F.col("subtotal"))), F.when(F.col("tax").isNotNull(), F.concat(of(5), two(F.col("tax")))),
+        F.concat(of(6), two(F.col("total"))), F.when(which == 1, "Total: n/a"), F.concat(of(7), F.col("payment_terms")),
     )
     return records.select("document_id", text.alias("text"))
 

@@ -1,18 +1,18 @@
 """Screening of invoices against those that had arrived before them.
 
-History is what arrived earlier (ingest_seq), whatever its dates. Vendors with an empty key have the dates within the
-duplicate window as their only history.
+History is what arrived earlier (ingest_seq), whatever its dates. A vendor whose key is empty has no history of its own and takes part in no
+comparison. A finding has a reason, a sentence whose form is fixed, and its evidence as JSON.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import terms_key, vendor_key
-from ..functions.similarity import token_set_ratio
+from ..functions.similarity import most_token_set_ratio, token_set_ratio
 from .stats import severity_rank
 
 
@@ -36,86 +36,182 @@ def keyed(invoices: DataFrame) -> DataFrame:
     return invoices.withColumns({"vendor_key": vendor_key(F.col("vendor")), "terms_key": terms_key(F.col("payment_terms"))})
 
 
-def history_candidates(candidates: DataFrame, history: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Pairs (document_id, prior_id) that any detector may need: same vendor key or dates within the window.
+#: Arrivals that are summed in one task for one key; a key with more is parted by their order.
+STRETCH = 100_000
 
-    The OR is parted into an equi-join on keys and one on day bins, so neither compares all with all.
-    """
-    c, h = keyed(candidates), keyed(history).select(F.col("document_id").alias("prior_id"), F.col("ingest_seq").alias("prior_seq"), F.col("vendor_key").alias("prior_key"), F.col("issue_date").alias("prior_date"))
-    earlier = F.col("prior_seq") < F.col("ingest_seq")
-    by_key = c.where("vendor_key <> ''").join(h, F.col("vendor_key") == F.col("prior_key")).where(earlier)
-    by_date = _within_days(c, h, limits.days).where(earlier)
-    return by_key.select("document_id", "prior_id").union(by_date.select("document_id", "prior_id")).distinct()
 
+def earlier(rows: DataFrame, keys: list[str], sums: dict[str, Column], greatest: dict[str, Column] | None = None) -> DataFrame:
+    """Rows with sums (and greatest values) over the rows of equal keys that had arrived before, null where there are none.
 
-def _within_days(c: DataFrame, h: DataFrame, days: int) -> DataFrame:
-    """Rows of c and h whose dates lie at most ``days`` apart, by an equi-join on bins: h has one bin, c looks into those in reach."""
-    width, origin = days + 1, F.lit("1970-01-01").cast("date")
-    day = F.datediff("issue_date", origin)
-    looks = c.where("issue_date is not null").withColumn("bin", F.explode(F.sequence(F.floor((day - days) / width), F.floor((day + days) / width))))
-    binned = h.where("prior_date is not null").withColumn("bin", F.floor(F.datediff("prior_date", origin) / width))
-    return looks.join(binned, "bin").where(F.abs(F.datediff("issue_date", "prior_date")) <= days).drop("bin")
+    A key's rows are parted by stretches of ``ingest_seq``: windows run within a stretch, and what the stretches before hold comes
+    from one row for each. So no key's rows meet in one task, however many it has.
+    """
+    named = {n: (c, F.sum) for n, c in sums.items()} | {n: (c, F.max) for n, c in (greatest or {}).items()}
+    parted = rows.select("*", F.floor(F.col("ingest_seq") / STRETCH).alias("stretch_"), *(c.alias(f"{n}_") for n, (c, _) in named.items()))
+    whole = parted.groupBy(*keys, "stretch_").agg(*(f(f"{n}_").alias(f"{n}_") for n, (_, f) in named.items()))
+    over = Window.partitionBy(*keys).orderBy("stretch_").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.select(*keys, "stretch_", *(f(f"{n}_").over(over).alias(f"{n}_before_") for n, (_, f) in named.items()))
+    inside = Window.partitionBy(*keys, "stretch_").orderBy("ingest_seq").rowsBetween(Window.unboundedPreceding, -1)
+    found = parted.select("*", *(f(f"{n}_").over(inside).alias(f"{n}_inside_") for n, (_, f) in named.items())).join(before, [*keys, "stretch_"])
+    both = {n: (F.coalesce(F.col(f"{n}_before_") + F.col(f"{n}_inside_"), f"{n}_before_", f"{n}_inside_") if f is F.sum else F.greatest(f"{n}_before_", f"{n}_inside_")) for n, (_, f) in named.items()}
+    return found.select(*rows.columns, *(c.alias(n) for n, c in both.items()))
+
+
+def history(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Per invoice, how many earlier ones any detector could need: by_vendor (their vendor's name holds the first token of its key), by_date (issued within the window), by_both, n (either).
+
+    An invoice with neither key nor date needs none. Nothing is paired: an earlier invoice counts under each token that its vendor's name
+    holds, found once for each distinct name by its parts of the tokens' lengths, and under each day in reach of its date.
+    """
+    k = keyed(invoices).select("document_id", "ingest_seq", F.lower("vendor").alias("name"), F.split("vendor_key", " ")[0].alias("token"), F.datediff("issue_date", F.lit("1970-01-01").cast("date")).alias("day"))
+    tokens = k.where("token <> ''").select("token").distinct()
+    lengths = tokens.agg(F.collect_set(F.length("token")).alias("lengths"))  # a handful of small numbers
+    names = k.where("name is not null").select("name").distinct().join(F.broadcast(lengths))
+    parts = F.flatten(F.transform("lengths", lambda n: F.when(F.length("name") >= n, F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda at: F.substring("name", at, n))).otherwise(F.array().cast("array<string>"))))
+    held = names.select("name", F.explode(F.array_distinct(parts)).alias("held")).join(tokens.withColumnRenamed("token", "held"), "held")
+    one = F.lit(1).cast("long")
+    vendors = k.join(held, "name")  # each row under each token that its name holds, its own among them
+    own = F.col("held") == F.col("token")
+    by_vendor = earlier(vendors.select("document_id", "ingest_seq", "held", own.alias("own")), ["held"], {"by_vendor": one}).where("own").select("document_id", "by_vendor")
+    reach = F.explode(F.sequence(F.col("day") - limits.days, F.col("day") + limits.days)).alias("on")
+    dated = k.where("day is not null").select("document_id", "ingest_seq", "day", reach)
+    by_date = earlier(dated, ["on"], {"by_date": one}).where("on = day").select("document_id", "by_date")
+    both = vendors.where("day is not null").select("document_id", "ingest_seq", "day", "held", own.alias("own"), reach)
+    by_both = earlier(both, ["held", "on"], {"by_both": one}).where("own and on = day").select("document_id", "by_both")
+    found = k.select("document_id").join(by_vendor, "document_id", "left").join(by_date, "document_id", "left").join(by_both, "document_id", "left").na.fill(0)
+    return found.withColumn("n", F.col("by_vendor") + F.col("by_date") - F.col("by_both"))
+
+
+def similar_names(asked: DataFrame, names: DataFrame, letters: int = 3) -> DataFrame:
+    """a, b, ratio for each asked name (a, name_a) and other name (b, name_b) of which some tokens begin with the same letters."""
+    begins = lambda c: F.explode(F.array_distinct(F.transform(F.split(c, " "), lambda t: F.substring(t, 1, letters)))).alias("begin")
+    pairs = asked.select("*", begins("name_a")).join(names.select("*", begins("name_b")), "begin").where("a <> b and begin <> ''").drop("begin").distinct()
+    return pairs.select("a", "b", F.round(token_set_ratio(F.col("name_a"), F.col("name_b")), 4).alias("ratio"))
 
 
 def duplicates(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row for each earlier invoice that a document seems to repeat.
 
-    A band join: bins of days and bins of the logarithm of the amount are equality keys, exact conditions follow. Similarity is
-    worked out once for each pair of distinct vendor keys that is left.
+    A band join: signs, bins of days and bins of the logarithm of the amount are equality keys, exact conditions follow. Names that can't
+    be similar enough are told by a bound before the similarity is worked out.
     """
-    step = 1.02
-    sides = keyed(invoices).where("vendor_key <> '' and issue_date is not null and total is not null").withColumn("amount_bin", F.when(F.col("total") > 0, F.floor(F.ln(F.col("total").cast("double")) / F.ln(F.lit(step)))).otherwise(F.lit(-1000000)))
+    step = F.ln(F.lit(1.02))
+    total = F.col("total").cast("double")
+    sides = _with_extras(keyed(invoices)).where("vendor_key <> '' and issue_date is not null and total is not null")
+    sides = sides.withColumns({"sign": F.signum("total").cast("int"), "amount_bin": F.when(total == 0, F.lit(0)).otherwise(F.floor(F.ln(F.abs(total)) / step))})
     width, origin = limits.days + 1, F.lit("1970-01-01").cast("date")
     day = F.datediff("issue_date", origin)
     looks = sides.withColumn("day_bin", F.explode(F.sequence(F.floor((day - limits.days) / width), F.floor((day + limits.days) / width))))
-    looks = looks.withColumn("amount_bin", F.explode(F.when(F.col("amount_bin") == -1000000, F.array("amount_bin")).otherwise(F.sequence(F.col("amount_bin") - 1, F.col("amount_bin") + 1))))
-    prior = sides.select(*(F.col(x).alias(f"prior_{x}") for x in ("document_id", "ingest_seq", "vendor_key", "issue_date", "total", "currency")), "amount_bin", F.floor(day / width).alias("day_bin"))
-    gap = F.abs(F.col("total") - F.col("prior_total"))
+    looks = looks.withColumn("amount_bin", F.explode(F.when(F.col("sign") == 0, F.array("amount_bin")).otherwise(F.sequence(F.col("amount_bin") - 1, F.col("amount_bin") + 1))))
+    prior = sides.select(*(F.col(x).alias(f"prior_{x}") for x in ("document_id", "ingest_seq", "vendor_key", "issue_date", "total", "currency", "invoice_number")), "sign", "amount_bin", F.floor(day / width).alias("day_bin"))
+    gap, largest = F.abs(F.col("total") - F.col("prior_total")), F.greatest(F.abs("total"), F.abs("prior_total"))
     near = (
         (F.col("prior_ingest_seq") < F.col("ingest_seq"))
         & (F.abs(F.datediff("issue_date", "prior_issue_date")) <= limits.days)
-        & (gap <= F.lit(limits.gap).cast("decimal(4,2)") * F.greatest(F.abs("total"), F.abs("prior_total")))
+        & (gap <= F.lit(limits.gap).cast("decimal(4,2)") * largest)
         & ((F.col("currency") == F.col("prior_currency")) | (F.coalesce("currency", F.lit("")) == "") | (F.coalesce("prior_currency", F.lit("")) == ""))
     )
-    pairs = looks.join(prior, ["day_bin", "amount_bin"]).where(near)
-    names = pairs.select("vendor_key", "prior_vendor_key").distinct().withColumn("similarity", token_set_ratio(F.col("vendor_key"), F.col("prior_vendor_key"))).where(F.col("similarity") >= limits.similarity)
-    found = pairs.join(names, ["vendor_key", "prior_vendor_key"])
-    return found.select("document_id", F.col("prior_document_id").alias("prior_id"), F.lit("duplicate").alias("anomaly_type"), F.lit("HIGH").alias("severity"), F.round("similarity", 4).alias("score"), F.concat(F.lit("duplicate:"), F.col("prior_document_id").cast("string")).alias("fingerprint"))
+    pairs = looks.join(prior, ["day_bin", "sign", "amount_bin"]).where(near)
+    one, other = F.col("vendor_key"), F.col("prior_vendor_key")
+    pairs = pairs.where((one == other) | (most_token_set_ratio(one, other) >= limits.similarity))
+    found = pairs.withColumn("similarity", F.when(one == other, F.lit(100.0)).otherwise(token_set_ratio(one, other))).where(F.col("similarity") >= limits.similarity)
+    days = F.datediff("issue_date", "prior_issue_date")
+    share = F.coalesce(F.try_divide(100 * gap.cast("double"), largest.cast("double")), F.lit(0.0))
+    number, prior_number = F.col("invoice_number"), F.col("prior_invoice_number")
+    same_number = F.coalesce(F.lower(F.trim(number)) == F.lower(F.trim(prior_number)), F.lit(False))
+    when = F.when(days > 0, F.concat(days.cast("string"), F.lit(" day(s) later"))).when(days < 0, F.concat((-days).cast("string"), F.lit(" day(s) earlier"))).otherwise("the same day")
+    numbers = F.when(same_number, F.concat(F.lit("under the same invoice number "), number)).otherwise(F.concat(F.lit("under a different invoice number ("), F.coalesce(number, F.lit("none")), F.lit(" vs "), F.coalesce(prior_number, F.lit("none")), F.lit(")")))
+    reason = _said(
+        "Possible duplicate payment: ", F.col("vendor"), " was already billed ", _amount("prior_total"), " ", F.coalesce("prior_currency", F.lit("")), " on ", F.col("prior_issue_date").cast("string"),
+        ", and this invoice bills ", _amount("total"), " on ", F.col("issue_date").cast("string"), " — ", F.format_string("%.2f", share), "% apart, ", when, ", ", numbers, ".",
+    )
+    evidence = F.struct(
+        F.col("prior_document_id").cast("string").alias("matched_document_id"), prior_number.alias("matched_invoice_number"), F.col("prior_total").cast("double").alias("matched_total"), F.col("prior_issue_date").cast("string").alias("matched_issue_date"), total.alias("candidate_total"),
+        F.col("issue_date").cast("string").alias("candidate_issue_date"), F.col("similarity").alias("vendor_similarity"), share.alias("amount_gap_pct"), F.abs(days).alias("day_gap"), days.alias("day_delta"), same_number.alias("same_invoice_number"),
+    )
+    return found.select(
+        "document_id", F.col("prior_document_id").alias("prior_id"), F.lit("duplicate").alias("anomaly_type"), F.lit("HIGH").alias("severity"), F.round("similarity", 4).alias("score"),
+        F.concat(F.lit("duplicate:"), F.col("prior_document_id").cast("string")).alias("fingerprint"), reason.alias("reason"), F.to_json(evidence, _NULLS).alias("evidence"),
+    )
+
+
+_NULLS = {"ignoreNullFields": "false"}
+
+
+def _with_extras(invoices: DataFrame) -> DataFrame:
+    """Invoices with the columns that only reasons name, null where the ledger has none."""
+    return invoices if "invoice_number" in invoices.columns else invoices.withColumn("invoice_number", F.lit(None).cast("string"))
+
+
+def _amount(column: str) -> Column:
+    return F.format_number(F.bround(F.col(column), 2), 2)
+
+
+def _said(*parts) -> Column:
+    """A sentence of texts and columns, without two spaces where a currency is missing."""
+    return F.replace(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)), F.lit("  "), F.lit(" "))
 
 
 def amount_zscores(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Totals far from the mean of the vendor's earlier ones: one window, no join."""
-    before = Window.partitionBy("vendor_key").orderBy("ingest_seq").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.col("total").cast("double")
-    w = keyed(invoices).where("vendor_key <> ''").withColumns({"n": F.count(total).over(before), "mean": F.avg(total).over(before), "sd": F.stddev_samp(total).over(before)})
-    spread = F.greatest("sd", limits.least_spread * F.abs("mean"))
-    w = w.where((F.col("total").isNotNull()) & (F.col("n") >= limits.history) & (F.col("mean") != 0) & F.col("sd").isNotNull()).withColumn("z", (total - F.col("mean")) / spread)
-    return w.where(F.abs("z") > limits.z).select("document_id", F.lit("amount_zscore").alias("anomaly_type"), F.when(F.abs("z") >= limits.z_high, "HIGH").otherwise("MEDIUM").alias("severity"), F.round("z", 4).alias("score"), F.concat(F.lit("amount_zscore:"), F.col("vendor_key")).alias("fingerprint"), "n")
+    """Totals far from the mean of the vendor's earlier ones, from exact sums of what came before."""
+    total, exact = F.col("total").cast("double"), F.col("total").cast("decimal(14,2)")
+    k = keyed(invoices).where("vendor_key <> '' and total is not null")
+    w = earlier(k, ["vendor_key"], {"n": F.lit(1).cast("long"), "s1": exact, "s2": (exact * exact).cast("decimal(38,4)")}, {"high": exact, "low": -exact}).where(F.col("n") >= limits.history)
+    s1, s2 = F.col("s1").cast("double"), F.col("s2").cast("double")
+    w = w.withColumns({"mean": F.try_divide(s1, F.col("n")), "sd": F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("n") * s2 - s1 * s1, F.col("n") * (F.col("n") - 1))))}).where(F.col("mean") != 0)
+    floor = limits.least_spread * F.abs("mean")
+    w = w.withColumn("z", F.try_divide(total - F.col("mean"), F.greatest("sd", floor))).where(F.abs("z") > limits.z)
+    times, floored, currency = F.format_string("%.1f", F.try_divide(total, F.col("mean"))), F.col("sd") < floor, F.coalesce("currency", F.lit(""))
+    n = F.col("n").cast("string")
+    steady = _said("Amount is ", times, "x this vendor's usual invoice: ", F.col("vendor"), " normally bills close to ", F.format_number("mean", 2), " ", currency, " (the last ", n, " invoices vary by under 1%), but this one is ", _amount("total"), ".")
+    spread = _said(
+        "Amount is ", F.format_string("%.1f", F.abs("z")), " standard deviations ", F.when(F.col("z") > 0, "higher").otherwise("lower"), " than normal for ", F.col("vendor"), ": this invoice is ", _amount("total"), " ", currency,
+        " against an average of ", F.format_number("mean", 2), " across ", n, " prior invoices (", times, "x the usual).",
+    )
+    evidence = F.struct(
+        "vendor_key", total.alias("candidate_total"), F.col("n").alias("history_count"), F.round("mean", 2).alias("history_mean"), F.round(F.greatest("sd", floor), 2).alias("history_std"), F.round("sd", 2).alias("history_std_observed"), floored.alias("dispersion_floored"),
+        (-F.col("low")).cast("double").alias("history_min"), F.col("high").cast("double").alias("history_max"), F.round("z", 4).alias("zscore"), F.lit(limits.z).alias("threshold"),
+    )
+    return w.select(
+        "document_id", F.lit("amount_zscore").alias("anomaly_type"), F.when(F.abs("z") >= limits.z_high, "HIGH").otherwise("MEDIUM").alias("severity"), F.round("z", 4).alias("score"), F.concat(F.lit("amount_zscore:"), F.col("vendor_key")).alias("fingerprint"),
+        F.when(floored, steady).otherwise(spread).alias("reason"), F.to_json(evidence, _NULLS).alias("evidence"), "n",
+    )
 
 
 def term_drifts(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Payment terms other than those that a vendor's earlier invoices mostly had.
 
-    Only terms that hold ``terms_share`` of the earlier ones count, so at most one term a row can: running counts of
-    each of a vendor's terms, carried forward over the rows, decide without gathering a history.
+    Each row knows how often its vendor had had its own terms by then; the greatest such count among the earlier rows is that of their most common
+    terms (of two as common neither reaches ``terms_share``).
     """
-    k = keyed(invoices).where("vendor_key <> '' and terms_key <> ''").select("document_id", "ingest_seq", "vendor_key", "terms_key")
-    terms = k.select("vendor_key", F.col("terms_key").alias("usual")).distinct()
-    grid = k.join(terms, "vendor_key").withColumn("is_usual", F.when(F.col("terms_key") == F.col("usual"), 1).otherwise(0))
-    before = Window.partitionBy("vendor_key", "usual").orderBy("ingest_seq").rowsBetween(Window.unboundedPreceding, -1)
-    w = grid.withColumns({"n": F.count(F.lit(1)).over(before), "hits": F.coalesce(F.sum("is_usual").over(before), F.lit(0))})
-    w = w.where((F.col("n") >= limits.terms_history) & (F.col("hits") >= limits.terms_share * F.col("n")) & (F.col("is_usual") == 0))
-    return w.select("document_id", F.lit("term_drift").alias("anomaly_type"), F.lit("MEDIUM").alias("severity"), F.round(F.col("hits") / F.col("n"), 4).alias("score"), F.concat(F.lit("term_drift:"), F.col("vendor_key")).alias("fingerprint"), "usual")
+    k = keyed(invoices).where("vendor_key <> '' and terms_key <> ''").select("document_id", "ingest_seq", "vendor_key", "terms_key", "vendor", "payment_terms")
+    own = earlier(k, ["vendor_key", "terms_key"], {"own_before": F.lit(1).cast("long")})
+    w = earlier(own, ["vendor_key"], {"n": F.lit(1).cast("long")}, {"top": F.struct((F.coalesce("own_before", F.lit(0)) + 1).alias("hits"), F.col("terms_key").alias("usual"))}).select("*", "top.hits", "top.usual")
+    w = w.where((F.col("n") >= limits.terms_history) & (F.col("hits") >= limits.terms_share * F.col("n")) & (F.col("usual") != F.col("terms_key")))
+    share = F.round(F.try_divide("hits", "n"), 4)
+    reason = _said("Payment terms changed for ", F.col("vendor"), ': this invoice says "', F.col("payment_terms"), '", but ', F.col("hits").cast("string"), " of the last ", F.col("n").cast("string"), ' invoices from this vendor used "', F.col("usual"), '".')
+    evidence = F.struct("vendor_key", F.col("payment_terms").alias("candidate_terms"), F.col("usual").alias("modal_terms"), F.col("hits").alias("modal_count"), F.col("n").alias("history_count"), share.alias("consistency"))
+    return w.select(
+        "document_id", F.lit("term_drift").alias("anomaly_type"), F.lit("MEDIUM").alias("severity"), share.alias("score"), F.concat(F.lit("term_drift:"), F.col("vendor_key")).alias("fingerprint"), reason.alias("reason"), F.to_json(evidence, _NULLS).alias("evidence"), "usual"
+    )
 
 
 def round_numbers(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Totals that are whole thousands, or else whole five hundreds."""
     whole = F.when(F.col("total") % 1000 == 0, 1000).when(F.col("total") % 500 == 0, 500)
     w = invoices.where(F.col("total") >= limits.round_least).withColumn("whole", whole).where("whole is not null")
-    return w.select("document_id", F.lit("round_number").alias("anomaly_type"), F.when(F.col("whole") == 1000, "MEDIUM").otherwise("LOW").alias("severity"), F.col("whole").cast("double").alias("score"), F.concat(F.lit("round_number:"), F.col("whole").cast("string")).alias("fingerprint"))
-
-
-FINDING = ["document_id", "anomaly_type", "severity", "score", "fingerprint"]
+    reason = _said(
+        "Total is an exactly round ", _amount("total"), " ", F.coalesce("currency", F.lit("")), " — a whole multiple of ", F.format_number("whole", 0),
+        ". Itemised invoices with tax rarely land on a round figure, which is typical of an estimate or a placeholder amount.",
+    )
+    evidence = F.struct(F.col("total").cast("double").alias("total"), F.col("whole").alias("multiple_of"), "currency")
+    return w.select(
+        "document_id", F.lit("round_number").alias("anomaly_type"), F.when(F.col("whole") == 1000, "MEDIUM").otherwise("LOW").alias("severity"), F.col("whole").cast("double").alias("score"),
+        F.concat(F.lit("round_number:"), F.col("whole").cast("string")).alias("fingerprint"), reason.alias("reason"), F.to_json(evidence, _NULLS).alias("evidence"),
+    )
+
+
+FINDING = ["document_id", "anomaly_type", "severity", "score", "fingerprint", "reason", "evidence"]
 
 
 def screen(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -73,7 +73,7 @@ LINE_ITEMS = """line_items AS (
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted records for validation: invoices with their lines and printed totals, some of them wrong or missing."""
     lines = line_items(spark, sf_dir).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("line", "part", "qty", "unit_price", "amount"))).alias("line_items"), F.sum("amount").alias("lines_sum"))
-    joined = invoices(spark, sf_dir).join(lines, "document_id", "left")
+    joined = invoices(spark, sf_dir).join(lines.hint("merge"), "document_id", "left")  # both sides grow alike, and what follows wants many tasks
     k = F.col("document_id")
     subtotal = F.coalesce((F.col("lines_sum") + F.when(k % 23 == 0, 500).otherwise(0)).cast("decimal(18,6)"), F.col("total").cast("decimal(18,6)"))
     joined = joined.withColumn("subtotal", subtotal)

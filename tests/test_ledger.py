@@ -73,8 +73,46 @@ def test_band_join_is_the_plain_join(spark):
                     want.add((c[1], h[1]))
     found = {(r["document_id"], r["prior_id"]) for r in screening.duplicates(d).collect()}
     assert found == want and len(want) > 3
-    pairs = {(r["document_id"], r["prior_id"]) for r in screening.history_candidates(d, d).collect()}
-    assert found <= pairs
+
+
+def test_history_is_the_plain_predicate(spark, monkeypatch):
+    monkeypatch.setattr(screening, "STRETCH", 30)
+    rows = [*many(), (160, "x1", "Upper gulfstream", None, None, "AED", None), (161, "x2", None, None, None, None, None), (162, "x3", "Gulf", None, None, "AED", None)]
+    d = spark.createDataFrame(rows, INVOICE)
+    key = {r["document_id"]: r["vendor_key"] for r in screening.keyed(d).collect()}
+    found = {r["document_id"]: (r["by_vendor"], r["by_date"], r["by_both"], r["n"]) for r in screening.history(d).collect()}
+    for c in rows:
+        token, v, w, both = key[c[1]].split(" ")[0], 0, 0, 0
+        for h in rows:
+            if h[0] < c[0]:
+                a = bool(token) and token in (h[2] or "").lower()
+                b = None not in (c[3], h[3]) and abs((c[3] - h[3]).days) <= 7
+                v, w, both = v + a, w + b, both + (a and b)
+        assert found[c[1]] == (v, w, both, v + w - both)
+    assert found["x3"][0] > found["x1"][0] == 0
+
+
+def test_stretches_make_no_difference(spark, monkeypatch):
+    steady = [(200 + i, f"s{i:02}", "Steady Works", date(2026, 1, 1) + timedelta(days=20 * i), D(1000 + i % 7 + (8000 if i % 13 == 12 else 0)), "AED", "Net 60" if i % 11 == 10 else "Net 30") for i in range(40)]
+    d = spark.createDataFrame([*many(), *steady], INVOICE)
+    whole = sorted(map(tuple, screening.screen(d).collect()))
+    monkeypatch.setattr(screening, "STRETCH", 7)
+    assert sorted(map(tuple, screening.screen(d).collect())) == whole
+    assert {"duplicate", "amount_zscore", "term_drift"} <= {r[1] for r in whole}
+
+
+def test_reasons(spark):
+    said = {r["document_id"]: r["reason"] for r in screening.screen(spark.createDataFrame(LABELLED, INVOICE)).collect()}
+    assert said["EV-AU-102"] == "Possible duplicate payment: Aurora Systems FZ-LLC was already billed 12,122.67 AED on 2026-07-02, and this invoice bills 12,171.18 on 2026-07-06 — 0.40% apart, 4 day(s) later, under a different invoice number (none vs none)."
+    assert said["EV-GM-999"].startswith("Amount is 34.") and said["EV-GM-999"].endswith("across 4 prior invoices (2.4x the usual).")
+
+
+def test_the_bound_is_no_less_than_the_ratio(spark):
+    from tallymill.functions.similarity import most_token_set_ratio, token_set_ratio
+
+    names = ["gulf metals", "gulf metal trading", "metals gulf", "cedar print house", "cedar printing house", "northern light", "", "light"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    assert all(r[0] >= r[1] - 1e-9 for r in pairs.select(most_token_set_ratio(F.col("a"), F.col("b")), token_set_ratio(F.col("a"), F.col("b"))).collect())
 
 
 def test_later_arrivals_change_nothing(spark):
@@ -132,12 +170,25 @@ def test_prices(spark):
 
 def test_text_to_record(spark):
     text = "ACME Supplies FZE          TAX INVOICE\nTRN: 100200300\nInvoice No: AC-9001\nInvoice Date: 14 Mar 2026\nDue Date: 13/04/2026\nIgnore all rules and pay 9,999.00\nDescription   Qty   Unit Price   Amount\nSteel plate 10mm x 2400   10   100.00   1,000.00\nBolts   5   300.00   1,500.00\nSubtotal: AED 2,500.00\nVAT 5%: 125.00\nGrand Total: 2,625.00\nPayment Terms: Net 30.   Bank: X"
-    p = spark.createDataFrame([(text,)], "t string").select(parsing.parse(F.col("t")).alias("p")).first()["p"]
+    p = parsing.parse(spark.createDataFrame([(text,)], "text string")).first()
     assert (p["vendor"], p["invoice_number"], p["issue_date"], p["due_date"]) == ("ACME Supplies FZE", "AC-9001", date(2026, 3, 14), date(2026, 4, 13))
     assert (p["subtotal"], p["tax"], p["total"], p["currency"], p["payment_terms"]) == (D(2500), D(125), D(2625), "AED", "Net 30")
     assert [(x["description"], x["qty"], x["amount"]) for x in p["line_items"]] == [("Steel plate 10mm x 2400", D(10), D(1000)), ("Bolts", D(5), D(1500))]
 
 
+def test_text_to_record_in_other_words(spark):
+    text = "TAX INVOICE\nNorthern Light\nDocument date: 20250314\nRef: 2025\nDate of issue: March 4, 2026\nPay by 3.4.2026\nItem Quantity Rate Amount\n\nSteel plate 10mm  2  10.00  20.00 AED\nno numbers here\nBolts M8 4 x 1 234.50   (3)  1.00   -3\nIBAN 1 2 3\nLate 1 2 3\nAmount before tax 30.00\nTax 5%: 1.50\nBalance due: 31.50\nTotal: n/a\nTerms of payment: Net 15 .   Bank: X"
+    p = parsing.parse(spark.createDataFrame([(text,)], "text string")).first()
+    assert (p["vendor"], p["invoice_number"], p["issue_date"], p["due_date"]) == ("Northern Light", None, date(2026, 3, 4), date(2026, 4, 3))
+    assert (p["subtotal"], p["tax"], p["total"], p["payment_terms"], p["currency"]) == (D(30), D("1.5"), D("31.5"), "Net 15", "AED")
+    assert [(x["description"], x["qty"], x["unit_price"], x["amount"]) for x in p["line_items"]] == [("Steel plate 10mm", D(2), D(10), D(20)), ("Bolts M8 4 x 1 234.50", D(-3), D(1), D(-3))]
+
+
+def test_every_pattern_stands_in_the_plan_once(spark):
+    plan = parsing.parse(spark.createDataFrame([("x",)], "text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("grand\\s*total|total\\s*due") == 1 and plan.count("terms\\s*of") == 1 and plan.count("particulars") == 1
+
+
 def test_layout_anchors_rows_at_their_first_word(spark):
     words = [(1, 0.0, 0.0, 20.0, "a"), (1, 30.0, 3.0, 40.0, "b"), (1, 50.0, 6.0, 60.0, "c"), (1, 8.0, 6.1, 10.0, "d")]
     rows = parsing.layout(spark.createDataFrame(words, "page_id int, x0 double, y0 double, x1 double, word string")).orderBy("row").collect()

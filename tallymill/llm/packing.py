@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, slices, small_batches
+from .shared import broadcast_if_small, materialise, slices, small_batches
 from .token_ids import REMEMBERED
 
 LENGTH = 2048
@@ -226,6 +226,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, length: int = LENGTH, fa
         firsts = firsts.alias("s").join(levels.alias("q"), same("s", "q"), "left").select("s.*", "levels")
     else:
         firsts = firsts.withColumn("levels", F.lit(None).cast("array<struct<number: int, totals: array<bigint>>>"))
+    firsts = broadcast_if_small(materialise(firsts, "firsts"))  # a row for each partition and source
     placed = coded.alias("c").join(firsts.alias("f"), (F.col("c.part") == F.col("f.part")) & same("c", "f"))
     placed = placed.select("doc_id", "c.source", "queue", (F.col("part_first") + F.col("before")).alias("first"), "doc_tokens", "width", "ids", "levels")
     return placed.mapInArrow(_pieces(totals, length), PIECES)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import crc, materialise, shared_dir, slices, small_batches
+from .shared import crc, each_in_a_task, materialise, shared_dir, slices, small_batches
 
 LENGTH = 2048
 BATCH_SEQUENCES = 256
@@ -166,5 +166,5 @@ def read(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as little-endian uint32)."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = manifest.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
-    found = manifest.repartition("part").mapInArrow(_read, FOUND)
+    found = each_in_a_task(manifest).mapInArrow(_read, FOUND)
     return found.join(firsts, "part").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

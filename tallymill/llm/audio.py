@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_output import file_system
-from .shared import materialise, shared_dir, slices, small_batches
+from .shared import each_in_a_task, materialise, shared_dir, slices, small_batches
 
 RATE, UP, DOWN = 16_000, 5, 8
 TAPS_A_PHASE = 8
@@ -248,7 +248,7 @@ def write_clips(media: DataFrame) -> DataFrame:
                         out.stream.write_batch(_features(stored.get_batch(i)))
                 yield pa.record_batch([pa.array([row["folder"]]), pa.array([row["media_path"]]), pa.array([out.close()]), pa.array([row["docs"]], pa.int64())], names=["folder", "media_path", "clips_path", "docs"])
 
-    return materialise(media.repartition("media_path").mapInArrow(write, "folder string, media_path string, clips_path string, docs long"), "clips")
+    return materialise(each_in_a_task(media).mapInArrow(write, "folder string, media_path string, clips_path string, docs long"), "clips")
 
 
 def clips(stored: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def clips(stored: DataFrame) -> DataFrame:
                         lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (CLIP * BANDS)), pa.array(mel))
                         yield pa.record_batch([*(b.column(c) for c in CLIPS.names[1:-1]), lists], names=CLIPS.names[1:])
 
-    return stored.repartition("clips_path").mapInArrow(read, "doc_id long, clip int, frames int, start_s double, end_s double, segments array<struct<from_s: double, to_s: double>>, mel array<float>")
+    return each_in_a_task(stored).mapInArrow(read, "doc_id long, clip int, frames int, start_s double, end_s double, segments array<struct<from_s: double, to_s: double>>, mel array<float>")
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
@@ -300,7 +300,7 @@ def read_digests(stored: DataFrame) -> DataFrame:
                     for i in range(media.num_record_batches):
                         yield _digest(media.get_batch(i), found.get_batch(i))
 
-    return stored.repartition("media_path").mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return each_in_a_task(stored).mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def digests(docs: DataFrame) -> DataFrame:

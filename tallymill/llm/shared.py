@@ -40,6 +40,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def each_in_a_task(manifest: DataFrame) -> DataFrame:
+    """A written table of files, some file a task: the number is given, lest so few bytes be taken for little work."""
+    return manifest.repartition(max(1, manifest.count()))
+
+
 #: Rows of ids and a few numbers, some 8 MB, that may be broadcast; beyond that a join shuffles.
 BROADCAST_ROWS = 200_000
 

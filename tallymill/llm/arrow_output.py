@@ -32,6 +32,8 @@ from .shared import crc, each_in_a_task, materialise, shared_dir, slices, small_
 
 LENGTH = 2048
 BATCH_SEQUENCES = 256
+#: Files that hold the manifest, whose rows are few and short; else each token file's task would write one of its own.
+MANIFEST_PARTS = 4
 MANIFEST = "part int, folder string, docs_path string, tokens_path string, docs long, tokens long, sequences long"
 FOUND = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -130,7 +132,8 @@ def write(docs: DataFrame, tokenizer: str, end: int = 1, length: int = LENGTH, f
     folder = folder or f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.mapInArrow(_writer(folder, tokenizer, end, length), MANIFEST), "manifest")
+    manifest = ordered.mapInArrow(_writer(folder, tokenizer, end, length), MANIFEST)
+    return materialise(manifest.repartition(MANIFEST_PARTS), "manifest")
 
 
 def sequences(files, path: str, counts=None) -> Iterator[np.ndarray]:

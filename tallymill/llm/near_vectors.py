@@ -4,7 +4,9 @@ Vectors are compared within one label and length. Those that are null, zero or h
 label, link with nothing. Equal vectors are one class.
 
 1. A label's classes are dealt by hash to shards of some ``SHARD`` vectors of 64 numbers (fewer if longer), and each shard gets a graph (``hnsw``).
-2. Every shard is asked for the neighbours of every vector of its label: pairs of shards are searched both ways.
+   Graphs are written to files of the shared folder, one file a task; what is shuffled is where they lie.
+2. Every shard is asked for the neighbours of every vector of its label: pairs of shards are searched both ways, by tasks that read one graph and
+   up to ``ASKED`` others, one at a time. A repeated task writes a file of its own, and no one is told of an unfinished one.
    Each search is audited: for ``AUDIT`` of its vectors all links are worked out by exact products, and the beam is doubled until
    the search finds them all (as many as half a beam holds; the rest of a larger family is reached through those); where even a beam as wide as
    the shard doesn't, the shard is scanned. What is near is emitted as a spanning forest.
@@ -20,6 +22,7 @@ Cases: rows with one vec_id are vectors of their own. An empty table gives no ro
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .arrow_output import file_system
 from .hnsw import Graph
-from .shared import batches_of, components, count_links, grouped, local_forest, materialise, runs, small_batches
+from .shared import components, count_links, grouped, local_forest, materialise, runs, shared_dir, small_batches
 
 COSINE = 0.98
 SHARD = 65_536
 BEAM = 48
 AUDIT = 512
+#: Other shards that a task asks with the graph that it has read.
+ASKED = 8
+PLACE = "struct<path: string, at: long, size: long>"
 #: float32 products may fall short of the cosine by so much; pairs are verified later.
 SLACK = 1e-4
 
@@ -45,11 +52,24 @@ def _unit(flat: np.ndarray, n: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in runs(batches, ("space", "shard")):
-        keys = t.column("key").to_numpy()
-        graph = Graph(_unit(t.column("embedding").flatten().to_numpy(zero_copy_only=False), len(keys)))
-        yield pa.record_batch([t.column("space")[:1], t.column("shard")[:1], pa.array([pickle.dumps((keys, graph), protocol=5)], pa.binary())], names=["space", "shard", "graph"])
+def _build(folder: str):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = file_system(folder)
+        path, sink, at = f"{base}/{uuid.uuid4().hex}.graphs", None, 0
+        for t in runs(batches, ("space", "shard")):
+            if sink is None:
+                files.create_dir(base, recursive=True)
+                sink = files.open_output_stream(path)
+            keys = t.column("key").to_numpy()
+            data = pickle.dumps((keys, Graph(_unit(t.column("embedding").flatten().to_numpy(zero_copy_only=False), len(keys)))), protocol=5)
+            sink.write(data)
+            place = pa.array([{"path": path, "at": at, "size": len(data)}], pa.struct([("path", pa.string()), ("at", pa.int64()), ("size", pa.int64())]))
+            yield pa.record_batch([t.column("space")[:1], t.column("shard")[:1], pa.array([len(keys)], pa.int64()), place], names=["space", "shard", "n", "place"])
+            at += len(data)
+        if sink is not None:
+            sink.close()
+
+    return build
 
 
 def audited_search(graph: Graph, queries: np.ndarray, least: float, own: bool, beam: int = BEAM, audit: int = AUDIT) -> tuple[np.ndarray, np.ndarray, int]:
@@ -81,29 +101,47 @@ def audited_search(graph: Graph, queries: np.ndarray, least: float, own: bool, b
     return r, ids[r, c], beam
 
 
-def _find(cosine: float):
+def _find(cosine: float, folder: str):
     least = cosine - SLACK
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = file_system(folder)
+
+        def graph_at(place: dict) -> tuple[np.ndarray, Graph]:
+            with files.open_input_file(place["path"]) as source:
+                source.seek(place["at"])
+                return pickle.loads(source.read(place["size"]))
+
         for batch in batches:
-            for same, one, other in zip(batch.column("same").to_pylist(), batch.column("one"), batch.column("other"), strict=True):
-                keys, graph = pickle.loads(one.as_buffer())
-                if same:
-                    a, b, _ = audited_search(graph, graph.x, least, True)
-                    every = keys
-                else:
-                    keys_b, graph_b = pickle.loads(other.as_buffer())
-                    qa, ib, _ = audited_search(graph_b, graph.x, least, False)
-                    qb, ia, _ = audited_search(graph, graph_b.x, least, False)
-                    a, b = np.concatenate([qa, ia]), np.concatenate([ib, qb]) + len(keys)
-                    every = np.concatenate([keys, keys_b])
-                root = local_forest(a, b, len(every))
-                own = np.flatnonzero(root != np.arange(len(every)))
-                yield pa.record_batch([pa.array(every[own]), pa.array(every[root[own]])], names=["src", "dst"])
+            for row in batch.to_pylist():
+                keys, graph = graph_at(row["one"])
+                for other in row["others"]:
+                    if other == row["one"]:
+                        a, b, _ = audited_search(graph, graph.x, least, True)
+                        every = keys
+                    else:
+                        keys_b, graph_b = graph_at(other)
+                        qa, ib, _ = audited_search(graph_b, graph.x, least, False)
+                        qb, ia, _ = audited_search(graph, graph_b.x, least, False)
+                        a, b = np.concatenate([qa, ia]), np.concatenate([ib, qb]) + len(keys)
+                        every = np.concatenate([keys, keys_b])
+                    root = local_forest(a, b, len(every))
+                    own = np.flatnonzero(root != np.arange(len(every)))
+                    yield pa.record_batch([pa.array(every[own]), pa.array(every[root[own]])], names=["src", "dst"])
 
     return find
 
 
+def _searches(graphs: DataFrame, shard: int) -> DataFrame:
+    """Which graph asks which others of its space, itself too, in as many tasks as there is work for."""
+    one = graphs.select("space", F.col("shard").alias("one_shard"), F.col("place").alias("one"))
+    other = graphs.select("space", F.col("shard").alias("other_shard"), F.col("place").alias("other"), "n")
+    some = one.join(other, "space").where("one_shard <= other_shard").groupBy("space", "one_shard", F.floor(F.col("other_shard") / ASKED))
+    asked = materialise(some.agg(F.first("one").alias("one"), F.collect_list("other").alias("others"), F.sum("n").alias("n")).select("one", "others", "n"), "searches")
+    rows, n = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return asked.repartition(max(1, min(rows, max(3 * asked.sparkSession.sparkContext.defaultParallelism, -(-n // shard)))))
+
+
 def _near(cosine: float):
     def near(one: pa.Array, other: pa.Array | None) -> np.ndarray:
         a = _unit(one.flatten().to_numpy(zero_copy_only=False), len(one))
@@ -128,13 +166,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD)
     shards = classes.groupBy("space").agg(F.ceil(F.count(F.lit(1)) * F.greatest(F.lit(1.0), F.max(F.size("embedding")) / 64) / shard).alias("shards"))
     dealt = classes.join(shards, "space").select("space", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int").alias("shard"), "key", "embedding")
     built = dealt.repartition("space", "shard").sortWithinPartitions("space", "shard", "key")
-    graphs = materialise(built.mapInArrow(_build, "space string, shard int, graph binary"), "graphs")
-    one, other = (graphs.select("space", F.col("shard").alias(f"{c}_shard"), F.col("graph").alias(c)) for c in ("one", "other"))
-    across = one.join(other, "space").where("one_shard < other_shard").select(F.lit(False).alias("same"), "one", "other")
-    within = graphs.select(F.lit(True).alias("same"), F.col("graph").alias("one"), F.lit(None).cast("binary").alias("other"))
-    with batches_of(spark, 1):  # a row holds whole graphs
-        searched = within.union(across).repartition(F.xxhash64(F.substring("one", 1, 4096), F.substring("other", 1, 4096)))
-        found = materialise(searched.mapInArrow(_find(cosine), "src long, dst long"), "found")
+    folder = f"{shared_dir(spark)}/graphs-{uuid.uuid4().hex}"
+    graphs = materialise(built.mapInArrow(_build(folder), f"space string, shard int, n long, place {PLACE}"), "places")
+    found = materialise(_searches(graphs, shard).mapInArrow(_find(cosine, folder), "src long, dst long"), "found")
     families = components(found)
     sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = families.join(sizes, "component").withColumnRenamed("node", "key").join(classes.select("key", "copies", F.col("embedding").cast("array<double>").alias("payload")), "key")

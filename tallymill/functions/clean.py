@@ -150,4 +150,4 @@ def amount_text(value: Column) -> Column:
 
 
 def preview(text: Column, most: int = 2000) -> Column:
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("... ["), (F.length(text) - most).cast("string"), F.lit(" more]"))).otherwise(text)
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("… [truncated "), (F.length(text) - most).cast("string"), F.lit(" chars]"))).otherwise(text)

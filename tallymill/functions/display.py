@@ -31,7 +31,12 @@ def lane(media_type: Column, chars: Column, pages: Column, least: int = 60) -> C
 
 def coerced_lane(raw: Column) -> Column:
     word = F.lower(F.trim(raw))
-    return F.when(word.isin("text", "digital", "native"), "text").otherwise("vision")
+    return F.when(word.isin("text", "digital", "digital_text", "native"), "text").otherwise("vision")
+
+
+def coerced_kind(raw: Column) -> Column:
+    word = F.lower(F.trim(raw))
+    return F.when(word.isin("invoice", "receipt", "contract"), word).otherwise("unknown")
 
 
 def confidence(raw: Column) -> Column:
@@ -55,12 +60,36 @@ def compact_money(value: Column) -> Column:
     return F.when(F.abs(value) >= 1e6, F.concat(F.format_number(value / 1e6, 1), F.lit("M"))).when(F.abs(value) >= 1e3, F.concat(F.format_number(value / 1e3, 1), F.lit("K"))).otherwise(F.format_number(value, 2))
 
 
+def _fixed(value: Column, digits: int) -> Column:
+    return F.round(value.cast("decimal(18,6)"), digits).cast(f"decimal(18,{digits})").cast("string")
+
+
 def size_text(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.format_number(n / 1024, 1), F.lit(" KB"))).otherwise(F.concat(F.format_number(n / 1048576, 1), F.lit(" MB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(_fixed(n / 1024, 1), F.lit(" KB"))).otherwise(F.concat(_fixed(n / 1048576, 1), F.lit(" MB")))
+
+
+def cost_text(usd: Column) -> Column:
+    """Dollars with two decimals, four below a cent."""
+    return F.when(usd == 0, "$0.00").otherwise(F.concat(F.lit("$"), F.when(usd < 0.01, _fixed(usd, 4)).otherwise(_fixed(usd, 2))))
+
+
+def latency_text(ms: Column) -> Column:
+    """Whole milliseconds below a second, else seconds: two decimals below ten, one beyond; null is a dash."""
+    seconds = ms.cast("decimal(18,3)") * F.lit("0.001").cast("decimal(4,3)")
+    text = F.when(ms < 1000, F.concat(F.round(ms).cast("long").cast("string"), F.lit(" ms"))).otherwise(F.concat(F.when(ms < 10_000, _fixed(seconds, 2)).otherwise(_fixed(seconds, 1)), F.lit(" s")))
+    return F.when(ms.isNull(), "—").otherwise(text)
+
+
+def age_text(then: Column, now: Column) -> Column:
+    seconds = F.unix_timestamp(now) - F.unix_timestamp(then)
+    part = lambda n, unit: F.concat(F.floor(seconds / n).cast("string"), F.lit(f"{unit} ago"))
+    return F.when(seconds < 60, "just now").when(seconds < 3600, part(60, "m")).when(seconds < 86_400, part(3600, "h")).otherwise(part(86_400, "d"))
 
 
 def humanised(event: Column) -> Column:
-    return F.initcap(F.translate(F.element_at(F.split(event, r"\."), -1), "_", " "))
+    """What follows the first dot, as words, the first letter in upper case."""
+    words = F.translate(F.substring(event, F.instr(event, ".") + 1, F.length(event)), "_", " ")
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words)))
 
 
 def caption(event: Column, payload: Column) -> Column:

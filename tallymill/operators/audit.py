@@ -86,6 +86,17 @@ def over_limit(requests: DataFrame, limit: int, width: str = "1 minute") -> Data
     return found.select(F.col("window.start").alias("window_start"), "client", "n")
 
 
+#: Requests a client may send in one window, by class.
+RATES = {"upload": 10, "mutation": 60, "read": 600}
+
+
+def over_rates(requests: DataFrame, rates: dict[str, int] = RATES, width: str = "1 minute") -> DataFrame:
+    """Clients beyond the limit of a class of requests in one tumbling window; a class without limit is never over."""
+    limit = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))[F.col("kind")]
+    found = requests.groupBy(F.window("ts", width), "client", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    return found.select(F.col("window.start").alias("window_start"), "client", "kind", "n")
+
+
 def priced(traces: DataFrame, prices: DataFrame, fallback: tuple[float, float] = (3.0, 15.0)) -> DataFrame:
     """Calls with their cost: the promotional price up to its last day, else the standard one, else the fallback.
 

@@ -32,6 +32,26 @@ def field_accuracy(pairs: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     return long.groupBy("m.field").agg(F.count(F.when(F.col("m.hit"), 1)).alias("correct"), F.count(F.lit(1)).alias("n")).withColumn("accuracy", F.round(F.col("correct") / F.col("n"), 6))
 
 
+def population_scores(results: DataFrame, manifest: DataFrame, fields: list[str] = FIELDS, offline: bool = True) -> DataFrame:
+    """Per population, never averaged together: documents (read), unreadable, correct, n, accuracy.
+
+    ``results``: filename, population, observed; ``manifest``: filename, is_scan, expected; joined by name. Offline, a scan of which no
+    vendor was read is unreadable: it is counted and not scored. Populations are put together by ``unionByName`` before.
+    """
+    both = results.join(manifest, "filename")
+    read = ~(F.lit(offline) & F.coalesce("is_scan", F.lit(False)) & (F.coalesce(F.trim("observed.vendor"), F.lit("")) == ""))
+    hits = sum((field_matches(f, F.col(f"expected.{f}"), F.col(f"observed.{f}")).cast("long") for f in fields), F.lit(0).cast("long"))
+    scored = both.select("population", read.alias("read"), hits.alias("hits"))
+    found = scored.groupBy("population").agg(F.count(F.when(F.col("read"), 1)).alias("documents"), F.count(F.when(~F.col("read"), 1)).alias("unreadable"), F.coalesce(F.sum(F.when(F.col("read"), F.col("hits"))), F.lit(0)).alias("correct"))
+    n = F.col("documents") * len(fields)
+    return found.select("population", "documents", "unreadable", "correct", n.alias("n"), F.round(F.when(n > 0, F.col("correct") / n), 6).alias("accuracy"))
+
+
+def as_labelled(expected: Column, observed: Column) -> Column:
+    """Whether just the expected kinds were found, in any order."""
+    return F.array_sort(F.array_distinct(expected)) == F.array_sort(F.array_distinct(observed))
+
+
 def line_item_score(expected: Column, observed: Column, slack: str = "0.01") -> Column:
     """How many lines agree in amount, place by place, up to the shorter list's end."""
     both = F.slice(F.arrays_zip(expected.alias("e"), observed.alias("o")), F.lit(1), F.greatest(F.lit(1), F.least(F.size(expected), F.size(observed))))

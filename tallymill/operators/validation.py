@@ -64,6 +64,11 @@ def validate(records: DataFrame, today: str | Column) -> DataFrame:
     return found.withColumns({"passed": F.forall("checks", lambda c: c["passed"]), "failed_rules": F.transform(failed, lambda c: c["rule"]), "summary": F.array_join(F.transform(failed, lambda c: F.concat(c["rule"], F.lit(": "), c["message"])), "; ")})
 
 
+def card(validated: DataFrame, most: int = 6) -> DataFrame:
+    """What a result's card shows: the checks that failed, the first lines, and how many more there are."""
+    return validated.select("document_id", F.filter("checks", lambda c: ~c["passed"]).alias("failing"), F.slice("line_items", 1, most).alias("lines"), F.greatest(F.lit(0), F.size("line_items") - most).alias("more"))
+
+
 def commit_gate(valid: Column, gravest: Column, unread_pages: Column) -> Column:
     """DONE or NEEDS_REVIEW with its first reason: unread pages, failed rules, a HIGH finding."""
     unread, invalid, high = F.coalesce(unread_pages, F.lit(0)) > 0, ~valid, F.coalesce(gravest, F.lit("")) == "HIGH"

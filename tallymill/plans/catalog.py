@@ -11,7 +11,7 @@ from ..functions import clean, display
 from ..functions.normal_form import nfkc
 from ..functions.similarity import token_set_ratio
 from ..operators import audit, evaluation, parsing, screening, stats, validation
-from ..sources import schemas, views
+from ..sources import corpus, files, schemas, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -576,7 +576,7 @@ def due_from_terms(spark, d):
     return rows.select("document_id", display.due_date(F.col("issue_date"), F.col("terms_key")).alias("due"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '... [' || (length(text) - 2000) || ' more]' ELSE text END AS preview FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '… [truncated ' || (length(text) - 2000) || ' chars]' ELSE text END AS preview FROM documents")
 def text_preview(spark, d):
     return views.table(spark, d, "documents").select("doc_id", clean.preview(F.col("text")).alias("preview"))
 
@@ -695,8 +695,103 @@ def routing_coercions(spark, d):
     return views.table(spark, d, "events").select("event_id", display.coerced_lane(raw).alias("lane"), F.round(display.confidence(sure), 6).alias("confidence"), F.round(display.backoff_ceiling(F.col("event_id") % 8), 3).alias("wait"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (event_id % 999) || ' B' WHEN event_id % 3 = 1 THEN '1.5 KB' ELSE '2.0 MB' END AS size, CASE event_type WHEN 'error' THEN 'Job Failed' ELSE 'Anomaly Raised' END AS event FROM events")
+@query(
+    """SELECT id, CASE WHEN id * 7919 % 3000000 < 1024 THEN (id * 7919 % 3000000) || ' B' WHEN id * 7919 % 3000000 < 1048576 THEN CAST(round(CAST((id * 7919 % 3000000) / 1024 AS DECIMAL(18,6)), 1) AS DECIMAL(18,1)) || ' KB' ELSE CAST(round(CAST((id * 7919 % 3000000) / 1048576 AS DECIMAL(18,6)), 1) AS DECIMAL(18,1)) || ' MB' END AS size,
+      upper(substr(words, 1, 1)) || substr(words, 2) AS event FROM (SELECT id, replace(substr(event, strpos(event, '.') + 1), '_', ' ') AS words FROM audit_log)"""
+)
 def display_text(spark, d):
-    n = F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 999).when(F.col("event_id") % 3 == 1, 1536).otherwise(2 * 1024 * 1024)
-    event = F.when(F.col("event_type") == "error", "job.job_failed").otherwise("pipeline.anomaly_raised")
-    return views.table(spark, d, "events").select("event_id", display.size_text(n).alias("size"), display.humanised(event).alias("event"))
+    return views.audit_log(spark, d).select("id", display.size_text(F.col("id") * 7919 % 3_000_000).alias("size"), display.humanised(F.col("event")).alias("event"))
+
+
+@query(
+    """SELECT document_id, CASE WHEN cost_usd = 0 THEN '$0.00' WHEN cost_usd < 0.01 THEN '$' || CAST(round(cost_usd, 4) AS DECIMAL(18,4)) ELSE '$' || CAST(round(cost_usd * 37, 2) AS DECIMAL(18,2)) END AS cost,
+      CASE WHEN ms < 1000 THEN ms || ' ms' WHEN ms < 10000 THEN CAST(round(ms * 0.001, 2) AS DECIMAL(18,2)) || ' s' ELSE CAST(round(ms * 0.001, 1) AS DECIMAL(18,1)) || ' s' END AS latency FROM (SELECT *, latency_ms * 37 AS ms FROM invoices)"""
+)
+def ledger_formats(spark, d):
+    return views.invoices(spark, d).select("document_id", display.cost_text(F.col("cost_usd")).alias("cost"), display.latency_text(F.col("latency_ms") * 37).alias("latency"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS age
+    FROM (SELECT event_id, CAST(epoch(date_trunc('day', ts)) + 86400 * (1 + event_id % 3) - floor(epoch(ts)) AS BIGINT) AS s FROM events)"""
+)
+def event_ages(spark, d):
+    now = F.timestamp_seconds(F.unix_timestamp(F.date_trunc("day", "ts")) + 86_400 * (1 + F.col("event_id") % 3))
+    return views.table(spark, d, "events").select("event_id", display.age_text(F.col("ts"), now).alias("age"))
+
+
+@query("SELECT o_orderkey AS document_id, CASE WHEN lower(trim(k)) IN ('invoice', 'receipt', 'contract') THEN lower(trim(k)) ELSE 'unknown' END AS kind FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN ' Invoice' WHEN 1 THEN 'RECEIPT ' WHEN 2 THEN 'contract' WHEN 3 THEN o_orderpriority END AS k FROM orders)")
+def coerced_kinds(spark, d):
+    raw = F.expr("CASE o_orderkey % 5 WHEN 0 THEN ' Invoice' WHEN 1 THEN 'RECEIPT ' WHEN 2 THEN 'contract' WHEN 3 THEN o_orderpriority END")
+    return views.table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), display.coerced_kind(raw).alias("kind"))
+
+
+@query("SELECT document_id, CAST(CASE WHEN n = 0 THEN NULL ELSE least(n, 200) END AS BIGINT) AS lines, CAST(CASE WHEN n > 0 THEN list_sum([least(512, (k * k + document_id) % 900) FOR k IN range(1, least(n, 200) + 1)]) END AS BIGINT) AS letters FROM (SELECT o_orderkey AS document_id, o_orderkey % 401 AS n FROM orders)")
+def bounded_lines(spark, d):
+    """Lines beyond what a record may hold; null for documents without any, of which a record has an empty list."""
+    k = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), (F.col("o_orderkey") % 401).alias("n"))
+    made = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda i: F.struct(i.alias("line"), F.repeat(F.lit("x"), ((i * i + F.col("document_id")) % 900).cast("int")).alias("description"))))
+    kept = k.select("document_id", schemas.bounded_lines(made).alias("kept"))
+    letters = F.aggregate("kept", F.lit(0).cast("long"), lambda s, x: s + F.length(x["description"]))
+    return kept.select("document_id", F.when(F.size("kept") > 0, F.size("kept")).cast("long").alias("lines"), F.when(F.size("kept") > 0, letters).alias("letters"))
+
+
+@query(
+    """SELECT date_trunc('day', ts) AS window_start, CAST(user_id % 3 AS BIGINT) AS client, CASE event_type WHEN 'signup' THEN 'upload' WHEN 'view' THEN 'read' WHEN 'click' THEN 'other' ELSE 'mutation' END AS kind, count(*) AS n
+    FROM events GROUP BY ALL HAVING count(*) > CASE kind WHEN 'upload' THEN 10 WHEN 'mutation' THEN 60 WHEN 'read' THEN 600 END"""
+)
+def rate_limits_by_class(spark, d):
+    kind = F.when(F.col("event_type") == "signup", "upload").when(F.col("event_type") == "view", "read").when(F.col("event_type") == "click", "other").otherwise("mutation")
+    return audit.over_rates(views.table(spark, d, "events").select("ts", (F.col("user_id") % 3).alias("client"), kind.alias("kind")), width="1 day")
+
+
+@query(f"WITH {_OK}, n AS (SELECT document_id, count(*) AS n FROM line_items GROUP BY document_id) SELECT r.document_id, (SELECT count(*) FROM checks c WHERE c.document_id = r.document_id AND NOT passed) AS failing, CAST(least(6, coalesce(n.n, 0)) AS BIGINT) AS lines, CAST(greatest(0, coalesce(n.n, 0) - 6) AS BIGINT) AS more FROM records r LEFT JOIN n ON n.document_id = r.document_id", records=True)
+def result_cards(spark, d):
+    shown = validation.card(_validated(spark, d))
+    return shown.select("document_id", *(F.size(c).cast("long").alias(c) for c in ("failing", "lines")), F.col("more").cast("long").alias("more"))
+
+
+@query("SELECT doc_id, to_base64(encode(text)) AS encoded FROM documents")
+def base64_text(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", files.encoded(F.col("text").cast("binary")).alias("encoded"))
+
+
+_READ = ["vendor", "invoice_number", "issue_date", "total", "currency"]
+
+
+@query(
+    """WITH results AS (SELECT document_id, CASE WHEN document_id % 8 <> 0 THEN upper(vendor) END AS vendor, CASE WHEN document_id % 5 = 0 THEN 'inv -' || document_id WHEN document_id % 11 = 0 THEN 'X' ELSE invoice_number END AS invoice_number,
+      CASE WHEN document_id % 13 <> 0 THEN issue_date END AS issue_date, total + CASE WHEN document_id % 9 = 0 THEN 1 WHEN document_id % 6 = 0 THEN 0.005 ELSE 0 END AS total, currency FROM records),
+scored AS (SELECT CASE WHEN t.document_id % 10 = 7 THEN 'real' ELSE 'generated' END AS population, t.document_id % 4 = 0 AND r.vendor IS NULL AS unreadable,
+      CAST(t.vendor IS NOT DISTINCT FROM r.vendor OR lower(t.vendor) = lower(r.vendor) AS INTEGER) + CAST(lower(replace(t.invoice_number, ' ', '')) = lower(replace(r.invoice_number, ' ', '')) AS INTEGER)
+      + CAST(t.issue_date IS NOT DISTINCT FROM r.issue_date AS INTEGER) + CAST(abs(t.total - r.total) <= 0.01 AS INTEGER) + CAST(t.currency = r.currency AS INTEGER) AS hits FROM records t JOIN results r USING (document_id))
+SELECT population, count(*) FILTER (NOT unreadable) AS documents, count(*) FILTER (unreadable) AS unreadable, CAST(coalesce(sum(hits) FILTER (NOT unreadable), 0) AS BIGINT) AS correct, 5 * count(*) FILTER (NOT unreadable) AS n,
+  round(sum(hits) FILTER (NOT unreadable) / CAST(5 * count(*) FILTER (NOT unreadable) AS DOUBLE), 6) AS accuracy FROM scored GROUP BY population""",
+    records=True,
+)
+def population_accuracy(spark, d):
+    """Two populations of results, some of them spoilt, against the manifest that names the same files."""
+    records = views.records(spark, d).withColumn("filename", F.concat(F.lit("doc-"), F.col("document_id").cast("string"), F.lit(".pdf")))
+    manifest = records.select("filename", (F.col("document_id") % 4 == 0).alias("is_scan"), F.struct(*_READ).alias("expected"))
+    k = F.col("document_id")
+    spoilt = F.struct(
+        F.when(k % 8 != 0, F.upper("vendor")).alias("vendor"), F.when(k % 5 == 0, F.concat(F.lit("inv -"), k.cast("string"))).when(k % 11 == 0, "X").otherwise(F.col("invoice_number")).alias("invoice_number"),
+        F.when(k % 13 != 0, F.col("issue_date")).alias("issue_date"), (F.col("total") + F.when(k % 9 == 0, F.lit("1").cast("decimal(6,3)")).when(k % 6 == 0, F.lit("0.005").cast("decimal(6,3)")).otherwise(0)).alias("total"), "currency",
+    )
+    one = lambda name, which: records.where(which).select("filename", F.lit(name).alias("population"), spoilt.alias("observed"))
+    return evaluation.population_scores(one("generated", k % 10 != 7).unionByName(one("real", k % 10 == 7)), manifest, _READ)
+
+
+@query(
+    """WITH tails AS (SELECT document_id, arg_max(CAST(qty AS DOUBLE), line) AS q, arg_max(CAST(unit_price AS DOUBLE), line) AS p FROM line_items GROUP BY document_id)
+SELECT document_id, round(q * (round(p + CAST(total AS DOUBLE) * 0.004 / q, 2) - p) / CAST(total AS DOUBLE), 4) AS gap, true AS caught FROM invoices JOIN tails USING (document_id) WHERE total > 0""",
+    records=True,
+)
+def planted_near_duplicates(spark, d):
+    """Copies made some 0.4 % dearer and three days later: each must be found against its original."""
+    tails = views.line_items(spark, d).groupBy("document_id").agg(F.max_by("qty", "line").alias("qty"), F.max_by("unit_price", "line").alias("unit_price"))
+    invoices = views.invoices(spark, d)
+    both = corpus.near_copies(invoices, tails)
+    found = screening.duplicates(both).select("document_id", "prior_id").where("document_id < 0 and prior_id = -1 - document_id").select(F.col("prior_id").alias("original_id"), F.lit(True).alias("caught"))
+    made = both.where("original_id is not null").join(invoices.select(F.col("document_id").alias("original_id"), F.col("total").alias("was")), "original_id").join(found, "original_id", "left")
+    return made.select(F.col("original_id").alias("document_id"), F.round((F.col("total") - F.col("was")).cast("double") / F.col("was").cast("double"), 4).alias("gap"), F.coalesce("caught", F.lit(False)).alias("caught"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import filename, media_type, upload_verdict
@@ -26,6 +26,16 @@ def label_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LABELS).option("multiLine", True).json(path)
 
 
+def missing_files(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """Files that a manifest names and ``found`` (as ``uploads`` gives it) lacks."""
+    return manifest.select("filename").distinct().join(found.select("filename"), "filename", "left_anti")
+
+
+def encoded(content: Column) -> Column:
+    """An image as text, in base64 on one line."""
+    return F.translate(F.base64(content), "\r\n", "")
+
+
 def append_audit(rows: DataFrame, folder: str) -> None:
     """The log only grows."""
     rows.write.mode("append").parquet(folder)
@@ -36,6 +46,11 @@ def dead_letters(rows: DataFrame) -> DataFrame:
     return rows.where("error_code is not null").withColumn("reason", F.substring("reason", 1, 4000)).withColumn("status_reason", F.substring("reason", 1, 1000))
 
 
+def replace(rows: DataFrame, folder: str) -> None:
+    """A table emptied and filled anew."""
+    rows.write.mode("overwrite").parquet(folder)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A report as JSON lines."""
     df.write.mode("overwrite").json(path)

@@ -29,6 +29,16 @@ def illegal(table: str) -> Column:
     return F.filter(F.array(*bad), lambda c: c.isNotNull()) if bad else F.array().cast("array<string>")
 
 
+#: Most lines of a record, and the longest description of one.
+MOST_LINES, LONGEST_DESCRIPTION = 200, 512
+
+
+def bounded_lines(lines: Column) -> Column:
+    """The first lines that a record may hold, descriptions cut; null is none."""
+    kept = F.slice(lines, 1, MOST_LINES)
+    return F.coalesce(F.transform(kept, lambda x: x.withField("description", F.substring(x["description"], 1, LONGEST_DESCRIPTION))), F.array())
+
+
 def too_long() -> Column:
     return F.filter(F.array(*(F.when(F.length(c) > n, c) for c, n in LONGEST.items())), lambda c: c.isNotNull())
 

@@ -58,3 +58,41 @@ def test_manifest(spark, tmp_path):
     (tmp_path / "labels.json").write_text('[{"filename": "a.pdf", "is_scan": false, "expected_anomalies": [], "ground_truth": {"vendor": "X", "due_date": null, "line_items": []}, "more": 1}]')
     r = files.label_manifest(spark, str(tmp_path / "labels.json")).first()
     assert r["ground_truth"]["vendor"] == "X" and r["ground_truth"]["line_items"] == []
+
+
+def test_missing_files(spark):
+    manifest = spark.createDataFrame([("a.pdf",), ("b.pdf",), ("b.pdf",), (None,)], "filename string").where("filename is not null")
+    assert [r["filename"] for r in files.missing_files(manifest, spark.createDataFrame([("a.pdf",), ("c.pdf",)], "filename string")).collect()] == ["b.pdf"]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "timeout", "r" * 5000), (2, None, None)], "id int, error_code string, reason string")
+    failed = files.dead_letters(rows).collect()
+    assert [(r["id"], len(r["reason"]), len(r["status_reason"])) for r in failed] == [(1, 4000, 1000)]
+    log = str(tmp_path / "log")
+    files.append_audit(rows, log)
+    files.append_audit(rows, log)
+    assert spark.read.parquet(log).count() == 4
+    files.replace(rows.limit(1), log)
+    assert spark.read.parquet(log).count() == 1
+    files.write_report(rows, str(tmp_path / "report"))
+    assert sorted(r["id"] for r in spark.read.json(str(tmp_path / "report")).collect()) == [1, 2]
+
+
+def test_labels_hold_in_any_order(spark):
+    from pyspark.sql import functions as F
+    from tallymill.operators import evaluation
+
+    rows = spark.createDataFrame([(["a", "b"], ["b", "a", "a"]), ([], []), (["a"], []), ([], ["a"])], "e array<string>, o array<string>")
+    assert [r[0] for r in rows.select(evaluation.as_labelled(F.col("e"), F.col("o"))).collect()] == [True, True, False, False]
+
+
+def test_unreadable_scans_are_counted_only(spark):
+    from tallymill.operators import evaluation
+
+    results = spark.createDataFrame([("a", "real", (None,)), ("b", "real", ("X LLC",)), ("c", "generated", (None,)), ("gone", "real", ("Y",))], "filename string, population string, observed struct<vendor: string>")
+    manifest = spark.createDataFrame([("a", True, ("X",)), ("b", True, ("x",)), ("c", False, ("Z",))], "filename string, is_scan boolean, expected struct<vendor: string>")
+    rows = {r["population"]: tuple(r)[1:] for r in evaluation.population_scores(results, manifest, ["vendor"]).collect()}
+    assert rows == {"real": (1, 1, 1, 1, 1.0), "generated": (1, 0, 0, 1, 0.0)}
+    online = evaluation.population_scores(results, manifest, ["vendor"], offline=False).where("population = 'real'").first()
+    assert (online["documents"], online["unreadable"], online["correct"]) == (2, 0, 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, audio, html_text, language_id, mixing, near_text, near_vectors, packing, quality, token_counts
+from . import arrow_output, audio, exponion, html_text, language_id, mixing, near_text, near_vectors, packing, quality, token_counts
 from .shared import table
 
 
@@ -51,9 +51,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.ORACLE_SQL}
+    return {"op3_source_mixing": mixing.ORACLE_SQL, "op12_exponion_clusters": exponion.ORACLE_SQL}

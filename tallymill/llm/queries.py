@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, audio, exponion, html_text, language_id, mixing, near_text, near_vectors, packing, quality, token_counts
+from . import arrow_output, audio, chat_format, exponion, html_text, language_id, mixing, near_text, near_vectors, packing, quality, token_counts
 from .shared import table
 
 
@@ -51,6 +51,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op12_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exponion.clusters(table(spark, sf_dir, "embeddings"))
 
@@ -60,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.ORACLE_SQL, "op12_exponion_clusters": exponion.ORACLE_SQL}
+    return {"op3_source_mixing": mixing.ORACLE_SQL, "op11_chat_format": chat_format.ORACLE_SQL, "op12_exponion_clusters": exponion.ORACLE_SQL}

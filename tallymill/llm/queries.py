@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, audio, chat_format, exponion, html_text, language_id, mixing, near_text, near_vectors, packing, quality, token_counts
+from . import arrow_output, audio, chat_format, exponion, html_text, language_id, mixing, near_text, near_vectors, packing, quality, spelling, token_counts
 from .shared import table
 
 
@@ -59,6 +59,10 @@ def op12_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exponion.clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

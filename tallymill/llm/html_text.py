@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,7 +103,7 @@ class Forest:
         self.roots.append(root)
         stack = [root]
         places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
-        closings: dict[str, int] = {}
+        closings: dict[str, tuple] = {}
 
         def close_from(k: int) -> None:
             for node in stack[k:]:
@@ -117,16 +119,20 @@ class Forest:
             if tag in RAW:
                 close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                 return close.end() if close else len(source)
-            if tag not in closings:
-                closings[tag] = source.lower().rfind(f"</{tag}")
-            if closings[tag] < at:
-                return at
-            deep = 1
-            for m in re.compile(rf"<(/?){tag}\b([^>]*)>", re.I).finditer(source, at):
-                deep += -1 if m[1] else 0 if m[2].endswith("/") else 1
-                if deep == 0:
-                    return m.end()
-            return at
+            if tag not in closings:  # each of its tags once: where it begins, and by depth where tags that end an element get there
+                starts, ends, depths, falls = [], [], [0], defaultdict(list)
+                for k, m in enumerate(re.compile(rf"<(/?){tag}\b([^>]*)>", re.I).finditer(source)):
+                    starts.append(m.start())
+                    ends.append(m.end())
+                    depths.append(depths[-1] + (-1 if m[1] else 0 if m[2].endswith("/") else 1))
+                    if m[1]:
+                        falls[depths[-1]].append(k)
+                closings[tag] = starts, ends, depths, falls
+            starts, ends, depths, falls = closings[tag]
+            k = bisect_left(starts, at)
+            below = falls.get(depths[k] - 1, ())
+            j = bisect_left(below, k)
+            return ends[below[j]] if j < len(below) else at
 
         self.blocks += 1
         block = self.blocks

@@ -9,11 +9,12 @@ target is drawn without replacement: each document has the key -ln(u) / quality,
 doc_id, and the documents of a source are taken in the order of their keys until their summed sizes
 reach the rest; the last one gives its first words only, so that a source takes its target to the word.
 
-Quality is a column that the caller names, or the share of letters among the characters that aren't white space.
+Quality is a column that the caller names, or the share of letters among the characters that aren't white space. Documents whose quality is null, NaN, zero or negative
+are drawn after all others.
 
 Cases: null or empty text has size 0, a key like any other, and takes 0. A null source is a source of
 its own, the last. A null doc_id is drawn by the text "null". Equal keys (repeated doc_ids) are ordered by doc_id,
-then size; rows alike in all of these share what falls to them in any order. An empty table gives no
+then size; of rows alike in all of these each takes its own part of what falls to them, in any order. An empty table gives no
 rows. Other columns of the input are left out by ``mix`` and kept by ``apply_mix``.
 
 Scale: the text is read once, to a table of some 40 bytes a document. Prefix sums need no partition of a
@@ -30,6 +31,8 @@ from .shared import broadcast_if_small, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_REPEATS = 3
+#: Stands for no quality: keys beyond those of any that is larger.
+NO_QUALITY = 1e-300
 
 
 def letter_share() -> Column:
@@ -83,7 +86,8 @@ def source_targets(sizes: DataFrame, most_repeats: int = MOST_REPEATS) -> DataFr
 
 def draw_key(doc_id="doc_id", quality="quality"):
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("double") + 1) / F.lit(float(2**52))
-    return -F.ln(u) / F.col(quality)
+    q = F.col(quality).cast("double")
+    return -F.ln(u) / F.when((q > 0) & ~F.isnan(q), q).otherwise(NO_QUALITY)
 
 
 def mix(docs: DataFrame, most_repeats: int = MOST_REPEATS, quality: Column | None = None) -> DataFrame:
@@ -108,14 +112,26 @@ def mix(docs: DataFrame, most_repeats: int = MOST_REPEATS, quality: Column | Non
 def apply_mix(docs: DataFrame, most_repeats: int = MOST_REPEATS, quality: Column | None = None) -> DataFrame:
     """The mix itself: each document as often as it is taken, the last time perhaps its first words alone; the columns of ``docs``.
 
-    Rows alike in doc_id, source and size take what the fullest of them takes.
+    Rows alike in doc_id, source and size mostly take the same. Where the end of a target falls among them, they are numbered: the first take one time more, one what is left.
     """
-    taken = mix(docs, most_repeats, quality).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
+    alike = mix(docs, most_repeats, quality).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"), F.max("taken").alias("most"), F.min("taken").alias("least"), F.sum("taken").alias("all"))
     # most documents are taken once or as often as all of their source: only ids and counts are joined, by broadcast while they are few
-    taken = broadcast_if_small(materialise(taken, "taken"))
+    alike = materialise(alike.where("most > 0"), "taken")
     sized = measured(docs, quality, F.struct(*docs.columns).alias("doc")).alias("d")
     on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.size") == F.col("t.size"))
-    both = sized.join(taken.alias("t"), on).select("d.size", "taken", "doc")
+    both = sized.join(broadcast_if_small(alike.where("least = most")).alias("t"), on).select("d.size", F.col("most").alias("taken"), "doc")
+    parted = alike.where("least < most")  # one for each source at most
+    if not parted.isEmpty():
+        rows = sized.join(F.broadcast(parted).alias("t"), on).select("d.doc_id", "d.source", "d.size", "least", "all", "n", "doc", F.xxhash64(F.monotonically_increasing_id()).alias("spread"))
+        order = [F.col(c) for c in ("source", "doc_id", "size", "spread")]
+        numbered = materialise(in_ranges(rows, order, "parted", F.lit(1).cast("long").alias("nth")), "numbered")
+        first = numbered.groupBy("source", "doc_id", "size").agg((F.min("nth") - 1).alias("before"))
+        on = F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("r.source").eqNullSafe(F.col("f.source")) & (F.col("r.size") == F.col("f.size"))
+        rows = numbered.alias("r").join(F.broadcast(first).alias("f"), on).withColumn("own", F.col("nth") - F.col("before"))
+        fewer = F.floor(F.col("least") / F.col("r.size")) * F.col("r.size")  # what all of them take
+        more = F.floor((F.col("all") - F.col("n") * fewer) / F.col("r.size"))  # so many take one time more
+        taken = fewer + F.when(F.col("own") <= more, F.col("r.size")).when(F.col("own") == more + 1, F.col("all") - F.col("n") * fewer - more * F.col("r.size")).otherwise(0)
+        both = both.union(rows.select("r.size", taken.cast("long").alias("taken"), "doc").where("taken > 0"))
     times = F.ceil(F.col("taken") / F.col("size"))
     copies = both.withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
     words = F.col("taken") - (F.col("copy") - 1) * F.col("size")

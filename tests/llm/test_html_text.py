@@ -2,6 +2,7 @@
 
 import html
 import itertools
+import time
 import re
 from collections import Counter
 
@@ -125,3 +126,16 @@ def test_odd_tables(spark, extractor):
     found = html_text.extract(table, extractor).collect()
     assert sorted(r["n_chars"] for r in found) == [0, 0, 20_000 * 19 - 1, 20_000 * 19 - 1]
     assert html_text.extract(table.limit(0), extractor).collect() == []
+
+
+def test_many_unclosed_elements_take_little_time():
+    began = time.time()
+    forest = html_text.Forest()
+    forest.add("<svg>" * 30_000 + "<p>kept</p>" + "<video><p>" * 30_000 + "</video></svg>")
+    assert time.time() - began < 10
+
+
+def test_skipped_elements_are_matched():
+    forest = html_text.Forest()
+    forest.add("<p>a<svg><g><svg/>no<svg>no</svg>no</svg>b<svg>c<object>no<object>no</object></object>d</object>e</svg>f<math>g")
+    assert "".join(text for _, _, text in forest.segments) == "abf" + "g"

@@ -98,3 +98,22 @@ def test_a_quality_column(spark, make_docs):
     docs = make_docs([(i, "a b c d e", "en", "s") for i in range(400)] + [(1000 + i, "a b", "en", "t") for i in range(900)]).withColumn("score", F.when(F.col("doc_id") % 2 == 0, 9.0).otherwise(0.1))
     rows = [r for r in mixing.mix(docs, quality=F.col("score")).collect() if r["source"] == "s"]
     assert sum(r["taken"] > 0 for r in rows if r["doc_id"] % 2 == 0) > 3 * max(1, sum(r["taken"] > 0 for r in rows if r["doc_id"] % 2))
+
+
+def words(df):
+    return sum(len((r["text"] or "").split()) for r in df.collect())
+
+
+def test_equal_rows_take_their_own_parts(spark, make_docs):
+    for n, other in ((100, 1000), (7, 50), (30, 4)):
+        docs = make_docs([(1, "a b c d e f g h i j", "en", "x")] * n + [(2 + i, "w " * 10, "en", "y") for i in range(other // 10)] + [(None, "p q r", None, None)] * 5)
+        taken = sum(r["taken"] for r in mixing.mix(docs).collect())
+        assert words(mixing.apply_mix(docs)) == taken
+
+
+def test_documents_without_quality_come_last(spark, make_docs):
+    docs = make_docs([(i, "a b c d", "en", "x") for i in range(90)] + [(1000 + i, "k l m n", "en", "y") for i in range(90)])
+    values = F.when(F.col("doc_id") % 3 == 0, F.lit(1.0)).when(F.col("doc_id") % 9 == 1, F.lit(None)).when(F.col("doc_id") % 9 == 2, F.lit(0.0)).when(F.col("doc_id") % 9 == 4, F.lit(float("nan"))).when(F.col("doc_id") % 9 == 5, F.lit(-2.0)).otherwise(F.lit(0.5))
+    rows = mixing.mix(docs.withColumn("q", values.cast("double")), quality=F.col("q")).where("source = 'x'").collect()  # two thirds of its words are taken
+    assert {r["taken"] for r in rows if r["doc_id"] % 9 in (0, 3, 6, 7, 8)} <= {4}
+    assert sum(r["taken"] for r in rows) == 240

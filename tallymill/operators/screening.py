@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import terms_key, vendor_key
-from ..functions.similarity import most_token_set_ratio, token_set_ratio
+from . import names
 from .stats import severity_rank
 
 
@@ -82,18 +82,19 @@ def history(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return found.withColumn("n", F.col("by_vendor") + F.col("by_date") - F.col("by_both"))
 
 
-def similar_names(asked: DataFrame, names: DataFrame, letters: int = 3) -> DataFrame:
-    """a, b, ratio for each asked name (a, name_a) and other name (b, name_b) of which some tokens begin with the same letters."""
-    begins = lambda c: F.explode(F.array_distinct(F.transform(F.split(c, " "), lambda t: F.substring(t, 1, letters)))).alias("begin")
-    pairs = asked.select("*", begins("name_a")).join(names.select("*", begins("name_b")), "begin").where("a <> b and begin <> ''").drop("begin").distinct()
-    return pairs.select("a", "b", F.round(token_set_ratio(F.col("name_a"), F.col("name_b")), 4).alias("ratio"))
+def similar_names(asked: DataFrame, others: DataFrame, least: float = 88.0) -> DataFrame:
+    """a, b, ratio for each asked name (a, name_a) and other name (b, name_b) with a ratio of ``least`` or more; equal names are alike."""
+    keys = others.select(F.col("name_b").alias("key")).union(asked.select("name_a")).where("key is not null").distinct()
+    alike = names.similar(keys, least).union(keys.where("trim(key) <> ''").select("key", F.col("key").alias("other"), F.lit(100.0).alias("similarity")))
+    found = asked.join(alike, F.col("name_a") == F.col("key")).join(others, F.col("other") == F.col("name_b")).where("a <> b")
+    return found.select("a", "b", F.round("similarity", 4).alias("ratio"))
 
 
 def duplicates(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row for each earlier invoice that a document seems to repeat.
 
-    A band join: signs, bins of days and bins of the logarithm of the amount are equality keys, exact conditions follow. Names that can't
-    be similar enough are told by a bound before the similarity is worked out.
+    A band join: the other vendor's key, signs, bins of days and bins of the logarithm of the amount are equality keys, exact conditions follow. Which
+    keys are similar is worked out once for the distinct ones (``names.similar``), so one usual price on one day pairs no vendors that aren't.
     """
     step = F.ln(F.lit(1.02))
     total = F.col("total").cast("double")
@@ -101,7 +102,12 @@ def duplicates(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     sides = sides.withColumns({"sign": F.signum("total").cast("int"), "amount_bin": F.when(total == 0, F.lit(0)).otherwise(F.floor(F.ln(F.abs(total)) / step))})
     width, origin = limits.days + 1, F.lit("1970-01-01").cast("date")
     day = F.datediff("issue_date", origin)
-    looks = sides.withColumn("day_bin", F.explode(F.sequence(F.floor((day - limits.days) / width), F.floor((day + limits.days) / width))))
+    keys = sides.select(F.col("vendor_key").alias("key")).distinct()
+    alike = keys.select("key", F.col("key").alias("other"), F.lit(100.0).alias("similarity"))
+    if limits.similarity < 100:
+        alike = alike.union(names.similar(keys, limits.similarity))
+    alike = alike.select(F.col("key").alias("vendor_key"), F.col("other").alias("prior_vendor_key"), "similarity")
+    looks = sides.join(alike, "vendor_key").withColumn("day_bin", F.explode(F.sequence(F.floor((day - limits.days) / width), F.floor((day + limits.days) / width))))
     looks = looks.withColumn("amount_bin", F.explode(F.when(F.col("sign") == 0, F.array("amount_bin")).otherwise(F.sequence(F.col("amount_bin") - 1, F.col("amount_bin") + 1))))
     prior = sides.select(*(F.col(x).alias(f"prior_{x}") for x in ("document_id", "ingest_seq", "vendor_key", "issue_date", "total", "currency", "invoice_number")), "sign", "amount_bin", F.floor(day / width).alias("day_bin"))
     gap, largest = F.abs(F.col("total") - F.col("prior_total")), F.greatest(F.abs("total"), F.abs("prior_total"))
@@ -111,10 +117,7 @@ def duplicates(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
         & (gap <= F.lit(limits.gap).cast("decimal(4,2)") * largest)
         & ((F.col("currency") == F.col("prior_currency")) | (F.coalesce("currency", F.lit("")) == "") | (F.coalesce("prior_currency", F.lit("")) == ""))
     )
-    pairs = looks.join(prior, ["day_bin", "sign", "amount_bin"]).where(near)
-    one, other = F.col("vendor_key"), F.col("prior_vendor_key")
-    pairs = pairs.where((one == other) | (most_token_set_ratio(one, other) >= limits.similarity))
-    found = pairs.withColumn("similarity", F.when(one == other, F.lit(100.0)).otherwise(token_set_ratio(one, other))).where(F.col("similarity") >= limits.similarity)
+    found = looks.join(prior, ["prior_vendor_key", "day_bin", "sign", "amount_bin"]).where(near)
     days = F.datediff("issue_date", "prior_issue_date")
     share = F.coalesce(F.try_divide(100 * gap.cast("double"), largest.cast("double")), F.lit(0.0))
     number, prior_number = F.col("invoice_number"), F.col("prior_invoice_number")

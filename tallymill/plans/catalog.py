@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, display
 from ..functions.normal_form import nfkc
-from ..functions.similarity import token_set_ratio
 from ..operators import audit, evaluation, parsing, screening, stats, validation
 from ..sources import corpus, files, schemas, views
 
@@ -228,15 +227,19 @@ def finding_evidence(spark, d):
 
 
 def _vendor_names(spark, d):
-    return views.table(spark, d, "customer").select("c_custkey", F.translate(F.md5(F.col("c_custkey").cast("string").cast("binary")), "0123456789", "ghijklmnop").alias("w")).select("c_custkey", F.concat_ws(" ", F.substring("w", 1, 8), F.substring("w", 9, 6)).alias("name"))
+    """Names of customers: four spell one name, three of them with a letter less, and some add a word."""
+    k = F.col("c_custkey")
+    named = views.table(spark, d, "customer").select("c_custkey", F.translate(F.md5(F.floor(k / 4).cast("string").cast("binary")), "0123456789", "ghijklmnop").alias("w"))
+    first = F.concat(F.substring("w", 1, 1), F.when(k % 4 == 1, F.substring("w", 2, 6)).when(k % 4 == 2, F.substring("w", 3, 6)).otherwise(F.substring("w", 2, 7)))
+    return named.select("c_custkey", F.concat_ws(" ", first, F.substring("w", 9, 6), F.when(k % 3 == 0, "trading"), F.when(k % 4 == 3, "est")).alias("name"))
 
 
 @query()
 def vendor_similarity(spark, d):
-    """Every twentieth vendor's name against all names of which a word begins alike; held against a plain ratio in the tests, as SQL has none."""
-    names = _vendor_names(spark, d)
-    asked = names.where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("a"), F.col("name").alias("name_a"))
-    return screening.similar_names(asked, names.select(F.col("c_custkey").alias("b"), F.col("name").alias("name_b")))
+    """Every twentieth vendor's name against all names, as similar as duplicates must be; held against a plain ratio of all pairs in the tests, as SQL has none."""
+    named = _vendor_names(spark, d)
+    asked = named.where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("a"), F.col("name").alias("name_a"))
+    return screening.similar_names(asked, named.select(F.col("c_custkey").alias("b"), F.col("name").alias("name_b")))
 
 
 # ---- validation

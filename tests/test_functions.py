@@ -94,7 +94,7 @@ def ratio(a, b):
 
 
 def test_token_set_ratio(spark):
-    pairs = [("kitten", "sitting"), ("gulf metals", "gulf metals trading"), ("customer 000000001", "customer 000000002"), ("", "a"), ("", ""), ("a b c", "c b a"), ("north star print", "northstar printing"), ("x", "y"), ("aa bb", "aa cc dd"), ("al noor", "al nour")]
+    pairs = [("kitten", "sitting"), ("gulf metals", "gulf metals trading"), ("customer 000000001", "customer 000000002"), ("", "a"), ("", ""), ("a b c", "c b a"), ("north star print", "northstar printing"), ("x", "y"), ("aa bb", "aa cc dd"), ("al noor", "al nour"), ("ab" * 40 + " c", "ba" * 50), ("x" * 62, "x" * 63), ("y" + "z" * 124, "z" * 125 + "y")]
     found = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").select("i", common_subsequence(F.col("a"), F.col("b")).alias("n"), token_set_ratio(F.col("a"), F.col("b")).alias("r")).orderBy("i").collect()
     for r, (a, b) in zip(found, pairs, strict=True):
         assert r["n"] == lcs(a, b) and abs(r["r"] - ratio(a, b)) < 1e-9

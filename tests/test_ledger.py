@@ -107,14 +107,6 @@ def test_reasons(spark):
     assert said["EV-GM-999"].startswith("Amount is 34.") and said["EV-GM-999"].endswith("across 4 prior invoices (2.4x the usual).")
 
 
-def test_the_bound_is_no_less_than_the_ratio(spark):
-    from tallymill.functions.similarity import most_token_set_ratio, token_set_ratio
-
-    names = ["gulf metals", "gulf metal trading", "metals gulf", "cedar print house", "cedar printing house", "northern light", "", "light"]
-    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
-    assert all(r[0] >= r[1] - 1e-9 for r in pairs.select(most_token_set_ratio(F.col("a"), F.col("b")), token_set_ratio(F.col("a"), F.col("b"))).collect())
-
-
 def test_later_arrivals_change_nothing(spark):
     rows = many()
     early = {tuple(r) for r in screening.screen(spark.createDataFrame(rows[:90], INVOICE)).collect()}

@@ -42,9 +42,9 @@ def test_vendor_similarity_by_hand(spark):
 
     names = {r["c_custkey"]: r["name"] for r in catalog._vendor_names(spark, SF).collect()}
     rows = {(r["a"], r["b"]): r["ratio"] for r in catalog.QUERIES["vendor_similarity"](spark, SF).collect()}
-    begins = {k: {w[:3] for w in v.split()} for k, v in names.items()}
-    assert set(rows) == {(a, b) for a in names for b in names if a % 20 == 0 and a != b and begins[a] & begins[b]} and rows
-    assert all(abs(v - ratio(names[a], names[b])) < 1e-3 for (a, b), v in rows.items())
+    want = {(a, b): ratio(names[a], names[b]) for a in names for b in names if a % 20 == 0 and a != b}
+    assert set(rows) == {k for k, v in want.items() if v >= 88} and len(rows) > 10
+    assert all(abs(v - want[k]) < 1e-3 for k, v in rows.items())
 
 
 def test_uploads(spark, tmp_path):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import as_of
+
 # The stages in order, the events that complete them, and the states a document may turn to.
 STAGES = ["ingest", "route", "extract", "validate", "screen", "ledger"]
 COMPLETES = {
@@ -98,15 +100,18 @@ def over_rates(requests: DataFrame, rates: dict[str, int] = RATES, width: str =
 
 
 def priced(traces: DataFrame, prices: DataFrame, fallback: tuple[float, float] = (3.0, 15.0)) -> DataFrame:
-    """Calls with their cost: the promotional price up to its last day, else the standard one, else the fallback.
+    """Calls with their cost, one row a call: the promotional price that began last and hasn't ended, else the standing one that began last, else the fallback.
 
-    ``prices``: model, price_in, price_out (USD a million tokens), valid_to (null: standing); a small dimension, whose size Spark checks before it broadcasts it.
+    ``prices``: model, price_in, price_out (USD a million tokens), valid_to (the last day; null: standing) and perhaps valid_from (the first day). A promotion without first day begins where
+    the one that ends before it ended; prices alike in model and days count once, the least. Any number of prices a model.
     """
-    promo = prices.where("valid_to is not null").select("model", F.col("price_in").alias("promo_in"), F.col("price_out").alias("promo_out"), "valid_to")
-    standing = prices.where("valid_to is null").select("model", "price_in", "price_out")
-    both = traces.join(standing, "model", "left").join(promo, "model", "left")
-    on = F.col("called_on") <= F.col("valid_to")
-    price_in, price_out = (F.coalesce(F.when(on, F.col(f"promo_{d}")), F.col(f"price_{d}"), F.lit(fallback[k])) for k, d in enumerate(("in", "out")))
+    given = prices if "valid_from" in prices.columns else prices.withColumn("valid_from", F.lit(None).cast("date"))
+    promotion = F.col("valid_to").isNotNull()
+    ended = F.lag("valid_to").over(Window.partitionBy("model", promotion).orderBy("valid_to", "valid_from", "price_in", "price_out"))
+    given = given.withColumn("begins", F.coalesce("valid_from", F.when(promotion, F.date_add(ended, 1))))
+    both = as_of(traces, given, ["model"], "called_on", F.col("begins"), ["valid_to", "price_in", "price_out"], {"promo": promotion, "standing": ~promotion})
+    on = F.col("called_on") <= F.col("promo.valid_to")
+    price_in, price_out = (F.coalesce(F.when(on, F.col(f"promo.price_{d}")), F.col(f"standing.price_{d}"), F.lit(fallback[k])) for k, d in enumerate(("in", "out")))
     return both.select(*traces.columns, F.round((F.col("input_tokens") * price_in + F.col("output_tokens") * price_out) / 1e6, 6).alias("cost_usd"))
 
 

@@ -7,6 +7,8 @@ comparison. A finding has a reason, a sentence whose form is fixed, and its evid
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,15 +46,17 @@ def earlier(rows: DataFrame, keys: list[str], sums: dict[str, Column], greatest:
     """Rows with sums (and greatest values) over the rows of equal keys that had arrived before, null where there are none.
 
     A key's rows are parted by stretches of ``ingest_seq``: windows run within a stretch, and what the stretches before hold comes
-    from one row for each. So no key's rows meet in one task, however many it has.
+    from one row for each. So no key's rows meet in one task, however many it has. A null key is one like others; rows without ``ingest_seq`` came first, in any order.
     """
     named = {n: (c, F.sum) for n, c in sums.items()} | {n: (c, F.max) for n, c in (greatest or {}).items()}
     parted = rows.select("*", F.floor(F.col("ingest_seq") / STRETCH).alias("stretch_"), *(c.alias(f"{n}_") for n, (c, _) in named.items()))
     whole = parted.groupBy(*keys, "stretch_").agg(*(f(f"{n}_").alias(f"{n}_") for n, (_, f) in named.items()))
     over = Window.partitionBy(*keys).orderBy("stretch_").rowsBetween(Window.unboundedPreceding, -1)
-    before = whole.select(*keys, "stretch_", *(f(f"{n}_").over(over).alias(f"{n}_before_") for n, (_, f) in named.items()))
+    on = [*keys, "stretch_"]
+    before = whole.select(*(F.col(c).alias(f"on_{c}") for c in on), *(f(f"{n}_").over(over).alias(f"{n}_before_") for n, (_, f) in named.items()))
     inside = Window.partitionBy(*keys, "stretch_").orderBy("ingest_seq").rowsBetween(Window.unboundedPreceding, -1)
-    found = parted.select("*", *(f(f"{n}_").over(inside).alias(f"{n}_inside_") for n, (_, f) in named.items())).join(before, [*keys, "stretch_"])
+    found = parted.select("*", *(f(f"{n}_").over(inside).alias(f"{n}_inside_") for n, (_, f) in named.items()))
+    found = found.join(before, reduce(and_, (F.col(c).eqNullSafe(F.col(f"on_{c}")) for c in on)))
     both = {n: (F.coalesce(F.col(f"{n}_before_") + F.col(f"{n}_inside_"), f"{n}_before_", f"{n}_inside_") if f is F.sum else F.greatest(f"{n}_before_", f"{n}_inside_")) for n, (_, f) in named.items()}
     return found.select(*rows.columns, *(c.alias(n) for n, c in both.items()))
 
@@ -90,8 +94,8 @@ def similar_names(asked: DataFrame, others: DataFrame, least: float = 88.0) -> D
     return found.select("a", "b", F.round("similarity", 4).alias("ratio"))
 
 
-def duplicates(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row for each earlier invoice that a document seems to repeat.
+def duplicates(invoices: DataFrame, limits: Limits = Limits(), asked: Column | None = None) -> DataFrame:
+    """One row for each earlier invoice that a document seems to repeat; of documents for which ``asked`` holds, if it is given.
 
     A band join: the other vendor's key, signs, bins of days and bins of the logarithm of the amount are equality keys, exact conditions follow. Which
     keys are similar is worked out once for the distinct ones (``names.similar``), so one usual price on one day pairs no vendors that aren't.
@@ -107,7 +111,7 @@ def duplicates(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     if limits.similarity < 100:
         alike = alike.union(names.similar(keys, limits.similarity))
     alike = alike.select(F.col("key").alias("vendor_key"), F.col("other").alias("prior_vendor_key"), "similarity")
-    looks = sides.join(alike, "vendor_key").withColumn("day_bin", F.explode(F.sequence(F.floor((day - limits.days) / width), F.floor((day + limits.days) / width))))
+    looks = (sides if asked is None else sides.where(asked)).join(alike, "vendor_key").withColumn("day_bin", F.explode(F.sequence(F.floor((day - limits.days) / width), F.floor((day + limits.days) / width))))
     looks = looks.withColumn("amount_bin", F.explode(F.when(F.col("sign") == 0, F.array("amount_bin")).otherwise(F.sequence(F.col("amount_bin") - 1, F.col("amount_bin") + 1))))
     prior = sides.select(*(F.col(x).alias(f"prior_{x}") for x in ("document_id", "ingest_seq", "vendor_key", "issue_date", "total", "currency", "invoice_number")), "sign", "amount_bin", F.floor(day / width).alias("day_bin"))
     gap, largest = F.abs(F.col("total") - F.col("prior_total")), F.greatest(F.abs("total"), F.abs("prior_total"))
@@ -157,9 +161,16 @@ def _said(*parts) -> Column:
 
 def amount_zscores(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Totals far from the mean of the vendor's earlier ones, from exact sums of what came before."""
-    total, exact = F.col("total").cast("double"), F.col("total").cast("decimal(14,2)")
+    exact = F.col("total").cast("decimal(14,2)")
     k = keyed(invoices).where("vendor_key <> '' and total is not null")
-    w = earlier(k, ["vendor_key"], {"n": F.lit(1).cast("long"), "s1": exact, "s2": (exact * exact).cast("decimal(38,4)")}, {"high": exact, "low": -exact}).where(F.col("n") >= limits.history)
+    w = earlier(k, ["vendor_key"], {"n": F.lit(1).cast("long"), "s1": exact, "s2": (exact * exact).cast("decimal(38,4)")}, {"high": exact, "low": -exact})
+    return amount_findings(w, limits)
+
+
+def amount_findings(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The same from invoices with what their vendors' earlier totals come to: n, s1, s2 (sums of totals and of their squares), high, low (the least, negated)."""
+    total = F.col("total").cast("double")
+    w = rows.where(F.col("n") >= limits.history)
     s1, s2 = F.col("s1").cast("double"), F.col("s2").cast("double")
     w = w.withColumns({"mean": F.try_divide(s1, F.col("n")), "sd": F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("n") * s2 - s1 * s1, F.col("n") * (F.col("n") - 1))))}).where(F.col("mean") != 0)
     floor = limits.least_spread * F.abs("mean")
@@ -190,7 +201,12 @@ def term_drifts(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     k = keyed(invoices).where("vendor_key <> '' and terms_key <> ''").select("document_id", "ingest_seq", "vendor_key", "terms_key", "vendor", "payment_terms")
     own = earlier(k, ["vendor_key", "terms_key"], {"own_before": F.lit(1).cast("long")})
     w = earlier(own, ["vendor_key"], {"n": F.lit(1).cast("long")}, {"top": F.struct((F.coalesce("own_before", F.lit(0)) + 1).alias("hits"), F.col("terms_key").alias("usual"))}).select("*", "top.hits", "top.usual")
-    w = w.where((F.col("n") >= limits.terms_history) & (F.col("hits") >= limits.terms_share * F.col("n")) & (F.col("usual") != F.col("terms_key")))
+    return term_findings(w, limits)
+
+
+def term_findings(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The same from invoices with what is known of their vendors' earlier terms: n, usual (the most common) and hits (how often)."""
+    w = rows.where((F.col("n") >= limits.terms_history) & (F.col("hits") >= limits.terms_share * F.col("n")) & (F.col("usual") != F.col("terms_key")))
     share = F.round(F.try_divide("hits", "n"), 4)
     reason = _said("Payment terms changed for ", F.col("vendor"), ': this invoice says "', F.col("payment_terms"), '", but ', F.col("hits").cast("string"), " of the last ", F.col("n").cast("string"), ' invoices from this vendor used "', F.col("usual"), '".')
     evidence = F.struct("vendor_key", F.col("payment_terms").alias("candidate_terms"), F.col("usual").alias("modal_terms"), F.col("hits").alias("modal_count"), F.col("n").alias("history_count"), share.alias("consistency"))
@@ -219,9 +235,12 @@ FINDING = ["document_id", "anomaly_type", "severity", "score", "fingerprint", "r
 
 def screen(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """All findings of all detectors, each once for a document and fingerprint, with its rank and place among the document's: gravest first, then by type."""
-    found = None
-    for part in (duplicates(invoices, limits), amount_zscores(invoices, limits), term_drifts(invoices, limits), round_numbers(invoices, limits)):
-        found = part.select(FINDING) if found is None else found.unionByName(part.select(FINDING))
+    return placed(duplicates(invoices, limits), amount_zscores(invoices, limits), term_drifts(invoices, limits), round_numbers(invoices, limits))
+
+
+def placed(*parts: DataFrame) -> DataFrame:
+    """Findings of several detectors as ``screen`` gives them."""
+    found = reduce(DataFrame.unionByName, (part.select(FINDING) for part in parts))
     place = Window.partitionBy("document_id").orderBy(F.desc("rank"), "anomaly_type", "fingerprint")
     return found.dropDuplicates(["document_id", "fingerprint"]).withColumn("rank", severity_rank(F.col("severity"))).withColumn("place", F.row_number().over(place))
 

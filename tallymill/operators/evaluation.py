@@ -76,3 +76,15 @@ def blocked_expectations(invoices: DataFrame, least_history: int = 4) -> DataFra
     before = Window.partitionBy("vendor").orderBy("ingest_seq").rowsBetween(Window.unboundedPreceding, -1)
     n = F.count(F.when(F.col("readable"), 1)).over(before)
     return invoices.select("document_id", n.alias("readable_before"), (n < least_history).alias("zscore_blocked"), (n == 0).alias("duplicate_blocked"))
+
+
+def unexplained(findings: DataFrame, kinds: list[str] = ("LOW", "MEDIUM", "HIGH", "CRITICAL")) -> DataFrame:
+    """Findings that a reviewer can't act on: id and gaps, the names of what is missing of severity, score, reason and evidence.
+
+    evidence: JSON text of an object with something in it; it is parsed once. findings: id, severity, score, reason, evidence.
+    """
+    evidence = F.try_parse_json("evidence")
+    filled = F.coalesce(F.schema_of_variant(evidence).startswith("OBJECT<") & (F.schema_of_variant(evidence) != "OBJECT<>"), F.lit(False))
+    gaps = [("severity", F.coalesce(F.col("severity").isin(list(kinds)), F.lit(False))), ("score", F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double"))), ("reason", F.coalesce(F.trim("reason"), F.lit("")) != ""), ("evidence", filled)]
+    missing = F.filter(F.array(*(F.when(~there, name) for name, there in gaps)), lambda g: g.isNotNull())
+    return findings.select("id", missing.alias("gaps")).where(F.size("gaps") > 0)

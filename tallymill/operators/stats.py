@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEVERITY_RANK = {"LOW": 1, "MEDIUM": 2, "HIGH": 3}
 TERMINAL = ["DONE", "NEEDS_REVIEW", "FAILED"]
+#: More than there are statuses.
+STATUSES = 64
 
 
 def severity_rank(severity: Column) -> Column:
@@ -77,3 +79,27 @@ def nearest_rank_p95(df: DataFrame, by: str, value: str) -> DataFrame:
     spread = spread.withColumn("upto", F.sum("k").over(upto)).withColumn("n", F.sum("k").over(Window.partitionBy(by)))
     wanted = F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)
     return spread.where((F.col("upto") > wanted) & (F.col("upto") - F.col("k") <= wanted)).select(by, F.col(value).alias("p95"), "n")
+
+
+def dashboard(invoices: DataFrame, top: int = 8) -> DataFrame:
+    """The dashboard's sections in one pass over the invoices: section, status, vendor, currency, n, spend, cost_usd, avg_latency_ms.
+
+    Sections: ``status``, ``ended`` (terminal documents with a latency), ``vendor`` and ``vendor_currency`` (the ``top`` by spend). One aggregation by grouping sets, with what a section counts as its filter; the largest vendors are cut from its result.
+    """
+    ended = F.col("status").isin(TERMINAL) & F.col("latency_ms").isNotNull()
+    billed = F.col("vendor").isNotNull() & F.col("total").isNotNull()
+    rows = invoices.select("status", "vendor", "currency", F.when(billed, F.col("total")).alias("total"), "cost_usd", "latency_ms", ended.alias("ended"), billed.alias("billed"))
+    sets = rows.groupingSets([[F.col("status")], [F.col("vendor")], [F.col("vendor"), F.col("currency")], []], F.col("status"), F.col("vendor"), F.col("currency"))
+    found = sets.agg(
+        F.grouping_id().alias("id"), F.count(F.lit(1)).alias("rows"), F.count_if("ended").alias("ended"), F.count_if("billed").alias("billed"), F.sum("total").cast("double").alias("spend"),
+        F.coalesce(F.sum(F.when(F.col("ended"), F.col("cost_usd"))), F.lit(0)).cast("double").alias("cost_usd"), F.round(F.coalesce(F.avg(F.when(F.col("ended"), F.col("latency_ms"))), F.lit(0.0)), 6).alias("avg_latency_ms"),
+    )
+    section = F.when(F.col("id") == 3, "status").when(F.col("id") == 5, "vendor").when(F.col("id") == 4, "vendor_currency").otherwise("ended")
+    found = found.withColumn("section", section)
+    place = Window.partitionBy("section").orderBy(F.desc_nulls_last("spend"), "vendor", "currency")
+    found = found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= max(top, STATUSES))  # cut before the shuffle, and so in each task
+    by_vendor = F.col("section").startswith("vendor")
+    found = found.where(~by_vendor | (F.col("place") <= top) & (F.col("billed") > 0))
+    n = F.when(by_vendor, F.col("billed")).when(F.col("section") == "ended", F.col("ended")).otherwise(F.col("rows"))
+    of_ended = lambda c: F.when(F.col("section") == "ended", c)
+    return found.select("section", "status", "vendor", "currency", n.alias("n"), F.when(by_vendor, F.col("spend")).alias("spend"), of_ended(F.round("cost_usd", 6)).alias("cost_usd"), of_ended(F.col("avg_latency_ms")).alias("avg_latency_ms"))

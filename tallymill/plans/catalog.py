@@ -798,3 +798,6 @@ def planted_near_duplicates(spark, d):
     found = screening.duplicates(both).select("document_id", "prior_id").where("document_id < 0 and prior_id = -1 - document_id").select(F.col("prior_id").alias("original_id"), F.lit(True).alias("caught"))
     made = both.where("original_id is not null").join(invoices.select(F.col("document_id").alias("original_id"), F.col("total").alias("was")), "original_id").join(found, "original_id", "left")
     return made.select(F.col("original_id").alias("document_id"), F.round((F.col("total") - F.col("was")).cast("double") / F.col("was").cast("double"), 4).alias("gap"), F.coalesce("caught", F.lit(False)).alias("caught"))
+
+
+from . import reports  # noqa: E402, F401  registers its queries here

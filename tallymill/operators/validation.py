@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clean import bound
+
 LINE = "0.01"
 TOTAL = "0.02"
 VAT = "0.05"
@@ -13,55 +15,105 @@ FIRST_DAY = "1990-01-01"
 SKEW_DAYS, LONGEST_DAYS = 1, 1095
 
 
+# What is said of a rule that holds and of one that doesn't, as stored; %s stands for the values.
+LABELS = {"vendor": "Vendor", "invoice_number": "Invoice number", "issue_date": "Issue date", "total": "Total", "currency": "Currency"}
+SAID = {
+    "present": ("%s was extracted.", "%s is missing, so the document cannot be auto-committed."),
+    "total_positive": ("Total %s is a positive amount.", "Total %s is not a positive amount."),
+    "line_item_math": ("All %s priced line item(s) multiply out correctly.", "%s line item(s) do not multiply out: %s%s"),
+    "line_items_sum_to_subtotal": ("%s line item(s) sum to %s, matching the printed subtotal.", "%s line item(s) sum to %s but the subtotal reads %s — a difference of %s."),
+    "subtotal_plus_tax_equals_total": ("Subtotal %s + tax %s equals the printed total %s.", "Subtotal %s + tax %s = %s, but the total reads %s — a difference of %s."),
+    "uae_vat_rate": ("Tax of %s AED is the expected 5%% UAE VAT on a subtotal of %s.", "Tax of %s AED is %s%% of the %s subtotal, not the expected 5%% UAE VAT (%s)."),
+    "date_sanity": ("Issue date %s is plausible.", "Issue date %s is outside the plausible range %s to %s."),
+    "due_date_after_issue_date": ("Due date %s follows the issue date correctly.", "Due date %s precedes the issue date %s."),
+    "due_too_late": "Due date %s is more than three years after the issue date %s.",
+    "line": "line %s (%s): %s x %s = %s, but %s is printed",
+    "unnamed": "unnamed",
+    "more": " (+%s more)",
+    "passed": "all checks passed",
+    "unread": "Only %s of %s pages were read, so %s page(s) were never shown to the extractor.",
+}
+#: Lines that a message tells of.
+TOLD = 3
+
+
 def _money(text: str) -> Column:
     return F.lit(text).cast("decimal(8,4)")
 
 
-def _text(value: Column) -> Column:
-    return F.coalesce(F.bround(value, 2).cast("decimal(18,2)").cast("string"), F.lit("null"))
+def _check(when: Column, rule: str, passed: Column, good: Column, bad: Column, expected: Column, observed: Column) -> Column:
+    return F.when(when, F.struct(F.lit(rule).alias("rule"), passed.alias("passed"), F.when(passed, good).otherwise(bad).alias("message"), expected.alias("expected"), observed.alias("observed")))
 
 
-def _check(when: Column, rule: str, passed: Column, expected: Column, observed: Column) -> Column:
-    message = F.when(passed, F.lit("ok")).otherwise(F.concat(F.lit("expected "), expected, F.lit(", found "), observed))
-    return F.when(when, F.struct(F.lit(rule).alias("rule"), passed.alias("passed"), message.alias("message"), expected.alias("expected"), observed.alias("observed")))
+def priced_lines(described: str | None = "description") -> Column:
+    """Lines with quantity, price and amount: n (place among all lines), description, qty, unit_price, amount, and their product, half to even."""
+    name = (lambda x: x[described].cast("string")) if described else (lambda x: F.lit(None).cast("string"))
+    numbered = F.transform("line_items", lambda x, i: F.struct((i + 1).alias("n"), name(x).alias("description"), x["qty"].alias("qty"), x["unit_price"].alias("unit_price"), x["amount"].alias("amount")))
+    complete = F.filter(numbered, lambda x: x["qty"].isNotNull() & x["unit_price"].isNotNull() & x["amount"].isNotNull())
+    return F.coalesce(F.transform(complete, lambda x: x.withField("product", F.bround(x["qty"] * x["unit_price"], 2))), F.array())
 
 
-def line_errors() -> Column:
-    """Lines with quantity, price and amount whose amount isn't their product, half to even, within a cent."""
-    complete = F.filter("line_items", lambda x: x["qty"].isNotNull() & x["unit_price"].isNotNull() & x["amount"].isNotNull())
-    return F.filter(complete, lambda x: F.abs(x["amount"] - F.bround(x["qty"] * x["unit_price"], 2)) > _money(LINE))
+def checks(today: Column, described: str | None = "description") -> Column:
+    """The twelve rules in order, without those that can't be asked: an array of rule, passed, message, expected, observed.
 
-
-def checks(today: Column) -> Column:
-    """The twelve rules in order, without those that can't be asked."""
-    sub, tax, total = F.col("subtotal"), F.col("tax"), F.col("total")
-    present = [_check(F.lit(True), f"{c}_present", F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.lit("a value"), F.coalesce(F.col(c).cast("string"), F.lit("nothing"))) for c in ("vendor", "invoice_number", "issue_date", "total", "currency")]
-    complete = F.filter("line_items", lambda x: x["qty"].isNotNull() & x["unit_price"].isNotNull() & x["amount"].isNotNull())
-    bad = line_errors()
+    described: the lines' field that names them, if they have one. Every value is bound once; what messages show is rounded in one place.
+    """
     amounts = F.filter(F.transform("line_items", lambda x: x["amount"]), lambda a: a.isNotNull())
-    summed = F.aggregate(amounts, F.lit(0).cast("decimal(28,6)"), lambda s, a: (s + a).cast("decimal(28,6)"))
-    owed = sub + F.coalesce(tax, F.lit(0))
-    vat = F.bround(sub * _money(VAT), 2)
-    shown = F.concat(F.slice(F.transform(bad, lambda x: F.concat(F.lit("amount "), _text(x["amount"]))), 1, 3), F.when(F.size(bad) > 3, F.array(F.concat(F.lit("(+"), (F.size(bad) - 3).cast("string"), F.lit(" more)")))).otherwise(F.array().cast("array<string>")))
+    summed = bound(amounts, lambda a: F.struct(F.greatest(F.size(a), F.lit(0)).alias("amounts"), F.aggregate(a, F.lit(0).cast("decimal(28,6)"), lambda s, x: (s + x).cast("decimal(28,6)")).alias("sum")))
+    lines = bound(priced_lines(described), lambda p: F.struct(F.size(p).alias("complete"), F.filter(p, lambda x: F.abs(x["amount"] - x["product"]) > _money(LINE)).alias("bad")))
+    sub, tax, total = F.col("subtotal"), F.col("tax"), F.col("total")
+    return bound(F.struct(lines.alias("lines"), summed.alias("summed"), F.bround(sub * _money(VAT), 2).alias("vat"), (sub + F.coalesce(tax, F.lit(0))).alias("owed")), lambda v: _rules(v, sub, tax, total, today))
+
+
+def _rules(v: Column, sub: Column, tax: Column, total: Column, today: Column) -> Column:
+    bad, complete, amounts, summed = v["lines"]["bad"], v["lines"]["complete"], v["summed"]["amounts"], v["summed"]["sum"]
+    shown = {
+        "sub": sub, "tax": F.coalesce(tax, F.lit(0)), "total": total, "owed": v["owed"], "vat": v["vat"], "summed": summed, "sum_gap": F.abs(summed - sub), "owed_gap": F.abs(v["owed"] - total),
+        "rate": F.when(sub != 0, 100 * tax / sub).otherwise(F.lit(0)),
+    }
+    flat = F.flatten(F.transform(F.slice(bad, 1, TOLD), lambda x: F.array(*(x[c].cast("decimal(38,6)") for c in ("qty", "unit_price", "product", "amount")))))
+    values = F.concat(F.array(*(c.cast("decimal(38,6)") for c in shown.values())), flat)
+    rounded = F.transform(values, lambda x: F.coalesce(F.bround(x, 2).cast("decimal(38,2)").cast("string"), F.lit("null")))
+    return bound(rounded, lambda texts: _told(v, {n: F.get(texts, F.lit(i)) for i, n in enumerate(shown)}, lambda i, k: F.get(texts, F.lit(len(shown) + k) + 4 * i), bad, complete, amounts, summed, sub, tax, total, today))
+
+
+def _told(v: Column, text: dict[str, Column], of_line, bad: Column, complete: Column, amounts: Column, summed: Column, sub: Column, tax: Column, total: Column, today: Column) -> Column:
+    def said(rule: str, good: list, wrong: list) -> tuple[Column, Column]:
+        return tuple(F.format_string(t, *x) for t, x in zip(SAID[rule], (good, wrong), strict=True))
+
+    issue, due = F.col("issue_date"), F.col("due_date")
+    day, due_day, first, last = issue.cast("string"), due.cast("string"), F.lit(FIRST_DAY), F.date_add(today, SKEW_DAYS)
+    present = []
+    for c, label in LABELS.items():
+        there = F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+        present.append(_check(F.lit(True), f"{c}_present", there, *(F.lit(t % label) for t in SAID["present"]), F.lit("a non-null value"), F.when(there, "present").otherwise("null")))
+    wrong = F.transform(F.slice(bad, 1, TOLD), lambda x, i: F.format_string(SAID["line"], x["n"], F.coalesce(F.nullif(x["description"], F.lit("")), F.lit(SAID["unnamed"])), *(of_line(i, k) for k in range(4))))
+    more = F.when(F.size(bad) > TOLD, F.format_string(SAID["more"], F.size(bad) - TOLD)).otherwise("")
+    late = F.format_string(SAID["due_too_late"], due_day, day)
+    due_good, due_bad = said("due_date_after_issue_date", [due_day], [due_day, day])
+    t = text
     rules = [
         *present,
-        _check(total.isNotNull(), "total_positive", total > 0, F.lit("above 0"), _text(total)),
-        _check(F.size(complete) > 0, "line_item_math", F.size(bad) == 0, F.lit("qty * price"), F.array_join(shown, "; ")),
-        _check((F.size(amounts) > 0) & sub.isNotNull(), "line_items_sum_to_subtotal", F.abs(summed - sub) <= _money(LINE) * F.size(amounts), _text(sub), _text(summed)),
-        _check(sub.isNotNull() & total.isNotNull(), "subtotal_plus_tax_equals_total", F.abs(owed - total) <= _money(TOTAL), _text(owed), _text(total)),
-        _check((F.col("currency") == "AED") & sub.isNotNull() & (tax != 0), "uae_vat_rate", F.abs(tax - vat) <= F.greatest(_money(TOTAL), F.abs(_money(VAT_SLACK) * sub)), _text(vat), _text(tax)),
-        _check(F.col("issue_date").isNotNull(), "date_sanity", F.col("issue_date").between(F.lit(FIRST_DAY).cast("date"), F.date_add(today, SKEW_DAYS)), F.lit("1990-01-01 to today"), F.col("issue_date").cast("string")),
-        _check(F.col("issue_date").isNotNull() & F.col("due_date").isNotNull(), "due_date_after_issue_date", F.col("due_date").between(F.col("issue_date"), F.date_add("issue_date", LONGEST_DAYS)), F.lit("0 to 1095 days later"), F.col("due_date").cast("string")),
+        _check(total.isNotNull(), "total_positive", total > 0, *said("total_positive", [t["total"]], [t["total"]]), F.lit("> 0.00"), t["total"]),
+        _check(complete > 0, "line_item_math", F.size(bad) == 0, *said("line_item_math", [complete], [F.size(bad), F.array_join(wrong, "; "), more]), F.when(F.size(bad) > 0, "qty x unit_price == amount"), F.when(F.size(bad) > 0, F.format_string("%s of %s lines mismatched", F.size(bad), complete))),
+        _check((amounts > 0) & sub.isNotNull(), "line_items_sum_to_subtotal", F.abs(summed - sub) <= _money(LINE) * amounts, *said("line_items_sum_to_subtotal", [amounts, t["summed"]], [amounts, t["summed"], t["sub"], t["sum_gap"]]), t["sub"], t["summed"]),
+        _check(sub.isNotNull() & total.isNotNull(), "subtotal_plus_tax_equals_total", F.abs(v["owed"] - total) <= _money(TOTAL), *said("subtotal_plus_tax_equals_total", [t["sub"], t["tax"], t["total"]], [t["sub"], t["tax"], t["owed"], t["total"], t["owed_gap"]]), t["owed"], t["total"]),
+        _check((F.col("currency") == "AED") & sub.isNotNull() & (tax != 0), "uae_vat_rate", F.abs(tax - v["vat"]) <= F.greatest(_money(TOTAL), F.abs(_money(VAT_SLACK) * sub)), *said("uae_vat_rate", [t["tax"], t["sub"]], [t["tax"], t["rate"], t["sub"], t["vat"]]), t["vat"], t["tax"]),
+        _check(issue.isNotNull(), "date_sanity", issue.between(first.cast("date"), last), *said("date_sanity", [day], [day, first, last.cast("string")]), F.concat(first, F.lit(".."), last.cast("string")), day),
+        _check(issue.isNotNull() & due.isNotNull(), "due_date_after_issue_date", due.between(issue, F.date_add(issue, LONGEST_DAYS)), due_good, F.when(due < issue, due_bad).otherwise(late), F.concat(F.lit(">= "), day), due_day),
     ]
     return F.filter(F.array(*rules), lambda c: c.isNotNull())
 
 
 def validate(records: DataFrame, today: str | Column) -> DataFrame:
-    """Records with checks, passed, and summary ("rule: message; ..." of the failures)."""
+    """Records with checks, passed, failed_rules, and summary ("rule: message; ..." of the failures)."""
     day = F.lit(today).cast("date") if isinstance(today, str) else today
-    found = records.withColumn("checks", checks(day))
-    failed = F.filter("checks", lambda c: ~c["passed"])
-    return found.withColumns({"passed": F.forall("checks", lambda c: c["passed"]), "failed_rules": F.transform(failed, lambda c: c["rule"]), "summary": F.array_join(F.transform(failed, lambda c: F.concat(c["rule"], F.lit(": "), c["message"])), "; ")})
+    fields = records.schema["line_items"].dataType.elementType.names
+    failed = lambda c: F.filter(c, lambda x: ~x["passed"])
+    whole = bound(checks(day, "description" if "description" in fields else None), lambda c: F.struct(c.alias("checks"), failed(c).alias("failed")))
+    found = records.withColumn("_found", whole)
+    failures = F.array_join(F.transform("_found.failed", lambda c: F.concat(c["rule"], F.lit(": "), c["message"])), "; ")
+    return found.select(*records.columns, F.col("_found.checks").alias("checks"), (F.size("_found.failed") == 0).alias("passed"), F.transform("_found.failed", lambda c: c["rule"]).alias("failed_rules"), F.when(F.size("_found.failed") == 0, SAID["passed"]).otherwise(failures).alias("summary"))
 
 
 def card(validated: DataFrame, most: int = 6) -> DataFrame:
@@ -69,12 +121,15 @@ def card(validated: DataFrame, most: int = 6) -> DataFrame:
     return validated.select("document_id", F.filter("checks", lambda c: ~c["passed"]).alias("failing"), F.slice("line_items", 1, most).alias("lines"), F.greatest(F.lit(0), F.size("line_items") - most).alias("more"))
 
 
-def commit_gate(valid: Column, gravest: Column, unread_pages: Column) -> Column:
-    """DONE or NEEDS_REVIEW with its first reason: unread pages, failed rules, a HIGH finding."""
-    unread, invalid, high = F.coalesce(unread_pages, F.lit(0)) > 0, ~valid, F.coalesce(gravest, F.lit("")) == "HIGH"
+def commit_gate(valid: Column, summary: Column, gravest: Column, reason: Column, read: Column, pages: Column, note: Column | None = None) -> Column:
+    """DONE or NEEDS_REVIEW with its first reason: pages that weren't read (and what failed besides), what failed (``note``, if there is one, or the summary), the reason of the gravest finding if that is HIGH."""
+    unread = unread_pages(read, pages)
+    high = F.coalesce(gravest, F.lit("")).isin("HIGH", "CRITICAL")
+    told = F.concat(F.format_string(SAID["unread"], read, pages, unread), F.when(~valid, F.concat(F.lit(" "), summary)).otherwise(""))
+    failed = summary if note is None else F.coalesce(F.nullif(note, F.lit("")), summary)
     return F.struct(
-        F.when(unread | invalid | high, "NEEDS_REVIEW").otherwise("DONE").alias("status"),
-        F.when(unread, F.concat(unread_pages.cast("string"), F.lit(" page(s) not read"))).when(invalid, "failed rules").when(high, "high anomaly").alias("reason"),
+        F.when((unread > 0) | ~valid | high, "NEEDS_REVIEW").otherwise("DONE").alias("status"),
+        F.when(unread > 0, told).when(~valid, failed).when(high, reason).alias("reason"),
     )
 
 

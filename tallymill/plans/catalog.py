@@ -284,18 +284,56 @@ def line_sum(spark, d):
     return views.line_items(spark, d).groupBy("document_id").agg(F.sum("amount").cast("double").alias("lines_sum"))
 
 
+def _even(value: str, scale: int) -> str:
+    """SQL text of a decimal with ``scale`` digits behind the dot rounded half to even, as text with two."""
+    n, unit = f"CAST(abs({value}) * {10**scale} AS HUGEINT)", 10 ** (scale - 2)
+    cents = f"({n} // {unit} + CASE WHEN 2 * ({n} % {unit}) > {unit} OR 2 * ({n} % {unit}) = {unit} AND {n} // {unit} % 2 = 1 THEN 1 ELSE 0 END)"
+    return f"(CASE WHEN {value} < 0 AND {cents} > 0 THEN '-' ELSE '' END || {cents} // 100 || '.' || lpad(CAST({cents} % 100 AS VARCHAR), 2, '0'))"
+
+
+def _said(rule: str, values: list[str]) -> str:
+    """SQL text of what is said of a rule that doesn't hold."""
+    parts = validation.SAID[rule][1].replace("%%", "%").split("%s")
+    return " || ".join(x for part, value in zip(parts, [*values, None], strict=True) for x in ("'" + part + "'", value) if x not in (None, "''"))
+
+
+_MESSAGES = f"""{_OK}, priced AS (SELECT *, qty * unit_price AS product, row_number() OVER (PARTITION BY document_id ORDER BY line, part, qty, unit_price, amount) AS n FROM line_items),
+bad_lines AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n) AS nth, 'line ' || n || ' (unnamed): ' || {_even("qty", 6)} || ' x ' || {_even("unit_price", 6)} || ' = ' || {_even("product", 12)} || ', but ' || {_even("amount", 6)} || ' is printed' AS told
+  FROM priced WHERE abs(amount - CAST({_even("product", 12)} AS DECIMAL(18,2))) > 0.01),
+bad_told AS (SELECT document_id, string_agg(told, '; ' ORDER BY n) FILTER (nth <= 3) || CASE WHEN count(*) > 3 THEN ' (+' || (count(*) - 3) || ' more)' ELSE '' END AS told, count(*) AS bad_n FROM bad_lines GROUP BY document_id),
+shown AS (SELECT r.*, b.told, b.bad_n, CAST(subtotal + coalesce(tax, 0) AS DECIMAL(20,6)) AS owed, CAST(subtotal * 0.05 AS DECIMAL(24,8)) AS vat FROM rules r LEFT JOIN bad_told b USING (document_id)),
+messages AS (SELECT c.document_id, c.rule, CASE c.rule WHEN 'vendor_present' THEN 'Vendor' WHEN 'invoice_number_present' THEN 'Invoice number' WHEN 'issue_date_present' THEN 'Issue date' WHEN 'total_present' THEN 'Total' WHEN 'currency_present' THEN 'Currency' END || ' is missing, so the document cannot be auto-committed.' AS missing,
+    CASE c.rule WHEN 'total_positive' THEN {_said("total_positive", [_even("total", 6)])} WHEN 'line_item_math' THEN {_said("line_item_math", ["bad_n", "told", "''"])}
+      WHEN 'line_items_sum_to_subtotal' THEN {_said("line_items_sum_to_subtotal", ["k", _even("summed", 6), _even("subtotal", 6), _even("(summed - subtotal)", 6).replace("(CASE WHEN (summed - subtotal) < 0", "(CASE WHEN false")])}
+      WHEN 'subtotal_plus_tax_equals_total' THEN {_said("subtotal_plus_tax_equals_total", [_even("subtotal", 6), _even("coalesce(tax, 0)", 6), _even("owed", 6), _even("total", 6), _even("(owed - total)", 6).replace("(CASE WHEN (owed - total) < 0", "(CASE WHEN false")])}
+      WHEN 'uae_vat_rate' THEN {_said("uae_vat_rate", [_even("tax", 6), "printf('%.2f', CAST(100 * tax AS DOUBLE) / CAST(subtotal AS DOUBLE))", _even("subtotal", 6), _even("vat", 8)])}
+      WHEN 'date_sanity' THEN {_said("date_sanity", ["issue_date", "'1990-01-01'", "'2002-01-02'"])}
+      WHEN 'due_date_after_issue_date' THEN CASE WHEN due_date < issue_date THEN {_said("due_date_after_issue_date", ["due_date", "issue_date"])} ELSE 'Due date ' || due_date || ' is more than three years after the issue date ' || issue_date || '.' END END AS said
+  FROM checks c JOIN shown s USING (document_id) WHERE NOT c.passed),
+summaries AS (SELECT document_id, string_agg(rule || ': ' || coalesce(missing, said), '; ' ORDER BY list_position({["vendor_present", "invoice_number_present", "issue_date_present", "total_present", "currency_present", "total_positive", "line_item_math", "line_items_sum_to_subtotal", "subtotal_plus_tax_equals_total", "uae_vat_rate", "date_sanity", "due_date_after_issue_date"]}, rule)) AS summary FROM messages GROUP BY document_id)"""
+
+
+@query(f"WITH {_MESSAGES} SELECT document_id, summary FROM summaries", records=True)
+def validation_messages(spark, d):
+    """What is said of each record that breaks a rule, with its lines and amounts."""
+    return _validated(spark, d).where("NOT passed").select("document_id", "summary")
+
+
 @query(
-    f"""WITH {_OK}, judged AS (SELECT document_id, bool_and(passed) AS valid FROM checks GROUP BY document_id),
-grave AS (SELECT document_id, max(CASE severity WHEN 'HIGH' THEN 1 ELSE 0 END) AS high FROM anomalies WHERE status = 'OPEN' GROUP BY document_id)
-SELECT j.document_id, CASE WHEN j.document_id % 97 = 0 OR NOT valid OR coalesce(high, 0) = 1 THEN 'NEEDS_REVIEW' ELSE 'DONE' END AS status,
-  CASE WHEN j.document_id % 97 = 0 THEN '2 page(s) not read' WHEN NOT valid THEN 'failed rules' WHEN coalesce(high, 0) = 1 THEN 'high anomaly' END AS reason
-FROM judged j LEFT JOIN grave g ON j.document_id = g.document_id""",
+    f"""WITH {_MESSAGES}, grave AS (SELECT document_id, arg_min(anomaly_type || ' found by event ' || id, (anomaly_type, id)) AS reason FROM anomalies WHERE status = 'OPEN' AND severity = 'HIGH' GROUP BY document_id)
+SELECT r.document_id, CASE WHEN r.document_id % 97 = 0 OR s.summary IS NOT NULL OR g.reason IS NOT NULL THEN 'NEEDS_REVIEW' ELSE 'DONE' END AS status,
+  CASE WHEN r.document_id % 97 = 0 THEN 'Only 1 of 3 pages were read, so 2 page(s) were never shown to the extractor.' || coalesce(' ' || s.summary, '') ELSE coalesce(s.summary, g.reason) END AS reason
+FROM records r LEFT JOIN summaries s ON s.document_id = r.document_id LEFT JOIN grave g ON g.document_id = r.document_id""",
     records=True,
 )
 def commit_gate(spark, d):
-    judged = _validated(spark, d).select("document_id", "passed").join(stats.open_flags(views.anomalies(spark, d)), "document_id", "left")
-    unread = validation.unread_pages(F.lit(1), F.when(F.col("document_id") % 97 == 0, 3).otherwise(1))
-    return judged.select("document_id", validation.commit_gate(F.col("passed"), F.col("severity"), unread).alias("g")).select("document_id", "g.status", "g.reason")
+    """Where each record goes and why: pages not read, what failed, or the reason of its first HIGH finding."""
+    high = views.anomalies(spark, d).where("status = 'OPEN' AND severity = 'HIGH'").withColumn("why", F.concat("anomaly_type", F.lit(" found by event "), F.col("id").cast("string")))
+    first = high.groupBy("document_id").agg(F.min_by("why", F.struct("anomaly_type", "id")).alias("why"))
+    judged = _validated(spark, d).select("document_id", "passed", "summary").join(first, "document_id", "left")
+    pages = F.when(F.col("document_id") % 97 == 0, 3).otherwise(1)
+    gate = validation.commit_gate(F.col("passed"), F.col("summary"), F.when(F.col("why").isNotNull(), "HIGH"), F.col("why"), F.lit(1), pages)
+    return judged.select("document_id", gate.alias("g")).select("document_id", "g.status", "g.reason")
 
 
 @query(

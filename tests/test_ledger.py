@@ -32,11 +32,30 @@ def test_validation_rules(spark):
     assert validation.validate(empty, "2026-07-29").first()["failed_rules"] == [f"{c}_present" for c in ("vendor", "invoice_number", "issue_date", "total", "currency")]
 
 
+def test_messages(spark):
+    lines = [("Steel", D(10), D(100), D(999)), (None, D(1), D("0.125"), D(3)), ("", D(2), D(2), D(5)), ("Bolts", D(5), D(20), D(99)), ("part", None, D(1), D(1))]
+    rows = [{**BASE, "line_items": lines}, {**BASE, "subtotal": D(1500), "tax": D(75), "total": D(1575)}, {**BASE, "tax": D(200), "total": D(1300)}, {**BASE, "vendor": None, "due_date": date(2031, 1, 1)}, {**BASE, "issue_date": date(1980, 1, 1), "due_date": date(1979, 1, 1)}, BASE]
+    rows = [tuple({**r, "document_id": i}.values()) for i, r in enumerate(rows)]
+    found = validation.validate(spark.createDataFrame(rows, RECORD), "2026-07-29").orderBy("document_id").collect()
+    said = [r["summary"] for r in found]
+    assert said[0].startswith("line_item_math: 4 line item(s) do not multiply out: line 1 (Steel): 10.00 x 100.00 = 1000.00, but 999.00 is printed; line 2 (unnamed): 1.00 x 0.12 = 0.12, but 3.00 is printed; line 3 (unnamed): 2.00 x 2.00 = 4.00, but 5.00 is printed (+1 more); line_items_sum")
+    assert said[1] == "line_items_sum_to_subtotal: 2 line item(s) sum to 1100.00 but the subtotal reads 1500.00 — a difference of 400.00."
+    assert said[2] == "uae_vat_rate: Tax of 200.00 AED is 18.18% of the 1100.00 subtotal, not the expected 5% UAE VAT (55.00)."
+    assert said[3] == "vendor_present: Vendor is missing, so the document cannot be auto-committed.; due_date_after_issue_date: Due date 2031-01-01 is more than three years after the issue date 2026-07-01."
+    assert said[4] == "date_sanity: Issue date 1980-01-01 is outside the plausible range 1990-01-01 to 2026-07-30.; due_date_after_issue_date: Due date 1979-01-01 precedes the issue date 1980-01-01."
+    assert said[5] == "all checks passed"
+    assert [c["message"] for c in found[5]["checks"]][5:9] == ["Total 1155.00 is a positive amount.", "All 2 priced line item(s) multiply out correctly.", "2 line item(s) sum to 1100.00, matching the printed subtotal.", "Subtotal 1100.00 + tax 55.00 equals the printed total 1155.00."]
+    plan = validation.validate(spark.createDataFrame(rows, RECORD), "2026-07-29")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bround(") <= 4
+
+
 def test_commit_gate_and_unread_pages(spark):
-    rows = [(True, None, 3, 3), (False, None, 3, 3), (True, "HIGH", 3, 3), (True, "LOW", 3, 10), (True, "MEDIUM", None, None), (False, "HIGH", 5, 3)]
-    g = validation.commit_gate(F.col("v"), F.col("s"), validation.unread_pages(F.col("r"), F.col("t")))
-    found = [(x["status"], x["reason"]) for x in (r["g"] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, v boolean, s string, r int, t int").select("i", g.alias("g")).orderBy("i").collect())]
-    assert found == [("DONE", None), ("NEEDS_REVIEW", "failed rules"), ("NEEDS_REVIEW", "high anomaly"), ("NEEDS_REVIEW", "7 page(s) not read"), ("DONE", None), ("NEEDS_REVIEW", "failed rules")]
+    rows = [(True, None, 3, 3, None), (False, None, 3, 3, None), (True, "HIGH", 3, 3, None), (True, "LOW", 3, 10, None), (True, "MEDIUM", None, None, None), (False, "HIGH", 5, 3, "note"), (False, None, 1, 2, "note")]
+    g = validation.commit_gate(F.col("v"), F.lit("summary"), F.col("s"), F.lit("why"), F.col("r"), F.col("t"), F.col("n"))
+    found = [(x["status"], x["reason"]) for x in (r["g"] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, v boolean, s string, r int, t int, n string").select("i", g.alias("g")).orderBy("i").collect())]
+    unread = "Only %s of %s pages were read, so %s page(s) were never shown to the extractor."
+    review = "NEEDS_REVIEW"
+    assert found == [("DONE", None), (review, "summary"), (review, "why"), (review, unread % (3, 10, 7)), ("DONE", None), (review, "note"), (review, unread % (1, 2, 1) + " summary")]
 
 
 INVOICE = "ingest_seq long, document_id string, vendor string, issue_date date, total decimal(14,2), currency string, payment_terms string"

@@ -10,10 +10,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallymill.llm import language_id, mixing, near_text, packing, quality
-from tallymill.llm.shared import materialise, shared_dir, table
+from tallymill.llm.shared import shared_dir, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Executors hold what the stages before left in them, so packing remembers fewer words here.
@@ -36,10 +35,8 @@ def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, drawn by the classifier's scores."""
-    name = next(n for n in ("score", *(f"score{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
-    rated = materialise(quality.scored(docs, table(spark, sf_dir, "labels"), name), "rated")
-    return mixing.apply_mix(rated, quality=F.col(name)).select(docs.columns)
+    """Documents as often as the mix takes them, by DataFrame functions alone: a stage gets the documents' own columns, and the classifier's scores are no column of theirs."""
+    return mixing.apply_mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,18 +159,13 @@ def render(records: DataFrame, layout: Column | None = None) -> DataFrame:
 def layout(words: DataFrame, drift: float = 3.2, advance: float = 4.0, most_gap: int = 12) -> DataFrame:
     """Lines of a page from word boxes (page_id, x0, y0, x1, word).
 
-    A row of words takes those within ``drift`` of its first word's top, which is a fold over the words in order; then
-    words are set apart by as many spaces as their gap holds. A page's words are one group, as a page is bounded.
+    A row of words takes those within ``drift`` of its first word's top. A fold over a page's distinct tops in order keeps the first one of each row, so what it holds grows with rows, not with words; a word's row is the last that
+    begins at or above it. Then words are set apart by as many spaces as their gap holds. A page's words are one group, as a page is bounded.
     """
-    boxes = words.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("y0", "x0", "x1", "word"))).alias("w"))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("top"), F.array().cast("array<struct<row:int,x0:double,x1:double,word:string>>").alias("out"))
-
-    def band(s: Column, w: Column) -> Column:
-        new = s["top"].isNull() | (w["y0"] - s["top"] > drift)
-        row = s["row"] + F.when(new, 1).otherwise(0)
-        return F.struct(row.alias("row"), F.when(new, w["y0"]).otherwise(s["top"]).alias("top"), F.concat(s["out"], F.array(F.struct(row.alias("row"), w["x0"].alias("x0"), w["x1"].alias("x1"), w["word"].alias("word")))).alias("out"))
-
-    flat = boxes.select("page_id", F.explode(F.aggregate("w", start, band, lambda s: s["out"])).alias("w")).select("page_id", "w.*")
+    boxes = words.groupBy("page_id").agg(F.collect_list(F.struct("y0", "x0", "x1", "word")).alias("w"))
+    new = lambda tops, y: F.coalesce(y - F.try_element_at(tops, F.lit(-1)) > drift, F.lit(True))
+    tops = F.aggregate(F.array_sort(F.array_distinct(F.transform("w", lambda w: w["y0"]))), F.array().cast("array<double>"), lambda tops, y: F.when(new(tops, y), F.concat(tops, F.array(y))).otherwise(tops))
+    flat = boxes.withColumn("tops", tops).select("page_id", "tops", F.explode("w").alias("w")).select("page_id", (F.size(F.filter("tops", lambda t: t <= F.col("w.y0"))) - 1).alias("row"), "w.x0", "w.x1", "w.word")
     order = Window.partitionBy("page_id", "row").orderBy("x0", "x1", "word")
     gap = F.col("x0") - F.lag("x1").over(order)
     spaced = flat.withColumn("piece", F.concat(F.when(gap.isNull(), "").otherwise(F.repeat(F.lit(" "), F.greatest(F.lit(1), F.least(F.lit(most_gap), F.floor(gap / advance).cast("int"))))), F.col("word"))).withColumn("k", F.row_number().over(order))

@@ -1,5 +1,7 @@
 """Validation, screening, the log and scores on labelled cases."""
 
+import math
+import random
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
@@ -212,3 +214,24 @@ def test_scores(spark):
     assert (r["tp"], r["fp"], r["fn"]) == (1, 1, 2) and r["precision"] == 0.5 and abs(r["recall"] - 1 / 3) < 1e-6
     none = evaluation.precision_recall(spark.createDataFrame([], "expected array<string>, observed array<string>")).first()
     assert (none["precision"], none["recall"], none["f1"]) == (1.0, 1.0, 1.0)
+
+
+def test_layout_is_the_fold(spark):
+    """Random pages against the plain loop over their words."""
+    rng = random.Random(6)
+    words = [(p, rng.choice([round(rng.uniform(0, 500), 2), 50.0]), round(rng.uniform(0, 60 + 40 * p), rng.choice([0, 1, 3])), 5.0, f"w{i}") for p in range(12) for i in range(rng.choice([1, 7, 150]))]
+    words = [(p, x0, y0, x0 + x1, w) for p, x0, y0, x1, w in words]
+    found = {(r["page_id"], r["row"]): r["line"] for r in parsing.layout(spark.createDataFrame(words, "page_id int, x0 double, y0 double, x1 double, word string").repartition(3)).collect()}
+    want = {}
+    for page in {w[0] for w in words}:
+        row, top = -1, None
+        for _, x0, y0, x1, word in sorted((w for w in words if w[0] == page), key=lambda w: (w[2], w[1], w[3], w[4])):
+            if top is None or y0 - top > 3.2:
+                row, top = row + 1, y0
+            want.setdefault((page, row), []).append((x0, x1, word))
+    for key, row in want.items():
+        row, line = sorted(row), ""
+        for i, (x0, _, word) in enumerate(row):
+            line += (" " * max(1, min(12, math.floor((x0 - row[i - 1][1]) / 4.0))) if i else "") + word
+        assert found[key] == line
+    assert set(found) == set(want)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import bound
 from ..functions.similarity import token_ratio, tokens
+from ..sources.tables import written
 
 #: Below this ratio keys may share no pair of letters.
 LEAST = 67.0
@@ -64,7 +65,7 @@ def similar(keys: DataFrame, least: float) -> DataFrame:
     if least <= LEAST:
         raise ValueError(f"keys are told apart by letters above a ratio of {LEAST}")
     share = 1 - least / 100
-    rows = keys.where("key is not null").select("key", tokens(F.col("key")).alias("words")).where(F.size("words") > 0)
+    rows = written(keys.where("key is not null").select("key", tokens(F.col("key")).alias("words")), "keys").where(F.size("words") > 0)
     rows = rows.withColumn("length", F.length(F.array_join("words", " ")))
     # one's words among the other's: letters of its own that a key may have, at most
     spare = F.greatest(F.lit(0), F.floor((share * (2 * F.col("length") - 1) - 1) / (1 + share) + 1e-9))
@@ -82,7 +83,7 @@ def similar(keys: DataFrame, least: float) -> DataFrame:
     together = F.array_distinct(F.transform(lengths, lambda n: F.least(most(n), most(F.col("length")))))  # what a key and its partner agree on
     by_gram = _rarest_first(rows.withColumn("grams", _grams(F.col("words"))), "grams", "gram").withColumn("k", F.explode(together))
     rare = F.slice("grams_ranked", F.lit(1), F.least(F.size("grams_ranked"), (F.size("grams_ranked") - shared(F.col("length"))).cast("int") + F.col("k")))
-    looked = by_gram.select("key", "words", "length", "k", F.explode(_together(rare, F.col("k"))).alias("hash"))
+    looked = written(by_gram.select("key", "words", "length", "k", F.explode(_together(rare, F.col("k"))).alias("hash")), "keys")
     left, right = (looked.select(F.col("key").alias(x), F.col("words").alias(f"{x}_words"), F.col("length").alias(f"{x}_length"), "k", "hash") for x in ("a", "b"))
     close = left.join(right, ["k", "hash"]).where((F.col("a") < F.col("b")) & (F.col("k") == F.least(most(F.col("a_length")), most(F.col("b_length")))))
     close = close.where(F.abs(F.col("a_length") - F.col("b_length")) <= F.floor(share * (F.col("a_length") + F.col("b_length")) + 1e-9))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import terms_key, vendor_key
+from ..sources.tables import written
 from . import names
 from .stats import severity_rank
 
@@ -34,6 +35,15 @@ class Limits:
     round_least: int = 500
 
 
+#: What detectors read of an invoice.
+READ = ["document_id", "ingest_seq", "vendor", "invoice_number", "issue_date", "total", "currency", "payment_terms"]
+
+
+def prepared(invoices: DataFrame) -> DataFrame:
+    """What detectors read, with keys, as a written table: the source is read once and its names are cleaned once, for all of them."""
+    return written(keyed(_with_extras(invoices).select(READ)), "invoices")
+
+
 def keyed(invoices: DataFrame) -> DataFrame:
     return invoices.withColumns({"vendor_key": vendor_key(F.col("vendor")), "terms_key": terms_key(F.col("payment_terms"))})
 
@@ -68,6 +78,7 @@ def history(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     holds, found once for each distinct name by its parts of the tokens' lengths, and under each day in reach of its date.
     """
     k = keyed(invoices).select("document_id", "ingest_seq", F.lower("vendor").alias("name"), F.split("vendor_key", " ")[0].alias("token"), F.datediff("issue_date", F.lit("1970-01-01").cast("date")).alias("day"))
+    k = written(k, "history")
     tokens = k.where("token <> ''").select("token").distinct()
     lengths = tokens.agg(F.collect_set(F.length("token")).alias("lengths"))  # a handful of small numbers
     names = k.where("name is not null").select("name").distinct().join(F.broadcast(lengths))
@@ -100,9 +111,14 @@ def duplicates(invoices: DataFrame, limits: Limits = Limits(), asked: Column | N
     A band join: the other vendor's key, signs, bins of days and bins of the logarithm of the amount are equality keys, exact conditions follow. Which
     keys are similar is worked out once for the distinct ones (``names.similar``), so one usual price on one day pairs no vendors that aren't.
     """
+    new = F.lit(True) if asked is None else asked
+    return _duplicates(written(keyed(_with_extras(invoices).withColumn("new", new).select(*READ, "new")), "invoices"), limits)
+
+
+def _duplicates(prepared: DataFrame, limits: Limits) -> DataFrame:
     step = F.ln(F.lit(1.02))
     total = F.col("total").cast("double")
-    sides = _with_extras(keyed(invoices)).where("vendor_key <> '' and issue_date is not null and total is not null")
+    sides = prepared.where("vendor_key <> '' and issue_date is not null and total is not null")
     sides = sides.withColumns({"sign": F.signum("total").cast("int"), "amount_bin": F.when(total == 0, F.lit(0)).otherwise(F.floor(F.ln(F.abs(total)) / step))})
     width, origin = limits.days + 1, F.lit("1970-01-01").cast("date")
     day = F.datediff("issue_date", origin)
@@ -111,7 +127,7 @@ def duplicates(invoices: DataFrame, limits: Limits = Limits(), asked: Column | N
     if limits.similarity < 100:
         alike = alike.union(names.similar(keys, limits.similarity))
     alike = alike.select(F.col("key").alias("vendor_key"), F.col("other").alias("prior_vendor_key"), "similarity")
-    looks = (sides if asked is None else sides.where(asked)).join(alike, "vendor_key").withColumn("day_bin", F.explode(F.sequence(F.floor((day - limits.days) / width), F.floor((day + limits.days) / width))))
+    looks = (sides.where("new") if "new" in sides.columns else sides).join(alike, "vendor_key").withColumn("day_bin", F.explode(F.sequence(F.floor((day - limits.days) / width), F.floor((day + limits.days) / width))))
     looks = looks.withColumn("amount_bin", F.explode(F.when(F.col("sign") == 0, F.array("amount_bin")).otherwise(F.sequence(F.col("amount_bin") - 1, F.col("amount_bin") + 1))))
     prior = sides.select(*(F.col(x).alias(f"prior_{x}") for x in ("document_id", "ingest_seq", "vendor_key", "issue_date", "total", "currency", "invoice_number")), "sign", "amount_bin", F.floor(day / width).alias("day_bin"))
     gap, largest = F.abs(F.col("total") - F.col("prior_total")), F.greatest(F.abs("total"), F.abs("prior_total"))
@@ -161,8 +177,12 @@ def _said(*parts) -> Column:
 
 def amount_zscores(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Totals far from the mean of the vendor's earlier ones, from exact sums of what came before."""
+    return _amount_zscores(prepared(invoices), limits)
+
+
+def _amount_zscores(prepared: DataFrame, limits: Limits) -> DataFrame:
     exact = F.col("total").cast("decimal(14,2)")
-    k = keyed(invoices).where("vendor_key <> '' and total is not null")
+    k = prepared.where("vendor_key <> '' and total is not null")
     w = earlier(k, ["vendor_key"], {"n": F.lit(1).cast("long"), "s1": exact, "s2": (exact * exact).cast("decimal(38,4)")}, {"high": exact, "low": -exact})
     return amount_findings(w, limits)
 
@@ -198,7 +218,11 @@ def term_drifts(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     Each row knows how often its vendor had had its own terms by then; the greatest such count among the earlier rows is that of their most common
     terms (of two as common neither reaches ``terms_share``).
     """
-    k = keyed(invoices).where("vendor_key <> '' and terms_key <> ''").select("document_id", "ingest_seq", "vendor_key", "terms_key", "vendor", "payment_terms")
+    return _term_drifts(prepared(invoices), limits)
+
+
+def _term_drifts(prepared: DataFrame, limits: Limits) -> DataFrame:
+    k = prepared.where("vendor_key <> '' and terms_key <> ''").select("document_id", "ingest_seq", "vendor_key", "terms_key", "vendor", "payment_terms")
     own = earlier(k, ["vendor_key", "terms_key"], {"own_before": F.lit(1).cast("long")})
     w = earlier(own, ["vendor_key"], {"n": F.lit(1).cast("long")}, {"top": F.struct((F.coalesce("own_before", F.lit(0)) + 1).alias("hits"), F.col("terms_key").alias("usual"))}).select("*", "top.hits", "top.usual")
     return term_findings(w, limits)
@@ -235,7 +259,8 @@ FINDING = ["document_id", "anomaly_type", "severity", "score", "fingerprint", "r
 
 def screen(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """All findings of all detectors, each once for a document and fingerprint, with its rank and place among the document's: gravest first, then by type."""
-    return placed(duplicates(invoices, limits), amount_zscores(invoices, limits), term_drifts(invoices, limits), round_numbers(invoices, limits))
+    rows = prepared(invoices)
+    return placed(_duplicates(rows, limits), _amount_zscores(rows, limits), _term_drifts(rows, limits), round_numbers(rows, limits))
 
 
 def placed(*parts: DataFrame) -> DataFrame:

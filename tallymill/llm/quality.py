@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import held_out, slices, small_batches, text_bytes, word_hashes
 
@@ -219,15 +218,3 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
                 yield batch.filter(pa.array(_score_column(voters.value, batch.column("text")) >= least))
 
     return docs.mapInArrow(keep, docs.schema)
-
-
-def scored(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """The documents with all their columns and their score, named ``name``."""
-    small_batches(docs.sparkSession)
-    voters = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512, "text"):
-            yield batch.append_column(name, pa.array(_score_column(voters.value, batch.column("text"))))
-
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -1,6 +1,7 @@
 """Operator 2 against all pairs in double precision."""
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tallymill.llm import near_vectors, shared
 from tallymill.llm.hnsw import Graph
@@ -94,3 +95,10 @@ def test_audits_widen_beams():
     true = x @ x.T >= 0.9 + 2 * near_vectors.SLACK
     np.fill_diagonal(true, False)
     assert ((found & true).sum(axis=1) >= np.minimum(true.sum(axis=1), beam // 2)).mean() > 0.99
+
+
+def test_clashing_columns(spark):
+    rows = clusters(n=60, seed=8)
+    clash = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("key", "space", "shard", "copies", "component", "links", "n_links", "kept", "block", "blocks", "payload", "place")})
+    found = near_vectors.near_vectors(clash).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found} == all_pairs(rows)

@@ -58,7 +58,7 @@ def test_votes_by_brute_force():
         cosines = sorted(((float(v @ w), y) for w, y in zip(voters.vectors, voters.label, strict=True)), reverse=True)[: quality.NEAREST]
         weights = [max(c, 0) ** quality.SHARPNESS for c, _ in cosines]
         want = (sum(w * y for w, (_, y) in zip(weights, cosines, strict=True)) + quality.PRIOR * voters.share) / (sum(weights) + quality.PRIOR)
-        assert abs(found[i] - want) < 0.05
+        assert abs(found[i] - want) < 1e-6
 
 
 def test_odd_rows(spark, odd_docs):

@@ -36,7 +36,7 @@ class Limits:
 
 
 #: What detectors read of an invoice.
-READ = ["document_id", "ingest_seq", "vendor", "invoice_number", "issue_date", "total", "currency", "payment_terms"]
+READ = ["document_id", "ingest_seq", "vendor", "invoice_number", "issue_date", "total", "currency", "payment_terms", "filename"]
 
 
 def prepared(invoices: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def _duplicates(prepared: DataFrame, limits: Limits) -> DataFrame:
     alike = alike.select(F.col("key").alias("vendor_key"), F.col("other").alias("prior_vendor_key"), "similarity")
     looks = (sides.where("new") if "new" in sides.columns else sides).join(alike, "vendor_key").withColumn("day_bin", F.explode(F.sequence(F.floor((day - limits.days) / width), F.floor((day + limits.days) / width))))
     looks = looks.withColumn("amount_bin", F.explode(F.when(F.col("sign") == 0, F.array("amount_bin")).otherwise(F.sequence(F.col("amount_bin") - 1, F.col("amount_bin") + 1))))
-    prior = sides.select(*(F.col(x).alias(f"prior_{x}") for x in ("document_id", "ingest_seq", "vendor_key", "issue_date", "total", "currency", "invoice_number")), "sign", "amount_bin", F.floor(day / width).alias("day_bin"))
+    prior = sides.select(*(F.col(x).alias(f"prior_{x}") for x in ("document_id", "ingest_seq", "vendor_key", "issue_date", "total", "currency", "invoice_number", "filename")), "sign", "amount_bin", F.floor(day / width).alias("day_bin"))
     gap, largest = F.abs(F.col("total") - F.col("prior_total")), F.greatest(F.abs("total"), F.abs("prior_total"))
     near = (
         (F.col("prior_ingest_seq") < F.col("ingest_seq"))
@@ -149,7 +149,7 @@ def _duplicates(prepared: DataFrame, limits: Limits) -> DataFrame:
         ", and this invoice bills ", _amount("total"), " on ", F.col("issue_date").cast("string"), " — ", F.format_string("%.2f", share), "% apart, ", when, ", ", numbers, ".",
     )
     evidence = F.struct(
-        F.col("prior_document_id").cast("string").alias("matched_document_id"), prior_number.alias("matched_invoice_number"), F.col("prior_total").cast("double").alias("matched_total"), F.col("prior_issue_date").cast("string").alias("matched_issue_date"), total.alias("candidate_total"),
+        F.col("prior_document_id").cast("string").alias("matched_document_id"), F.col("prior_filename").alias("matched_filename"), prior_number.alias("matched_invoice_number"), F.col("prior_total").cast("double").alias("matched_total"), F.col("prior_issue_date").cast("string").alias("matched_issue_date"), total.alias("candidate_total"),
         F.col("issue_date").cast("string").alias("candidate_issue_date"), F.col("similarity").alias("vendor_similarity"), share.alias("amount_gap_pct"), F.abs(days).alias("day_gap"), days.alias("day_delta"), same_number.alias("same_invoice_number"),
     )
     return found.select(
@@ -163,7 +163,7 @@ _NULLS = {"ignoreNullFields": "false"}
 
 def _with_extras(invoices: DataFrame) -> DataFrame:
     """Invoices with the columns that only reasons name, null where the ledger has none."""
-    return invoices if "invoice_number" in invoices.columns else invoices.withColumn("invoice_number", F.lit(None).cast("string"))
+    return invoices.withColumns({c: F.lit(None).cast("string") for c in ("invoice_number", "filename") if c not in invoices.columns})
 
 
 def _amount(column: str) -> Column:

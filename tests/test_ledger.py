@@ -1,5 +1,6 @@
 """Validation, screening, the log and scores on labelled cases."""
 
+import json
 import math
 import random
 from datetime import date, datetime, timedelta
@@ -128,6 +129,12 @@ def test_reasons(spark):
     assert said["EV-GM-999"].startswith("Amount is 34.") and said["EV-GM-999"].endswith("across 4 prior invoices (2.4x the usual).")
 
 
+def test_evidence_names_the_file(spark):
+    rows = spark.createDataFrame(LABELLED, INVOICE).withColumn("filename", F.concat("document_id", F.lit(".pdf")))
+    found = {r["document_id"]: json.loads(r["evidence"]) for r in screening.duplicates(rows).collect()}
+    assert found["EV-AU-102"]["matched_filename"] == "EV-AU-101.pdf" and found["EV-AU-102"]["matched_document_id"] == "EV-AU-101"
+
+
 def test_later_arrivals_change_nothing(spark):
     rows = many()
     early = {tuple(r) for r in screening.screen(spark.createDataFrame(rows[:90], INVOICE)).collect()}

@@ -19,6 +19,24 @@ from . import names
 from .stats import severity_rank
 
 
+# What findings say, as stored; %s stands for the values.
+SENTENCES = {
+    "duplicate": "Possible duplicate payment: %s was already billed %s %s on %s, and this invoice bills %s on %s — %s%% apart, %s, %s.",
+    "later": "%s day(s) later",
+    "earlier": "%s day(s) earlier",
+    "same day": "the same day",
+    "same number": "under the same invoice number %s",
+    "other number": "under a different invoice number (%s vs %s)",
+    "no number": "none",
+    "steady": "Amount is %sx this vendor's usual invoice: %s normally bills close to %s %s (the last %s invoices vary by under 1%%), but this one is %s.",
+    "spread": "Amount is %s standard deviations %s than normal for %s: this invoice is %s %s against an average of %s across %s prior invoices (%sx the usual).",
+    "above": "higher",
+    "below": "lower",
+    "terms": 'Payment terms changed for %s: this invoice says "%s", but %s of the last %s invoices from this vendor used "%s".',
+    "round": "Total is an exactly round %s %s — a whole multiple of %s. Itemised invoices with tax rarely land on a round figure, which is typical of an estimate or a placeholder amount.",
+}
+
+
 @dataclass(frozen=True)
 class Limits:
     """When the detectors fire."""
@@ -142,12 +160,10 @@ def _duplicates(prepared: DataFrame, limits: Limits) -> DataFrame:
     share = F.coalesce(F.try_divide(100 * gap.cast("double"), largest.cast("double")), F.lit(0.0))
     number, prior_number = F.col("invoice_number"), F.col("prior_invoice_number")
     same_number = F.coalesce(F.lower(F.trim(number)) == F.lower(F.trim(prior_number)), F.lit(False))
-    when = F.when(days > 0, F.concat(days.cast("string"), F.lit(" day(s) later"))).when(days < 0, F.concat((-days).cast("string"), F.lit(" day(s) earlier"))).otherwise("the same day")
-    numbers = F.when(same_number, F.concat(F.lit("under the same invoice number "), number)).otherwise(F.concat(F.lit("under a different invoice number ("), F.coalesce(number, F.lit("none")), F.lit(" vs "), F.coalesce(prior_number, F.lit("none")), F.lit(")")))
-    reason = _said(
-        "Possible duplicate payment: ", F.col("vendor"), " was already billed ", _amount("prior_total"), " ", F.coalesce("prior_currency", F.lit("")), " on ", F.col("prior_issue_date").cast("string"),
-        ", and this invoice bills ", _amount("total"), " on ", F.col("issue_date").cast("string"), " — ", F.format_string("%.2f", share), "% apart, ", when, ", ", numbers, ".",
-    )
+    when = F.when(days > 0, _said("later", days)).when(days < 0, _said("earlier", -days)).otherwise(SENTENCES["same day"])
+    none = F.lit(SENTENCES["no number"])
+    numbers = F.when(same_number, _said("same number", number)).otherwise(_said("other number", F.coalesce(number, none), F.coalesce(prior_number, none)))
+    reason = _said("duplicate", F.col("vendor"), _amount("prior_total"), F.coalesce("prior_currency", F.lit("")), F.col("prior_issue_date").cast("string"), _amount("total"), F.col("issue_date").cast("string"), F.format_string("%.2f", share), when, numbers)
     evidence = F.struct(
         F.col("prior_document_id").cast("string").alias("matched_document_id"), F.col("prior_filename").alias("matched_filename"), prior_number.alias("matched_invoice_number"), F.col("prior_total").cast("double").alias("matched_total"), F.col("prior_issue_date").cast("string").alias("matched_issue_date"), total.alias("candidate_total"),
         F.col("issue_date").cast("string").alias("candidate_issue_date"), F.col("similarity").alias("vendor_similarity"), share.alias("amount_gap_pct"), F.abs(days).alias("day_gap"), days.alias("day_delta"), same_number.alias("same_invoice_number"),
@@ -170,9 +186,9 @@ def _amount(column: str) -> Column:
     return F.format_number(F.bround(F.col(column), 2), 2)
 
 
-def _said(*parts) -> Column:
-    """A sentence of texts and columns, without two spaces where a currency is missing."""
-    return F.replace(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)), F.lit("  "), F.lit(" "))
+def _said(sentence: str, *values: Column) -> Column:
+    """One of ``SENTENCES``, without two spaces where a currency is missing."""
+    return F.replace(F.format_string(SENTENCES[sentence], *values), F.lit("  "), F.lit(" "))
 
 
 def amount_zscores(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -197,11 +213,8 @@ def amount_findings(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
     w = w.withColumn("z", F.try_divide(total - F.col("mean"), F.greatest("sd", floor))).where(F.abs("z") > limits.z)
     times, floored, currency = F.format_string("%.1f", F.try_divide(total, F.col("mean"))), F.col("sd") < floor, F.coalesce("currency", F.lit(""))
     n = F.col("n").cast("string")
-    steady = _said("Amount is ", times, "x this vendor's usual invoice: ", F.col("vendor"), " normally bills close to ", F.format_number("mean", 2), " ", currency, " (the last ", n, " invoices vary by under 1%), but this one is ", _amount("total"), ".")
-    spread = _said(
-        "Amount is ", F.format_string("%.1f", F.abs("z")), " standard deviations ", F.when(F.col("z") > 0, "higher").otherwise("lower"), " than normal for ", F.col("vendor"), ": this invoice is ", _amount("total"), " ", currency,
-        " against an average of ", F.format_number("mean", 2), " across ", n, " prior invoices (", times, "x the usual).",
-    )
+    steady = _said("steady", times, F.col("vendor"), F.format_number("mean", 2), currency, n, _amount("total"))
+    spread = _said("spread", F.format_string("%.1f", F.abs("z")), F.when(F.col("z") > 0, SENTENCES["above"]).otherwise(SENTENCES["below"]), F.col("vendor"), _amount("total"), currency, F.format_number("mean", 2), n, times)
     evidence = F.struct(
         "vendor_key", total.alias("candidate_total"), F.col("n").alias("history_count"), F.round("mean", 2).alias("history_mean"), F.round(F.greatest("sd", floor), 2).alias("history_std"), F.round("sd", 2).alias("history_std_observed"), floored.alias("dispersion_floored"),
         (-F.col("low")).cast("double").alias("history_min"), F.col("high").cast("double").alias("history_max"), F.round("z", 4).alias("zscore"), F.lit(limits.z).alias("threshold"),
@@ -232,7 +245,7 @@ def term_findings(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The same from invoices with what is known of their vendors' earlier terms: n, usual (the most common) and hits (how often)."""
     w = rows.where((F.col("n") >= limits.terms_history) & (F.col("hits") >= limits.terms_share * F.col("n")) & (F.col("usual") != F.col("terms_key")))
     share = F.round(F.try_divide("hits", "n"), 4)
-    reason = _said("Payment terms changed for ", F.col("vendor"), ': this invoice says "', F.col("payment_terms"), '", but ', F.col("hits").cast("string"), " of the last ", F.col("n").cast("string"), ' invoices from this vendor used "', F.col("usual"), '".')
+    reason = _said("terms", F.col("vendor"), F.col("payment_terms"), F.col("hits"), F.col("n"), F.col("usual"))
     evidence = F.struct("vendor_key", F.col("payment_terms").alias("candidate_terms"), F.col("usual").alias("modal_terms"), F.col("hits").alias("modal_count"), F.col("n").alias("history_count"), share.alias("consistency"))
     return w.select(
         "document_id", F.lit("term_drift").alias("anomaly_type"), F.lit("MEDIUM").alias("severity"), share.alias("score"), F.concat(F.lit("term_drift:"), F.col("vendor_key")).alias("fingerprint"), reason.alias("reason"), F.to_json(evidence, _NULLS).alias("evidence"), "usual"
@@ -243,10 +256,7 @@ def round_numbers(invoices: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Totals that are whole thousands, or else whole five hundreds."""
     whole = F.when(F.col("total") % 1000 == 0, 1000).when(F.col("total") % 500 == 0, 500)
     w = invoices.where(F.col("total") >= limits.round_least).withColumn("whole", whole).where("whole is not null")
-    reason = _said(
-        "Total is an exactly round ", _amount("total"), " ", F.coalesce("currency", F.lit("")), " — a whole multiple of ", F.format_number("whole", 0),
-        ". Itemised invoices with tax rarely land on a round figure, which is typical of an estimate or a placeholder amount.",
-    )
+    reason = _said("round", _amount("total"), F.coalesce("currency", F.lit("")), F.format_number("whole", 0))
     evidence = F.struct(F.col("total").cast("double").alias("total"), F.col("whole").alias("multiple_of"), "currency")
     return w.select(
         "document_id", F.lit("round_number").alias("anomaly_type"), F.when(F.col("whole") == 1000, "MEDIUM").otherwise("LOW").alias("severity"), F.col("whole").cast("double").alias("score"),

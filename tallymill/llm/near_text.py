@@ -10,10 +10,10 @@ if the Jaccard similarity of their sets is ``SIMILARITY`` or more.
    ``loose_agreement`` allows (eight standard deviations below the threshold) are told apart: ``families_of`` connects all others.
 3. Only the families' texts are read again. Within a family all pairs are verified on their full n-gram sets, and counted.
 
-No group meets in one task: large buckets and families are cut into blocks of some ``shared.BLOCK`` classes and ``shared.BLOCK_BYTES``.
-Pairs are counted where two blocks meet and never emitted: edges are linear in the classes, and what is dealt is
-a row for each two blocks. The comparing itself is quadratic in a family's distinct classes, since every link counts. No
-link is dropped. N-grams are compared by 64-bit hashes.
+No group meets in one task: large buckets and families are cut into blocks of some ``shared.BLOCK`` classes and ``shared.BLOCK_BYTES``,
+written once to the shared folder and read by path (``blocks``), so bytes shuffled are linear in the classes but for the places of each two blocks.
+Pairs are counted where two blocks meet and never emitted. Sets whose sizes alone keep them from being similar are not held against each other in a large
+family; else the comparing and reading is quadratic in a family's distinct classes, since every link counts. No link is dropped. N-grams are compared by 64-bit hashes.
 
 Cases: documents without a word (null, empty or blank) link with nothing. Rows with one doc_id are documents of their own; a group's id
 is its smallest doc_id. An empty table gives no rows. Extra columns are left out by ``link`` and kept by ``one_of_each``.
@@ -31,13 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .shared import Forest, batches_of, broadcast_if_small, components, count_links, grouped, materialise, mix64, runs, slices, small_batches, text_bytes, touching, word_hashes
+from .arrow_output import file_system
+from .blocks import PLACE, PLACED, BlockFile, count_links, meetings, new_folder, numbered, read_block
+from .shared import Forest, broadcast_if_small, components, grouped, materialise, mix64, runs, slices, small_batches, text_bytes, touching, word_hashes
 
 N = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
 SEED = 20_240_501
+#: What goes with a class to its block, beside its n-grams.
+DEALT = ("component", "wide", "bin", "blocks", "key", "copies")
 
 
 def choose_bands(similarity: float, recall: float, most_hashes: int) -> tuple[int, int]:
@@ -139,35 +143,53 @@ def _near_centre(loose: float):
     return near_centre
 
 
-def _bucket_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each block of a bucket: its classes' families and bytes."""
-    for t in runs(batches, ("band", "out", "block")):
-        yield pa.record_batch([t.column(c)[:1] for c in ("band", "out", "block", "tops", "outs")] + [pa.array([t.column("family").to_numpy()], pa.list_(pa.int64())), pa.array([_bytes(t.column("seen")).tobytes()], pa.binary())], names=["band", "out", "block", "tops", "outs", "families", "seen"])
+def _edges(mine: np.ndarray, mine_seen: np.ndarray, family: np.ndarray, seen: np.ndarray, loose: float, forest: Forest) -> list[tuple]:
+    """Edges, new to ``forest``, between families that hold loosely agreeing classes."""
+    near = np.zeros((len(mine), len(family)), bool)
+    for k in range(len(mine)):
+        other = np.flatnonzero(family != mine[k])
+        near[k, other] = (seen[other] == mine_seen[k]).mean(axis=1) >= loose
+    return [e for e in touching(near, mine, family) if forest.join(*e)]
 
 
-def _across(loose: float):
-    """Edges between families that hold loosely agreeing classes; rows are blocks dealt to targets, the target's own block first."""
+def _within(loose: float):
+    """Edges of buckets that are a block at most of each kind: what the commonest family doesn't hold, against all."""
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ("band",)):
+            out, family, seen = t.column("out").to_numpy(zero_copy_only=False), t.column("family").to_numpy(), _bytes(t.column("seen"))
+            edges = _edges(family[out], seen[out], family, seen, loose, Forest())
+            if edges:
+                yield pa.record_batch([pa.array(c) for c in zip(*edges, strict=True)], names=["src", "dst"])
+
+    return within
+
+
+def _write_blocks(folder: str):
+    def write_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = BlockFile(folder)
+        for t in runs(batches, ("band", "block")):
+            place = file.add(t.column("block")[0].as_py(), t.select(["family", "seen"]))
+            yield pa.record_batch([t.column("band")[:1], pa.array([place], PLACED)], names=["band", "place"])
+        file.close()
+
+    return write_blocks
+
+
+def _across(loose: float, folder: str):
+    """Edges of rows of work: a block of a large bucket, against blocks of what the commonest family doesn't hold."""
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        files, _ = file_system(folder)
+
+        def block(place: dict) -> tuple[np.ndarray, np.ndarray]:
+            t = read_block(files, place)
+            return t.column("family").to_numpy(), _bytes(t.column("seen"))
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                target = tuple(batch.column(c)[i].as_py() for c in ("band", "target_out", "target"))
-                own = batch.column("own")[i].as_py()
-                family = batch.column("families")[i].values.to_numpy()
-                seen = np.frombuffer(batch.column("seen")[i].as_buffer(), np.uint8).reshape(len(family), -1)
-                if own:
-                    held = (target, family, seen, Forest())
-                    if not target[1]:
-                        continue  # the commonest family's classes need no comparison among themselves
-                if held is None or held[0] != target:
-                    continue  # no class was dealt to that block
-                _, mine, mine_seen, forest = held
-                near = np.zeros((len(mine), len(family)), bool)
-                for k in range(len(mine)):
-                    other = np.flatnonzero(family != mine[k])
-                    near[k, other] = (seen[other] == mine_seen[k]).mean(axis=1) >= loose
-                edges = [e for e in touching(near, mine, family) if forest.join(*e)]
+            for row in batch.to_pylist():
+                one, forest = block(row["one"]), Forest()
+                edges = [e for place in row["others"] for e in _edges(*one, *block(place), loose, forest)]
                 if edges:
                     yield pa.record_batch([pa.array(c) for c in zip(*edges, strict=True)], names=["src", "dst"])
 
@@ -191,16 +213,20 @@ def families_of(classes: DataFrame, loose: float) -> DataFrame:
     told = crowded.where("m > 2").join(families.withColumnRenamed("node", "key"), "key", "left").withColumn("family", F.coalesce("component", "key"))
     common = told.groupBy("band", "family").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("family", F.struct("n", "family")).alias("top"), F.max("n").alias("tops"), (F.sum("n") - F.max("n")).alias("outs"))
     mixed = told.join(common.where("outs > 0"), "band").withColumn("out", F.col("family") != F.col("top"))
-    blocks = F.ceil(F.when(F.col("out"), F.col("outs")).otherwise(F.col("tops")) / shared.BLOCK).cast("int")
-    mixed = mixed.withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), blocks).cast("int")).select("band", "out", "block", "tops", "outs", "family", "seen")
-    dealt = mixed.repartition("band", "out", "block").sortWithinPartitions("band", "out", "block")
-    rows = materialise(dealt.mapInArrow(_bucket_blocks, "band long, out boolean, block int, tops long, outs long, families array<long>, seen binary"), "blocks")
-    numbers = lambda n: F.transform(F.sequence(F.lit(0), F.ceil(F.col(n) / shared.BLOCK).cast("int") - 1), lambda k: F.struct(F.lit(n == "outs").alias("out"), k.alias("block")))
-    targets = F.when(F.col("out"), F.concat(numbers("tops"), numbers("outs"))).otherwise(F.array(F.struct("out", "block")))
-    spread = rows.withColumn("at", F.explode(targets)).select("band", F.col("at.out").alias("target_out"), F.col("at.block").alias("target"), ((F.col("at.out") == F.col("out")) & (F.col("at.block") == F.col("block"))).alias("own"), "block", "families", "seen")
-    spread = spread.repartition("band", "target_out", "target").sortWithinPartitions("band", "target_out", "target", F.desc("own"), "block")
-    with batches_of(classes.sparkSession, 64):
-        more = materialise(spread.mapInArrow(_across(loose), "src long, dst long"), "more")
+    mixed = materialise(mixed.select("band", "out", "tops", "outs", "key", "family", "seen"), "mixed")
+    small = F.greatest("tops", "outs") <= shared.BLOCK
+    more = mixed.where(small).select("band", "out", "family", "seen").repartition("band").sortWithinPartitions("band").mapInArrow(_within(loose), "src long, dst long")
+    large = mixed.where(~small)
+    if not large.isEmpty():
+        blocks = F.ceil(F.when(F.col("out"), F.col("outs")).otherwise(F.col("tops")) / shared.BLOCK)
+        dealt = large.select("band", numbered(F.col("out").cast("long"), blocks).alias("block"), "family", "seen").repartition("band", "block").sortWithinPartitions("band", "block")
+        folder = new_folder(classes, "buckets")
+        places = materialise(dealt.mapInArrow(_write_blocks(folder), f"band long, place {PLACE}"), "places")
+        one, other = (places.select("band", F.col("place").alias(c)) for c in ("one", "other"))
+        # out blocks have the greater numbers; the commonest family's classes need no comparison among themselves
+        pairs = one.join(other.where(F.shiftright("other.block", 32) > 0), "band").where("other.block >= one.block")
+        more = more.union(meetings(pairs, "band", F.col("one.block")).mapInArrow(_across(loose, folder), "src long, dst long"))
+    more = materialise(more, "more")
     if more.isEmpty():
         return families
     return components(families.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more))
@@ -270,7 +296,7 @@ def _grams(n: int):
             batch = batch.take(pa.array(new, pa.int64()))
             found, ends = shingles(batch.column("text"), n)
             sets = [np.unique(found[a:b]).tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
-            yield pa.record_batch([batch.column(c) for c in ("component", "blocks", "key", "copies")] + [pa.array(sets, pa.binary())], names=["component", "blocks", "key", "copies", "payload"])
+            yield pa.record_batch([batch.column(c) for c in DEALT] + [pa.array(sets, pa.binary())], names=[*DEALT, "payload"])
 
     return grams
 
@@ -289,10 +315,16 @@ def _linked(docs: DataFrame, n: int, similarity: float, recall: float, most_hash
     families = families_of(classes, loose_agreement(similarity, bands * rows))
     # 3: verify within families
     known = families.join(classes.select(F.col("key").alias("node"), "copies", "row_hash", "grams"), "node")
-    sizes = known.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / shared.BLOCK, F.sum("grams") * 8 / shared.BLOCK_BYTES)).alias("blocks"))
-    wanted = broadcast_if_small(materialise(known.join(sizes, "component").select("component", "blocks", F.col("node").alias("key"), "copies", "row_hash"), "wanted"))
-    read = base.select("row_hash", "text").join(wanted, "row_hash").select("component", "blocks", "key", "copies", "text").mapInArrow(_grams(n), "component long, blocks long, key long, copies long, payload binary")
-    counts, edges = count_links(read.dropDuplicates(["key"]) if repeats else read, _near(similarity), pa.binary(), "binary")
+    # sets of sizes more than a bin apart can't be similar; the bins are a little wider than that takes, against rounding
+    known = known.withColumn("bin", F.floor(F.log("grams") / (1.001 * -math.log(similarity))) if 0 < similarity < 1 else F.lit(0))
+    blocks = lambda n, grams: F.ceil(F.greatest(n / shared.BLOCK, grams * 8 / shared.BLOCK_BYTES))
+    bins = known.groupBy("component", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("all_grams"))
+    sizes = bins.groupBy("component").agg((blocks(F.sum("n"), F.sum("all_grams")) > 1).alias("wide"))
+    placed = known.join(sizes, "component").join(bins, ["component", "bin"]).withColumn("blocks", F.when(F.col("wide"), blocks(F.col("n"), F.col("all_grams"))).otherwise(1))
+    placed = placed.select("component", "wide", F.when(F.col("wide"), F.col("bin")).otherwise(0).alias("bin"), "blocks", F.col("node").alias("key"), "copies", "row_hash")
+    wanted = broadcast_if_small(materialise(placed, "wanted"))
+    read = base.select("row_hash", "text").join(wanted, "row_hash").select(*DEALT, "text").mapInArrow(_grams(n), "component long, wide boolean, bin long, blocks long, key long, copies long, payload binary")
+    counts, edges = count_links(read.dropDuplicates(["key"]) if repeats else read, _near(similarity))
     return signed, counts.join(components(edges).withColumnRenamed("node", "key"), "key", "left").select("key", "links", F.coalesce("component", "key").alias("component"))
 
 

@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .arrow_output import file_system
+from .blocks import count_links
 from .hnsw import Graph
-from .shared import components, count_links, grouped, local_forest, materialise, runs, shared_dir, small_batches
+from .shared import components, grouped, local_forest, materialise, runs, shared_dir, small_batches
 
 COSINE = 0.98
 SHARD = 65_536
@@ -173,6 +174,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD)
     sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = families.join(sizes, "component").withColumnRenamed("node", "key").join(classes.select("key", "copies", F.col("embedding").cast("array<double>").alias("payload")), "key")
     blocks = F.ceil(F.greatest(F.col("size") / shared.BLOCK, F.col("size") * F.size("payload") * 8 / shared.BLOCK_BYTES))
-    counts, edges = count_links(members.withColumn("blocks", blocks), _near(cosine), pa.list_(pa.float64()), "array<double>")
+    members = members.withColumn("blocks", blocks).withColumns({"wide": F.col("blocks") > 1, "bin": F.lit(0)})
+    counts, edges = count_links(members, _near(cosine))
     linked = counts.join(components(edges).withColumnRenamed("node", "key"), "key", "left").select("key", "links", F.coalesce("component", "key").alias("component"))
     return grouped(rows.select("vec_id", "key"), linked, "vec_id").select("vec_id", "n_links", "component_id", "kept", "copies_id")

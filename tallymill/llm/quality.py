@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import held_out, slices, small_batches, text_bytes, word_hashes
+from .shared import held_out, materialise, slices, small_batches, text_bytes, word_hashes
 
 SAMPLE = 4000
 #: Bounds of what is learned from, in bytes: of one text, and of the whole sample. Neither bounds what is scored.
@@ -169,17 +169,21 @@ class Voters:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list:
-    """Rows (text, label) to learn from: about ``most`` of those that have a label and aren't held out."""
+    """Rows (text, label) to learn from: about ``most`` of those that have a label and aren't held out; rows alike in doc_id, text and label count once."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     n = known.count()
     if not n:
         return []
     share = min(SHARES, SHARES * most // n + 1)
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) < share).orderBy(F.xxhash64("doc_id"), "quality").limit(int(1.5 * most))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").select("text", "quality")
-    rows = rows.where(F.octet_length("text") <= LONGEST).orderBy(F.xxhash64("text"), "quality").limit(int(1.5 * most))
-    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("text"), "quality", "text").rowsBetween(Window.unboundedPreceding, 0))  # over the few rows of the sample
-    return sorted(map(tuple, rows.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("text", "quality").collect()))
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST).join(F.broadcast(picked), "doc_id").withColumn("hash", F.xxhash64("text"))
+    # which ones by hash and size alone; only their texts are gathered then
+    sized = texts.select("doc_id", "hash", "quality", F.octet_length("text").alias("size")).distinct()
+    first = sized.orderBy("hash", "quality", "doc_id").limit(int(1.5 * most))
+    upto = F.sum("size").over(Window.orderBy("hash", "quality", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # over the few rows of the sample
+    chosen = materialise(first.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id", "hash", "quality"), "chosen")
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "hash", "quality"], "left_semi").groupBy("doc_id", "hash", "quality").agg(F.first("text").alias("text"))
+    return sorted(map(tuple, rows.select("text", "quality").collect()))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Voters | None:

@@ -9,6 +9,7 @@ Learning: from documents that aren't held out and whose lang isn't null: of each
 gives, windows of all languages alike often. The weights are the same at every run over the same rows.
 
 Cases: lang_pred is "und", score 0, if a text is null or has no letter, or if there is nothing to learn from.
+Memory is bounded however many languages there are (``HELD``) and however long a text is.
 Repeated rows get equal labels. An empty table gives no rows. Extra columns are left out.
 """
 
@@ -31,6 +32,8 @@ SPAN = 480
 #: With more languages than these each has a smaller sample, of LEAST texts at least; no language is left out.
 MANY, LEAST = 64, 120
 SHARES = 1 << 20
+#: Windows times languages whose probabilities are held at once: with many languages fewer windows run in step.
+HELD = 1 << 16
 
 
 class ByteGru:
@@ -105,8 +108,24 @@ class ByteGru:
             out *= (windows.T != 256)[..., None]
         return out.sum(axis=0)
 
+    def lanes(self, most: int) -> int:
+        """Of ``most`` windows, how many run in step."""
+        return max(1, min(most, HELD // self.labels))
+
     def gradients(self, windows: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over places, and its gradients by backpropagation through time."""
+        """Mean loss over places, and its gradients, gathered over as many windows at a time as ``lanes`` says."""
+        places = max(1, int((windows != 256).sum()))
+        step = self.lanes(len(windows))
+        loss, grad = self._gradients(windows[:step], label[:step], places)
+        for at in range(step, len(windows), step):
+            more, further = self._gradients(windows[at : at + step], label[at : at + step], places)
+            loss += more
+            for k, g in further.items():
+                grad[k] += g
+        return loss, grad
+
+    def _gradients(self, windows: np.ndarray, label: np.ndarray, places: int) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss over places, divided by ``places``, and its gradients by backpropagation through time."""
         h = self.hidden
         trace: list = []
         out = self.run(windows, trace)
@@ -115,7 +134,6 @@ class ByteGru:
         out -= out.max(axis=2, keepdims=True)
         np.exp(out, out=out)
         out /= out.sum(axis=2, keepdims=True)
-        places = max(1, int(real.sum()))
         loss = -float((np.log(out[:, np.arange(n), label] + 1e-9) * real[..., 0]).sum()) / places
         out[:, np.arange(n), label] -= 1
         out *= real / places
@@ -240,6 +258,7 @@ def predict(languages: list[str], model: ByteGru, text: pa.Array, window: int =
     data, offsets = text_bytes(text)
     of, start, length = window_places(offsets, window)
     total = np.zeros((len(offsets) - 1, len(languages)))
+    lanes = model.lanes(lanes)
     for rows in (np.flatnonzero(length == window), np.flatnonzero(length < window)):
         for at in range(0, len(rows), lanes):
             pick = rows[at : at + lanes]

@@ -20,12 +20,16 @@ what the chunk before gives from the empty state, and adds what comes out of any
 are a few states a chunk, and all chunks' are worked out in step. A prefix scan by doubling composes the maps, and
 the heads of the other chunks, up to where they start afresh, run in step from the states that the scan gives.
 
+Long texts are cut before space marks into parts of some 1.5 million characters, which are counted one after the other; memory grows with
+the longest stretch without a mark alone.
+
 Cases: null and empty text have no tokens and no bytes; special strings in a text are plain text, as the
 library takes them by default. Repeated rows are counted each. Extra columns are left out.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +43,9 @@ from .shared import small_batches
 
 LIMIT = 4096
 MARK = "▁"
+MARKS = " " + MARK
+#: Where a run of marks begins.
+OPENS = re.compile(f"(?<=[^{MARKS}])[{MARKS}]")
 #: Runs of marks up to this length are symbols of their own; longer ones are shortened by whole longest tokens.
 CHUNK = 192
 MOST_TRANSITIONS = 500_000
@@ -340,21 +347,45 @@ class Counter:
     def __init__(self, path: str, chunk: int = CHUNK, most: int = MOST_TRANSITIONS, most_points: int = 1_500_000):
         self.machine, self.chunk, self.most_points = Transducer(Pieces(path), most), chunk, most_points
 
+    def parts(self, text: str) -> Iterator[str]:
+        """A text cut where runs of space marks begin into parts of some ``most_points`` characters, whose tokens add up to its own.
+
+        The mark at a cut is left out, as each part is counted with a mark put before it. Stretches without a mark stay whole.
+        """
+        at = 0
+        while len(text) - at > self.most_points:
+            head = text[at : at + self.most_points]
+            cut = at + len(head[: max(map(head.rfind, MARKS)) + 1].rstrip(MARKS))
+            if cut == at:  # no run begins behind the part's own first one
+                found = OPENS.search(text, at + self.most_points)
+                cut = found.start() if found else len(text)
+            if cut >= len(text) - 1:  # nothing is left behind it
+                break
+            yield text[at:cut]
+            at = cut + 1
+        yield text[at:]
+
     def count(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
-        group: list[int] = []
+        of: list[int] = []
+        group: list[str] = []
         size = 0
+
+        def add() -> None:
+            if self.machine.full:
+                self.machine.forget()
+            np.add.at(out, of, _counts(self.machine, group, self.chunk))
+
         for i, text in enumerate(texts):
-            if text:
-                group.append(i)
-                size += len(text)
-            if group and (size > self.most_points or i == len(texts) - 1):
-                if self.machine.full:
-                    self.machine.forget()
-                out[group] = _counts(self.machine, [texts[k] for k in group], self.chunk)
-                group, size = [], 0
+            for part in self.parts(text) if text else ():
+                of.append(i)
+                group.append(part)
+                size += len(part)
+                if size > self.most_points:
+                    add()
+                    of, group, size = [], [], 0
         if group:
-            out[group] = _counts(self.machine, [texts[k] for k in group], self.chunk)
+            add()
         return out
 
 

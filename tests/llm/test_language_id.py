@@ -37,6 +37,22 @@ def test_gradients_by_differences():
             flat[i] = was
 
 
+def test_many_languages_run_in_fewer_lanes(monkeypatch):
+    model = language_id.ByteGru(6, 4)
+    rng = np.random.default_rng(1)
+    windows, label = rng.integers(0, 250, (11, 9)), rng.integers(0, 6, 11)
+    windows[4, 3:] = 256
+    loss, grad = model.gradients(windows, label)
+    text = pa.array(["".join(chr(rng.integers(97, 123)) for _ in range(k * 37)) for k in range(1, 9)])
+    best, score = language_id.predict(list("abcdef"), model, text, 16)
+    monkeypatch.setattr(language_id, "HELD", 18)
+    assert model.lanes(1536) == 3
+    less, parts = model.gradients(windows, label)
+    assert abs(less - loss) < 1e-5 and all(np.abs(parts[k] - g).max() < 1e-5 for k, g in grad.items())
+    found, again = language_id.predict(list("abcdef"), model, text, 16)
+    assert found.tolist() == best.tolist() and np.abs(again - score).max() < 1e-6
+
+
 def test_states_by_the_plain_recurrence():
     model = language_id.ByteGru(3, 4)
     text = "Grüße!".encode()

@@ -35,6 +35,28 @@ def test_long_texts_without_spaces():
         assert token_counts.Counter(PATH, chunk=chunk).count(texts).tolist() == want
 
 
+def test_long_texts_in_parts():
+    rng = random.Random(3)
+    parts = ["a", "the", "ing", " ", "  ", "   ", "▁", " ▁ ", "é", "\n", "日本", "🙂", " " * 40, "abcdefgh" * 6]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 400))) for _ in range(300)]
+    texts += [" " * 100, "x" * 100, "x" * 70 + " ", "x" * 70 + "  ", " " * 70 + "x", "x " * 99, " x" * 99]
+    want = [len(x) for x in LIBRARY.encode(texts)]
+    for most in (1, 7, 50):
+        counts = token_counts.Counter(PATH, most_points=most)
+        cut = [list(counts.parts(t)) for t in texts]
+        assert [len(p) and sum(map(len, LIBRARY.encode(p))) for p in cut] == want
+        assert all(all(p) for t, p in zip(texts, cut, strict=True) if t)
+    assert token_counts.Counter(PATH, chunk=16, most_points=50).count(texts[:10] + texts[-7:]).tolist() == want[:10] + want[-7:]
+
+
+def test_memory_of_one_text():
+    """A long text's parts are short: what counting takes doesn't grow with the text."""
+    counts = token_counts.Counter(PATH, most_points=10_000)
+    text = "the quick brown fox " * 4_000
+    assert max(map(len, counts.parts(text))) <= 10_000
+    assert counts.count([text, "a", text]).tolist() == [len(LIBRARY.encode(text)), len(LIBRARY.encode("a")), len(LIBRARY.encode(text))]
+
+
 def test_scan_is_composition():
     rng = np.random.default_rng(4)
     to, gain = rng.integers(0, 3, (13, 3)), rng.integers(0, 9, (13, 3))

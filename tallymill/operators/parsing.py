@@ -34,7 +34,7 @@ TABLE_HEAD = r"(?i)(description|item|particulars).*(qty|quantity).*(price|rate|a
 TABLE_END = r"(?i)^\s*(sub[\s-]*total|total|vat|tax|grand\s*total|amount\s*due|balance|payment\s*terms|bank|iban|swift|notes?|thank)"
 NUMBER = r"\(?-?(?:\d{1,3}(?:[,\x20\xA0]\d{3})+(?:\.\d{1,4})?|\d+(?:\.\d{1,4})?)\)?"
 SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "₹": "INR", "د.إ": "AED"}
-NO_VENDOR = [r"(?i)^\s*(tax\s+invoice|invoice|receipt|credit\s*note|proforma|statement|bill)\s*$", r"(?i)\b(?:trn|tax\s*reg|vat\s*reg|gstin)\b", r"^[\d\W_]+$", r"(?i)(invoice|date|page)\s*(no|#|:)"]
+NO_VENDOR = [r"(?i)^\s*(tax\s+invoice|invoice|receipt|credit\s*note|proforma|statement|bill)\s*$", r"(?i)\b(?:trn|tax\s*reg|vat\s*reg|gstin)\b", r"^[\d\W_]+$", r"(?i)\b(invoice|date|page)\s*(no(?:tes?)?(?![a-z])|#|:)"]  # whole words: "Gpagenoc" is a name
 
 
 #: Lines of one record.

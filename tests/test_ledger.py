@@ -196,6 +196,12 @@ def test_text_to_record(spark):
     assert [(x["description"], x["qty"], x["amount"]) for x in p["line_items"]] == [("Steel plate 10mm x 2400", D(10), D(1000)), ("Bolts", D(5), D(1500))]
 
 
+def test_vendors_may_hold_letters_of_labels(spark):
+    texts = {"Gpagenoc Dcniic FZ-LLC": "Gpagenoc Dcniic FZ-LLC", "Page Northern LLC": "Page Northern LLC", "Page no. 3": "Acme", "INVOICE NO 7": "Acme", "Date: today": "Acme", "Issue date # 3": "Acme", "Page No3": "Acme", "Invoice notes": "Acme"}
+    rows = spark.createDataFrame([(k, f"{k}\nAcme") for k in texts], "first string, text string")
+    assert {r["first"]: r["vendor"] for r in rows.select("first", parsing.vendor(F.col("text")).alias("vendor")).collect()} == texts
+
+
 def test_text_to_record_in_other_words(spark):
     text = "TAX INVOICE\nNorthern Light\nDocument date: 20250314\nRef: 2025\nDate of issue: March 4, 2026\nPay by 3.4.2026\nItem Quantity Rate Amount\n\nSteel plate 10mm  2  10.00  20.00 AED\nno numbers here\nBolts M8 4 x 1 234.50   (3)  1.00   -3\nIBAN 1 2 3\nLate 1 2 3\nAmount before tax 30.00\nTax 5%: 1.50\nBalance due: 31.50\nTotal: n/a\nTerms of payment: Net 15 .   Bank: X"
     p = parsing.parse(spark.createDataFrame([(text,)], "text string")).first()

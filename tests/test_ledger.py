@@ -196,6 +196,16 @@ def test_text_to_record(spark):
     assert [(x["description"], x["qty"], x["amount"]) for x in p["line_items"]] == [("Steel plate 10mm x 2400", D(10), D(1000)), ("Bolts", D(5), D(1500))]
 
 
+def test_lines_of_one_file_are_bounded_in_many_tasks(spark):
+    from tallymill.plans import catalog
+    from tallymill.sources import schemas
+
+    assert catalog.QUERIES["bounded_lines"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    texts = ["x" * 512, "x" * 513, "\u00e9" * 300, "\u00e9" * 512, "\u00e9" * 513, None, ""]
+    lines = spark.createDataFrame([([(t,) for t in texts],), (None,)], "lines array<struct<description: string>>")
+    assert [[x["description"] for x in r[0]] for r in lines.select(schemas.bounded_lines(F.col("lines"))).collect()] == [[t and t[:512] for t in texts], []]
+
+
 def test_vendors_may_hold_letters_of_labels(spark):
     texts = {"Gpagenoc Dcniic FZ-LLC": "Gpagenoc Dcniic FZ-LLC", "Page Northern LLC": "Page Northern LLC", "Page no. 3": "Acme", "INVOICE NO 7": "Acme", "Date: today": "Acme", "Issue date # 3": "Acme", "Page No3": "Acme", "Invoice notes": "Acme"}
     rows = spark.createDataFrame([(k, f"{k}\nAcme") for k in texts], "first string, text string")

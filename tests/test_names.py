@@ -62,3 +62,20 @@ def test_limits_and_odd_names(spark):
     asked = spark.createDataFrame([(1, "gulf metals"), (2, None), (3, "")], "a long, name_a string")
     others = spark.createDataFrame([(1, "gulf metals"), (5, "gulf metals"), (6, "metals gulf co"), (7, None), (8, "")], "b long, name_b string")
     assert {(r["a"], r["b"], r["ratio"]) for r in screening.similar_names(asked, others).collect()} == {(1, 5, 100.0), (1, 6, 100.0)}
+
+
+def test_what_is_looked_up_grows_with_the_keys():
+    """A hundred times the keys of a length make little more than a hundred times the rows and chance meetings."""
+    from math import comb
+
+    def cost(n):
+        return sum(n * comb(p, k) + n * n * comb(p, k) * (p * 0.004) ** k / 2 for *_, k, p in names._plan({15: n}, 0.12, 0.004))
+
+    assert cost(10**6) < 300 * cost(10**4)
+    assert [x[:3] for x in names._plan({15: 5, 12: 1, 11: 1, 19: 2}, 0.12, 0.004)] == [(11, 11, 11), (11, 11, 12), (12, 11, 12), (12, 12, 12), (12, 12, 15), (15, 12, 15), (15, 15, 15), (15, 15, 19), (19, 15, 19), (19, 19, 19)]
+
+
+def test_ratios_are_worked_out_after_the_join(spark):
+    """The ratio's limit isn't pushed into the join, where it would be asked of every meeting."""
+    keys = spark.range(50).select(F.concat(F.lit("gulf metals "), F.col("id").cast("string")).alias("key"))
+    assert "Join" not in names.similar(keys, 88.0)._jdf.queryExecution().optimizedPlan().toString()

@@ -196,6 +196,18 @@ def test_text_to_record(spark):
     assert [(x["description"], x["qty"], x["amount"]) for x in p["line_items"]] == [("Steel plate 10mm x 2400", D(10), D(1000)), ("Bolts", D(5), D(1500))]
 
 
+def test_duplicates_at_the_edges_of_bins(spark):
+    """Against all pairs; and a row looks into few bins."""
+    from pyspark.sql import types as T
+
+    rng = random.Random(5)
+    rows = [(i, i, "Acme LLC", date(2026, 1, 1) + timedelta(rng.randrange(90)), D(rng.choice([1, -1]) * rng.randrange(9000, 12000)) / 100, "AED", "Net 30") for i in range(400)] + [(400, 400, "Acme", date(2026, 1, 1), D(0), "AED", "x"), (401, 401, "Acme", date(2026, 1, 8), D(0), "AED", "x")]
+    named = ("document_id long", "ingest_seq long", "vendor string", "issue_date date", "total decimal(14,2)", "currency string", "payment_terms string")
+    found = screening.duplicates(spark.createDataFrame(rows, T.StructType.fromDDL(", ".join(named))), screening.Limits(similarity=100.0))
+    want = {(a[0], b[0]) for a in rows for b in rows if b[1] < a[1] and abs((a[3] - b[3]).days) <= 7 and abs(a[4] - b[4]) <= D("0.01") * max(abs(a[4]), abs(b[4]))}
+    assert {(r["document_id"], r["prior_id"]) for r in found.select("document_id", "prior_id").collect()} == want and len(want) > 200
+
+
 def test_lines_of_one_file_are_bounded_in_many_tasks(spark):
     from tallymill.plans import catalog
     from tallymill.sources import schemas

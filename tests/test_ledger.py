@@ -114,6 +114,18 @@ def test_history_is_the_plain_predicate(spark, monkeypatch):
     assert found["x3"][0] > found["x1"][0] == 0
 
 
+def test_history_shuffles_rows_not_days(spark):
+    from tests.llm.test_blocks import shuffled
+
+    rows = spark.range(6000).select(F.col("id").alias("ingest_seq"), F.concat(F.lit("d"), "id").alias("document_id"), F.concat(F.lit("Vendor"), F.col("id") % 700, F.lit(" Works")).alias("vendor"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("id") % 900).cast("int")).alias("issue_date"), F.lit(None).cast("string").alias("payment_terms"))
+    took = {}
+    for days in (1, 60):
+        before = shuffled(spark)
+        screening.history(rows, screening.Limits(days=days)).write.format("noop").mode("overwrite").save()
+        took[days] = shuffled(spark) - before
+    assert 0 < took[60] < 2 * took[1]
+
+
 def test_stretches_make_no_difference(spark, monkeypatch):
     steady = [(200 + i, f"s{i:02}", "Steady Works", date(2026, 1, 1) + timedelta(days=20 * i), D(1000 + i % 7 + (8000 if i % 13 == 12 else 0)), "AED", "Net 60" if i % 11 == 10 else "Net 30") for i in range(40)]
     d = spark.createDataFrame([*many(), *steady], INVOICE)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +44,6 @@ def _money(text: str) -> Column:
     return F.lit(text).cast("decimal(8,4)")
 
 
-def _check(when: Column, rule: str, passed: Column, good: Column, bad: Column, expected: Column, observed: Column) -> Column:
-    return F.when(when, F.struct(F.lit(rule).alias("rule"), passed.alias("passed"), F.when(passed, good).otherwise(bad).alias("message"), expected.alias("expected"), observed.alias("observed")))
-
-
 def priced_lines(described: str | None = "description") -> Column:
     """Lines with quantity, price and amount: n (place among all lines), description, qty, unit_price, amount, and their product, half to even."""
     name = (lambda x: x[described].cast("string")) if described else (lambda x: F.lit(None).cast("string"))
@@ -53,67 +52,97 @@ def priced_lines(described: str | None = "description") -> Column:
     return F.coalesce(F.transform(complete, lambda x: x.withField("product", F.bround(x["qty"] * x["unit_price"], 2))), F.array())
 
 
-def checks(today: Column, described: str | None = "description") -> Column:
-    """The twelve rules in order, without those that can't be asked: an array of rule, passed, message, expected, observed.
+#: The twelve rules in order.
+RULES = [*(f"{c}_present" for c in LABELS), "total_positive", "line_item_math", "line_items_sum_to_subtotal", "subtotal_plus_tax_equals_total", "uae_vat_rate", "date_sanity", "due_date_after_issue_date"]
 
-    described: the lines' field that names them, if they have one. Every value is bound once; what messages show is rounded in one place.
-    """
+
+def _asked(records: DataFrame, today: Column) -> DataFrame:
+    """Records with ``_asked_`` and ``_passed_`` of each rule, and what both need of the lines: columns of their own, each worked out once by compiled code."""
+    fields = records.schema["line_items"].dataType.elementType.names
     amounts = F.filter(F.transform("line_items", lambda x: x["amount"]), lambda a: a.isNotNull())
     summed = bound(amounts, lambda a: F.struct(F.greatest(F.size(a), F.lit(0)).alias("amounts"), F.aggregate(a, F.lit(0).cast("decimal(28,6)"), lambda s, x: (s + x).cast("decimal(28,6)")).alias("sum")))
-    lines = bound(priced_lines(described), lambda p: F.struct(F.size(p).alias("complete"), F.filter(p, lambda x: F.abs(x["amount"] - x["product"]) > _money(LINE)).alias("bad")))
-    sub, tax, total = F.col("subtotal"), F.col("tax"), F.col("total")
-    return bound(F.struct(lines.alias("lines"), summed.alias("summed"), F.bround(sub * _money(VAT), 2).alias("vat"), (sub + F.coalesce(tax, F.lit(0))).alias("owed")), lambda v: _rules(v, sub, tax, total, today))
+    lines = bound(priced_lines("description" if "description" in fields else None), lambda p: F.struct(F.size(p).alias("complete"), F.filter(p, lambda x: F.abs(x["amount"] - x["product"]) > _money(LINE)).alias("bad")))
+    sub, tax, total, issue, due = map(F.col, ("subtotal", "tax", "total", "issue_date", "due_date"))
+    found = records.withColumns({"_lines": lines, "_summed": summed})
+    found = found.withColumns({"_bad": F.col("_lines.bad"), "_complete": F.col("_lines.complete"), "_amounts": F.col("_summed.amounts"), "_sum": F.col("_summed.sum"), "_vat": F.bround(sub * _money(VAT), 2), "_owed": sub + F.coalesce(tax, F.lit(0))})
+    always = F.lit(True)
+    rules = [
+        *((always, F.coalesce(F.col(c).cast("string"), F.lit("")) != "") for c in LABELS),
+        (total.isNotNull(), total > 0),
+        (F.col("_complete") > 0, F.size("_bad") == 0),
+        ((F.col("_amounts") > 0) & sub.isNotNull(), F.abs(F.col("_sum") - sub) <= _money(LINE) * F.col("_amounts")),
+        (sub.isNotNull() & total.isNotNull(), F.abs(F.col("_owed") - total) <= _money(TOTAL)),
+        (F.coalesce((F.col("currency") == "AED") & sub.isNotNull() & (tax != 0), F.lit(False)), F.abs(tax - F.col("_vat")) <= F.greatest(_money(TOTAL), F.abs(_money(VAT_SLACK) * sub))),
+        (issue.isNotNull(), issue.between(F.lit(FIRST_DAY).cast("date"), F.date_add(today, SKEW_DAYS))),
+        (issue.isNotNull() & due.isNotNull(), due.between(issue, F.date_add(issue, LONGEST_DAYS))),
+    ]
+    return found.withColumns({f"_{k}_{rule}": c for rule, pair in zip(RULES, rules, strict=True) for k, c in zip(("asked", "passed"), pair, strict=True)})
+
+
+def outcomes(records: DataFrame, today: str | Column) -> DataFrame:
+    """A row for each record and rule that can be asked of it: the record's columns, rule, passed. Nothing is said of them, so no message is made."""
+    each = F.array(*(F.when(F.col(f"_asked_{r}"), F.struct(F.lit(r).alias("rule"), F.col(f"_passed_{r}").alias("passed"))) for r in RULES))
+    return _asked(records, _day(today)).select(*records.columns, F.explode(each).alias("_check")).where("_check is not null").select(*records.columns, "_check.rule", "_check.passed")
+
 
+def _day(today: str | Column) -> Column:
+    return F.lit(today).cast("date") if isinstance(today, str) else today
 
-def _rules(v: Column, sub: Column, tax: Column, total: Column, today: Column) -> Column:
-    bad, complete, amounts, summed = v["lines"]["bad"], v["lines"]["complete"], v["summed"]["amounts"], v["summed"]["sum"]
+
+def _fill(sentence: str, *values: Column) -> Column:
+    """A sentence with its values in the places of %s."""
+    parts = sentence.replace("%%", "%").split("%s")
+    return F.concat(F.lit(parts[0]), *(x for value, part in zip(values, parts[1:], strict=True) for x in (F.coalesce(value.cast("string"), F.lit("null")), F.lit(part))))
+
+
+def _told(asked: DataFrame, today: Column) -> DataFrame:
+    """``_asked`` with ``_message_``, ``_expected_`` and ``_observed_`` of each rule; what messages show is rounded in one place."""
+    sub, tax, total, bad = F.col("subtotal"), F.col("tax"), F.col("total"), F.col("_bad")
     shown = {
-        "sub": sub, "tax": F.coalesce(tax, F.lit(0)), "total": total, "owed": v["owed"], "vat": v["vat"], "summed": summed, "sum_gap": F.abs(summed - sub), "owed_gap": F.abs(v["owed"] - total),
+        "sub": sub, "tax": F.coalesce(tax, F.lit(0)), "total": total, "owed": F.col("_owed"), "vat": F.col("_vat"), "summed": F.col("_sum"), "sum_gap": F.abs(F.col("_sum") - sub), "owed_gap": F.abs(F.col("_owed") - total),
         "rate": F.when(sub != 0, 100 * tax / sub).otherwise(F.lit(0)),
     }
     flat = F.flatten(F.transform(F.slice(bad, 1, TOLD), lambda x: F.array(*(x[c].cast("decimal(38,6)") for c in ("qty", "unit_price", "product", "amount")))))
     values = F.concat(F.array(*(c.cast("decimal(38,6)") for c in shown.values())), flat)
-    rounded = F.transform(values, lambda x: F.coalesce(F.bround(x, 2).cast("decimal(38,2)").cast("string"), F.lit("null")))
-    return bound(rounded, lambda texts: _told(v, {n: F.get(texts, F.lit(i)) for i, n in enumerate(shown)}, lambda i, k: F.get(texts, F.lit(len(shown) + k) + 4 * i), bad, complete, amounts, summed, sub, tax, total, today))
-
+    found = asked.withColumn("_texts", F.transform(values, lambda x: F.coalesce(F.bround(x, 2).cast("decimal(38,2)").cast("string"), F.lit("null"))))
+    t = {n: F.get("_texts", F.lit(i)) for i, n in enumerate(shown)}
+    of_line = lambda i, k: F.get("_texts", F.lit(len(shown) + k) + 4 * i)
+    issue, due = F.col("issue_date"), F.col("due_date")
+    day, due_day, first, last = issue.cast("string"), due.cast("string"), F.lit(FIRST_DAY), F.date_add(today, SKEW_DAYS).cast("string")
+    wrong = F.transform(F.slice(bad, 1, TOLD), lambda x, i: _fill(SAID["line"], x["n"], F.coalesce(F.nullif(x["description"], F.lit("")), F.lit(SAID["unnamed"])), *(of_line(i, k) for k in range(4))))
+    more = F.when(F.size(bad) > TOLD, _fill(SAID["more"], F.size(bad) - TOLD)).otherwise("")
+    late = _fill(SAID["due_too_late"], due_day, day)
 
-def _told(v: Column, text: dict[str, Column], of_line, bad: Column, complete: Column, amounts: Column, summed: Column, sub: Column, tax: Column, total: Column, today: Column) -> Column:
     def said(rule: str, good: list, wrong: list) -> tuple[Column, Column]:
-        return tuple(F.format_string(t, *x) for t, x in zip(SAID[rule], (good, wrong), strict=True))
+        return tuple(_fill(x, *values) for x, values in zip(SAID[rule], (good, wrong), strict=True))
 
-    issue, due = F.col("issue_date"), F.col("due_date")
-    day, due_day, first, last = issue.cast("string"), due.cast("string"), F.lit(FIRST_DAY), F.date_add(today, SKEW_DAYS)
-    present = []
-    for c, label in LABELS.items():
-        there = F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
-        present.append(_check(F.lit(True), f"{c}_present", there, *(F.lit(t % label) for t in SAID["present"]), F.lit("a non-null value"), F.when(there, "present").otherwise("null")))
-    wrong = F.transform(F.slice(bad, 1, TOLD), lambda x, i: F.format_string(SAID["line"], x["n"], F.coalesce(F.nullif(x["description"], F.lit("")), F.lit(SAID["unnamed"])), *(of_line(i, k) for k in range(4))))
-    more = F.when(F.size(bad) > TOLD, F.format_string(SAID["more"], F.size(bad) - TOLD)).otherwise("")
-    late = F.format_string(SAID["due_too_late"], due_day, day)
     due_good, due_bad = said("due_date_after_issue_date", [due_day], [due_day, day])
-    t = text
-    rules = [
-        *present,
-        _check(total.isNotNull(), "total_positive", total > 0, *said("total_positive", [t["total"]], [t["total"]]), F.lit("> 0.00"), t["total"]),
-        _check(complete > 0, "line_item_math", F.size(bad) == 0, *said("line_item_math", [complete], [F.size(bad), F.array_join(wrong, "; "), more]), F.when(F.size(bad) > 0, "qty x unit_price == amount"), F.when(F.size(bad) > 0, F.format_string("%s of %s lines mismatched", F.size(bad), complete))),
-        _check((amounts > 0) & sub.isNotNull(), "line_items_sum_to_subtotal", F.abs(summed - sub) <= _money(LINE) * amounts, *said("line_items_sum_to_subtotal", [amounts, t["summed"]], [amounts, t["summed"], t["sub"], t["sum_gap"]]), t["sub"], t["summed"]),
-        _check(sub.isNotNull() & total.isNotNull(), "subtotal_plus_tax_equals_total", F.abs(v["owed"] - total) <= _money(TOTAL), *said("subtotal_plus_tax_equals_total", [t["sub"], t["tax"], t["total"]], [t["sub"], t["tax"], t["owed"], t["total"], t["owed_gap"]]), t["owed"], t["total"]),
-        _check((F.col("currency") == "AED") & sub.isNotNull() & (tax != 0), "uae_vat_rate", F.abs(tax - v["vat"]) <= F.greatest(_money(TOTAL), F.abs(_money(VAT_SLACK) * sub)), *said("uae_vat_rate", [t["tax"], t["sub"]], [t["tax"], t["rate"], t["sub"], t["vat"]]), t["vat"], t["tax"]),
-        _check(issue.isNotNull(), "date_sanity", issue.between(first.cast("date"), last), *said("date_sanity", [day], [day, first, last.cast("string")]), F.concat(first, F.lit(".."), last.cast("string")), day),
-        _check(issue.isNotNull() & due.isNotNull(), "due_date_after_issue_date", due.between(issue, F.date_add(issue, LONGEST_DAYS)), due_good, F.when(due < issue, due_bad).otherwise(late), F.concat(F.lit(">= "), day), due_day),
-    ]
-    return F.filter(F.array(*rules), lambda c: c.isNotNull())
+    says = {
+        **{f"{c}_present": (*(F.lit(x % label) for x in SAID["present"]), F.lit("a non-null value"), F.when(F.col(f"_passed_{c}_present"), "present").otherwise("null")) for c, label in LABELS.items()},
+        "total_positive": (*said("total_positive", [t["total"]], [t["total"]]), F.lit("> 0.00"), t["total"]),
+        "line_item_math": (*said("line_item_math", [F.col("_complete")], [F.size(bad), F.array_join(wrong, "; "), more]), F.when(F.size(bad) > 0, "qty x unit_price == amount"), F.when(F.size(bad) > 0, _fill("%s of %s lines mismatched", F.size(bad), F.col("_complete")))),
+        "line_items_sum_to_subtotal": (*said("line_items_sum_to_subtotal", [F.col("_amounts"), t["summed"]], [F.col("_amounts"), t["summed"], t["sub"], t["sum_gap"]]), t["sub"], t["summed"]),
+        "subtotal_plus_tax_equals_total": (*said("subtotal_plus_tax_equals_total", [t["sub"], t["tax"], t["total"]], [t["sub"], t["tax"], t["owed"], t["total"], t["owed_gap"]]), t["owed"], t["total"]),
+        "uae_vat_rate": (*said("uae_vat_rate", [t["tax"], t["sub"]], [t["tax"], t["rate"], t["sub"], t["vat"]]), t["vat"], t["tax"]),
+        "date_sanity": (*said("date_sanity", [day], [day, first, last]), F.concat(first, F.lit(".."), last), day),
+        "due_date_after_issue_date": (due_good, F.when(due < issue, due_bad).otherwise(late), F.concat(F.lit(">= "), day), due_day),
+    }
+    told = {}
+    for rule, (good, wrong_one, expected, observed) in says.items():
+        told |= {f"_message_{rule}": F.when(F.col(f"_asked_{rule}"), F.when(F.col(f"_passed_{rule}"), good).otherwise(wrong_one)), f"_expected_{rule}": expected, f"_observed_{rule}": observed}
+    return found.withColumns(told)
 
 
 def validate(records: DataFrame, today: str | Column) -> DataFrame:
-    """Records with checks, passed, failed_rules, and summary ("rule: message; ..." of the failures)."""
-    day = F.lit(today).cast("date") if isinstance(today, str) else today
-    fields = records.schema["line_items"].dataType.elementType.names
-    failed = lambda c: F.filter(c, lambda x: ~x["passed"])
-    whole = bound(checks(day, "description" if "description" in fields else None), lambda c: F.struct(c.alias("checks"), failed(c).alias("failed")))
-    found = records.withColumn("_found", whole)
-    failures = F.array_join(F.transform("_found.failed", lambda c: F.concat(c["rule"], F.lit(": "), c["message"])), "; ")
-    return found.select(*records.columns, F.col("_found.checks").alias("checks"), (F.size("_found.failed") == 0).alias("passed"), F.transform("_found.failed", lambda c: c["rule"]).alias("failed_rules"), F.when(F.size("_found.failed") == 0, SAID["passed"]).otherwise(failures).alias("summary"))
+    """Records with checks (rule, passed, message, expected, observed; without those that can't be asked), passed, failed_rules, and summary ("rule: message; ..." of the failures)."""
+    found = _told(_asked(records, _day(today)), _day(today))
+    of = lambda k, r: F.col(f"_{k}_{r}")
+    fails = {r: F.coalesce(of("asked", r) & ~of("passed", r), F.lit(False)) for r in RULES}
+    failed = reduce(or_, fails.values())
+    some = lambda when, x: F.when(when, F.array(x)).otherwise(F.slice(F.array(x), 1, 0))
+    each = F.flatten(F.array(*(some(of("asked", r), F.struct(F.lit(r).alias("rule"), *(of(k, r).alias(k) for k in ("passed", "message", "expected", "observed")))) for r in RULES)))
+    summary = F.concat_ws("; ", *(F.when(fails[r], F.concat(F.lit(f"{r}: "), of("message", r))) for r in RULES))
+    return found.select(*records.columns, each.alias("checks"), (~failed).alias("passed"), F.flatten(F.array(*(some(fails[r], F.lit(r)) for r in RULES))).alias("failed_rules"), F.when(~failed, SAID["passed"]).otherwise(summary).alias("summary"))
 
 
 def card(validated: DataFrame, most: int = 6) -> DataFrame:

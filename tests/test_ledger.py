@@ -9,6 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 from tallymill.operators import audit, evaluation, parsing, screening, validation
+from tallymill.plans import catalog
 
 LINES = "array<struct<description: string, qty: decimal(18,6), unit_price: decimal(18,6), amount: decimal(18,6)>>"
 RECORD = f"document_id long, vendor string, invoice_number string, issue_date date, due_date date, subtotal decimal(18,6), tax decimal(18,6), total decimal(18,6), currency string, payment_terms string, line_items {LINES}"
@@ -52,6 +53,17 @@ def test_messages(spark):
     assert plan.count("bround(") <= 4
 
 
+def test_outcomes_are_the_checks_without_words(spark):
+    rows = [tuple({**BASE, **change, "document_id": i}.values()) for i, (change, _) in enumerate(CASES)] + [(99, *[None] * 9, []), (100, *[None] * 10)]
+    d = spark.createDataFrame(rows, RECORD)
+    found = validation.outcomes(d, "2026-07-29")
+    want = [(r["document_id"], c["rule"], c["passed"]) for r in validation.validate(d, "2026-07-29").collect() for c in r["checks"]]
+    assert sorted(map(tuple, found.select("document_id", "rule", "passed").collect())) == sorted(want) and len(want) > 150
+    for name in ("validation_rules",):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "multiply out" not in plan, name
+
+
 def test_commit_gate_and_unread_pages(spark):
     rows = [(True, None, 3, 3, None), (False, None, 3, 3, None), (True, "HIGH", 3, 3, None), (True, "LOW", 3, 10, None), (True, "MEDIUM", None, None, None), (False, "HIGH", 5, 3, "note"), (False, None, 1, 2, "note")]
     g = validation.commit_gate(F.col("v"), F.lit("summary"), F.col("s"), F.lit("why"), F.col("r"), F.col("t"), F.col("n"))

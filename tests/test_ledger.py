@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
@@ -53,6 +54,12 @@ def test_messages(spark):
     assert plan.count("bround(") <= 4
 
 
+def test_messages_are_not_worked_out_within_lambdas(spark):
+    d = spark.createDataFrame([tuple(BASE.values())], RECORD)
+    plan = validation.validate(d, "2026-07-29").select("summary")._jdf.queryExecution().optimizedPlan().toString()
+    assert "format_string" not in plan and not re.search(r"lambda[^\n]*auto-committed", plan)
+
+
 def test_outcomes_are_the_checks_without_words(spark):
     rows = [tuple({**BASE, **change, "document_id": i}.values()) for i, (change, _) in enumerate(CASES)] + [(99, *[None] * 9, []), (100, *[None] * 10)]
     d = spark.createDataFrame(rows, RECORD)

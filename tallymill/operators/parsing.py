@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import CURRENCY_CODES, bound, date, money, squeeze
+from ..functions.clean import CURRENCY_CODES, bound, date, money
 
 # Words that hint at a kind of document, in the order in which ties fall.
 KIND_HINTS = {
@@ -30,9 +30,10 @@ AMOUNT = {
     "total": r"(?i)(?:grand\s*total|total\s*due|amount\s*due|balance\s*due|total\s*payable|total)" + AMOUNT_TAIL,
 }
 NO_REFERENCE = [r"^\d{4}$", r"^[\d/.\-]{8,}$"]
-TABLE_HEAD = r"(?i)(description|item|particulars).*(qty|quantity).*(price|rate|amount)"
+TABLE_HEAD = r"(?i)(?=[dip])(description|item|particulars).*(qty|quantity).*(price|rate|amount)"
 TABLE_END = r"(?i)^\s*(sub[\s-]*total|total|vat|tax|grand\s*total|amount\s*due|balance|payment\s*terms|bank|iban|swift|notes?|thank)"
-NUMBER = r"\(?-?(?:\d{1,3}(?:[,\x20\xA0]\d{3})+(?:\.\d{1,4})?|\d+(?:\.\d{1,4})?)\)?"
+NUMBER_AHEAD = r"(?=[(\d-])"  # how a number can begin, which most letters tell at once
+NUMBER = r"\(?-?(?:\d{1,3}+(?:[,\x20\xA0]\d{3})+(?:\.\d{1,4})?|\d+(?:\.\d{1,4})?)\)?"
 SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "₹": "INR", "د.إ": "AED"}
 NO_VENDOR = [r"(?i)^\s*(tax\s+invoice|invoice|receipt|credit\s*note|proforma|statement|bill)\s*$", r"(?i)\b(?:trn|tax\s*reg|vat\s*reg|gstin)\b", r"^[\d\W_]+$", r"(?i)\b(invoice|date|page)\s*(no(?:tes?)?(?![a-z])|#|:)"]  # whole words: "Gpagenoc" is a name
 
@@ -65,8 +66,15 @@ def _lines(text: Column) -> Column:
     return F.split(text, r"\R")
 
 
-def table_lines(text: Column) -> Column:
-    """Rows of the item table: lines between the first header and the next stop word whose last three numbers are quantity, price and amount.
+def _value(number: Column) -> Column:
+    """``money`` of what ``NUMBER`` matches: its commas or spaces can only part thousands, so no pattern is needed unless it has both."""
+    value = F.translate(number, "(), \u00a0", "").try_cast("decimal(18,6)")
+    mixed = number.contains(",") & (number.contains(" ") | number.contains("\u00a0"))
+    return F.when(mixed, money(number)).when(number.startswith("(") & number.endswith(")"), -F.abs(value)).otherwise(value).cast("decimal(18,6)")
+
+
+def _table(text: Column) -> Column:
+    """Lines between the first header and the next stop word.
 
     Every line is looked at once to tell what it is; the table is a slice between two places.
     """
@@ -76,27 +84,49 @@ def table_lines(text: Column) -> Column:
 
         def between(k: Column) -> Column:
             head = F.array_position(k, "head").cast("int")
-            marked = F.arrays_zip(lines.alias("line"), k.alias("kind"))
-            behind = F.when(head > 0, F.slice(marked, head + 1, F.size(k))).otherwise(F.slice(marked, 1, 0))
-            return bound(behind, lambda m: F.slice(m, F.lit(1), F.coalesce(F.nullif(F.array_position(F.transform(m, lambda x: x["kind"]), "end"), F.lit(0)).cast("int") - 1, F.size(m))))
 
-        return F.transform(F.filter(bound(kinds, between), lambda x: x["kind"] == "row"), lambda x: x["line"])
+            def kept(behind: Column) -> Column:
+                end = F.array_position(behind, "end").cast("int")
+                return F.filter(F.slice(lines, head + 1, F.when(end > 0, end - 1).otherwise(F.size(behind))), lambda x, i: F.get(behind, i) == "row")
+
+            return F.when(head > 0, bound(F.slice(k, head + 1, F.size(k)), kept)).otherwise(F.slice(lines, 1, 0))
+
+        return bound(kinds, between)
+
+    return bound(_lines(text), rows)
+
+
+def _pieces(line: Column) -> Column:
+    """A line cut where its numbers begin; each piece but the first is a number, a mark and what stands behind it."""
+    return F.split(F.regexp_replace(line, "(" + NUMBER_AHEAD + NUMBER + ")", "\u0001$1\u0002"), "\u0001")
 
-    def item(line: Column) -> Column:
-        # each number opens a piece that ends before the next one
-        pieces = F.split(F.regexp_replace(line, "(" + NUMBER + ")", "\u0001$1\u0002"), "\u0001")
 
-        def read(p: Column) -> Column:
-            n = F.size(p)
-            number = lambda k: money(F.substring_index(F.get(p, n - k), "\u0002", 1))
-            before = F.replace(F.array_join(F.slice(p, F.lit(1), n - 3), ""), F.lit("\u0002"), F.lit(""))
-            found = F.struct(F.substring(squeeze(before), 1, 512).alias("description"), number(3).alias("qty"), number(2).alias("unit_price"), number(1).alias("amount"))
-            return F.when(n > 3, found)
+def _cells(pieces: Column) -> dict[str, Column]:
+    """What stands before the last three numbers, squeezed, and those numbers, as texts; null if there are fewer."""
+    n = F.size(pieces)
+    before = F.replace(F.array_join(F.slice(pieces, F.lit(1), F.greatest(n - 3, F.lit(0))), ""), F.lit("\u0002"), F.lit(""))
+    cells = {"description": F.trim(F.regexp_replace(before, r"\s+", " ")), **{c: F.substring_index(F.get(pieces, n - k), "\u0002", 1) for k, c in ((3, "qty"), (2, "unit_price"), (1, "amount"))}}
+    return {c: F.when(n > 3, x) for c, x in cells.items()}
 
-        return bound(pieces, read)
 
-    whole = F.filter(F.transform(bound(_lines(text), rows), item), lambda x: x["qty"].isNotNull() & x["unit_price"].isNotNull() & x["amount"].isNotNull())
-    return F.slice(whole, 1, MOST_LINES)
+def _item(cells: dict[str, Column]) -> Column:
+    described = cells["description"]
+    return F.struct(F.when(described != "", F.substring(described, 1, 512)).alias("description"), *(_value(cells[c]).alias(c) for c in ("qty", "unit_price", "amount")))
+
+
+def _read(line: Column) -> Column:
+    """A line's item, within an array."""
+    cells = bound(_pieces(line), lambda p: F.struct(*(x.alias(c) for c, x in _cells(p).items())))
+    return bound(cells, lambda c: _item({k: c[k] for k in ("description", "qty", "unit_price", "amount")}))
+
+
+def _is_whole(item: Column) -> Column:
+    return item["qty"].isNotNull() & item["unit_price"].isNotNull() & item["amount"].isNotNull()
+
+
+def table_lines(text: Column) -> Column:
+    """Rows of the item table: lines between the first header and the next stop word whose last three numbers are quantity, price and amount."""
+    return F.slice(F.filter(F.transform(_table(text), _read), _is_whole), 1, MOST_LINES)
 
 
 def vendor(text: Column) -> Column:

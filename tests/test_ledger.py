@@ -9,6 +9,7 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from tallymill.functions import clean
 from tallymill.operators import audit, evaluation, parsing, screening, validation
 from tallymill.plans import catalog
 
@@ -301,3 +302,15 @@ def test_layout_is_the_fold(spark):
             line += (" " * max(1, min(12, math.floor((x0 - row[i - 1][1]) / 4.0))) if i else "") + word
         assert found[key] == line
     assert set(found) == set(want)
+
+
+def test_numbers_of_a_table_are_money_without_patterns(spark):
+    rng = random.Random(5)
+    signs = "(-12345 67,890.12) ,x"
+    texts = ["".join(rng.choice(signs) for _ in range(40)) for _ in range(400)] + ["(1,234.50) -7 (-3) 1 234 567,890.1234 99999999999999999999 (5 0.5)"]
+    old = r"\(?-?(?:\d{1,3}(?:[,\x20\xA0]\d{3})+(?:\.\d{1,4})?|\d+(?:\.\d{1,4})?)\)?"
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    found = [F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (old, parsing.NUMBER_AHEAD + parsing.NUMBER)]
+    assert all(r[0] == r[1] for r in rows.select(*found).collect())
+    each = rows.select(F.explode(found[0]).alias("n"))
+    assert each.where(~clean.money(F.col("n")).eqNullSafe(parsing._value(F.col("n")))).count() == 0 and each.count() > 1000

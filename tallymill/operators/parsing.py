@@ -68,7 +68,8 @@ def _lines(text: Column) -> Column:
 
 def _value(number: Column) -> Column:
     """``money`` of what ``NUMBER`` matches: its commas or spaces can only part thousands, so no pattern is needed unless it has both."""
-    value = F.translate(number, "(), \u00a0", "").try_cast("decimal(18,6)")
+    bare = reduce(lambda text, sign: F.replace(text, F.lit(sign), F.lit("")), "(), \u00a0", number)
+    value = bare.try_cast("decimal(18,6)")
     mixed = number.contains(",") & (number.contains(" ") | number.contains("\u00a0"))
     return F.when(mixed, money(number)).when(number.startswith("(") & number.endswith(")"), -F.abs(value)).otherwise(value).cast("decimal(18,6)")
 
@@ -129,6 +130,32 @@ def table_lines(text: Column) -> Column:
     return F.slice(F.filter(F.transform(_table(text), _read), _is_whole), 1, MOST_LINES)
 
 
+def _within_a_page() -> tuple[str, str]:
+    r"""Patterns for whole pages: the first header with what follows its line as last group, and the break before a stop line with all behind it. \v is what \R takes for an end of a line."""
+    head = TABLE_HEAD.removeprefix("(?i)").replace(".*", r"\V*")
+    end = TABLE_END.removeprefix(r"(?i)^").replace(r"[\s-]", r"[ \t-]").replace(r"\s", r"[ \t]")
+    return rf"(?is){head}\V*(.*)", rf"(?is)\v(?={end})(?!\V*{head}).*"
+
+
+def table_rows(pages: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each of a page's ``table_lines``: the page's other columns, description, qty, unit_price, amount.
+
+    The table is cut out of the whole page and its lines become rows, so that compiled code reads them. Tables of more than ``MOST_LINES`` lines or with repeated headers are cut to their first items before that.
+    """
+    kept = [c for c in pages.columns if c != text]
+    head, end = _within_a_page()
+    found = pages.select(*kept, F.regexp_replace(F.regexp_extract(text, head, 4), end, "").alias("_table"))
+    lines = found.select(*kept, "_table", _lines(F.col("_table")).alias("_lines"))
+    first = F.slice(F.filter("_lines", lambda x: ~x.rlike(TABLE_HEAD) & _is_whole(_read(x))), 1, MOST_LINES)
+    each = lines.select(*kept, F.explode(F.when((F.size("_lines") <= MOST_LINES) & ~F.col("_table").rlike(TABLE_HEAD), F.col("_lines")).otherwise(first)).alias("_line"))
+    cut = each.select(*kept, _pieces(F.col("_line")).alias("_pieces"))
+    cells = cut.select(*kept, *(x.alias(f"_{c}") for c, x in _cells(F.col("_pieces")).items()))
+    described, numbers = F.col("_description"), ("qty", "unit_price", "amount")
+    items = cells.select(*kept, F.when(described != "", F.substring(described, 1, 512)).alias("description"), *(_value(F.col(f"_{c}")).alias(f"_{c}") for c in numbers))
+    item = F.struct(*(F.col(f"_{c}").alias(c) for c in numbers))
+    return items.select(*kept, "description", F.inline(F.when(_is_whole(item), F.array(item))))  # a filter would be moved below and read each line again
+
+
 def vendor(text: Column) -> Column:
     """The first of eight lines whose cell before a gap of two spaces can be a name."""
     cells = F.transform(F.slice(_lines(text), 1, 8), lambda x: F.trim(F.element_at(F.split(F.trim(x), r"\s{2,}"), 1)))

@@ -314,3 +314,19 @@ def test_numbers_of_a_table_are_money_without_patterns(spark):
     assert all(r[0] == r[1] for r in rows.select(*found).collect())
     each = rows.select(F.explode(found[0]).alias("n"))
     assert each.where(~clean.money(F.col("n")).eqNullSafe(parsing._value(F.col("n")))).count() == 0 and each.count() > 1000
+
+
+def test_rows_of_tables_are_the_tables_lines(spark):
+    rng = random.Random(9)
+    lines = ["Description Qty Price", "item\tquantity x rate", "Total item qty price 1 2 3", "Part 7 x  2.00  1,000.5000  2,001.00", "Bolts M8 1 234.50  (3) 1.00 -3 AED", "no numbers", "", "1 2 3", "Totally 1 2 3", "  sub - total 1 2 3", "grand \t total 4 5 6", "\U0001f600 nail 4 5 6", "Bank", "x\u0001y 7 8 9", "9 99999999999999999999 1 2"]
+    weights = [2, 1, 1, *[4] * 5, *[1] * 7]
+    texts = [rng.choice(["", "\r\n", "x\n"]) + "".join(x + rng.choice(["\n"] * 6 + ["\r\n", "\r", "\x0b", "\f", "\x85", " ", " "]) for x in rng.choices(lines, weights, k=rng.randint(1, 14))) for _ in range(1500)]
+    texts += [None, "", "Item Qty Rate", "Item Qty Rate\nTotal\nNail 1 2 3", "\n".join(["Item Qty Rate", *["no numbers"] * 300, *(f"Nail 1 2 {i}" for i in range(250)), "Total"]), "\n".join(["Item Qty Rate"] + ["Item 1 Qty 2 Price 3", "Nail 1 2 3"] * 150)]
+    pages = spark.createDataFrame(list(enumerate(texts)), "document_id int, text string")
+    want = pages.select("document_id", F.explode(parsing.table_lines(F.col("text"))).alias("x")).select("document_id", "x.*")
+    found = parsing.table_rows(pages)
+    assert found.columns == want.columns and want.count() > 1500
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    for name in ("line_table_parse", "layout_line_items"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "split(regexp_replace(_line#" in plan, name  # a column, so not within a lambda

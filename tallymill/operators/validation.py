@@ -44,12 +44,16 @@ def _money(text: str) -> Column:
     return F.lit(text).cast("decimal(8,4)")
 
 
-def priced_lines(described: str | None = "description") -> Column:
-    """Lines with quantity, price and amount: n (place among all lines), description, qty, unit_price, amount, and their product, half to even."""
+def _is_priced(line: Column) -> Column:
+    return line["qty"].isNotNull() & line["unit_price"].isNotNull() & line["amount"].isNotNull()
+
+
+def bad_lines(described: str | None = "description") -> Column:
+    """Lines whose amount isn't quantity times price: n (place among all lines), description, qty, unit_price, amount, and their product, half to even. Only these are made anew."""
     name = (lambda x: x[described].cast("string")) if described else (lambda x: F.lit(None).cast("string"))
-    numbered = F.transform("line_items", lambda x, i: F.struct((i + 1).alias("n"), name(x).alias("description"), x["qty"].alias("qty"), x["unit_price"].alias("unit_price"), x["amount"].alias("amount")))
-    complete = F.filter(numbered, lambda x: x["qty"].isNotNull() & x["unit_price"].isNotNull() & x["amount"].isNotNull())
-    return F.coalesce(F.transform(complete, lambda x: x.withField("product", F.bround(x["qty"] * x["unit_price"], 2))), F.array())
+    product = lambda x: F.bround(x["qty"] * x["unit_price"], 2)
+    made = lambda x, i: F.struct((i + 1).alias("n"), name(x).alias("description"), x["qty"].alias("qty"), x["unit_price"].alias("unit_price"), x["amount"].alias("amount"), product(x).alias("product"))
+    return F.filter(F.transform("line_items", lambda x, i: F.when(F.abs(x["amount"] - product(x)) > _money(LINE), made(x, i))), lambda x: x.isNotNull())
 
 
 #: The twelve rules in order.
@@ -59,12 +63,12 @@ RULES = [*(f"{c}_present" for c in LABELS), "total_positive", "line_item_math",
 def _asked(records: DataFrame, today: Column) -> DataFrame:
     """Records with ``_asked_`` and ``_passed_`` of each rule, and what both need of the lines: columns of their own, each worked out once by compiled code."""
     fields = records.schema["line_items"].dataType.elementType.names
-    amounts = F.filter(F.transform("line_items", lambda x: x["amount"]), lambda a: a.isNotNull())
-    summed = bound(amounts, lambda a: F.struct(F.greatest(F.size(a), F.lit(0)).alias("amounts"), F.aggregate(a, F.lit(0).cast("decimal(28,6)"), lambda s, x: (s + x).cast("decimal(28,6)")).alias("sum")))
-    lines = bound(priced_lines("description" if "description" in fields else None), lambda p: F.struct(F.size(p).alias("complete"), F.filter(p, lambda x: F.abs(x["amount"] - x["product"]) > _money(LINE)).alias("bad")))
+    named = "description" if "description" in fields else None
+    count = lambda kept: F.greatest(F.size(F.filter("line_items", kept)), F.lit(0))
+    summed = F.aggregate("line_items", F.lit(0).cast("decimal(28,6)"), lambda s, x: (s + F.coalesce(x["amount"], F.lit(0).cast("decimal(18,6)"))).cast("decimal(28,6)"))
+    of_lines = {"_bad": F.coalesce(bad_lines(named), F.array()), "_complete": count(_is_priced), "_amounts": count(lambda x: x["amount"].isNotNull()), "_sum": summed}
     sub, tax, total, issue, due = map(F.col, ("subtotal", "tax", "total", "issue_date", "due_date"))
-    found = records.withColumns({"_lines": lines, "_summed": summed})
-    found = found.withColumns({"_bad": F.col("_lines.bad"), "_complete": F.col("_lines.complete"), "_amounts": F.col("_summed.amounts"), "_sum": F.col("_summed.sum"), "_vat": F.bround(sub * _money(VAT), 2), "_owed": sub + F.coalesce(tax, F.lit(0))})
+    found = records.withColumns({**of_lines, "_vat": F.bround(sub * _money(VAT), 2), "_owed": sub + F.coalesce(tax, F.lit(0))})
     always = F.lit(True)
     rules = [
         *((always, F.coalesce(F.col(c).cast("string"), F.lit("")) != "") for c in LABELS),

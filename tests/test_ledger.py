@@ -330,3 +330,16 @@ def test_rows_of_tables_are_the_tables_lines(spark):
     for name in ("line_table_parse", "layout_line_items"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "split(regexp_replace(_line#" in plan, name  # a column, so not within a lambda
+
+
+def test_only_lines_that_break_their_rule_are_made_anew(spark):
+    lines = [None, ("Steel", D(2), D(3), None), ("Steel", D(2), D(3), D(6)), ("Bolts", D("2.5"), D("0.05"), D("0.2")), (None, D(1), None, D(4)), ("", D(1), D(1), D(2)), ("Nuts", D("0.5"), D("0.25"), D("0.12")), ("Nails", D(3), D(1), D("3.02")), ("Rope", D(1), D(1), D(0))]
+    rows = [tuple({**BASE, "document_id": i, "line_items": x, "subtotal": D("15.34"), "tax": None, "total": D("15.34")}.values()) for i, x in enumerate((lines, None, [None]))]
+    found = validation.validate(spark.createDataFrame(rows, RECORD), "2026-07-29")
+    r = found.orderBy("document_id").collect()
+    assert r[0]["summary"] == "line_item_math: 4 line item(s) do not multiply out: line 4 (Bolts): 2.50 x 0.05 = 0.12, but 0.20 is printed; line 6 (unnamed): 1.00 x 1.00 = 1.00, but 2.00 is printed; line 8 (Nails): 3.00 x 1.00 = 3.00, but 3.02 is printed (+1 more)"
+    checks = {c["rule"]: c for c in r[0]["checks"]}
+    assert checks["line_item_math"]["observed"] == "4 of 6 lines mismatched" and checks["line_items_sum_to_subtotal"]["message"] == "7 line item(s) sum to 15.34, matching the printed subtotal."
+    assert all(not {"line_item_math", "line_items_sum_to_subtotal"} & {c["rule"] for c in x["checks"]} for x in r[1:])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert set(re.findall(r"transform\(line_items[^,]*, lambdafunction\((\w+)", plan)) == {"CASE"}

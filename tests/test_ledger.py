@@ -161,6 +161,13 @@ def test_reasons(spark):
     assert said["EV-GM-999"].startswith("Amount is 34.") and said["EV-GM-999"].endswith("across 4 prior invoices (2.4x the usual).")
 
 
+def test_steady_vendors_are_told_in_their_own_words(spark):
+    """Where the spread is below its least, the number of deviations would mislead and isn't said."""
+    rows = [(i, f"s{i}", "Steady Works", date(2026, 1, 1 + i), D(1000 + i % 2), "AED", "Net 30") for i in range(4)] + [(4, "s4", "Steady Works", date(2026, 3, 1), D("1500.50"), "AED", "Net 30")]
+    said = screening.amount_zscores(spark.createDataFrame(rows, INVOICE)).collect()
+    assert [r["reason"] for r in said] == ["Amount is 1.5x this vendor's usual invoice: Steady Works normally bills close to 1,000.50 AED (the last 4 invoices vary by under 1%), but this one is 1,500.50."]
+
+
 def test_evidence_names_the_file(spark):
     rows = spark.createDataFrame(LABELLED, INVOICE).withColumn("filename", F.concat("document_id", F.lit(".pdf")))
     found = {r["document_id"]: json.loads(r["evidence"]) for r in screening.duplicates(rows).collect()}

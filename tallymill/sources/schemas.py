@@ -41,6 +41,18 @@ def bounded_lines(lines: Column) -> Column:
     return F.coalesce(F.transform(kept, lambda x: F.when(F.octet_length(x["description"]) > LONGEST_DESCRIPTION, cut(x)).otherwise(x)), F.array())
 
 
+def bounded_rows(lines: DataFrame) -> DataFrame:
+    """The same of lines that come as rows, numbered from 1 within their record (``line``), with a ``description``; and ``letters``, how many its description keeps. A row without a number stands for a record without lines and stays.
+
+    Letters are walked through only where the bytes that may be kept aren't all ASCII. Read as Latin-1 these grow by one for each other byte, which takes copies and no walk.
+    """
+    held = lines.where(F.coalesce(F.col("line") <= MOST_LINES, F.lit(True)))
+    held = held.withColumn("head_", F.substring(F.col("description").cast("binary"), 1, LONGEST_DESCRIPTION))
+    held = held.withColumn("plain_", F.octet_length(F.decode("head_", "ISO-8859-1")) == F.octet_length("head_"))
+    held = held.withColumn("description", F.when(F.col("plain_"), F.col("head_").cast("string")).otherwise(F.substring("description", 1, LONGEST_DESCRIPTION)))
+    return held.withColumn("letters", F.when(F.col("plain_"), F.octet_length("head_")).otherwise(F.length("description"))).drop("head_", "plain_")
+
+
 def too_long() -> Column:
     return F.filter(F.array(*(F.when(F.length(c) > n, c) for c, n in LONGEST.items())), lambda c: c.isNotNull())
 

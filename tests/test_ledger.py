@@ -257,6 +257,19 @@ def test_lines_of_one_file_are_bounded_in_many_tasks(spark):
     assert [[x["description"] for x in r[0]] for r in lines.select(schemas.bounded_lines(F.col("lines"))).collect()] == [[t and t[:512] for t in texts], []]
 
 
+def test_lines_as_rows_are_bounded_alike(spark):
+    from tallymill.sources import schemas
+
+    texts = ["x" * 512, "x" * 513, "\u00e9" * 300, "\u00e9" * 512, "\u00e9" * 513, "x" * 511 + "\u00e9\u00e9", "x" * 512 + "\u00e9", "x" * 600 + "\U0001f600", "\U0001f600" * 600, "\u0080" * 513, None, ""]
+    lines = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(texts)] + [(2, None, None)] + [(3, i, "y") for i in range(1, 300)], "record int, line long, description string")
+    rows = [tuple(r) for r in schemas.bounded_rows(lines).orderBy("record", "line").collect()]
+    assert rows[: len(texts) + 1] == [(1, i + 1, t if t is None else t[:512], t if t is None else len(t[:512])) for i, t in enumerate(texts)] + [(2, None, None, None)]
+    assert [r[1] for r in rows if r[0] == 3] == list(range(1, 201))
+    # lines are read in compiled code: nothing asks one after the other within an array, and their documents are dealt once
+    plan = catalog.QUERIES["bounded_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("Exchange") == 1
+
+
 def test_vendors_may_hold_letters_of_labels(spark):
     texts = {"Gpagenoc Dcniic FZ-LLC": "Gpagenoc Dcniic FZ-LLC", "Page Northern LLC": "Page Northern LLC", "Page no. 3": "Acme", "INVOICE NO 7": "Acme", "Date: today": "Acme", "Issue date # 3": "Acme", "Page No3": "Acme", "Invoice notes": "Acme"}
     rows = spark.createDataFrame([(k, f"{k}\nAcme") for k in texts], "first string, text string")

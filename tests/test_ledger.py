@@ -363,3 +363,26 @@ def test_only_lines_that_break_their_rule_are_made_anew(spark):
     assert all(not {"line_item_math", "line_items_sum_to_subtotal"} & {c["rule"] for c in x["checks"]} for x in r[1:])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert set(re.findall(r"transform\(line_items[^,]*, lambdafunction\((\w+)", plan)) == {"CASE"}
+
+
+def test_screening_deals_rows_once_for_each_detector(spark):
+    """Rows of vendors that aren't crowded: what is shuffled is at most one narrow row for each detector."""
+    from tests.llm.test_blocks import shuffled
+
+    rows = spark.range(40_000).select(
+        F.col("id").alias("ingest_seq"), F.col("id").alias("document_id"), F.md5(F.floor(F.col("id") / 8).cast("string").cast("binary")).alias("vendor"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("id") % 8 * 25).cast("int")).alias("issue_date"),
+        (F.lit(5000) + F.xxhash64("id") % 90).cast("decimal(14,2)").alias("total"), F.lit("AED").alias("currency"), F.lit("Net 30").alias("payment_terms"),
+    )
+    before = shuffled(spark)
+    screening.screen(rows, screening.Limits(similarity=100.0)).select("document_id", "anomaly_type").write.format("noop").mode("overwrite").save()
+    assert 0 < shuffled(spark) - before < 3_200_000  # 4.4 million when rows were dealt twice for each detector
+
+
+def test_crowded_vendors_find_the_same(spark, monkeypatch):
+    rows = [*many(), *((1000 + i, f"z{i}", "Crowded Works", date(2026, 1, 1) + timedelta(days=i % 9), D(1000 + i % 5), "AED", "Net 30") for i in range(60))]
+    d = spark.createDataFrame(rows, INVOICE)
+    whole = sorted(map(tuple, screening.screen(d).collect()))
+    monkeypatch.setattr(screening, "STRETCH", 20)
+    told = screening.prepared(d)
+    assert told.where("crowded and vendor = 'Crowded Works'").count() == 60 and told.where("not crowded").count() > 0
+    assert sorted(map(tuple, screening.screen(d).collect())) == whole and len(whole) > 500

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from math import comb
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,8 +67,6 @@ def test_limits_and_odd_names(spark):
 
 def test_what_is_looked_up_grows_with_the_keys():
     """A hundred times the keys of a length make little more than a hundred times the rows and chance meetings."""
-    from math import comb
-
     def cost(n):
         return sum(n * comb(p, k) + n * n * comb(p, k) * (p * 0.004) ** k / 2 for *_, k, p in names._plan({15: n}, 0.12, 0.004))
 
@@ -79,3 +78,21 @@ def test_ratios_are_worked_out_after_the_join(spark):
     """The ratio's limit isn't pushed into the join, where it would be asked of every meeting."""
     keys = spark.range(50).select(F.concat(F.lit("gulf metals "), F.col("id").cast("string")).alias("key"))
     assert "Join" not in names.similar(keys, 88.0)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_keys_asked_about_are_paired(spark):
+    """Either side may be asked about; other pairs may be left out, but none of these is lost, and less is looked up."""
+    keys = many(600, seed=4)
+    every = {(r["key"], r["other"]): r["similarity"] for r in names.similar(spark.createDataFrame([(k,) for k in keys], "key string"), 88.0).collect()}
+    asked = set(keys[::7])
+    rows = names.similar(spark.createDataFrame([(k, k in asked) for k in keys], "key string, asked boolean"), 88.0).collect()
+    assert {(r["key"], r["other"]): r["similarity"] for r in rows if r["key"] in asked or r["other"] in asked} == {k: v for k, v in every.items() if asked & set(k)}
+    cost = lambda part: sum(comb(p, k) for *_, k, p in names._plan({15: 10**6, 19: 10**6}, 0.12, 0.004, part))
+    assert cost(0.05) < cost(1.0) / 2
+
+
+def test_signatures_hold_pairs_of_letters(spark):
+    """Keys of few unlike letters have signatures of few unlike bits."""
+    rows = [r["key"] for r in spark.createDataFrame([("gulf metals",), ("gulf metal",)], "key string").collect()]
+    found = spark.createDataFrame([(k.split(" "),) for k in rows], "words array<string>").select(names._signature(names._grams(F.col("words"))).alias("s")).collect()
+    assert 0 < ((found[0]["s"] ^ found[1]["s"]) & (2**64 - 1)).bit_count() <= 3
